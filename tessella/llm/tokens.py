@@ -15,8 +15,8 @@ from array import array
 import numpy as np
 
 END_ID = 0
-#: Units kept per worker before the memory is cleared, and their longest length.
-MEMO_UNITS, MEMO_CHARS = 500_000, 48
+#: Units kept per worker and generation, and their longest length.
+MEMO_UNITS, MEMO_CHARS = 200_000, 48
 #: Units that one call of the library gets as one text.
 RUN = 256
 
@@ -43,7 +43,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # unit after a blank: ids of blank and unit
+        self.older: dict[str, bytes] = {}  # the generation before; what is used again moves up
+        self.odd: set[str] = set()  # units beside which a text can't be cut
         # each character of a byte-level token stands for one byte; added tokens are plain text
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -59,36 +61,53 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of units: those safe to join go to the library in runs, cut again by byte counts."""
+        """Ids of a blank and each unit, in runs that are cut again by byte counts."""
         out: dict[str, bytes] = {}
-        safe = [u for u in missing if len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace()]
-        rest = [u for u in missing if not (len(u) > 1 and u[0] == " " and not u[1].isspace() and not u[-1].isspace())]
-        out.update(zip(rest, self.library(rest), strict=True))
-        runs = [safe[i : i + RUN] for i in range(0, len(safe), RUN)]
-        for run, ids in zip(runs, self.library(["".join(r) for r in runs]), strict=True):
+        runs = [missing[i : i + RUN] for i in range(0, len(missing), RUN)]
+        joined = [" " + " ".join(r) for r in runs]
+        for run, text, ids in zip(runs, joined, self.library(joined), strict=True):
             places = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
-            ends = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in run])
+            sizes = map(len, run) if text.isascii() else (len(u.encode("utf-8", "surrogatepass")) for u in run)
+            ends = np.cumsum(np.fromiter(sizes, np.int64, len(run)) + 1)
             cuts = np.searchsorted(places, ends) + 1
-            if len(places) and (places[cuts - 1] == ends).all():
-                at = 0
-                for unit, cut in zip(run, cuts.tolist(), strict=True):
-                    out[unit] = ids[4 * at : 4 * cut]
-                    at = cut
+            if cuts[-1] <= len(places) and (places[cuts - 1] == ends).all():
+                to = (4 * cuts).tolist()
+                out.update(zip(run, [ids[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)], strict=True))
             else:  # a vocabulary whose tokens don't spell their bytes
-                out.update(zip(run, self.library(run), strict=True))
+                out.update(zip(run, self.library([" " + u for u in run]), strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (None: none), without an end id."""
-        memo = self.memo
-        if len(memo) > MEMO_UNITS:
-            memo.clear()
-        split = [units(t) if t else [] for t in texts]
-        missing = [u for u in set().union(*split) if u not in memo]
-        found = self.learn(missing)
-        memo.update(found)
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, us)), dtype="<u4") for us in split]
-        for u in found:
+        odd = self.odd
+        if len(self.memo) > MEMO_UNITS:
+            self.older, self.memo = self.memo, {}
+        if len(odd) > MEMO_UNITS:
+            odd.clear()
+        memo, older = self.memo, self.older
+        split = [(t or "").split(" ") for t in texts]
+        seen = set().union(*split)
+        missing = seen.difference(memo)
+        again = missing.intersection(older)
+        for u in again:
+            memo[u] = older[u]
+        missing -= again
+        fresh = [u for u in missing if not u or u[0].isspace() or u[-1].isspace()]
+        if fresh:  # no token boundary can be relied on beside these
+            odd.update(fresh)
+        missing -= odd
+        memo.update(self.learn(list(missing)))
+        heads = list({us[0] for us in split})
+        first = dict(zip(heads, self.library(heads), strict=True))
+        check = not odd.isdisjoint(seen)
+        out = []
+        for text, us in zip(texts, split, strict=True):
+            if check and not odd.isdisjoint(us):
+                raw = b"".join(self.library(units(text))) if text else b""
+            else:
+                raw = first[us[0]] + b"".join(map(memo.__getitem__, us[1:]))
+            out.append(np.frombuffer(raw, dtype="<u4"))
+        for u in missing:
             if len(u) > MEMO_CHARS:
                 del memo[u]
         return out
@@ -97,10 +116,6 @@ class Encoder:
 def units(text: str) -> list[str]:
     """Pieces of a text that no token crosses; joined they are the text."""
     parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    if not ("" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts)):
-        return [parts[0], *[" " + p for p in parts[1:]]]
     out, held = [], parts[0]
     for p in parts[1:]:
         if held and p and not held[-1].isspace() and not p[0].isspace():
