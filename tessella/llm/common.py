@@ -16,6 +16,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Java regular expression of one run of the separators that words_of uses.
@@ -79,14 +82,27 @@ def unit_hash(*cols: str, seed: int) -> "F.Column":
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])), 1, 12), 16, 10).cast("long")
 
 
-def slices(texts: list, limit: int = 4_000_000):
-    """Runs of a batch with at most limit characters each (one text at least)."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
-        if held and held + n > limit:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)
+def parts(batch: pa.RecordBatch, *text_columns: int, limit: int = 2_000_000):
+    """A record batch in slices whose texts have about limit bytes (one row at least).
+
+    Python objects are made of one slice at a time, so memory follows the
+    longest text, not the number of rows that Spark puts into a batch.
+    """
+    n = batch.num_rows
+    ends = np.zeros(n, np.int64)
+    for i in text_columns:
+        ends += pc.fill_null(pc.binary_length(batch.column(i)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(ends)
+    at = 0
+    while at < n:
+        base = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark send at most rows rows of whole texts to Python at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))

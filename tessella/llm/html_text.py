@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices
+from .common import parts, small_batches
 
 TRAINING_PAGES, SEED = 500, 11
 DIM = 1 << 13
@@ -396,15 +396,15 @@ def main_text(page: str | None, crf: Crf) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
+    small_batches(pages.sparkSession)
     crf = model()
     weights, steps = crf.weights.astype(np.float64), crf.steps
 
     def run(batches):
         crf = Crf(weights, steps)
         for batch in batches:
-            htmls = batch.column(2).to_pylist()
-            for lo, hi in slices(htmls):
-                texts = [main_text(h, crf) for h in htmls[lo:hi]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            for own in parts(batch, 2):
+                texts = [main_text(h, crf) for h in own.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, EXTRACTED)

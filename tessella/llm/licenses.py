@@ -43,7 +43,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, utf8
+from .common import parts, small_batches, utf8
 
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -148,8 +148,9 @@ def word_frequencies(docs: DataFrame, templates: list[tuple[str, str]] | None =
     def run(batches):
         total: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total.update(vocabulary.intersection(words(text)))
+            for own in parts(batch, 0):
+                for text in own.column(0).to_pylist():
+                    total.update(vocabulary.intersection(words(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -161,15 +162,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     templates = templates or TEMPLATES
     if any(len(line.split()) > BLOCK - STEP for _, line in templates):
         raise ValueError(f"templates may have {BLOCK - STEP} words at most")
+    small_batches(docs.sparkSession)
     frequency = word_frequencies(docs, templates, text_col)
 
     def run(batches):
         m = Matcher(templates, frequency, threshold)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for own in parts(batch, 1):
                 rows = []
-                for doc_id, text in zip(doc_ids[lo:hi], texts[lo:hi], strict=True):
+                for doc_id, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
                     ws = words(text)
                     known = set(ws)
                     found = list(m.blocks(ws, known))

@@ -48,7 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, stage, utf8
+from .common import parts, small_batches, stage, utf8
 
 PLACES, BANDS, ROWS = 252, 42, 6
 MAX_ROUNDS = 60
@@ -137,14 +137,13 @@ def sketches(docs: DataFrame, n: int, places: int = PLACES, bands: int = BANDS,
 
     def run(batches):
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts, 600_000):
-                sets = [shingles(t, n) for t in texts[lo:hi]]
+            for own in parts(batch, 1, limit=600_000):
+                sets = [shingles(t, n) for t in own.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 hashes = iter(band_hashes(super_minhash(full, places), bands, rows).view(np.int64))
                 found = [next(hashes) if len(s) else None for s in sets]
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[lo:hi], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_id", "bands"])
 
     return docs.mapInArrow(run, SKETCH)
 
@@ -158,19 +157,17 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-            known: dict[int, np.ndarray] = {}
-            keep = []
-            for x, y, tx, ty in zip(a, b, ta, tb, strict=True):
-                if len(known) > 500:
-                    known.clear()
-                for i, t in ((x, tx), (y, ty)):
-                    if i not in known:
-                        known[i] = shingles(t, n)
-                p, q = known[x], known[y]
-                common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-                keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for own in parts(batch, 2, 3):
+                known: dict[int, np.ndarray] = {}
+                keep = []
+                for x, y, tx, ty in zip(*(own.column(i).to_pylist() for i in range(4)), strict=True):
+                    for i, t in ((x, tx), (y, ty)):
+                        if i not in known:
+                            known[i] = shingles(t, n)
+                    p, q = known[x], known[y]
+                    common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
+                    keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -234,6 +231,7 @@ def connect(edges: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, places: int = PLACES, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs."""
+    small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = stage(sketches(own, n, places, bands, rows), "sketches")
     classes = made.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))

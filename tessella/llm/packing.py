@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import slices, stage
+from .common import parts, small_batches, stage
 from .tokens import encoder, with_end
 
 CAPACITY = 2048
@@ -53,15 +53,15 @@ def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents, with_ids: with their token ids as well."""
+    small_batches(docs.sparkSession)
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for own in parts(batch, 1):
                 rows: list[list] = [[] for _ in range(6)]
-                for doc_id, ids in zip(doc_ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
+                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):
                     ids = with_end(ids)
                     for k, (start, length) in enumerate(piece_bounds(len(ids), capacity)):
                         part = ids[start : start + length]
@@ -269,5 +269,5 @@ def sequences(docs: DataFrame, placed: DataFrame, tokenizer: str, capacity: int
     ids = told(cut_pieces(docs, tokenizer, capacity, with_ids=True), "start").select("doc_id", "piece", "ids_crc32", "copy", "ids")
     both = told(placed, "sequence_id", "offset").withColumnsRenamed({"doc_id": "d", "piece": "p", "ids_crc32": "c", "copy": "n"})
     joined = both.join(ids, (F.col("d").eqNullSafe(F.col("doc_id"))) & (F.col("p") == F.col("piece")) & (F.col("c") == F.col("ids_crc32")) & (F.col("n") == F.col("copy")))
-    parts = F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id", "piece")))
-    return joined.groupBy("sequence_id").agg(parts.alias("parts")).select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.offset").alias("offsets"))
+    held = F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id", "piece")))
+    return joined.groupBy("sequence_id").agg(held.alias("parts")).select("sequence_id", F.flatten(F.col("parts.ids")).alias("ids"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.offset").alias("offsets"))

@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import free_name, stage, utf8
+from .common import free_name, small_batches, stage, utf8
 
 MAX_LABELLED = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -88,6 +88,8 @@ def measure(text: str | None) -> list[int]:
 def statistics(df: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
     """df with a struct column of the statistics of its texts."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf(STRUCT)
     def udf(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(t) for t in texts], columns=STATS, dtype="int64")

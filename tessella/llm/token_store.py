@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import slices, stage_path
+from .common import parts, small_batches, stage_path
 from .tokens import encoder, with_end
 
 MIN_IDS, MASK_BITS, MAX_IDS = 128, 8, 1024
@@ -152,27 +152,27 @@ def _shift(crc: int, n: int) -> int:
 def write_store(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write all documents' ids to a store below path."""
     spark = docs.sparkSession
+    small_batches(spark)
 
     def emit(batches):
         enc, sent = encoder(tokenizer), set()
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for own in parts(batch, 1):
                 rec: list[list] = [[], [], [], [], []]
                 chk: list[list] = [[], [], [], [], []]
-                for doc_id, ids in zip(doc_ids[lo:hi], enc.encode(texts[lo:hi]), strict=True):
-                    ids, at, parts = with_end(ids), 0, []
+                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):
+                    ids, at, pieces = with_end(ids), 0, []
                     for end in cut(ids):
                         part = ids[at:end]
                         d, n, at = digest_of(part), end - at, end
-                        parts.append({"digest": d, "n": n})
+                        pieces.append({"digest": d, "n": n})
                         if d not in sent:
                             sent.add(d)
                             width = 2 if part.max() < 65_536 else 4
                             for column, value in zip(chk, (int.from_bytes(d[:8], "little", signed=True), d, n, width, part.astype(f"<u{width}").tobytes()), strict=True):
                                 column.append(value)
-                    root = merkle([x["digest"] for x in parts])
-                    for column, value in zip(rec, (int.from_bytes(root[:8], "little", signed=True), doc_id, len(ids), root, parts), strict=True):
+                    root = merkle([x["digest"] for x in pieces])
+                    for column, value in zip(rec, (int.from_bytes(root[:8], "little", signed=True), doc_id, len(ids), root, pieces), strict=True):
                         column.append(value)
                 for kind, key, rest in (("recipe", rec[0], [*rec[1:], *[None] * 4]), ("chunk", chk[0], [*[None] * 4, *chk[1:]])):
                     types = (pa.int64(), pa.int64(), pa.binary(), CHUNK_TYPE, pa.binary(), pa.int32(), pa.int32(), pa.binary())
@@ -189,12 +189,12 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_i
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(emit, ROWS)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = rows.repartition(parts, "key").sortWithinPartitions("kind", "digest").mapInArrow(keep_first, ROWS)
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.repartition(n_parts, "key").sortWithinPartitions("kind", "digest").mapInArrow(keep_first, ROWS)
     kept.drop("key").write.partitionBy("kind").parquet(f"{path}/data", compression="zstd")
 
     recipes = _read(spark, f"{path}/data", "kind string, doc_id long, n_tokens long, root binary, chunks " + CHUNKS).where("kind = 'recipe'").drop("kind")
-    ordered = recipes.repartitionByRange(parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
+    ordered = recipes.repartitionByRange(n_parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
     ordered = ordered.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
     ordered.write.parquet(f"{path}/recipes", compression="zstd")
     written = _read(spark, f"{path}/recipes", RECIPE)
