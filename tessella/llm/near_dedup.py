@@ -15,17 +15,22 @@ Candidates
     band's hash share a bucket.
 
 Links
-    1. Each class is compared with the smallest class that any of its buckets
-       holds: one pair per class, however large a bucket is.
-    2. Confirmed pairs are merged.  In a bucket whose classes aren't all in one
-       component, those outside the component of its smallest class are
-       compared with all of the bucket that aren't in their own component and
-       whose set size can reach the similarity.
-    Every two classes that share a bucket have then been compared or are
-    connected, so no link between candidates is lost and no pairs are listed
-    within a component.  Comparing reads the whole texts and counts on full
-    sets.  Only a pair that shares no bucket is missed: at similarity 0.8 that
-    is (1 - 0.8^ROWS)^BANDS = 2e-6, and less above.
+    1. Each class is compared with one centre: of all classes that share a
+       bucket with it the one that shares buckets most often.  That is one pair
+       per class, however large a bucket is, and connects nearly all that
+       belongs together, as the text that others derive from is the centre.
+    2. In a bucket whose classes aren't all in one component afterwards, an
+       exact prefix-filter join finds what is missing: the shingles of such
+       classes are ordered by how many of them hold each (rarest first), two
+       sets can only reach the similarity if their prefixes of
+       |S| - ceil(0.8 |S|) + 1 shingles meet at places from which enough common
+       shingles are still possible, and sizes have to be near enough.  Pairs
+       inside a component are left out.
+    Every two classes that share a bucket have then been compared, are
+    connected, or can't be similar, so no link between candidates is lost and
+    no pairs are listed within a group.  Comparing reads the whole texts and
+    counts on full sets.  Only a pair that shares no bucket can be missed: at
+    similarity 0.8 that is (1 - 0.8^ROWS)^BANDS = 2e-6, and less above.
 
 Components
     Edges are first contracted by union-find in each task, then by alternating
@@ -67,7 +72,7 @@ _WORDS: dict[bytes, int] = {}
 
 def word_numbers(words: list[bytes]) -> list[int]:
     """64-bit hashes of words, remembered in the worker."""
-    if len(_WORDS) > 400_000:
+    if len(_WORDS) > 150_000:
         _WORDS.clear()
     digest = hashlib.blake2b
     for w in set(words):
@@ -172,6 +177,36 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def prefix_pairs(rest: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b of different components of rest (doc_id, component) that may reach percent: none that does is missing.
+
+    Any text with a doc_id is one of its class's; sets are those of whole texts.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for own in parts(batch, 1):
+                for doc_id, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
+                    s = shingles(text, n).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc_id, np.int64)), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s)], names=["doc_id", "size", "h"])
+
+    texts = docs.join(rest.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    held = stage(texts.mapInArrow(run, "doc_id long, size int, h long"), "shingles")
+    common = held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # shingles of one set only come first in the order and never meet another's
+    own = held.join(common, "h").groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("ordered"))
+    alone = F.col("size") - F.size("ordered")
+    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    kept = own.withColumn("alone", alone).withColumn("prefix", F.slice("ordered", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")))
+    places = kept.select("doc_id", "size", "alone", F.posexplode("prefix").alias("k", "p")).join(rest, "doc_id")
+    places = places.select(F.col("p.h").alias("h"), "doc_id", "component", "size", (F.col("alone") + F.col("k")).alias("at"))
+    x, y = places, places.select("h", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "size", "at")])
+    least = F.ceil((F.col("size") + F.col("size2")) * percent / (100 + percent))
+    reach = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
+    near = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
+    return x.join(y, (x["h"] == y["h"]) & (F.col("doc_id") > F.col("doc_id2")) & (F.col("component") != F.col("component2")) & near & (reach >= least)).select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b")).distinct()
+
+
 def contracted(edges: DataFrame) -> DataFrame:
     """Per task, each node's edge to the smallest node that the task's edges connect it with."""
 
@@ -239,21 +274,20 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, places: int = PLA
     reps = made.join(classes, (made["set_id"] == classes["set_id"]) & (made["doc_id"] == classes["rep"])).groupBy("doc_id").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     keys = reps.select("doc_id", "size", F.posexplode("bands").alias("band", "key"))
     # a bucket with one class has no pair; the band is part of the key's hash
-    crowded = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
-    buckets = stage(keys.join(crowded, "key").select("key", "low", "doc_id", "size"), "buckets")
-    first = stage(buckets.groupBy("doc_id").agg(F.min("low").alias("b")).where("b < doc_id").select(F.col("doc_id").alias("a"), "b"), "pairs")
+    crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = stage(keys.join(crowded, "key").select("key", "n", "doc_id", "size"), "buckets")
+    shared = buckets.groupBy("doc_id").agg(F.sum("n").alias("shared"))
+    rated = buckets.join(shared, "doc_id").select("key", "doc_id", F.struct("shared", (-F.col("doc_id")).alias("id")).alias("rate"))
+    best = rated.join(rated.groupBy("key").agg(F.max("rate").alias("best")), "key").groupBy("doc_id").agg(F.max("best").alias("best"))
+    first = stage(best.select(F.col("doc_id").alias("a"), (-F.col("best.id")).alias("b")).where("a <> b"), "pairs")
     links = stage(verified(first, own, n, percent), "links")
     label = connect(links)
     # what shares a bucket without being connected yet
-    labelled = stage(buckets.join(label, F.col("doc_id") == F.col("node"), "left").select("key", "low", "doc_id", "size", F.coalesce("component", "doc_id").alias("component")), "labelled")
+    labelled = stage(buckets.join(label, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
     split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    mixed = labelled.join(split, "key")
-    lead = mixed.where("doc_id = low").select("key", F.col("component").alias("lead"))
-    minority = mixed.join(lead, "key").where("component <> lead").select("key", F.col("doc_id").alias("x"), F.col("size").alias("sx"), F.col("component").alias("cx"), "lead")
-    reach = (100 * F.least("sx", "size") >= percent * F.greatest("sx", "size")) & (F.col("cx") != F.col("component")) & ((F.col("component") == F.col("lead")) | (F.col("x") < F.col("doc_id")))
-    more = minority.join(mixed.select("key", "doc_id", "size", "component"), "key").where(reach).select(F.greatest("x", "doc_id").alias("a"), F.least("x", "doc_id").alias("b")).distinct()
-    more = stage(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    label = connect(links.unionByName(verified(more, own, n, percent)))
+    rest = stage(labelled.join(split, "key", "left_semi").select("doc_id", "component").distinct(), "open")
+    more = stage(prefix_pairs(rest, own, n, percent).join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    label = connect(links.unionByName(stage(verified(more, own, n, percent), "links")))
     out = member.join(label, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
