@@ -57,6 +57,8 @@ from .common import parts, small_batches, stage, utf8
 
 PLACES, BANDS, ROWS = 252, 42, 6
 MAX_ROUNDS = 60
+#: The largest bitmap of ids that is broadcast has 2^MAP_BITS bits, 64 MB.
+MAP_BITS = 29
 U = np.uint64
 
 
@@ -153,11 +155,23 @@ def sketches(docs: DataFrame, n: int, places: int = PLACES, bands: int = BANDS,
     return docs.mapInArrow(run, SKETCH)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text) with a doc_id in ids, one per doc_id.
+
+    A bitmap of the ids' hashes, at most 2^MAP_BITS bits in pieces of 4 kB, is
+    broadcast first, so that texts that aren't asked for aren't shuffled.
+    """
+    bits = 1 << min(MAP_BITS, max(20, (64 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    at, within = F.shiftright(place, 15), F.pmod(place, F.lit(1 << 15))
+    maps = ids.select(at.alias("piece"), within.alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.substring(F.col("map"), (F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    asked = docs.withColumn("piece", at).join(F.broadcast(maps), "piece").where(F.getbit(byte, F.pmod(within, F.lit(8)).cast("int")) == 1)
+    return asked.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b of the pairs whose full sets have 100 * common >= percent * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # rows alike in doc_id: the pair is of class representatives, any text with the id is one of the class's
-    texts = docs.join(wanted, "doc_id", "left_semi")
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "ta"}), "a").join(texts.withColumnsRenamed({"doc_id": "b", "text": "tb"}), "b")
 
     def run(batches):
@@ -177,10 +191,10 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(rest: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def prefix_pairs(rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b of different components of rest (doc_id, component) that may reach percent: none that does is missing.
 
-    Any text with a doc_id is one of its class's; sets are those of whole texts.
+    Sets are those of whole texts.
     """
 
     def run(batches):
@@ -190,8 +204,7 @@ def prefix_pairs(rest: DataFrame, docs: DataFrame, n: int, percent: int) -> Data
                     s = shingles(text, n).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc_id, np.int64)), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s)], names=["doc_id", "size", "h"])
 
-    texts = docs.join(rest.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    held = stage(texts.mapInArrow(run, "doc_id long, size int, h long"), "shingles")
+    held = stage(texts.join(rest.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, size int, h long"), "shingles")
     common = held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # shingles of one set only come first in the order and never meet another's
     own = held.join(common, "h").groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("ordered"))
@@ -276,18 +289,19 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, places: int = PLA
     # a bucket with one class has no pair; the band is part of the key's hash
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stage(keys.join(crowded, "key").select("key", "n", "doc_id", "size"), "buckets")
+    texts = stage(texts_of(own, buckets.select("doc_id").distinct()), "texts")
     shared = buckets.groupBy("doc_id").agg(F.sum("n").alias("shared"))
     rated = buckets.join(shared, "doc_id").select("key", "doc_id", F.struct("shared", (-F.col("doc_id")).alias("id")).alias("rate"))
     best = rated.join(rated.groupBy("key").agg(F.max("rate").alias("best")), "key").groupBy("doc_id").agg(F.max("best").alias("best"))
     first = stage(best.select(F.col("doc_id").alias("a"), (-F.col("best.id")).alias("b")).where("a <> b"), "pairs")
-    links = stage(verified(first, own, n, percent), "links")
+    links = stage(verified(first, texts, n, percent), "links")
     label = connect(links)
     # what shares a bucket without being connected yet
     labelled = stage(buckets.join(label, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
     split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
     rest = stage(labelled.join(split, "key", "left_semi").select("doc_id", "component").distinct(), "open")
-    more = stage(prefix_pairs(rest, own, n, percent).join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    label = connect(links.unionByName(stage(verified(more, own, n, percent), "links")))
+    more = stage(prefix_pairs(rest, texts, n, percent).join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+    label = connect(links.unionByName(stage(verified(more, texts, n, percent), "links")))
     out = member.join(label, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
