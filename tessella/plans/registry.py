@@ -213,10 +213,10 @@ def chunk_spans(spark, sf_dir):
 
 @register(f"""WITH {_SPANS},
     ev AS (SELECT doc_id AS evidence_id, doc_id, substring(text, (doc_id % 97) * 10 + 1, 40) AS content FROM documents WHERE length(text) >= (doc_id % 97) * 10 + 40),
-    at AS (SELECT evidence_id, doc_id, unnest(list_filter(range(0, length(text) - length(content) + 1), lambda i: substring(text, i::BIGINT + 1, length(content)) = content)) AS s0, length(content) AS n
+    places AS (SELECT evidence_id, doc_id, unnest(list_filter(range(0, length(text) - length(content) + 1), lambda i: substring(text, i::BIGINT + 1, length(content)) = content)) AS s0, length(content) AS n
         FROM ev JOIN documents USING (doc_id)),
     near AS (SELECT evidence_id, chunk_index, spans.start <= s0 AND s0 + n <= "end" AS covers, s0 + n - spans.start > overlap AS new, least(s0 + n, "end") - greatest(s0, spans.start) AS common
-        FROM at JOIN spans USING (doc_id) WHERE s0 < "end" AND s0 + n > spans.start),
+        FROM places JOIN spans USING (doc_id) WHERE s0 < "end" AND s0 + n > spans.start),
     per AS (SELECT evidence_id, chunk_index, bool_or(covers) AS covers, bool_or(covers AND new) AS introduces, max(common) AS common FROM near GROUP BY ALL),
     got AS (SELECT evidence_id, count(*) FILTER (covers) AS n, count(*) FILTER (introduces) AS m, min(chunk_index) FILTER (covers) AS lowest, min(chunk_index) FILTER (introduces) AS introducer,
         arg_max(chunk_index, common * 100000 - chunk_index) AS partial FROM per GROUP BY evidence_id)
