@@ -71,10 +71,17 @@ def count_all(text: Column, needle: str) -> Column:
 
 
 def find_all(text: Column, needle: Column) -> Column:
-    """Zero-based starts of needle in text, overlapping ones too, ascending."""
-    starts = F.sequence(F.lit(0), F.length(text) - F.length(needle))
-    found = F.filter(starts, lambda i: F.substr(text, i + 1, F.length(needle)) == needle)
-    return F.when((F.length(needle) > 0) & (F.length(text) >= F.length(needle)) & F.contains(text, needle), found).otherwise(F.array().cast("array<int>"))
+    """Zero-based starts of needle in text, overlapping ones too, ascending.
+
+    The text is split before every occurrence; the lengths of the parts add up
+    to the starts, so long texts are walked once.
+    """
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    parts = F.split(text, quoted)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    walk = F.aggregate(parts, begin, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found")))["found"]
+    starts = F.when(F.startswith(text, needle), walk).otherwise(F.slice(walk, 2, F.greatest(F.size(walk) - 1, F.lit(0))))
+    return F.when((F.length(needle) > 0) & F.contains(text, needle), starts).otherwise(F.array().cast("array<int>"))
 
 
 def overlap_length(before: Column, after: Column) -> Column:

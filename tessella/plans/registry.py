@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as N, text as X
-from ..operators import chunking, evaluation, mapping, retrieval, sessions
+from ..operators import chunking, evaluation, mapping, passages, retrieval, sessions
 
 FLAGSHIP = "hybrid_retrieval"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,15 +235,7 @@ def evidence_mapping(spark, sf_dir):
     d AS (SELECT doc_id, i, substring(text, i::BIGINT, 60) AS w FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 58)) AS i) WHERE length(text) >= 60)
     SELECT doc_id, min(i) - 1 AS first_offset, count(*) AS windows FROM d SEMI JOIN b USING (w) GROUP BY doc_id""")
 def passage_overlap(spark, sf_dir):
-    def windows(df, *keep):
-        # slices of an array of characters: substr would walk the text again for each
-        long = df.where(F.length("text") >= 60).select(*keep, F.split("text", "").alias("cs"))
-        starts = F.sequence(F.lit(1), F.size("cs") - 59)
-        return long.select(*keep, F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("cs", i, 60), ""))).alias("i", "w"))
-
-    known = windows(read(spark, sf_dir, "benchmark")).select("w").distinct()
-    found = windows(read(spark, sf_dir, "documents"), "doc_id").join(known, "w", "left_semi")
-    return found.groupBy("doc_id").agg(F.min("i").cast("long").alias("first_offset"), F.count(F.lit(1)).alias("windows"))
+    return passages.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 # Sessions -----------------------------------------------------------------
