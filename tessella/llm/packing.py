@@ -61,7 +61,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
         for batch in batches:
             for own in parts(batch, 1):
                 rows: list[list] = [[] for _ in range(6)]
-                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1)), strict=True):
                     ids = with_end(ids)
                     for k, (start, length) in enumerate(piece_bounds(len(ids), capacity)):
                         part = ids[start : start + length]

@@ -160,7 +160,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_i
             for own in parts(batch, 1):
                 rec: list[list] = [[], [], [], [], []]
                 chk: list[list] = [[], [], [], [], []]
-                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1)), strict=True):
                     ids, at, pieces = with_end(ids), 0, []
                     for end in cut(ids):
                         part = ids[at:end]

@@ -5,18 +5,24 @@ add_special_tokens=False)``.  The byte-level pre-tokenizer always starts a new
 piece at a single blank between two characters that are not white space, so a
 text may be cut there, each unit encoded once by the library and remembered.
 Where white space is irregular, units are joined until the cut is safe again.
+
+Arrow cuts a batch of texts and numbers its distinct units; only those are
+looked up or learned, and the ids of all texts are gathered in one piece.
 """
 
 from __future__ import annotations
 
 import os
 from array import array
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 END_ID = 0
-#: Units kept per worker and generation, and their longest length.
-MEMO_UNITS, MEMO_CHARS = 200_000, 48
+#: Units and ids that a worker remembers, and the longest unit that stays.
+MEMO_UNITS, MEMO_IDS, MEMO_CHARS = 400_000, 4_000_000, 48
 #: Units that one call of the library gets as one text.
 RUN = 256
 
@@ -43,9 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}  # unit after a blank: ids of blank and unit
-        self.older: dict[str, bytes] = {}  # the generation before; what is used again moves up
-        self.odd: set[str] = set()  # units beside which a text can't be cut
+        self._forget()
         # each character of a byte-level token stands for one byte; added tokens are plain text
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
@@ -60,56 +64,98 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
+    def learn(self, missing: list[str], n_bytes: np.ndarray) -> list[bytes]:
         """Ids of a blank and each unit, in runs that are cut again by byte counts."""
-        out: dict[str, bytes] = {}
+        out: list[bytes] = []
         runs = [missing[i : i + RUN] for i in range(0, len(missing), RUN)]
         joined = [" " + " ".join(r) for r in runs]
-        for run, text, ids in zip(runs, joined, self.library(joined), strict=True):
+        for run, ids in zip(runs, self.library(joined), strict=True):
             places = np.cumsum(self.n_bytes[np.frombuffer(ids, "<u4")])
-            sizes = map(len, run) if text.isascii() else (len(u.encode("utf-8", "surrogatepass")) for u in run)
-            ends = np.cumsum(np.fromiter(sizes, np.int64, len(run)) + 1)
+            ends = np.cumsum(n_bytes[len(out) : len(out) + len(run)] + 1)
             cuts = np.searchsorted(places, ends) + 1
             if cuts[-1] <= len(places) and (places[cuts - 1] == ends).all():
                 to = (4 * cuts).tolist()
-                out.update(zip(run, [ids[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)], strict=True))
+                out += [ids[i:j] for i, j in zip([0, *to[:-1]], to, strict=True)]
             else:  # a vocabulary whose tokens don't spell their bytes
-                out.update(zip(run, self.library([" " + u for u in run]), strict=True))
+                out += self.library([" " + u for u in run])
         return out
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text (None: none), without an end id."""
-        odd = self.odd
-        if len(self.memo) > MEMO_UNITS:
-            self.older, self.memo = self.memo, {}
-        if len(odd) > MEMO_UNITS:
-            odd.clear()
-        memo, older = self.memo, self.older
-        split = [(t or "").split(" ") for t in texts]
-        seen = set().union(*split)
-        missing = seen.difference(memo)
-        again = missing.intersection(older)
-        for u in again:
-            memo[u] = older[u]
-        missing -= again
-        fresh = [u for u in missing if not u or u[0].isspace() or u[-1].isspace()]
-        if fresh:  # no token boundary can be relied on beside these
-            odd.update(fresh)
-        missing -= odd
-        memo.update(self.learn(list(missing)))
-        heads = list({us[0] for us in split})
-        first = dict(zip(heads, self.library(heads), strict=True))
-        check = not odd.isdisjoint(seen)
-        out = []
-        for text, us in zip(texts, split, strict=True):
-            if check and not odd.isdisjoint(us):
-                raw = b"".join(self.library(units(text))) if text else b""
+    def _forget(self) -> None:
+        """Keep only what more than one batch used, if that is little enough."""
+        stay: list[tuple[str, int]] = []
+        if hasattr(self, "codes"):
+            hits = self.hits.tolist()
+            stay = [(u, c) for u, c in self.codes.items() if hits[c] > 1 and len(u) <= MEMO_CHARS]
+            if len(stay) > MEMO_UNITS // 2:
+                stay = []
+        old = np.fromiter((c for _, c in stay), np.int64, len(stay))
+        flat, size = (self._gather(old), self.size[old]) if stay else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        odd = self.odd[old] if stay else np.zeros(0, bool)
+        self.codes: dict[str, int] = {u: i for i, (u, _) in enumerate(stay)}  # unit, or a blank and a text's first unit
+        self.flat, self.size, self.odd = flat, size, odd  # ids of all units, number of ids, no cut beside it
+        self.begin = np.cumsum(size) - size
+        self.hits = np.zeros(len(stay), np.int64)
+
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of the units with these codes, in a row."""
+        size = self.size[codes]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.begin[codes] - ends + size, size) + np.arange(total)]
+
+    def _codes(self, found: pa.StringArray, heads: bool) -> np.ndarray:
+        """Codes of distinct units; unknown ones are learned."""
+        keys = (pc.binary_join_element_wise("", found, " ") if heads else found).to_numpy(zero_copy_only=False).tolist()
+        out = np.fromiter(map(self.codes.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            units_ = found.take(pa.array(new))
+            # a text's first unit may begin as it likes
+            inner = (pc.utf8_rtrim_whitespace if heads else pc.utf8_trim_whitespace)(units_)
+            n_bytes, kept = (pc.binary_length(x).to_numpy().astype(np.int64) for x in (units_, inner))
+            odd = (n_bytes == 0) | (kept != n_bytes)
+            names = units_.to_numpy(zero_copy_only=False).tolist()
+            if heads:
+                ids = self.library(names)
             else:
-                raw = first[us[0]] + b"".join(map(memo.__getitem__, us[1:]))
-            out.append(np.frombuffer(raw, dtype="<u4"))
-        for u in missing:
-            if len(u) > MEMO_CHARS:
-                del memo[u]
+                learned = np.flatnonzero(~odd)
+                ids = [b""] * len(names)
+                for i, raw in zip(learned.tolist(), self.learn([names[i] for i in learned.tolist()], n_bytes[learned]), strict=True):
+                    ids[i] = raw
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            out[new] = len(self.size) + np.arange(len(new))
+            self.codes.update(zip([keys[i] for i in new.tolist()], out[new].tolist(), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+            self.size, self.odd = np.concatenate([self.size, size]), np.concatenate([self.odd, odd])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        self.hits[out] += 1
+        return out
+
+    def encode(self, texts: list[str | None] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text (None: none), without an end id."""
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        if len(self.codes) > MEMO_UNITS or len(self.flat) > MEMO_IDS:
+            self._forget()
+        texts = pc.fill_null(texts, "")
+        split = pc.split_pattern(texts, " ")
+        n_units = pc.list_value_length(split).to_numpy().astype(np.int64)
+        ends = np.cumsum(n_units)
+        flat = split.flatten()
+        first = ends - n_units
+        heads = flat.take(pa.array(first)).dictionary_encode()
+        words = flat.dictionary_encode()
+        codes = self._codes(words.dictionary, False)[words.indices.to_numpy()]
+        codes[first] = self._codes(heads.dictionary, True)[heads.indices.to_numpy()]
+        places = np.concatenate([[0], np.cumsum(self.size[codes])])
+        ids = self._gather(codes)
+        odd = np.logical_or.reduceat(self.odd[codes], first) & (n_units > 1)
+        out = [ids[i:j] for i, j in zip(places[first].tolist(), places[ends].tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = np.frombuffer(b"".join(self.library(units(texts[i].as_py()))), "<u4")
         return out
 
 

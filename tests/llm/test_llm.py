@@ -56,6 +56,15 @@ def test_encoder_is_the_library():
     assert [x.tobytes() for x in own.encode(texts)] == want
 
 
+def test_encoder_forgets_and_relearns(monkeypatch):
+    monkeypatch.setattr("tessella.llm.tokens.MEMO_UNITS", 30)
+    rng, own = random.Random(5), Encoder(default_tokenizer())
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["the", "of", f"w{rng.randint(0, 99)}", "x" * 60, "é\n漢"]) for _ in range(12)) for _ in range(5)]
+        assert [x.tobytes() for x in own.encode(texts)] == own.library(texts)
+        assert len(own.codes) < 30 + 2 * 60
+
+
 # 1 Quality rules ----------------------------------------------------------
 
 
