@@ -38,3 +38,58 @@ def difference(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
 def leaks(chapter: Column, progress: Column) -> Column:
     """How many hits lie beyond the reader's progress."""
     return F.count_if(F.coalesce(chapter > progress, F.lit(False)))
+
+
+def retrieval_stage(record: dict[str, Column]) -> Column:
+    """Where a question failed (hit, mapped, total, leak): leak, mapping, retrieval; null where it passed."""
+    return F.when(record["leak"] > 0, "leak").when(record["mapped"] < record["total"], "mapping").when(record["hit"] < record["total"], "retrieval")
+
+
+def answer_totals(records: DataFrame, *by: str) -> DataFrame:
+    """Counts over generation records (status, citation_count, citation_in_set, citation_out_of_range, citation_malformed_count, expect_refusal).
+
+    Citations count over answered rows only; expected refusals keep their failures in the denominator.
+    """
+    c, answered = F.col, F.col("status") == "answered"
+    refused = c("status") == "insufficient_evidence"
+    out = records.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if(answered).alias("answered"), F.count_if(c("status") == "generation_failed").alias("failed"),
+        F.count_if(answered & c("citation_in_set")).alias("in_set"), F.count_if(answered & (c("citation_count") == 0)).alias("uncited"),
+        F.sum(F.size("citation_out_of_range")).alias("out_of_range"), F.sum("citation_malformed_count").alias("malformed"),
+        F.count_if(c("expect_refusal")).alias("refusals_expected"), F.count_if(c("expect_refusal") & refused).alias("refusals_given"), F.count_if(~c("expect_refusal") & refused).alias("false_refusals"),
+    )
+    return out.withColumn("in_set_ratio", ratio(c("in_set"), c("answered"))).withColumn("refusal_ratio", ratio(c("refusals_given"), c("refusals_expected")))
+
+
+def answer_stage(record: dict[str, Column]) -> Column:
+    """Where an answer failed: generation, citation, refusal; null where it passed."""
+    return F.when(record["status"] == "generation_failed", "generation").when(F.size(record["citation_out_of_range"]) > 0, "citation").when(record["expect_refusal"] & (record["status"] != "insufficient_evidence"), "refusal")
+
+
+def judge_totals(rows: DataFrame, *by: str) -> DataFrame:
+    """Verdicts over judged rows, failed ones apart, and how often each flag is false."""
+    flags = ["supported", "citations_valid", "complete", "refusal_correct"]
+    counts = [F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("pass", "fail", "uncertain")]
+    return rows.groupBy(*by).agg(F.count("verdict").alias("judged"), F.count_if(F.col("verdict").isNull()).alias("failed"), *counts, *[F.count_if(~F.col(f)).alias(f"not_{f}") for f in flags])
+
+
+def mapping_summary(rows: DataFrame) -> DataFrame:
+    """dimension, value, n over mapping records (status, tier, type), and the share that is matched as coverage rows."""
+    sides = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), v.alias("value")) for d, v in (("status", F.col("status")), ("tier", F.col("tier")), ("type:status", F.concat_ws(":", "type", "status")))]))
+    counted = rows.select(sides.alias("s")).select("s.*").where("value is not null").groupBy("dimension", "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    share = rows.agg(ratio(F.count_if(F.col("status") == "matched"), F.count(F.lit(1))).alias("n")).select(F.lit("coverage").alias("dimension"), F.lit("matched").alias("value"), "n")
+    return counted.unionByName(share)
+
+
+def stale_mappings(mappings: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Mappings (evidence_hash, chunk_key) that no longer hold: evidence gone, chunk gone, or its text without the content."""
+    e, c = evidence.select("evidence_hash", F.col("content").alias("__needle")), chunks.select("chunk_key", F.col("content").alias("__chunk"))
+    joined = mappings.join(e, "evidence_hash", "left").join(c, "chunk_key", "left")
+    reason = F.when(F.col("__needle").isNull(), "evidence").when(F.col("__chunk").isNull(), "chunk").when(~F.contains("__chunk", "__needle"), "content")
+    return joined.select("evidence_hash", "chunk_key", reason.alias("reason")).where("reason is not null")
+
+
+def markdown_table(rows: DataFrame, *columns: str) -> DataFrame:
+    """One Markdown line a row, in order of place; a bar inside a value is escaped."""
+    cells = [F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("?")), r"\|", r"\\|") for c in columns]
+    return rows.select("place", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

@@ -116,3 +116,44 @@ def assemble(hits: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: in
     held = F.sum(F.when(live(), F.col("tokens")).otherwise(0)).over(upto)
     step = step.withColumn("n", held).withColumn("reason", F.when(live() & (F.col("n") > budget), BUDGET).otherwise(F.col("reason")))
     return step.select("query_id", "key", "chapter", "rank", F.col("reason").isNull().alias("kept"), "reason")
+
+
+def neighbours(anchors: DataFrame, chunks: DataFrame, taken: DataFrame) -> DataFrame:
+    """anchors (query_id, key, chapter, chunk_index, rank) with the chunk before each, else the one after.
+
+    chunks (key, chapter, chunk_index, tokens) of the same chapter only; what
+    the query has already taken (query_id, key) isn't taken again.
+    """
+    wish = anchors.select("query_id", "chapter", "rank", F.col("key").alias("from_key"), F.explode(F.array(F.struct((F.col("chunk_index") - 1).alias("chunk_index"), F.lit(0).alias("after")), F.struct((F.col("chunk_index") + 1).alias("chunk_index"), F.lit(1).alias("after")))).alias("w"))
+    wish = wish.select("query_id", "chapter", "rank", "from_key", "w.*")
+    found = wish.join(chunks.select("key", "chapter", "chunk_index", "tokens"), ["chapter", "chunk_index"]).join(taken.select("query_id", "key"), ["query_id", "key"], "left_anti")
+    return found.groupBy("query_id", "from_key", "chapter", "rank").agg(F.min_by(F.struct("key", "chunk_index", "tokens"), "after").alias("n")).select("query_id", "n.key", "chapter", "n.chunk_index", "rank", "n.tokens", "from_key")
+
+
+def assemble_context(hits: DataFrame, chunks: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: int = 12, budget: int = 6000) -> DataFrame:
+    """The context of each query, neighbours included: query_id, place, key, chapter, chunk_index, source, from_key, rank, tokens.
+
+    hits as for ``assemble`` with chunk_index.  A chapter with fewer hits than
+    its cap adds one neighbour of its best hit, which follows that hit in rank.
+    The budget first drops hits from the worst rank up, each with its
+    neighbour, then neighbours.  place counts by chapter and chunk_index.
+    """
+    no_cut = 2**31 - 1
+    own = assemble(hits.drop("source"), chapters, per_chapter, no_cut, no_cut).where("kept").select("query_id", "key", "chapter", "rank")
+    own = own.join(hits.select("query_id", "key", "chunk_index", "tokens"), ["query_id", "key"])
+    by = Window.partitionBy("query_id", "chapter")
+    counted = own.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("first", F.row_number().over(by.orderBy("rank", "key")))
+    near = neighbours(counted.where((F.col("n") < per_chapter) & (F.col("first") == 1)), chunks, own)
+    both = own.select("query_id", "key", "chapter", "chunk_index", "rank", "tokens", F.lit("hit").alias("source"), F.lit(None).cast(own.schema["key"].dataType).alias("from_key"))
+    both = both.unionByName(near.withColumn("source", F.lit("neighbor")))
+    q, upto = Window.partitionBy("query_id"), (Window.unboundedPreceding, 0)
+    hit = F.col("source") == "hit"
+    kept = both.withColumn("n", F.row_number().over(q.orderBy("rank", "source", "key"))).where(F.col("n") <= top_k)
+    # hits: the longest run from the best rank that fits; a neighbour goes with its hit
+    held = F.sum(F.when(hit, F.col("tokens")).otherwise(0)).over(q.orderBy("n").rowsBetween(*upto))
+    kept = kept.withColumn("held", held).where(F.col("held") <= budget)
+    hits_hold = F.sum(F.when(hit, F.col("tokens")).otherwise(0)).over(q)
+    extra = F.sum(F.when(hit, 0).otherwise(F.col("tokens"))).over(q.orderBy("n").rowsBetween(*upto))
+    kept = kept.withColumn("all_hits", hits_hold).withColumn("extra", extra).where(hit | (F.col("all_hits") + F.col("extra") <= budget))
+    place = F.row_number().over(q.orderBy("chapter", "chunk_index"))
+    return kept.select("query_id", place.alias("place"), "key", "chapter", "chunk_index", "source", "from_key", "rank", "tokens")

@@ -270,11 +270,11 @@ def session_forks(spark, sf_dir):
     return sessions.fork(messages(spark, sf_dir), 4)
 
 
-@register("""WITH new AS (SELECT conv_id AS session_id, turn AS arrival, role, text FROM conversations WHERE turn % 2 = 1), last AS (SELECT conv_id AS session_id, max(turn + 1) AS last FROM conversations GROUP BY conv_id)
+@register("""WITH new AS (SELECT conv_id AS session_id, turn AS arrival, role, text FROM conversations WHERE role = 'assistant'), last AS (SELECT conv_id AS session_id, max(turn + 1) AS last FROM conversations GROUP BY conv_id)
     SELECT session_id, last + row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS seq, role, text AS content FROM new JOIN last USING (session_id)""")
 def sequence_append(spark, sf_dir):
     log = messages(spark, sf_dir)
-    new = log.where(F.col("seq") % 2 == 0).withColumnRenamed("seq", "arrival")
+    new = log.where(F.col("role") == "assistant").withColumnRenamed("seq", "arrival")
     return sessions.append(log, new)
 
 
@@ -324,7 +324,7 @@ def fingerprints(spark, sf_dir):
 _RECORDS = """r AS (SELECT d.source AS type, d.lang AS level, coalesce(l.quality, 0) AS hit, CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END AS mapped, 1 AS total, coalesce(l.toxic, 0) AS leak FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, l = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return d.join(l, "doc_id", "left").select(
         F.col("source").alias("type"), F.col("lang").alias("level"), F.coalesce("quality", F.lit(0)).cast("long").alias("hit"), F.col("quality").isNotNull().cast("long").alias("mapped"), F.lit(1).cast("long").alias("total"), F.coalesce("toxic", F.lit(0)).cast("long").alias("leak"),
@@ -336,17 +336,17 @@ _TOTALS = "count(*) AS questions, sum(hit)::BIGINT AS hits, sum(mapped)::BIGINT
 
 @register(f"WITH {_RECORDS} SELECT {_TOTALS} FROM r")
 def score_totals(spark, sf_dir):
-    return evaluation.totals(records(spark, sf_dir))
+    return evaluation.totals(score_records(spark, sf_dir))
 
 
 @register(f"WITH {_RECORDS} SELECT type, {_TOTALS} FROM r GROUP BY type")
 def score_breakdown(spark, sf_dir):
-    return evaluation.totals(records(spark, sf_dir), "type")
+    return evaluation.totals(score_records(spark, sf_dir), "type")
 
 
 @register(f"WITH {_RECORDS} SELECT type, level, count(*) AS n FROM r GROUP BY GROUPING SETS ((), (type), (level))")
 def score_grouping_sets(spark, sf_dir):
-    r = records(spark, sf_dir)
+    r = score_records(spark, sf_dir)
     return r.groupingSets([[], ["type"], ["level"]], "type", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -440,3 +440,6 @@ def json_keys(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "props", keys.alias("ks"))
     first = F.try_element_at("ks", F.lit(1))
     return e.select("event_id", F.from_json("props", "map<string,string>")[first].isNotNull().alias("has_first"), F.size("ks").cast("long").alias("n_keys"), first.alias("first_key"))
+
+
+from . import records as _records  # noqa: E402, F401  (registers more queries)
