@@ -28,7 +28,7 @@ def neighbour_assembly(spark, sf_dir):
     raw = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("key")).agg(F.max("l_extendedprice").alias("p"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("p"), "key"))
     hits = raw.join(chunks, "key").select("query_id", "key", "chapter", "chunk_index", "tokens", rank.alias("rank"), F.lit(True).alias("in_realm"))
-    return retrieval.assemble_context(hits, chunks, 4, 2, 7, 90)
+    return retrieval.assemble_context(hits, chunks, 4, 2, 7, 90).withColumns({c: F.col(c).cast("long") for c in ("place", "rank")})
 
 
 @register("""WITH p AS (SELECT o_custkey AS query_id, o_orderkey AS key, c_name AS q, o_orderpriority || o_orderkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS fused_rank FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -37,7 +37,8 @@ def neighbour_assembly(spark, sf_dir):
 def reranked_pool(spark, sf_dir):
     own = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return models.rerank(own.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("key"), rank.alias("rank"), F.col("c_name").alias("question"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("content")))
+    pool = own.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("key"), rank.alias("rank"), F.col("c_name").alias("question"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("content"))
+    return models.rerank(pool).withColumns({c: F.col(c).cast("long") for c in ("fused_rank", "rank")})
 
 
 @register()
