@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import token_estimate
+from ..functions.text import collapse_ends, token_estimate
 
 
 def turns(messages: DataFrame) -> DataFrame:
@@ -93,3 +93,19 @@ def rate_limited(events: DataFrame, limit: int = 5, window_s: float = 60.0) -> D
 
     rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("double").alias("at"))
     return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInArrow(run, "user_id long, event_id long, at double, accepted boolean")
+
+
+# The longest message that is passed on, in UTF-16 units, and what ends a shortened one.
+MAX_CONTENT, CUT_MARK = 8000, "……（历史消息过长，已截断）"
+
+
+def upstream(messages: DataFrame, limit: int = MAX_CONTENT) -> DataFrame:
+    """messages without blank ones; longer contents end in a mark, which counts towards limit.
+
+    A surrogate pair is never split: the text then is one unit shorter.
+    """
+    units = F.encode(F.col("content"), "UTF-16BE")
+    room = limit - len(CUT_MARK)
+    splits = F.hex(F.substring(units, 2 * room - 1, 1)).between("D8", "DB")
+    short = F.decode(F.substr(units, F.lit(1), F.when(splits, 2 * room - 2).otherwise(2 * room)), "UTF-16BE")
+    return messages.where(F.coalesce(collapse_ends(F.col("content")) != "", F.lit(False))).withColumn("content", F.when(F.octet_length(units) > 2 * limit, F.concat(short, F.lit(CUT_MARK))).otherwise(F.col("content")))

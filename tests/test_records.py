@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import markup, records as R
-from tessella.operators import evaluation, models, retrieval, store
+from tessella.operators import evaluation, models, retrieval, sessions, store
 
 
 def one(spark, value, column):
@@ -177,3 +177,13 @@ def test_evaluation_stages(spark):
     assert [r[0] for r in rows.select(evaluation.answer_stage({k: F.col(k) for k in rows.columns})).collect()] == ["generation", "citation", "refusal", None]
     table = spark.createDataFrame([(1, "a|b", None)], "place int, x string, y int")
     assert evaluation.markdown_table(table, "x", "y").first().line == r"| a\|b | ? |"
+
+
+def test_upstream_counts_utf16_units(spark):
+    mark = sessions.CUT_MARK
+    texts = ["a" * 20, "a" * 21, "😀" * 10, "😀" * 11, "b" + "😀" * 10, " \n", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq int, content string")
+    room = 20 - len(mark)
+    got = {r.seq: r.content for r in sessions.upstream(df, 20).collect()}
+    cut = lambda t: t.encode("utf-16-be")[: 2 * room].decode("utf-16-be", "ignore") + mark
+    assert got == {0: texts[0], 1: cut(texts[1]), 2: texts[2], 3: cut(texts[3]), 4: cut(texts[4])}
