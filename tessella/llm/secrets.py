@@ -3,7 +3,9 @@
 Candidates
     Words that hold a run of 16 or more of ``[A-Za-z0-9_+/=.-]`` with a digit
     in it, or a run of 8 or more after ``password=`` or the like.  A text's
-    words are looked at only if the text holds such a run at all.
+    words are looked at only if the text holds such a run at all.  Every such
+    run of a word is a candidate of its own, with the label before it; one
+    without a label has the last label before it in the word (lists).
 
 Model
     Features of a candidate: its length, the transitions between kinds of
@@ -52,6 +54,11 @@ DICTIONARY = (
 ).split()
 RUN = "[A-Za-z0-9_+/=.-]"
 PATTERN = rf"(?:(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9]){RUN}{{16,}})|(?:(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:][\"']?{RUN}{{8,}})"
+# a label at the start of a run with what separates it from its value, a word's parts from label to label, and a part's runs
+HEAD = r"""[+/=.-]*((?:[A-Za-z_][A-Za-z_.-]{1,63}|[A-Za-z_][A-Za-z0-9_.-]{1,14}))["'\\]*(?:=>|:=|[=:])["'\\\[({]*(?=[A-Za-z0-9_+/.-])"""
+PARTS = rf"(?<!{RUN})(?={HEAD})"
+KEY_RUN = rf"(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:][\"']?{RUN}{{8"
+RUNS = rf"""["'\\]*(?:^{HEAD}{RUN}+|{KEY_RUN},}}|{RUN}+?(?={KEY_RUN}}})|{RUN}+)["'\\]*"""
 
 FEATURES = {
     "length": "double(length(c.core))",
@@ -78,16 +85,24 @@ def with_candidates(df: DataFrame, text: str, source: str, name: str) -> DataFra
     """df with the array of candidates (null: none)."""
     # the words are held once and searched in a lambda over a list of one
     pattern = F.lit(PATTERN)
-    w_of = lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(F.rlike(w, pattern), around(ws, w, i))), lambda y: y.isNotNull())
+    w_of = lambda ws: F.flatten(F.filter(F.transform(ws, lambda w, i: F.when(F.rlike(w, pattern), around(ws, w, i))), lambda y: y.isNotNull()))
 
     def around(ws, w, i):
-        core = F.regexp_replace(F.regexp_replace(w, r"^[^A-Za-z0-9]*(?:[A-Za-z_-]{2,24}[=:])?[^A-Za-z0-9/+]*", ""), r"[^A-Za-z0-9_+/=-]+$", "")
-        label = F.regexp_extract(w, r"^[^A-Za-z0-9]*([A-Za-z_-]{2,24})[=:]", 1)
+        """Candidates of one word."""
         low = F.greatest(i - 2, F.lit(1))
+        near = F.struct(F.array_join(F.slice(ws, low, i - low + 1), " ").alias("before"), F.array_join(F.slice(ws, i + 2, F.lit(2)), " ").alias("after"))
+        own = lambda part: F.transform(F.filter(F.regexp_extract_all(part, F.lit(RUNS), 0), lambda x: F.rlike(x, pattern)), lambda x: F.struct(x.alias("x"), F.regexp_extract(part, f"^{HEAD}", 1).alias("last")))
+        found = F.flatten(F.transform(F.split(w, PARTS), own))
+        return F.flatten(F.transform(F.array(near), lambda n: F.transform(found, lambda r: candidate(i, n, r["x"], r["last"]))))
+
+    def candidate(i, near, x, last):
+        head = rf"""^["'\\]*{HEAD}"""
+        core = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, head, ""), "^[^A-Za-z0-9/+]+", ""), r"[^A-Za-z0-9_+/=-]+$", "")
+        label = F.regexp_extract(x, head, 1)
         shape = core
         for kind, sign in (("[^A-Za-z0-9]+", "_"), ("[a-z]+", "a"), ("[A-Z]+", "A"), ("[0-9]+", "0")):
             shape = F.regexp_replace(shape, kind, sign)
-        return F.struct(i.alias("at"), w.alias("word"), core.alias("core"), label.alias("label"), F.array_join(F.slice(ws, low, i - low + 1), " ").alias("before"), F.array_join(F.slice(ws, i + 2, F.lit(2)), " ").alias("after"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), shape.alias("shape"))
+        return F.struct(i.alias("at"), x.alias("word"), core.alias("core"), F.when(label != "", label).otherwise(last).alias("label"), near["before"].alias("before"), near["after"].alias("after"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), shape.alias("shape"))
 
     words = F.array(F.split(F.col(text), r"[\x20\x09-\x0D]+"))
     return df.withColumn(name, F.when(F.rlike(F.col(text), pattern), F.flatten(F.transform(words, w_of))))
@@ -246,5 +261,8 @@ def redact(docs: DataFrame, cut: float = CUT, mark: str = "[SECRET]") -> DataFra
     """docs with every secret in text replaced by mark."""
     name = free_name(docs, "found")
     found = findings(docs, name)
-    clean = F.aggregate(F.filter(F.col(name), lambda f: f["score"] >= cut), F.col("text"), lambda text, f: F.replace(text, f["candidate"], F.lit(mark)))
+    # longest first: a secret may be a part of another
+    secret = F.array_distinct(F.transform(F.filter(F.col(name), lambda f: f["score"] >= cut), lambda f: f["candidate"]))
+    ordered = F.reverse(F.array_sort(F.transform(secret, lambda c: F.struct(F.length(c).alias("n"), c.alias("candidate")))))
+    clean = F.aggregate(ordered, F.col("text"), lambda text, f: F.replace(text, f["candidate"], F.lit(mark)))
     return found.withColumn("text", clean).select(*[F.col(f"`{c}`") for c in docs.columns])
