@@ -2,8 +2,11 @@
 
 Candidates
     Words that hold a run of 16 or more of ``[A-Za-z0-9_+/=.-]`` with a digit
-    in it, or a run of 8 or more after ``password=`` or the like.  A text's
-    words are looked at only if the text holds such a run at all.  Every such
+    in it, or a run of 8 or more after ``password=`` or the like.  So is any
+    value of 8 or more, with or without a digit, that has a key word as label
+    in its word (``{"password":"hunter2secret"}``) or stands within two words
+    after a key word with ``=`` or ``:`` (``password = "..."``, YAML).  A text's
+    words are looked at only if the text holds one of these at all.  Every such
     run of a word is a candidate of its own, with the label before it; one
     without a label has the last label before it in the word (lists).
 
@@ -55,10 +58,19 @@ DICTIONARY = (
 RUN = "[A-Za-z0-9_+/=.-]"
 PATTERN = rf"(?:(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9]){RUN}{{16,}})|(?:(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:][\"']?{RUN}{{8,}})"
 # a label at the start of a run with what separates it from its value, a word's parts from label to label, and a part's runs
-HEAD = r"""[+/=.-]*((?:[A-Za-z_][A-Za-z_.-]{1,63}|[A-Za-z_][A-Za-z0-9_.-]{1,14}))["'\\]*(?:=>|:=|[=:])["'\\\[({]*(?=[A-Za-z0-9_+/.-])"""
+HEAD = r"""[+/=.-]*((?:[A-Za-z_][A-Za-z_.-]{1,63}|[A-Za-z_][A-Za-z0-9_.-]{1,14}))["'\\]*(?:=>|:=|[=:])["'\\\[({]*(?=[A-Za-z0-9_+/.!@#$%^*~-])"""
 PARTS = rf"(?<!{RUN})(?={HEAD})"
 KEY_RUN = rf"(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:][\"']?{RUN}{{8"
 RUNS = rf"""["'\\]*(?:^{HEAD}{RUN}+|{KEY_RUN},}}|{RUN}+?(?={KEY_RUN}}})|{RUN}+)["'\\]*"""
+# a key word that = or : follows: anywhere in a text, just before a value (a short word may stand between), and with its value in one word
+KEY_WORDS = SECRET_WORDS.replace("|auth|", "|auth(?!or(?!i))|")
+SET = r"""["'\\\]]*[\x20\x09-\x0D]*(?:=>|:=|[=:])"""
+KEYED = rf"(?i:{KEY_WORDS})[A-Za-z0-9_.-]{{0,24}}{SET}"
+KEYED_BEFORE = rf"""{KEYED}["'\\\[({{|>]*(?: [^ ]{{1,7}})?$"""
+VALUE = "[A-Za-z0-9_+/=.!@#$%^*~-]"
+KEYED_WORD = rf"""(?i:{KEY_WORDS})[A-Za-z0-9_.-]{{0,24}}["'\\]*(?:=>|:=|[=:])["'\\\[({{]*{VALUE}{{8,}}"""
+WHOLE = rf"(?:{VALUE}+?(?=[!@#$%^*~]{HEAD})|{VALUE}+)"
+KEYED_RUNS = rf"""["'\\]*(?:^{HEAD}{WHOLE}|{WHOLE})["'\\]*"""
 
 FEATURES = {
     "length": "double(length(c.core))",
@@ -84,16 +96,30 @@ FEATURES = {
 def with_candidates(df: DataFrame, text: str, source: str, name: str) -> DataFrame:
     """df with the array of candidates (null: none)."""
     # the words are held once and searched in a lambda over a list of one
-    pattern = F.lit(PATTERN)
-    w_of = lambda ws: F.flatten(F.filter(F.transform(ws, lambda w, i: F.when(F.rlike(w, pattern), around(ws, w, i))), lambda y: y.isNotNull()))
+    pattern, keyed_word, long = F.lit(PATTERN), F.lit(KEYED_WORD), F.lit(f"{VALUE}{{8}}")
+    w_of = lambda h: F.flatten(F.filter(F.transform(h["ws"], lambda w, i: F.when(F.rlike(w, pattern) | (h["keyed"] & F.rlike(w, long) & (F.rlike(w, keyed_word) | keyed_before(h["ws"], w, i))), around(h, w, i))), lambda y: y.isNotNull()))
 
-    def around(ws, w, i):
+    def words_before(ws, i, n):
+        low = F.greatest(i - n + 1, F.lit(1))
+        return F.array_join(F.slice(ws, low, i - low + 1), " ")
+
+    def keyed_before(ws, w, i):
+        return F.rlike(F.concat(words_before(ws, i, 2), F.regexp_extract(w, "^[=:>]+", 0)), F.lit(KEYED_BEFORE))
+
+    def around(h, w, i):
         """Candidates of one word."""
-        low = F.greatest(i - 2, F.lit(1))
-        near = F.struct(F.array_join(F.slice(ws, low, i - low + 1), " ").alias("before"), F.array_join(F.slice(ws, i + 2, F.lit(2)), " ").alias("after"))
-        own = lambda part: F.transform(F.filter(F.regexp_extract_all(part, F.lit(RUNS), 0), lambda x: F.rlike(x, pattern)), lambda x: F.struct(x.alias("x"), F.regexp_extract(part, f"^{HEAD}", 1).alias("last")))
-        found = F.flatten(F.transform(F.split(w, PARTS), own))
-        return F.flatten(F.transform(F.array(near), lambda n: F.transform(found, lambda r: candidate(i, n, r["x"], r["last"]))))
+        near = F.struct(F.concat(words_before(h["ws"], i, 3), F.regexp_extract(w, "^[=:>]+", 0)).alias("before"), F.array_join(F.slice(h["ws"], i + 2, F.lit(2)), " ").alias("after"), (h["keyed"] & keyed_before(h["ws"], w, i)).alias("keyed"))
+
+        def own(n, part, last):
+            keyed = n["keyed"] | F.rlike(last, F.lit(f"(?i:{KEY_WORDS})"))
+            runs = F.regexp_extract_all(part, F.when(keyed, F.lit(KEYED_RUNS)).otherwise(F.lit(RUNS)), 0)
+            return F.transform(F.filter(runs, lambda x: F.rlike(x, pattern) | (keyed & F.rlike(F.regexp_replace(x, f"^[\"'\\\\]*{HEAD}", ""), long))), lambda x: F.struct(x.alias("x"), last.alias("last")))
+
+        def of(n):
+            found = F.flatten(F.transform(F.split(w, PARTS), lambda part: own(n, part, F.regexp_extract(part, f"^{HEAD}", 1))))
+            return F.transform(found, lambda r: candidate(i, n, r["x"], r["last"]))
+
+        return F.flatten(F.transform(F.array(near), of))
 
     def candidate(i, near, x, last):
         head = rf"""^["'\\]*{HEAD}"""
@@ -104,8 +130,9 @@ def with_candidates(df: DataFrame, text: str, source: str, name: str) -> DataFra
             shape = F.regexp_replace(shape, kind, sign)
         return F.struct(i.alias("at"), x.alias("word"), core.alias("core"), F.when(label != "", label).otherwise(last).alias("label"), near["before"].alias("before"), near["after"].alias("after"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), shape.alias("shape"))
 
-    words = F.array(F.split(F.col(text), r"[\x20\x09-\x0D]+"))
-    return df.withColumn(name, F.when(F.rlike(F.col(text), pattern), F.flatten(F.transform(words, w_of))))
+    keyed = F.rlike(F.col(text), F.lit(KEYED))
+    held = F.array(F.struct(F.split(F.col(text), r"[\x20\x09-\x0D]+").alias("ws"), keyed.alias("keyed")))
+    return df.withColumn(name, F.when(F.rlike(F.col(text), pattern) | keyed, F.flatten(F.transform(held, w_of))))
 
 
 def features_sql(name: str) -> str:
@@ -179,7 +206,14 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
     secret = lambda: rng.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "auth_token", "secret_key", "access_token"])
     benign = lambda: rng.choice(["sha256", "commit", "checksum", "md5", "build", "revision", "etag", "uuid", "id", "order", "isbn"])
     value = lambda: rng.choice([pick(hexes, rng.choice([18, 24, 32, 40])), pick(alnum, rng.randint(16, 40)), pick(alnum + "_-", rng.randint(20, 44))]) + rng.choice(digits)
+    short = lambda: rng.choice([pick(low, rng.randint(4, 7)) + pick(digits, rng.randint(1, 4)) + pick(low, rng.randint(3, 7)), rng.choice(DICTIONARY) + pick(digits, rng.randint(1, 3)) + pick(alnum, 6), pick(alnum + "!@$%", rng.randint(10, 15)) + rng.choice(digits), pick(low, rng.randint(16, 24)), pick(low, rng.randint(16, 24))])
+    prose = lambda: rng.choice([pick(low, rng.randint(8, 13)), pick(low, rng.randint(8, 13)).capitalize(), "".join(rng.choice(DICTIONARY) for _ in range(2)) + "ation"])
+    setting = lambda v, key=secret: rng.choice(["{0}={1}", '{0}="{1}"', '{0} = "{1}"', "{0}: {1}", '{{"{0}":"{1}"}}', '"{0}": "{1}"', "{0} := '{1}'", '{0} ="{1}"']).format(key(), v)
     real = [
+        lambda: setting(short()),
+        lambda: setting(short()),
+        lambda: setting(short()),
+        lambda: setting(value()),
         lambda: rng.choice(["AKIA", "ASIA"]) + pick(up + digits, 15) + rng.choice(digits),
         lambda: f"{secret()}={value()}",
         lambda: f'{secret()} = "{value()}"',
@@ -191,6 +225,13 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
         lambda: "AIza" + pick(alnum, 34) + rng.choice(digits),
     ]
     fake = [
+        lambda: setting(pick(hexes, rng.choice([32, 40, 64])) + rng.choice(digits), benign),
+        lambda: setting(pick(hexes, rng.choice([32, 40, 64])) + rng.choice(digits), benign),
+        lambda: f"{secret()}: {prose()}",
+        lambda: f"the {secret()}: {rng.choice(DICTIONARY)[:7]} {prose()}",
+        lambda: setting(prose()),
+        lambda: setting(rng.choice(["changeme", "undefined", "required", "********", "xxxxxxxx", "placeholder", "your-password", "your_token_here", "password", "example-secret"])),
+        lambda: f"{secret()} = {rng.choice(['self', 'config', 'os.environ', 'request.form', 'settings'])}.{rng.choice(['get', 'client', 'user', 'default'])}_{secret()}",
         lambda: f"{benign()} {pick(hexes, rng.choice([32, 40, 64]))}1",
         lambda: f"{benign()}: {pick(hexes, 40)}2",
         lambda: f"{benign()}={pick(hexes, 32)}3",

@@ -459,6 +459,18 @@ def test_every_secret_of_a_word(spark):
     assert all(k not in r.text for r in secrets.redact(df).collect() for k in texts[r.doc_id][1])
 
 
+def test_short_and_spaced_secrets(spark):
+    short, letters = "hunter2secret", "qwertyuiopasdfghjklzx"
+    forms = ["password={}", 'password = "{}"', "password: {}", '{{"password":"{}"}}', '{{"password": "{}"}}', "db.password := '{}'", 'password ="{}"']
+    texts = [(f"abc {form.format(v)} def", [v]) for form in forms for v in (short, letters)] + [(f"secret: {letters}", [letters]), ('{"user":"ab","pwd":"k3y!pa55w0rd9"}', ["k3y!pa55w0rd9"])]
+    texts += [(t, []) for t in ("the author: somebodyelse", "the secret: something beautiful", "a token = undefined", "password: changeme", "hunter2secret alone", f"{letters} alone")]
+    df = spark.createDataFrame([(i, t, "src") for i, (t, _) in enumerate(texts)], "doc_id long, text string, source string")
+    rows = secrets.scan(df).collect()
+    got = {texts[r.doc_id][0]: [s.candidate for s in r.secrets] for r in rows}
+    assert got == dict(texts)
+    assert all(r.n_candidates > 0 for r in rows if texts[r.doc_id][1])
+
+
 # Pipeline -----------------------------------------------------------------
 
 
