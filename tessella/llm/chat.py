@@ -9,7 +9,8 @@ Method
 
     * ``canonical_table``: a typed table; its schema is the layout.
     * ``canonical_json``: a column of JSON records of mixed layouts; each
-      record's paths are taken from the record (``schema_of_variant``).
+      record's paths are taken from the record (``schema_of_variant``), at any
+      depth.  Texts given as lists of parts are joined by blank lines.
 
 Template
     ``<|im_start|>`` role LF text ``<|im_end|>`` LF, per turn.  Inside texts
@@ -35,6 +36,9 @@ Defined cases
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -81,16 +85,45 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+#: Parts of schema_of_variant's text: names, what opens and closes a level, types of leaves.
+TOKENS = r"`[^`]*(?:``[^`]*)*`(?=: )|[A-Za-z0-9_]+(?=: )|OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+(?: [A-Z]+)*(?:\([^)]*\))?"
+
+
 def variant_paths(record: Column) -> Column:
-    """Sorted paths of one variant's fields, two levels deep and through arrays: all that mappings use."""
-    shape = F.regexp_replace(F.schema_of_variant(record), r"OBJECT<", "STRUCT<")
-    # names at depth 1; for arrays of objects at depth 1 also the names inside
-    inner = F.regexp_extract_all(shape, F.lit(r"[<,]\s*`?([A-Za-z_][A-Za-z0-9_]*)`?: ARRAY<STRUCT<([^<>]*)>>"), 1)
-    body = F.regexp_extract_all(shape, F.lit(r"[<,]\s*`?([A-Za-z_][A-Za-z0-9_]*)`?: ARRAY<STRUCT<([^<>]*)>>"), 2)
-    nested = F.flatten(F.zip_with(inner, body, lambda a, b: F.transform(F.regexp_extract_all(b, F.lit(r"`?([A-Za-z_][A-Za-z0-9_]*)`?: "), 1), lambda x: F.concat(a, F.lit("[]."), x))))
-    flat = F.regexp_replace(shape, r"ARRAY<STRUCT<[^<>]*>>", "LIST")
-    top = F.regexp_extract_all(flat, F.lit(r"`?([A-Za-z_][A-Za-z0-9_]*)`?: (?!LIST)"), 1)
-    return F.array_sort(F.array_distinct(F.concat(top, nested)))
+    """Sorted paths of the leaves of one variant, as schema_paths gives them; names with other signs stay in backquotes."""
+    # the text is read from left to right; levels holds the path of every open level, at the path being read
+    tokens = F.regexp_extract_all(F.schema_of_variant(record), F.lit(TOKENS), 0)
+    begin = F.struct(F.array().cast("array<struct<path: string, fields: boolean>>").alias("levels"), F.lit("").alias("at"), F.array().cast("array<string>").alias("paths"))
+
+    def step(acc, t):
+        levels, at, paths = acc["levels"], acc["at"], acc["paths"]
+        top = F.try_element_at(levels, F.lit(-1))
+        state = lambda levels, at, paths: F.struct(levels.alias("levels"), at.alias("at"), paths.alias("paths"))
+        opened = lambda path, fields: F.array_append(levels, F.struct(path.alias("path"), F.lit(fields).alias("fields")))
+        named = F.concat(top["path"], F.when(top["path"] == "", "").otherwise("."), F.regexp_replace(t, "^`([A-Za-z0-9_]+)`$", "$1"))
+        name = top["fields"] & (acc["at"].isNull())
+        return (
+            F.when(name & (t != ">"), state(levels, named, paths))
+            .when(t == "OBJECT<", state(opened(at, True), F.lit(None).cast("string"), paths))
+            .when(t == "ARRAY<", state(opened(F.concat(at, F.lit("[]")), False), F.concat(at, F.lit("[]")), paths))
+            .when(t == ">", state(F.slice(levels, 1, F.size(levels) - 1), F.lit(None).cast("string"), paths))
+            .otherwise(state(levels, F.lit(None).cast("string"), F.array_append(paths, at)))
+        )
+
+    return F.array_sort(F.array_distinct(F.aggregate(tokens, begin, step)["paths"]))
+
+
+def has_paths(paths: Column, need: list[str]) -> Column:
+    """Whether each of need is a path or the start of deeper ones."""
+    is_at = lambda n: lambda p: (p == n) | F.startswith(p, F.lit(f"{n}.")) | F.startswith(p, F.lit(f"{n}[]"))
+    return reduce(and_, [F.exists(paths, is_at(n)) for n in need])
+
+
+def variant_text(value: Column) -> Column:
+    """A text as it is; of a list of parts their texts (JSON of parts without one) joined by blank lines; JSON of anything else."""
+    part = lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"))
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "\n\n")).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def role_column(role: Column) -> Column:
@@ -104,7 +137,7 @@ def role_column(role: Column) -> Column:
 def entry(role: str, text: str):
     """A turn from one entry of an array of variants."""
     got = lambda x, field: F.try_variant_get(x, f"$.{field}", "string")
-    return lambda x: F.struct(role_column(got(x, role)).alias("role"), F.coalesce(got(x, text), F.lit("")).alias("text"))
+    return lambda x: F.struct(role_column(got(x, role)).alias("role"), F.coalesce(variant_text(F.try_variant_get(x, f"$.{text}", "variant")), F.lit("")).alias("text"))
 
 
 def canonical_json(records: DataFrame, json_col: str = "record") -> DataFrame:
@@ -114,14 +147,14 @@ def canonical_json(records: DataFrame, json_col: str = "record") -> DataFrame:
     out = records.withColumn("__v", v).withColumn("__paths", paths)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for name, (need, kind, where) in reversed(MAPPINGS.items()):
-        fits = F.size(F.array_except(F.array(*map(F.lit, need)), F.col("__paths"))) == 0
+        fits = has_paths(F.col("__paths"), need)
         if kind == "list":
             array, role, text = where
             items = F.try_variant_get("__v", f"$.{array}", "array<variant>")
             made = F.transform(items, entry(role, text))
         elif kind == "pairs":
             # a null part is absent, and concat_ws leaves it out
-            part = [(r, F.array_compact(F.array(*[F.try_variant_get("__v", f"$.{f}", "string") for f in fs]))) for r, fs in where]
+            part = [(r, F.array_compact(F.array(*[variant_text(F.try_variant_get("__v", f"$.{f}", "variant")) for f in fs]))) for r, fs in where]
             made = F.filter(F.array(*[F.when((F.size(p) > 0) | F.lit(r != "system"), F.struct(F.lit(r).alias("role"), F.array_join(F.filter(p, lambda x: x != ""), "\n\n").alias("text"))) for r, p in part]), lambda x: x.isNotNull())
         else:
             continue

@@ -265,6 +265,32 @@ def test_chat_layouts(spark):
             assert [tuple(t) for t in r.turns] == [("user", "q"), ("assistant", "a")]
 
 
+def test_chat_nested_fields(spark):
+    import json
+
+    qa = [("user", "q"), ("assistant", "a")]
+    call = {"id": "c", "function": {"name": "f", "arguments": "{}"}}
+    records = [
+        ({"messages": [{"role": "user", "content": "q", "meta": {"id": 1}}, {"role": "assistant", "content": "a", "tool_calls": [call]}]}, "messages", qa),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "text", "text": "r"}]}, {"role": "assistant", "content": "a"}]}, "messages", [("user", "q\n\nr"), ("assistant", "a")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}]}, "messages", [("user", "q")]),
+        ({"conversations": [{"from": "human", "value": "q", "m": {"x": [{"y": 1.5}]}}, {"from": "gpt", "value": "a"}], "k": {}}, "conversations", qa),
+        ({"id": 1, "meta": {"prompt": "x", "completion": "y"}}, None, None),
+        ({"id": 1, "list": [{"sub": [{"prompt": "x"}]}], "completion": "y"}, None, None),
+        ({"meta": {"messages": [{"role": "user", "content": "x"}]}}, None, None),
+        ({"prompt": "q", "completion": "a", "a<b: c": {"`": [{}]}, "BIGINT": 2}, "prompt", qa),
+        ({"messages[].role": "x", "messages[].content": "y"}, None, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)], "id long, record string")
+    for r in chat.canonical_json(df).collect():
+        _, layout, turns = records[r.id]
+        assert (r.id, r.layout, r.turns and [tuple(t) for t in r.turns]) == (r.id, layout, turns)
+    # the paths are those of the same record as a typed table
+    text = json.dumps(records[0][0])
+    typed = spark.read.json(spark.sparkContext.parallelize([text]))
+    assert chat.canonical_json(df).where("id = 0").first().fingerprint == chat.fingerprint(chat.schema_paths(typed.schema))
+
+
 def test_chat_odd_rows(spark):
     rows = spark.createDataFrame([(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, None, None, "x", 1)], "conv_id long, turn long, role string, text string, turns int").drop("turns")
     out = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.canonical_table(rows, "conv_id").collect()}
