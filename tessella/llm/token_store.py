@@ -198,24 +198,44 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_i
     ordered = ordered.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id())
     ordered.write.parquet(f"{path}/recipes", compression="zstd")
     written = _read(spark, f"{path}/recipes", RECIPE)
+    manifest_rows(written).write.parquet(f"{path}/manifest")
+
+
+RECIPE = f"doc_id long, n_tokens long, root binary, chunks {CHUNKS}, part int, seq long"
+MANIFEST = "part int, block long, rows long, ids long, low long, high long, root binary"
+MANIFEST_NAMES = ["part", "block", "rows", "ids", "low", "high", "root"]
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
+
+
+def manifest_rows(recipes: DataFrame) -> DataFrame:
+    """The manifest (MANIFEST) of recipes: rows, ids, ends and Merkle root of each block."""
     leaves = F.array_sort(F.collect_list(F.struct("seq", "root")))
-    sums = written.withColumn("block", F.floor(F.col("seq") / 1024)).groupBy("part", "block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), leaves.alias("leaves"))
+    sums = recipes.withColumn("block", F.floor(F.col("seq") / 1024)).groupBy("part", "block").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_tokens").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), leaves.alias("leaves"))
 
     def roots(batches):
         for batch in batches:
             root = [merkle([x["root"] for x in xs]) for xs in batch.column(6).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(root, pa.binary())], names=MANIFEST_NAMES)
 
-    sums.select("part", "block", "rows", "ids", "low", "high", "leaves").mapInArrow(roots, MANIFEST).write.parquet(f"{path}/manifest")
+    return sums.select("part", "block", "rows", "ids", "low", "high", "leaves").mapInArrow(roots, MANIFEST)
 
 
-RECIPE = f"doc_id long, n_tokens long, root binary, chunks {CHUNKS}, part int, seq long"
-MANIFEST = "part int, block long, rows long, ids long, low long, high long, root binary"
-MANIFEST_NAMES = ["part", "block", "rows", "ids", "low", "high", "root"]
+def checked_blocks(spark: SparkSession, path: str, recipes: DataFrame) -> DataFrame:
+    """part, block, ids of the manifest; a block that isn't what its recipes give ends the job."""
+    names = ["rows", "ids", "low", "high", "root"]
+    has = _read(spark, f"{path}/manifest", MANIFEST).select("part", "block", F.struct(*names).alias("has"))
+    gives = manifest_rows(recipes).select("part", "block", F.struct(*names).alias("gives"))
+    both = has.join(gives, ["part", "block"], "full")
+    return both.select("part", "block", F.when(F.col("has").eqNullSafe(F.col("gives")), F.col("has.ids")).otherwise(F.raise_error(F.lit("the manifest doesn't match its recipes")).cast("long")).alias("ids"))
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def checked_recipes(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes (RECIPE); one whose length isn't that of its chunks ends the job."""
+    total = F.aggregate("chunks", F.lit(0).cast("long"), lambda n, c: n + c["n"])
+    return _read(spark, f"{path}/recipes", RECIPE).withColumn("n_tokens", F.when(total == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe doesn't match its length")).cast("long")))
 
 
 def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -238,7 +258,7 @@ def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, n_chunks of each document, from the files."""
-    recipes = _read(spark, f"{path}/recipes", RECIPE)
+    recipes = checked_recipes(spark, path)
     uses = recipes.select("seq", "root", F.posexplode("chunks").alias("pos", "c")).select("seq", "root", "pos", F.col("c.digest").alias("digest"), F.col("c.n").alias("n"))
     chunks = checked_chunks(spark, path)
     found = uses.join(chunks.select("digest", F.col("n").alias("stored"), "crc"), "digest", "left")
@@ -256,29 +276,42 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     crcs = by_doc.mapInArrow(run, "seq long, ids_crc32 long")
     # ids before each block of a part: one row per 1,024 recipes, then a window over parts
-    blocks = _read(spark, f"{path}/manifest", MANIFEST).select("part", "block", "ids")
+    blocks = checked_blocks(spark, path, recipes)
     per_part = blocks.groupBy("part").agg(F.sum("ids").alias("ids"))
     before_part = per_part.select("part", (F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).alias("before_part"))
     before = blocks.select("part", "block", F.sum("ids").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before_block")).join(before_part, "part")
     inside = F.sum("n_tokens").over(Window.partitionBy("part", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    placed = recipes.withColumn("block", F.floor(F.col("seq") / 1024)).select("seq", "doc_id", "n_tokens", F.size("chunks").cast("long").alias("n_chunks"), "part", "block", inside.alias("inside")).join(before, ["part", "block"])
+    placed = recipes.withColumn("block", F.floor(F.col("seq") / 1024)).select("seq", "doc_id", "n_tokens", F.size("chunks").cast("long").alias("n_chunks"), "part", "block", inside.alias("inside")).join(before, ["part", "block"], "right")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return placed.join(crcs, "seq").select("doc_id", (zero("before_part") + zero("before_block") + zero("inside")).alias("start"), "n_tokens", "ids_crc32", "n_chunks")
+    return placed.join(crcs, "seq", "left").select("doc_id", (zero("before_part") + zero("before_block") + zero("inside")).alias("start"), "n_tokens", "ids_crc32", "n_chunks")
 
 
 def documents_of(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, ids: every document rebuilt from its recipe, with its end id."""
-    recipes = _read(spark, f"{path}/recipes", RECIPE)
+    """doc_id, ids: every document rebuilt from its recipe, with its end id; checked like read_digests."""
+    recipes = checked_recipes(spark, path)
+    blocks = checked_blocks(spark, path, recipes)
     chunks = _read(spark, f"{path}/data", "kind string, digest binary, n int, width int, payload binary").where("kind = 'chunk'")
-    uses = recipes.select("seq", "doc_id", F.posexplode("chunks").alias("pos", "c")).select("seq", "doc_id", "pos", F.col("c.digest").alias("digest"))
-    parts = F.array_sort(F.collect_list(F.struct("pos", "width", "payload")))
+    # the ids of a block are kept, so that its check is run
+    placed = recipes.withColumn("block", F.floor(F.col("seq") / 1024)).join(blocks.select("part", "block", F.col("ids").alias("block_ids")), ["part", "block"], "right")
+    uses = placed.select("seq", "doc_id", "root", "n_tokens", "block_ids", F.posexplode_outer("chunks").alias("pos", "c")).select("seq", "doc_id", "root", "n_tokens", "block_ids", "pos", F.col("c.digest").alias("digest"))
+    parts = F.array_sort(F.collect_list(F.struct("pos", "digest", "width", "payload")))
+
+    def rebuilt(n: int, root: bytes, ps: list[dict]) -> np.ndarray:
+        found = [None if p["payload"] is None else np.frombuffer(p["payload"], f"<u{p['width']}").astype(np.int64) for p in ps]
+        if any(x is None or digest_of(x) != p["digest"] for x, p in zip(found, ps, strict=True)):
+            raise ValueError("a chunk is missing or damaged")
+        ids = np.concatenate(found)
+        if len(ids) != n or merkle([p["digest"] for p in ps]) != root:
+            raise ValueError("a recipe doesn't match its chunks")
+        return ids
 
     def run(batches):
         for batch in batches:
-            ids = [np.concatenate([np.frombuffer(p["payload"], f"<u{p['width']}").astype(np.int64) for p in ps]) for ps in batch.column(1).to_pylist()]
+            ids = [rebuilt(*x) for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return uses.join(chunks.select("digest", "width", "payload"), "digest").groupBy("seq", "doc_id").agg(parts.alias("parts")).select("doc_id", "parts").mapInArrow(run, "doc_id long, ids array<long>")
+    listed = uses.join(chunks.select("digest", "width", "payload"), "digest", "left").groupBy("seq", "doc_id", "n_tokens", "root", "block_ids").agg(parts.alias("parts"))
+    return listed.select("doc_id", "n_tokens", "root", "parts", "block_ids").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def store_documents(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -232,6 +232,29 @@ def test_damaged_chunk_is_noticed(spark, docs):
         token_store.checked_chunks(spark, f"{path}-bad").count()
 
 
+def test_lost_or_changed_rows_are_noticed(spark, docs):
+    path = token_store.stage_path(spark, "store")
+    token_store.write_store(docs.limit(6), default_tokenizer(), path)
+    of = {k: spark.read.parquet(f"{path}/{k}") for k in ("data", "recipes", "manifest")}
+    one = of["recipes"].agg(F.min("seq")).first()[0]
+    lost_chunk = of["data"].where("kind = 'chunk'").select("digest").first()[0]
+    damage = {
+        "lost": ("recipes", of["recipes"].where(F.col("seq") != one), "manifest"),
+        "all": ("recipes", of["recipes"].where("false"), "manifest"),
+        "swapped": ("recipes", of["recipes"].withColumn("root", F.when(F.col("seq") == one, F.lit(b"x" * 16)).otherwise(F.col("root"))), "manifest|recipe"),
+        "longer": ("recipes", of["recipes"].withColumn("n_tokens", F.col("n_tokens") + 1), "length"),
+        "block": ("manifest", of["manifest"].where("false"), "manifest"),
+        "chunk": ("data", of["data"].where((F.col("kind") != "chunk") | (F.col("digest") != lost_chunk)), "chunk"),
+    }
+    for name, (kind, df, message) in damage.items():
+        bad = f"{path}-{name}"
+        for k in of:
+            (df if k == kind else of[k]).write.partitionBy(*["kind"] if k == "data" else []).parquet(f"{bad}/{k}")
+        for read in (token_store.read_digests, token_store.documents_of):
+            with pytest.raises(Exception, match=message):
+                read(spark, bad).collect()
+
+
 # 5 Chat -------------------------------------------------------------------
 
 
