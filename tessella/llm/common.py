@@ -101,6 +101,25 @@ def parts(batch: pa.RecordBatch, *text_columns: int, limit: int = 2_000_000):
         at = to
 
 
+def gathered(batches, *text_columns: int, limit: int = 2_500_000):
+    """Record batches cut and put together again to texts of about limit bytes each."""
+    held, size = [], 0
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+    for batch in batches:
+        for own in parts(batch, *text_columns, limit=limit // 8):
+            n = sum(pc.sum(pc.binary_length(own.column(i))).as_py() or 0 for i in text_columns)
+            if held and size + n > limit:
+                yield joined()
+                held, size = [], 0
+            held.append(own)
+            size += n
+    if held:
+        yield joined()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Spark send at most rows rows of whole texts to Python at a time."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

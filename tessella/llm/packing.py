@@ -30,14 +30,14 @@ Defined cases
 from __future__ import annotations
 
 import bisect
-import zlib
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import parts, small_batches, stage
-from .tokens import encoder, with_end
+from .common import gathered, small_batches, stage
+from .tokens import END_ID, encoder
 
 CAPACITY = 2048
 SALTS = 128
@@ -45,10 +45,13 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
-def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of each piece of n ids: only the first may be short."""
-    first = n % capacity or min(n, capacity)
-    return [(0, first), *[(at, capacity) for at in range(first, n, capacity)]]
+def piece_bounds(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document (its place), piece, start and length of all pieces: only a document's first may be short."""
+    n = -(-sizes // capacity)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    first = (sizes - (n - 1) * capacity)[doc]
+    return doc, piece, np.where(piece == 0, 0, first + (piece - 1) * capacity), np.where(piece == 0, first, capacity)
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -58,18 +61,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col
 
     def run(batches):
         enc = encoder(tokenizer)
-        for batch in batches:
-            for own in parts(batch, 1):
-                rows: list[list] = [[] for _ in range(6)]
-                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1)), strict=True):
-                    ids = with_end(ids)
-                    for k, (start, length) in enumerate(piece_bounds(len(ids), capacity)):
-                        part = ids[start : start + length]
-                        for column, value in zip(rows, (doc_id, k, start, length, zlib.crc32(part.tobytes()), part.astype(np.int32) if with_ids else None), strict=True):
-                            column.append(value)
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))[: 5 + with_ids]
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")[: 5 + with_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=False)], names=list(names))
+        for own in gathered(batches, 1):
+            ids, ends = enc.encode_flat(own.column(1))
+            ids = np.insert(ids, ends, END_ID).astype("<u4")
+            size = np.diff(ends, prepend=0) + 1
+            doc, piece, start, length = piece_bounds(size, capacity)
+            at = (np.cumsum(size) - size)[doc] + start
+            view = memoryview(ids).cast("B")
+            crcs = [crc32(view[i:j]) for i, j in zip((4 * at).tolist(), (4 * (at + length)).tolist(), strict=True)]
+            columns = [own.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+            if with_ids:  # pieces stand in a row
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

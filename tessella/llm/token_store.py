@@ -18,7 +18,8 @@ Chunks
 Writing
     One pass over the texts emits recipes and chunks (each chunk once per
     task, so a hot chunk meets at most as many copies as there are tasks) into
-    one shuffle by digest, in which each distinct chunk is kept once.
+    one shuffle, chunks by digest, in which each distinct one is kept once, and
+    recipes anywhere, so copies of one document are spread.
 
 Reading
     Every chunk file is read, each payload's digest is recomputed and has to be
@@ -35,15 +36,16 @@ Defined cases
 
 from __future__ import annotations
 
-import hashlib
 import zlib
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import parts, small_batches, stage_path
-from .tokens import encoder, with_end
+from .common import gathered, small_batches, stage_path
+from .tokens import END_ID, encoder
 
 MIN_IDS, MASK_BITS, MAX_IDS = 128, 8, 1024
 CHUNKS = "array<struct<digest: binary, n: int>>"
@@ -73,80 +75,117 @@ def rolling(ids: np.ndarray) -> np.ndarray:
 
 def cut(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one stream."""
-    n, ends, at = len(ids), [], 0
-    if n > MIN_IDS:
-        marks = np.flatnonzero((rolling(ids) >> np.uint32(32 - MASK_BITS)) == 0) + 1
-        for m in marks.tolist():
-            while m - at > MAX_IDS:
-                at += MAX_IDS
-                ends.append(at)
-            if m - at >= MIN_IDS:
-                at = m
-                ends.append(at)
-    while n - at > MAX_IDS:
-        at += MAX_IDS
-        ends.append(at)
-    if at < n:
-        ends.append(n)
-    return ends
+    return cut_all(ids, np.array([len(ids)]))[0].tolist() if len(ids) else []
+
+
+def cut_all(ids: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the chunks of streams that stand in a row, and how many each has.
+
+    The first MIN_IDS places of a stream are never an end, so what stands
+    before it in the row doesn't matter.
+    """
+    marks = np.flatnonzero((rolling(ids) >> np.uint32(32 - MASK_BITS)) == 0) + 1
+    first = np.searchsorted(marks, np.append(0, doc_ends)).tolist()
+    marks, at, ends, counts = marks.tolist(), 0, [], []
+    for i, to in enumerate(doc_ends.tolist()):
+        n = len(ends)
+        if to - at > MIN_IDS:
+            for m in marks[first[i] : first[i + 1]]:
+                while m - at > MAX_IDS:
+                    at += MAX_IDS
+                    ends.append(at)
+                if m - at >= MIN_IDS:
+                    at = m
+                    ends.append(at)
+        while to - at > MAX_IDS:
+            at += MAX_IDS
+            ends.append(at)
+        if at < to:
+            ends.append(to)
+            at = to
+        counts.append(len(ends) - n)
+    return np.array(ends, np.int64), np.array(counts, np.int64)
 
 
 def digest_of(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+    return blake2b(ids.astype("<u4"), digest_size=16).digest()
 
 
 def merkle(leaves: list[bytes]) -> bytes:
     """Root over leaves in order; an odd one out moves up unchanged."""
-    level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves]
+    level = [blake2b(b"\0" + x, digest_size=16).digest() for x in leaves]
     while len(level) > 1:
-        level = [hashlib.blake2b(b"\1" + level[i] + level[i + 1], digest_size=16).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0] if level else hashlib.blake2b(b"", digest_size=16).digest()
+        level = [blake2b(b"\1" + level[i] + level[i + 1], digest_size=16).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0] if level else blake2b(b"", digest_size=16).digest()
+
+
+def _zero_byte() -> list[int]:
+    """What a zero byte makes of each bit of a CRC-32 register: 32 columns over GF(2)."""
+    out = []
+    for bit in range(32):
+        x = 1 << bit
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
 
 
-def crc_join(parts: list[tuple[int, int]]) -> int:
-    """CRC-32 of a concatenation from (CRC-32, bytes) of its parts."""
-    total = 0
-    for crc, n in parts:
-        total = _shift(total, n) ^ crc
-    return total
+def _tables(columns: list[int]) -> np.ndarray:
+    """The linear map with these columns as four tables of 256, one per byte of the register."""
+    out = np.zeros((4, 256), np.uint32)
+    for i in range(4):
+        for bit in range(8):
+            out[i, 1 << bit : 2 << bit] = out[i, : 1 << bit] ^ np.uint32(columns[8 * i + bit])
+    return out
 
 
-def _times(matrix: list[int], vector: int) -> int:
-    out = at = 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[at]
-        vector >>= 1
-        at += 1
-    return out
+def _mapped(tables: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return tables[0][x & 255] ^ tables[1][(x >> 8) & 255] ^ tables[2][(x >> 16) & 255] ^ tables[3][x >> 24]
+
+
+#: Maps for 1, 2, 4, ... zero bytes, made as they are needed.
+_ZEROS: list[np.ndarray] = []
 
 
-_SHIFTS: list[list[int]] = []
-_BY_LENGTH: dict[int, list[int]] = {}
-
-
-def _shift(crc: int, n: int) -> int:
-    """The CRC register crc after n zero bytes: linear over GF(2)."""
-    if not crc or not n:
-        return crc
-    if not _SHIFTS:
-        bit = [0xEDB88320, *[1 << i for i in range(31)]]  # one zero bit
-        square = lambda m: [_times(m, x) for x in m]
-        byte = square(square(square(bit)))
-        for _ in range(48):
-            _SHIFTS.append(byte)
-            byte = square(byte)
-    if n not in _BY_LENGTH:
-        matrix, k, left = [1 << i for i in range(32)], 0, n
-        while left:
-            if left & 1:
-                matrix = [_times(_SHIFTS[k], x) for x in matrix]
-            left >>= 1
-            k += 1
-        if len(_BY_LENGTH) > 20_000:
-            _BY_LENGTH.clear()
-        _BY_LENGTH[n] = matrix
-    return _times(_BY_LENGTH[n], crc)
+def crc_join(crcs: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """CRC-32 of concatenations of parts: of the parts from each first on up to the next.
+
+    The register is linear over GF(2), so each part's CRC is carried over the
+    bytes behind it, by the binary digits of their number, and all are summed.
+    """
+    ends = np.cumsum(sizes)
+    last = np.append(first[1:], len(sizes)) - 1
+    after = np.repeat(ends[last], np.diff(np.append(first, len(sizes)))) - ends
+    out = crcs.astype(np.uint32)
+    for k in range(int(after.max(initial=0)).bit_length()):
+        if k == len(_ZEROS):
+            unit = (np.uint32(1) << np.arange(32, dtype=np.uint32)).astype(np.uint32)
+            _ZEROS.append(_tables(_mapped(_ZEROS[-1], _mapped(_ZEROS[-1], unit)).tolist() if _ZEROS else _zero_byte()))
+        at = np.flatnonzero((after >> k) & 1)
+        out[at] = _mapped(_ZEROS[k], out[at])
+    return np.bitwise_xor.reduceat(out, first) if len(first) else np.zeros(0, np.uint32)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finish, as signed numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def binaries(data: bytes, ends: np.ndarray) -> pa.Array:
+    """data cut at ends (the first one 0), without a Python object per part."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+ROW_TYPES = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "root": pa.binary(), "chunks": CHUNK_TYPE, "digest": pa.binary(), "n": pa.int32(), "width": pa.int32(), "payload": pa.binary()}
+
+
+def padded(kind: str, key: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A batch of ROWS with nulls for all other columns."""
+    rest = [columns[c].cast(t) if c in columns else pa.nulls(len(key), t) for c, t in ROW_TYPES.items()]
+    return pa.RecordBatch.from_arrays([pa.array([kind]).take(pa.array(np.zeros(len(key), np.int64))), pa.array(key), *rest], names=["kind", "key", *ROW_TYPES])
 
 
 def write_store(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -155,43 +194,43 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_i
     small_batches(spark)
 
     def emit(batches):
-        enc, sent = encoder(tokenizer), set()
-        for batch in batches:
-            for own in parts(batch, 1):
-                rec: list[list] = [[], [], [], [], []]
-                chk: list[list] = [[], [], [], [], []]
-                for doc_id, ids in zip(own.column(0).to_pylist(), enc.encode(own.column(1)), strict=True):
-                    ids, at, pieces = with_end(ids), 0, []
-                    for end in cut(ids):
-                        part = ids[at:end]
-                        d, n, at = digest_of(part), end - at, end
-                        pieces.append({"digest": d, "n": n})
-                        if d not in sent:
-                            sent.add(d)
-                            width = 2 if part.max() < 65_536 else 4
-                            for column, value in zip(chk, (int.from_bytes(d[:8], "little", signed=True), d, n, width, part.astype(f"<u{width}").tobytes()), strict=True):
-                                column.append(value)
-                    root = merkle([x["digest"] for x in pieces])
-                    for column, value in zip(rec, (int.from_bytes(root[:8], "little", signed=True), doc_id, len(ids), root, pieces), strict=True):
-                        column.append(value)
-                for kind, key, rest in (("recipe", rec[0], [*rec[1:], *[None] * 4]), ("chunk", chk[0], [*[None] * 4, *chk[1:]])):
-                    types = (pa.int64(), pa.int64(), pa.binary(), CHUNK_TYPE, pa.binary(), pa.int32(), pa.int32(), pa.binary())
-                    columns = [pa.array([kind] * len(key)), pa.array(key, pa.int64()), *[pa.nulls(len(key), t) if c is None else pa.array(c, t) for c, t in zip(rest, types, strict=True)]]
-                    yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "doc_id", "n_tokens", "root", "chunks", "digest", "n", "width", "payload"])
-
-    def keep_first(batches):
-        last = None
-        for batch in batches:
-            keep = []
-            for d in batch.column(6).to_pylist():
-                keep.append(d is None or d != last)
-                last = d
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        enc, sent, n_rows = encoder(tokenizer), set(), 0
+        for own in gathered(batches, 1):
+            ids, doc_ends = enc.encode_flat(own.column(1))
+            ids = np.insert(ids, doc_ends, END_ID).astype("<u4")
+            doc_ends = doc_ends + np.arange(1, own.num_rows + 1)
+            ends, counts = cut_all(ids, doc_ends)
+            starts = np.concatenate([[0], ends[:-1]])
+            whole = memoryview(ids).cast("B")
+            digests = [blake2b(whole[4 * i : 4 * j], digest_size=16).digest() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+            last = np.cumsum(counts).tolist()
+            roots = [merkle(digests[i:j]) for i, j in zip([0, *last[:-1]], last, strict=True)]
+            digest, n = binaries(b"".join(digests), 16 * np.arange(len(ends) + 1)), pa.array((ends - starts).astype(np.int32))
+            pieces = pa.ListArray.from_arrays(pa.array(np.array([0, *last], np.int32)), pa.StructArray.from_arrays([digest, n], names=["digest", "n"]))
+            sizes = pa.array(np.diff(doc_ends, prepend=0))
+            # recipes go anywhere, but to the same place whenever the task is run again
+            key = mixed(np.arange(n_rows, n_rows + own.num_rows, dtype=np.uint64) ^ np.frombuffer(b"".join(r[:8] for r in roots), np.uint64))
+            n_rows += own.num_rows
+            yield padded("recipe", key, {"doc_id": own.column(0), "n_tokens": sizes, "root": pa.array(roots, pa.binary()), "chunks": pieces})
+            fresh = np.zeros(len(ends), bool)
+            for i, d in enumerate(digests):
+                if d not in sent:
+                    sent.add(d)
+                    fresh[i] = True
+            wide = np.maximum.reduceat(ids, starts) > 0xFFFF
+            key = np.frombuffer(b"".join(d[:8] for d in digests), np.int64)
+            for width, mask in ((2, fresh & ~wide), (4, fresh & wide)):
+                if mask.any():
+                    payload = binaries(ids.astype(f"<u{width}").tobytes(), width * np.append(starts, ends[-1]))
+                    mine = pa.array(mask)
+                    yield padded("chunk", key[mask], {"digest": digest.filter(mine), "n": n.filter(mine), "width": pa.array(np.full(int(mask.sum()), width, np.int32)), "payload": payload.filter(mine)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(emit, ROWS)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = rows.repartition(n_parts, "key").sortWithinPartitions("kind", "digest").mapInArrow(keep_first, ROWS)
-    kept.drop("key").write.partitionBy("kind").parquet(f"{path}/data", compression="zstd")
+    # of equal chunks of several tasks the first stays
+    same = Window.partitionBy("kind", "key").orderBy("digest")
+    kept = rows.withColumn("before", F.lag("digest").over(same)).where("kind = 'recipe' or before is null or before <> digest")
+    kept.drop("key", "before").write.partitionBy("kind").parquet(f"{path}/data", compression="zstd")
 
     recipes = _read(spark, f"{path}/data", "kind string, doc_id long, n_tokens long, root binary, chunks " + CHUNKS).where("kind = 'recipe'").drop("kind")
     ordered = recipes.repartitionByRange(n_parts, "doc_id", "root").sortWithinPartitions("doc_id", "root")
@@ -243,13 +282,14 @@ def checked_chunks(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            digests, counts, widths, payloads = (batch.column(i).to_pylist() for i in range(4))
+            digests, counts, widths, payloads = (batch.column(i) for i in range(4))
             crcs = []
-            for d, n, width, payload in zip(digests, counts, widths, payloads, strict=True):
-                ids = np.frombuffer(payload, f"<u{width}")
-                if len(ids) != n or digest_of(ids) != d:
+            for d, n, width, payload in zip(digests.to_pylist(), counts.to_pylist(), widths.to_pylist(), payloads, strict=True):
+                whole = np.frombuffer(payload.as_buffer(), f"<u{width}").astype("<u4")
+                view = memoryview(whole).cast("B")
+                if len(whole) != n or blake2b(view, digest_size=16).digest() != d:
                     raise ValueError(f"chunk {d.hex()} is damaged")
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                crcs.append(zlib.crc32(view))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["digest", "n", "crc"])
 
     chunks = _read(spark, f"{path}/data", "kind string, digest binary, n int, width int, payload binary").where("kind = 'chunk'")
@@ -267,12 +307,17 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for root, parts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if any(p["stored"] != p["n"] for p in parts) or merkle([p["digest"] for p in parts]) != root:
-                    raise ValueError("a recipe doesn't match its chunks")
-                out.append(crc_join([(p["crc"], 4 * p["n"]) for p in parts]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], names=["seq", "ids_crc32"])
+            if not batch.num_rows:
+                continue
+            held = batch.column(2)
+            first = held.offsets.to_numpy()[:-1] - held.offsets[0].as_py()
+            digest, n, stored, crc = (held.flatten().field(c) for c in ("digest", "n", "stored", "crc"))
+            leaves, ends = digest.to_pylist(), [*first[1:].tolist(), len(digest)]
+            whole = pc.all(pc.fill_null(pc.equal(n, stored), False)).as_py()
+            if not whole or any(merkle(leaves[i:j]) != root for i, j, root in zip(first.tolist(), ends, batch.column(1).to_pylist(), strict=True)):
+                raise ValueError("a recipe doesn't match its chunks")
+            out = crc_join(crc.to_numpy(), 4 * n.to_numpy().astype(np.int64), first.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.astype(np.int64))], names=["seq", "ids_crc32"])
 
     crcs = by_doc.mapInArrow(run, "seq long, ids_crc32 long")
     # ids before each block of a part: one row per 1,024 recipes, then a window over parts
