@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE_RUN, stage
+from .common import SPACE_RUN, free_name, stage
 
 BLOCK_CHARS = 8192
 BUCKETS = 1 << 20
@@ -96,7 +96,8 @@ def identities(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 def duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs."""
     own = stage(identities(docs, block_chars), "identities")
-    groups = own.groupBy("n_blocks", "identity").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"), F.sum("copies").alias("group_size"))
+    # stored, as a join with an aggregate of the same rows isn't split where it is skewed
+    groups = stage(own.groupBy("n_blocks", "identity").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("first"), F.sum("copies").alias("group_size")), "groups")
     found = own.join(groups, ["n_blocks", "identity"])
     rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     is_first = (F.col("copy") == 1) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
@@ -108,12 +109,9 @@ def drop_duplicates(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFram
 
     Of repeated rows (same doc_id and text) one stays.
     """
-    names = {c.lower() for c in docs.columns}
-    mark = "__keep"
-    while mark in names:
-        mark = f"_{mark}"
-    kept = duplicates(docs, block_chars).where("kept").select(F.col("doc_id").alias(f"{mark}_id"), F.col("text_sha256").alias(f"{mark}_sha"))
+    keep_id, keep_sha, sha, rank = (free_name(docs, c) for c in ("__keep_id", "__keep_sha", "__sha", "__rank"))
+    kept = duplicates(docs, block_chars).where("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(keep_sha))
     digest = F.sha2(normalised(F.col("text")), 256)
-    joined = docs.withColumn(f"{mark}_s", digest).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(f"{mark}_id")) & (F.col(f"{mark}_s") == F.col(f"{mark}_sha")))
-    one = Window.partitionBy(f"{mark}_id", f"{mark}_sha").orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"], F.col("text"))
-    return joined.withColumn(f"{mark}_n", F.row_number().over(one)).where(F.col(f"{mark}_n") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.withColumn(sha, digest).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(keep_id)) & (F.col(sha) == F.col(keep_sha)))
+    one = Window.partitionBy(keep_id, keep_sha).orderBy(*[F.col(f"`{c}`").cast("string") for c in docs.columns if c != "text"], F.col("text"))
+    return joined.withColumn(rank, F.row_number().over(one)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -92,13 +92,11 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     Rows alike in doc_id, source and size are taken as often as each other in
     order of the rest of their columns.
     """
-    a = free_name(docs, "__times")
-    size = free_name(docs, "__size")
-    rank = free_name(docs, "__rank")
+    a, size, rank, own_id, own_source, own_size = (free_name(docs, c) for c in ("__times", "__size", "__rank", "__own_id", "__own_source", "__own_size"))
     sized = docs.withColumn(size, n_words(F.col("text")))
     found = mix_sizes(stage(sized.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.col(size).alias("size")), "sizes"), weights, share, max_epochs, seed)
-    counted = found.groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("times")).alias("t")).select(F.col("doc_id").alias(f"{a}d"), F.col("source").alias(f"{a}s"), F.col("size").alias(f"{a}z"), F.col("t").alias(a))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{a}d")) & F.col("source").eqNullSafe(F.col(f"{a}s")) & (F.col(size) == F.col(f"{a}z"))
+    counted = found.groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list("times")).alias("t")).select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), F.col("size").alias(own_size), F.col("t").alias(a))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source)) & (F.col(size) == F.col(own_size))
     joined = sized.join(counted.where(F.array_max(a) > 0), same)
     alone = joined.where(F.size(a) == 1).withColumn(rank, F.lit(1))
     order = Window.partitionBy("doc_id", "source", size).orderBy(F.xxhash64("text"))

@@ -19,18 +19,19 @@ Links
        bucket with it the one that shares buckets most often.  That is one pair
        per class, however large a bucket is, and connects nearly all that
        belongs together, as the text that others derive from is the centre.
-    2. In a bucket whose classes aren't all in one component afterwards, an
-       exact prefix-filter join finds what is missing: the shingles of such
-       classes are ordered by how many of them hold each (rarest first), two
-       sets can only reach the similarity if their prefixes of
-       |S| - ceil(0.8 |S|) + 1 shingles meet at places from which enough common
-       shingles are still possible, and sizes have to be near enough.  Pairs
-       inside a component are left out.
-    Every two classes that share a bucket have then been compared, are
-    connected, or can't be similar, so no link between candidates is lost and
-    no pairs are listed within a group.  Comparing reads the whole texts and
-    counts on full sets.  Only a pair that shares no bucket can be missed: at
-    similarity 0.8 that is (1 - 0.8^ROWS)^BANDS = 2e-6, and less above.
+    2. Buckets whose classes aren't all in one component afterwards are open.
+       Classes that open buckets connect form a group, and all pairs of a group
+       whose components differ are counted exactly, as products of bit
+       matrices, in blocks: a group is dealt by hash into blocks of bounded
+       numbers of classes and shingles, and a task gets two blocks.  What it
+       emits is a spanning forest of the links it found, never the pairs, so
+       rows grow with the classes even where all are a little below the
+       similarity; a group of one block, which nearly all are, costs one task.
+    Every two classes that share a bucket have then been compared or are
+    connected, so no link between candidates is lost.  Comparing reads the
+    whole texts and counts on full sets.  Only a pair that shares no bucket can
+    be missed: at similarity 0.8 that is (1 - 0.8^ROWS)^BANDS = 2e-6, and less
+    above.
 
 Components
     Edges are first contracted by union-find in each task, then by alternating
@@ -39,8 +40,9 @@ Components
 
 Defined cases
     Null or empty text, or one without words: empty set, no link, kept.
-    Repeated rows: equal sets, so one class; of rows alike in doc_id all have
-    the same component.  Null doc_id: own set size, linked with nothing, kept.
+    Repeated rows: equal sets, so one class.  Different texts under one doc_id:
+    links of any of them are links of the doc_id, and all its rows have the
+    same component.  Null doc_id: own set size, linked with nothing, kept.
     Empty table: no rows.  Extra columns are ignored by ``components`` and kept
     by ``drop_near_duplicates``.
 """
@@ -53,10 +55,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import parts, small_batches, stage, utf8
+from .common import free_name, parts, small_batches, stage, utf8
 
 PLACES, BANDS, ROWS = 252, 42, 6
 MAX_ROUNDS = 60
+#: Classes and shingles of a block that a task compares with another.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 #: The largest bitmap of ids that is broadcast has 2^MAP_BITS bits, 64 MB.
 MAP_BITS = 29
 U = np.uint64
@@ -156,7 +160,7 @@ def sketches(docs: DataFrame, n: int, places: int = PLACES, bands: int = BANDS,
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) with a doc_id in ids, one per doc_id.
+    """The distinct rows of docs (doc_id, text) with a doc_id in ids.
 
     A bitmap of the ids' hashes, at most 2^MAP_BITS bits in pieces of 4 kB, is
     broadcast first, so that texts that aren't asked for aren't shuffled.
@@ -167,7 +171,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     maps = ids.select(at.alias("piece"), within.alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
     byte = F.conv(F.hex(F.substring(F.col("map"), (F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     asked = docs.withColumn("piece", at).join(F.broadcast(maps), "piece").where(F.getbit(byte, F.pmod(within, F.lit(8)).cast("int")) == 1)
-    return asked.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return asked.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -177,13 +181,13 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     def run(batches):
         for batch in batches:
             for own in parts(batch, 2, 3):
-                known: dict[int, np.ndarray] = {}
+                known: dict[str, np.ndarray] = {}
                 keep = []
-                for x, y, tx, ty in zip(*(own.column(i).to_pylist() for i in range(4)), strict=True):
-                    for i, t in ((x, tx), (y, ty)):
-                        if i not in known:
-                            known[i] = shingles(t, n)
-                    p, q = known[x], known[y]
+                for tx, ty in zip(own.column(2).to_pylist(), own.column(3).to_pylist(), strict=True):
+                    for t in (tx, ty):
+                        if t not in known:
+                            known[t] = shingles(t, n)
+                    p, q = known[tx], known[ty]
                     common = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
                     keep.append(common > 0 and 100 * common >= percent * (len(p) + len(q) - common))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -191,33 +195,74 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b of different components of rest (doc_id, component) that may reach percent: none that does is missing.
+def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    core = times == n  # in all sets
+    total = np.full((n, n), float(core.sum()), np.float32)
+    shared = (times > 1) & ~core
+    rank = np.cumsum(shared) - 1
+    inside = shared[place]
+    doc, at = doc[inside], rank[place[inside]]
+    order = np.argsort(at, kind="stable")
+    doc, at = doc[order], at[order]
+    for low in range(0, int(shared.sum()), columns):
+        i, j = np.searchsorted(at, (low, low + columns))
+        bits = np.zeros((n, columns), np.float32)
+        bits[doc[i:j], at[i:j] - low] = 1.0
+        total += bits @ bits.T
+    return total.astype(np.int64)
+
+
+def forest(ids: np.ndarray, components: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between sets of different components; side: 0 and 1 for two blocks, all 0 for one."""
+    size = np.array([len(s) for s in sets])
+    common = common_counts(sets)
+    near = (100 * common >= percent * (size[:, None] + size[None, :] - common)) & (components[:, None] != components[None, :])
+    near &= (side[:, None] < side[None, :]) if side.any() else np.triu(np.ones(near.shape, bool), 1)
+    parent = {int(c): int(c) for c in components}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(near).tolist():
+        p, q = find(int(components[i])), find(int(components[j]))
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
 
-    Sets are those of whole texts.
+def group_links(rest: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """a, b: links that connect all of rest (doc_id, component, group) that links inside its groups connect.
+
+    rest is a stored table with one row per doc_id.
     """
 
-    def run(batches):
+    def sets_of(batches):
         for batch in batches:
-            for own in parts(batch, 1):
-                for doc_id, text in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), strict=True):
-                    s = shingles(text, n).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), doc_id, np.int64)), pa.array(np.full(len(s), len(s), np.int32)), pa.array(s)], names=["doc_id", "size", "h"])
-
-    held = stage(texts.join(rest.select("doc_id"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, size int, h long"), "shingles")
-    common = held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # shingles of one set only come first in the order and never meet another's
-    own = held.join(common, "h").groupBy("doc_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("ordered"))
-    alone = F.col("size") - F.size("ordered")
-    prefix = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    kept = own.withColumn("alone", alone).withColumn("prefix", F.slice("ordered", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")))
-    places = kept.select("doc_id", "size", "alone", F.posexplode("prefix").alias("k", "p")).join(rest, "doc_id")
-    places = places.select(F.col("p.h").alias("h"), "doc_id", "component", "size", (F.col("alone") + F.col("k")).alias("at"))
-    x, y = places, places.select("h", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "component", "size", "at")])
-    least = F.ceil((F.col("size") + F.col("size2")) * percent / (100 + percent))
-    reach = F.least(F.col("size") - F.col("at"), F.col("size2") - F.col("at2"))
-    near = 100 * F.least("size", "size2") >= percent * F.greatest("size", "size2")
-    return x.join(y, (x["h"] == y["h"]) & (F.col("doc_id") > F.col("doc_id2")) & (F.col("component") != F.col("component2")) & near & (reach >= least)).select(F.col("doc_id").alias("a"), F.col("doc_id2").alias("b")).distinct()
+            for own in parts(batch, 3):
+                sets = [shingles(t, n).view(np.int64) for t in own.column(3).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*own.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "component", "group", "size", "h"])
+
+    held = stage(texts.join(rest, "doc_id").select("doc_id", "component", "group", "text").mapInArrow(sets_of, "doc_id long, component long, group long, size long, h array<long>"), "sets")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    dealt = held.join(stage(held.groupBy("group").agg(blocks.alias("blocks")), "groups"), "group").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    sent = dealt.select("group", "doc_id", "component", "h", "block", every).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "h")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, block = table["i"].to_numpy(), table["block"].to_numpy()
+        links = forest(table["doc_id"].to_numpy(), table["component"].to_numpy(), [np.asarray(x.values) for x in table["h"]], (block != i).astype(int), percent)
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return sent.groupBy("group", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def contracted(edges: DataFrame) -> DataFrame:
@@ -264,7 +309,8 @@ def connect(edges: DataFrame) -> DataFrame:
     before = None
     for _ in range(MAX_ROUNDS):
         both = now.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(now.select(F.col("b").alias("x"), F.col("a").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        # stored, so that the join is split where one node has very many neighbours
+        low = stage(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "lowest")
         large = both.where("y > x").join(low, "x").select(F.col("y").alias("a"), F.col("m").alias("b"))
         large = ordered(large)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
@@ -282,9 +328,13 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, places: int = PLA
     small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = stage(sketches(own, n, places, bands, rows), "sketches")
-    classes = made.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
+    # stored, as a join with an aggregate of the same rows isn't split where it is skewed
+    classes = stage(made.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     member = stage(made.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left"), "members")
-    reps = made.join(classes, (made["set_id"] == classes["set_id"]) & (made["doc_id"] == classes["rep"])).groupBy("doc_id").agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    reps = made.join(classes, (made["set_id"] == classes["set_id"]) & (made["doc_id"] == classes["rep"])).groupBy("doc_id", made["set_id"]).agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    # ids with several texts connect their classes
+    several = member.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b <> high").drop("high")
+    own_links = member.join(several, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
     keys = reps.select("doc_id", "size", F.posexplode("bands").alias("band", "key"))
     # a bucket with one class has no pair; the band is part of the key's hash
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -294,19 +344,21 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, places: int = PLA
     rated = buckets.join(shared, "doc_id").select("key", "doc_id", F.struct("shared", (-F.col("doc_id")).alias("id")).alias("rate"))
     best = rated.join(rated.groupBy("key").agg(F.max("rate").alias("best")), "key").groupBy("doc_id").agg(F.max("best").alias("best"))
     first = stage(best.select(F.col("doc_id").alias("a"), (-F.col("best.id")).alias("b")).where("a <> b"), "pairs")
-    links = stage(verified(first, texts, n, percent), "links")
+    links = stage(verified(first, texts, n, percent).unionByName(own_links), "links")
     label = connect(links)
     # what shares a bucket without being connected yet
     labelled = stage(buckets.join(label, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "labelled")
-    split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    rest = stage(labelled.join(split, "key", "left_semi").select("doc_id", "component").distinct(), "open")
-    more = stage(prefix_pairs(rest, texts, n, percent).join(first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-    label = connect(links.unionByName(stage(verified(more, texts, n, percent), "links")))
+    split = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("doc_id").alias("low")).where("c0 <> c1").select("key", "low")
+    rest = stage(labelled.join(split, "key"), "open")
+    together = connect(rest.where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    rest = stage(rest.select("doc_id", "component").distinct().join(together.withColumnRenamed("component", "group"), F.col("doc_id") == F.col("node")).drop("node"), "groups")
+    label = connect(links.unionByName(stage(group_links(rest, texts, n, percent), "links")))
     out = member.join(label, F.col("rep") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that are kept, with all their columns; of rows alike in doc_id all or none."""
-    kept = components(docs, n, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept_id = free_name(docs, "__kept_id")
+    kept = components(docs, n, percent).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")

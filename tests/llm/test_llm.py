@@ -357,6 +357,46 @@ def test_near_dedup_is_brute_force(spark, docs, n):
     assert got == brute_components(df.collect(), n, 80)
 
 
+@pytest.mark.parametrize("size", [400, 4000])
+def test_near_dedup_of_one_template(spark, size, monkeypatch):
+    """Documents of one template whose fields take two values: nearly all pairs are a little below the similarity."""
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 150 if size == 400 else 1024)
+    rng = random.Random(size)
+    fixed = [f"w{i}" for i in range(46 * 4)]
+    texts = {k: " ".join(" ".join([*fixed[4 * i : 4 * i + 4], rng.choice(["yes", "no"])]) for i in range(40 if size == 400 else 46)) for k in range(size)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sent = []
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *x, own=near_dedup.verified: sent.append(pairs.count()) or own(pairs, *x))
+    links = near_dedup.group_links
+    monkeypatch.setattr(near_dedup, "group_links", lambda *x: (out := links(*x), sent.append(out.count()))[0])
+    got = {r.doc_id: r.component_id for r in near_dedup.components(df, 2, 80).collect()}
+    places, sets = {}, []
+    for t in texts.values():
+        w = t.split()
+        sets.append({places.setdefault(x, len(places)) for x in zip(w, w[1:])})
+    held = np.zeros((size, len(places)), np.float32)
+    for i, own in enumerate(sets):
+        held[i, list(own)] = 1
+    common, n = held @ held.T, held.sum(1)
+    near = 100 * common >= 80 * (n[:, None] + n[None, :] - common)
+    want = np.arange(size)
+    while True:
+        low = np.array([want[row].min() for row in near])
+        if (low == want).all():
+            break
+        want = low
+    assert got == dict(enumerate(want.tolist())) and len(set(got.values())) > 1
+    # one pair with the centre each, and less than one link for each block that a document meets
+    assert sum(sent) <= size * (1 + -(-size // near_dedup.BLOCK_CLASSES))
+
+
+def test_near_dedup_several_texts_of_one_id(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, words("a")), (2, words("b")), (3, words("a") + " z"), (3, words("b") + " z"), (4, words("c")), (5, words("c")), (5, words("d"))]
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+
+
 def test_near_dedup_odd(odd):
     rows = near_dedup.components(odd, 2, 80).collect()
     assert len(rows) == 11
@@ -527,6 +567,35 @@ def test_short_and_spaced_secrets(spark):
 
 # Pipeline -----------------------------------------------------------------
 
+#: Names that operators give their helper columns, or might.
+HELPERS = "__h __b __r __s __n __keep __keep_id __keep_sha __sha __rank __kept_id __times __timesd __timess __timesz __size __own_id __own_source __own_size stats kept key rep component node found cands copies target size identity Doc_Key".split()
+
+
+def test_stages_keep_columns_of_any_name(spark, odd, docs, labels):
+    import corpus_pipeline
+
+    df = odd.unionByName(docs.where("doc_id < 90").withColumn("doc_id", F.col("doc_id") + 100), allowMissingColumns=True)
+    for c in HELPERS:
+        if c.lower() not in {x.lower() for x in df.columns}:
+            df = df.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    path = token_store.stage_path(spark, "odd")
+    df.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, path)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows
+        assert all(r.__getitem__("__keep_id") == f"__keep_id{'null' if r.doc_id is None else r.doc_id}" for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, path).count() >= 11
+    assert corpus_pipeline.run(spark, path).count() > 0
+    empty = token_store.stage_path(spark, "empty")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
 
 def test_pipeline_against_its_parts(spark):
     import corpus_pipeline
