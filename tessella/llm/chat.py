@@ -4,13 +4,17 @@ Method
     A record's layout is the sorted list of its nested field paths (arrays as
     ``[]``); its fingerprint is the SHA-256 of that list.  ``MAPPINGS`` names
     layouts by the paths they need and says, declaratively, where their turns
-    are.  A record's fingerprint selects the mapping; the paths themselves are
-    turned into a fingerprint once, so equal layouts are mapped alike.
+    are.  A fingerprint selects the mapping: ``survey`` aggregates the records
+    to one row per fingerprint, finds the mapping of each once and counts its
+    records, and the records are joined with that table by fingerprint.  A
+    layout that is just what a mapping needs comes first, then the mapping that
+    needs most paths, then the first one.
 
     * ``canonical_table``: a typed table; its schema is the layout.
     * ``canonical_json``: a column of JSON records of mixed layouts; each
       record's paths are taken from the record (``schema_of_variant``), at any
-      depth.  Texts given as lists of parts are joined by blank lines.
+      depth.  Texts given as lists of parts are joined by blank lines.  A
+      layout may also stand inside one of the ``CONTAINERS``.
 
 Template
     ``<|im_start|>`` role LF text ``<|im_end|>`` LF, per turn.  Inside texts
@@ -30,8 +34,11 @@ Bounds
 Defined cases
     Null text or role: empty.  Null turn: first.  Repeated rows: each is a
     turn.  Null conv_id: one conversation of its own.  Very long texts: whole.
-    Empty table: no rows.  Extra columns are ignored.  A record of a layout
-    without mapping, or that isn't JSON: ``layout`` null and no turns.
+    Empty table: no rows.  ``canonical_table`` ignores columns that its mapping
+    doesn't name.  ``canonical_json`` keeps all columns, but those called
+    fingerprint, layout or turns give way to the new ones.  A record of a
+    layout without mapping: ``layout`` null and no turns; ``survey`` tells how
+    many there are.  A record that isn't JSON: fingerprint null as well.
 """
 
 from __future__ import annotations
@@ -41,6 +48,8 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import free_name, stage
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role: string, text: string>>"
 
@@ -60,6 +69,8 @@ MAPPINGS = {
     "question": (["answer", "question"], "pairs", [("system", ["system"]), ("user", ["context", "question"]), ("assistant", ["answer"])]),
     "turn_rows": (["role", "text", "turn"], "rows", ("turn", "role", "text")),
 }
+#: Fields of a record in which a whole layout may stand.
+CONTAINERS = ("data", "record", "sample", "example")
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "ai": "assistant", "instructor": "system"}
 
@@ -73,9 +84,18 @@ def schema_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
+def mappings() -> dict[str, tuple[str, list[str]]]:
+    """name of each layout in the order in which they are tried: (container and a dot or nothing, needed paths)."""
+    every = {f"{c}.{name}" if c else name: (f"{c}." if c else "", need) for c in ("", *CONTAINERS) for name, (need, kind, _) in MAPPINGS.items() if not c or kind != "rows"}
+    return dict(sorted(every.items(), key=lambda x: (bool(x[1][0]), -len(x[1][1]))))
+
+
 def layout_of(paths: list[str]) -> str | None:
     """The mapping for the layout with these paths."""
-    return next((name for name, (need, _, _) in MAPPINGS.items() if set(need) <= set(paths)), None)
+    there = mappings()
+    under = lambda n: any(p == n or p.startswith((f"{n}.", f"{n}[]")) for p in paths)
+    exact = (name for name, (at, need) in there.items() if sorted(at + n for n in need) == sorted(paths))
+    return next(exact, None) or next((name for name, (at, need) in there.items() if all(under(at + n) for n in need)), None)
 
 
 def fingerprint(paths: list[str]) -> str:
@@ -140,49 +160,73 @@ def entry(role: str, text: str):
     return lambda x: F.struct(role_column(got(x, role)).alias("role"), F.coalesce(variant_text(F.try_variant_get(x, f"$.{text}", "variant")), F.lit("")).alias("text"))
 
 
+def layout_column(paths: Column) -> Column:
+    """layout_of for a column of paths."""
+    out = F.lit(None).cast("string")
+    for name, (at, need) in reversed(mappings().items()):
+        out = F.when(has_paths(paths, [at + n for n in need]), F.lit(name)).otherwise(out)
+    for name, (at, need) in reversed(mappings().items()):
+        out = F.when(paths == F.array(*[F.lit(at + n) for n in sorted(need)]), F.lit(name)).otherwise(out)
+    return out
+
+
+def turns_of(record: Column, name: str) -> Column:
+    """The turns (TURNS) of a variant in the layout of this name."""
+    at = mappings()[name][0]
+    _, kind, where = MAPPINGS[name[len(at) :]]
+    of = lambda field: F.try_variant_get(record, f"$.{at}{field}", "variant")
+    if kind == "list":
+        array, role, text = where
+        made = F.transform(F.try_variant_get(record, f"$.{at}{array}", "array<variant>"), entry(role, text))
+    else:
+        # a null part is absent, and concat leaves it out
+        part = [(r, F.array_compact(F.array(*[variant_text(of(f)) for f in fs]))) for r, fs in where]
+        made = F.filter(F.array(*[F.when((F.size(p) > 0) | F.lit(r != "system"), F.struct(F.lit(r).alias("role"), F.array_join(F.filter(p, lambda x: x != ""), "\n\n").alias("text"))) for r, p in part]), lambda x: x.isNotNull())
+    return made.cast(TURNS)
+
+
+def survey(records: DataFrame, json_col: str = "record") -> DataFrame:
+    """fingerprint, layout (null: no mapping), records, paths: one row per fingerprint."""
+    v = F.try_parse_json(F.col(f"`{json_col}`"))
+    paths = records.select(F.when(v.isNotNull(), variant_paths(v)).alias("paths")).where("paths is not null")
+    counted = paths.groupBy(F.sha2(F.array_join("paths", "\n"), 256).alias("fingerprint")).agg(F.first("paths").alias("paths"), F.count(F.lit(1)).alias("records"))
+    return counted.select("fingerprint", layout_column(F.col("paths")).alias("layout"), "records", "paths")
+
+
 def canonical_json(records: DataFrame, json_col: str = "record") -> DataFrame:
     """records with fingerprint, layout and turns (TURNS) of each JSON record."""
-    v = F.try_parse_json(F.col(json_col))
-    paths = F.when(v.isNotNull(), variant_paths(v))
-    out = records.withColumn("__v", v).withColumn("__paths", paths)
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (need, kind, where) in reversed(MAPPINGS.items()):
-        fits = has_paths(F.col("__paths"), need)
-        if kind == "list":
-            array, role, text = where
-            items = F.try_variant_get("__v", f"$.{array}", "array<variant>")
-            made = F.transform(items, entry(role, text))
-        elif kind == "pairs":
-            # a null part is absent, and concat_ws leaves it out
-            part = [(r, F.array_compact(F.array(*[variant_text(F.try_variant_get("__v", f"$.{f}", "variant")) for f in fs]))) for r, fs in where]
-            made = F.filter(F.array(*[F.when((F.size(p) > 0) | F.lit(r != "system"), F.struct(F.lit(r).alias("role"), F.array_join(F.filter(p, lambda x: x != ""), "\n\n").alias("text"))) for r, p in part]), lambda x: x.isNotNull())
-        else:
-            continue
-        layout, turns = F.when(fits, F.lit(name)).otherwise(layout), F.when(fits, made).otherwise(turns)
-    return out.withColumn("fingerprint", F.sha2(F.array_join("__paths", "\n"), 256)).withColumn("layout", layout).withColumn("turns", turns.cast(TURNS)).drop("__v", "__paths")
+    made = ("fingerprint", "layout", "turns")
+    own = records.drop(*[c for c in records.columns if c.lower() in made and c != json_col])
+    value, key = free_name(own, "__value"), free_name(own, "__key")
+    v = F.try_parse_json(F.col(f"`{json_col}`"))
+    # stored, so that a fingerprint of very many records can be split
+    known = stage(survey(records, json_col).select(F.col("fingerprint").alias(key), F.col("layout").alias("layout")), "layouts")
+    print_ = F.when(v.isNotNull(), F.sha2(F.array_join(variant_paths(v), "\n"), 256))
+    joined = own.withColumn("fingerprint", print_).join(known, F.col("fingerprint") == F.col(key), "left").withColumn(value, v)
+    turns = F.lit(None).cast(TURNS)
+    for name in mappings():
+        if name != "turn_rows":
+            turns = F.when(F.col("layout") == name, turns_of(F.col(value), name)).otherwise(turns)
+    layout = F.when(F.col("layout") != "turn_rows", F.col("layout"))
+    return joined.select(*[F.col(f"`{c}`") for c in own.columns], "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
 
 def canonical_table(rows: DataFrame, id_col: str) -> DataFrame:
     """id_col, layout, fingerprint, turns of a typed table, by the layout of its schema."""
-    paths = schema_paths(rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != id_col]).schema)
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != id_col]
+    paths = schema_paths(rows.select(*rest).schema)
     name = layout_of(paths)
     if name is None:
         raise ValueError(f"no mapping for the layout {paths}")
-    kind, where = MAPPINGS[name][1:]
-    text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    if kind == "rows":
-        turn, role, text = where
+    if name == "turn_rows":
+        turn, role, text = MAPPINGS[name][2]
+        text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
         part = F.struct(F.col(turn).isNotNull().alias("known"), F.col(turn).alias("turn"), text_of(F.col(role)).alias("role"), text_of(F.col(text)).alias("text"))
-        out = rows.groupBy(F.col(id_col)).agg(F.array_sort(F.collect_list(part)).alias("all"))
-        turns = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    elif kind == "list":
-        array, role, text = where
-        out, turns = rows, F.transform(F.col(array), lambda x: F.struct(role_column(x[role]).alias("role"), text_of(x[text]).alias("text")))
+        out = rows.groupBy(F.col(f"`{id_col}`")).agg(F.array_sort(F.collect_list(part)).alias("all"))
+        turns = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).cast(TURNS)
     else:
-        out, here = rows, set(rows.columns)
-        part = [(r, F.array_compact(F.array(*[F.col(f).cast("string") for f in fs if f in here]))) for r, fs in where if here & set(fs)]
-        turns = F.filter(F.array(*[F.when((F.size(p) > 0) | F.lit(r != "system"), F.struct(F.lit(r).alias("role"), F.array_join(F.filter(p, lambda x: x != ""), "\n\n").alias("text"))) for r, p in part]), lambda x: x.isNotNull())
-    return out.select(F.col(id_col), F.lit(name).alias("layout"), F.lit(fingerprint(paths)).alias("fingerprint"), turns.cast(TURNS).alias("turns"))
+        out, turns = rows, F.coalesce(turns_of(F.parse_json(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})), name), F.array().cast(TURNS))
+    return out.select(F.col(f"`{id_col}`"), F.lit(name).alias("layout"), F.lit(fingerprint(paths)).alias("fingerprint"), turns.alias("turns"))
 
 
 # Template -----------------------------------------------------------------

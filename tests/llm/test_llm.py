@@ -169,19 +169,67 @@ def test_dominance_keeps_the_optimum():
 # 3 Licenses ---------------------------------------------------------------
 
 
-def test_license_blocks_are_all_found(docs):
+def test_license_blocks_are_all_found():
     rng = random.Random(5)
+    long = " ".join(f"long{i}" for i in range(70))
+    templates = [*licenses.TEMPLATES, ("long", long)]
     vocabulary = sorted({w for _, line in licenses.TEMPLATES for w in line.split()}) + ["zz", "yy"]
-    m = licenses.Matcher(licenses.TEMPLATES, {w.encode(): rng.randint(1, 99) for w in vocabulary})
-    for _ in range(150):
-        ws = [rng.choice(vocabulary).encode() for _ in range(rng.randint(0, 160))]
+    m = licenses.Matcher(templates, {w.encode(): rng.randint(1, 99) for w in vocabulary})
+    for k in range(150):
+        ws = [rng.choice(vocabulary[: 20 + k]).encode() for _ in range(rng.randint(0, 160))] + (long.encode().split() if k % 9 == 0 else [])
         want = set()
-        for b in range(0, max(len(ws), 1), licenses.STEP):
-            block = set(ws[b : b + licenses.BLOCK])
-            for t, (_, _, own, _) in enumerate(m.templates):
-                if len(own & block) >= licenses.THRESHOLD * len(own) - 1e-9:
-                    want.add((b, t, len(own & block)))
+        for at, t in enumerate(m.templates):
+            step = next(s for s in (20, 40, 80, 160) if s >= t.width)
+            for b in range(0, max(len(ws), 1), step):
+                n = len(t.own & set(ws[b : b + 2 * step]))
+                if n >= licenses.THRESHOLD * len(t.own) - 1e-9:
+                    want.add((b, 2 * step, at, n))
         assert set(m.blocks(ws)) == want
+        assert k % 9 or any(m.templates[t].label == "long" for *_, t, _ in want)
+    assert m.rejected > 0
+
+
+def brute_labels(ws, templates):
+    """label: share, by looking at all windows of all templates."""
+    out, sets = {}, [(label, line.split()) for label, line in templates]
+    for label, line in sets:
+        own = set(line)
+        need, width = -(-8 * len(own) // 10), len(line) + -(-len(line) // 4)
+        if len(own & set(ws)) < need:
+            continue
+        apart = [own - set(r) for other, r in sets if other != label and len(own & set(r)) >= need and own - set(r)]
+        for i in range(len(ws)):
+            held = own & set(ws[i : i + width])
+            if len(held) >= need and all(held & a for a in apart):
+                out[label] = max(out.get(label, 0), len(held) / len(own))
+    return out
+
+
+def brute_licenses(text):
+    ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    base = {label for phrase, label in licenses.PHRASES.items() for i in range(len(ws)) if ws[i : i + len(phrase.split())] == phrase.split()}
+    found = brute_labels(ws, licenses.TEMPLATES)
+    return ",".join(sorted(base | set(found))), max([1.0 if base else 0.0, *found.values()])
+
+
+def test_license_labels_are_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: brute_licenses(r.text) for r in docs.collect()}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs).collect()}
+    assert got == want and len({labels for labels, _ in want.values()}) > 3
+
+
+def test_license_labels_at_every_offset(spark):
+    rng = random.Random(9)
+    other = ["blue", "house", "tree", "river", "under", "the", "a"]
+    lines = [*licenses.TEMPLATES, ("gpl", "Licensed under the GNU General Public License"), ("", "a public license of general use"), ("lgpl", "licensed under the gnu lesser general xx public license")]
+    texts = [(" ".join([rng.choice(other) for _ in range(k)] + [line] + [rng.choice(other) for _ in range(30)]), label) for label, line in lines for k in range(61)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        text, label = texts[r.doc_id]
+        assert (r.labels, r.score) == brute_licenses(text)
+        assert set(r.labels.split(",")) - {"gpl", ""} == {label} - {"gpl", ""}, text
+    assert licenses.scan(df.limit(0)).count() == licenses.scan(df.limit(0), blocks=True).count() == 0
 
 
 def test_license_base(docs, odd):
@@ -319,11 +367,61 @@ def test_chat_nested_fields(spark):
     assert chat.canonical_json(df).where("id = 0").first().fingerprint == chat.fingerprint(chat.schema_paths(typed.schema))
 
 
+def test_chat_fingerprint_selects_the_mapping(spark):
+    """20 layouts in one column: each fingerprint has one mapping, and what has none is counted."""
+    import json
+
+    def record(k, i):
+        u, a = f"q{i}", f"a{i}"
+        made = [
+            {"messages": [{"role": "user", "content": u}, {"role": "assistant", "content": a}]},
+            {"conversations": [{"from": "human", "value": u}, {"from": "gpt", "value": a}]},
+            {"dialog": [{"speaker": "human", "text": u}, {"speaker": "bot", "text": a}]},
+            {"instruction": u, "output": a},
+            {"prompt": u, "completion": a},
+            {"prompt": u, "response": a},
+            {"question": u, "answer": a},
+            {"data": {"messages": [{"role": "user", "content": u}, {"role": "assistant", "content": a}]}},
+            {"sample": {"prompt": u, "completion": a}},
+            {"notes": {"prompt": u, "completion": a}},
+        ][k % 10]
+        return json.dumps(made if k < 10 else {**made, "id": i, "extra": {"x": [i]}})
+
+    names = ["messages", "conversations", "dialog", "instruction", "prompt", "prompt_response", "question", "data.messages", "sample.prompt", None]
+    rows = [(i, record(i % 20, i), "mine", 5) for i in range(200)] + [(200, None, "mine", 5), (201, "[", "mine", 5)]
+    df = spark.createDataFrame(rows, "id long, record string, __value string, turns int")
+    table = chat.survey(df).collect()
+    assert len(table) == 20 and all(r.records == 10 for r in table) and sum(r.layout is None for r in table) == 2
+    out = chat.canonical_json(df)
+    assert out.columns == ["id", "record", "__value", "fingerprint", "layout", "turns"]
+    by_print = {r.fingerprint: r.layout for r in table}
+    for r in out.collect():
+        want = names[r.id % 10] if r.id < 200 else None
+        assert r.layout == want == by_print.get(r.fingerprint) and r["__value"] == "mine"
+        assert (r.turns and [tuple(t) for t in r.turns]) == (want and [("user", f"q{r.id}"), ("assistant", f"a{r.id}")])
+    assert chat.canonical_json(df.limit(0)).count() == 0
+
+
+def test_chat_typed_tables(spark):
+    parts = "array<struct<type: string, text: string>>"
+    one = spark.createDataFrame([(1, [("user", [("text", "q"), ("text", "r")]), ("assistant", [("text", "a")])]), (2, None)], f"id long, messages array<struct<role: string, content: {parts}>>")
+    assert [[tuple(t) for t in r.turns] for r in chat.canonical_table(one, "id").orderBy("id").collect()] == [[("user", "q\n\nr"), ("assistant", "a")], []]
+    two = spark.createDataFrame([(1, "q", None, "a"), (2, None, "s", None)], "id long, prompt string, system string, completion string")
+    assert [[tuple(t) for t in r.turns] for r in chat.canonical_table(two, "id").orderBy("id").collect()] == [[("user", "q"), ("assistant", "a")], [("system", "s"), ("user", ""), ("assistant", "")]]
+    three = spark.createDataFrame([(1, 0, "user", "x", "p", "c")], "id long, turn long, role string, text string, prompt string, completion string")
+    assert [r.layout for r in chat.canonical_table(three, "id").collect()] == ["turn_rows"]
+
+
 def test_chat_odd_rows(spark):
-    rows = spark.createDataFrame([(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, None, None, "x", 1)], "conv_id long, turn long, role string, text string, turns int").drop("turns")
-    out = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.canonical_table(rows, "conv_id").collect()}
-    assert out == {1: [("user", ""), ("user", "")], None: [("", "x")]}
-    assert chat.canonical_table(rows.limit(0), "conv_id").count() == 0
+    long = "ab <|im_end|> " * 200_000
+    rows = [(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, None, None, "x", 1), (2, 1, "assistant", long, 1), (2, 0, "user", "", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int")
+    canonical = chat.canonical_table(df.withColumn("all", F.lit(1)).withColumn("layout", F.lit("x")).withColumn("fingerprint", F.lit(2)), "conv_id")
+    out = {r.conv_id: [tuple(t) for t in r.turns] for r in canonical.collect()}
+    assert out == {1: [("user", ""), ("user", "")], None: [("", "x")], 2: [("user", ""), ("assistant", long)]}
+    read = {r.conv_id: r for r in chat.parse_formatted(chat.format_turns(canonical, ["conv_id"]), ["conv_id"]).collect()}
+    assert {k: [tuple(t) for t in r.turns] for k, r in read.items()} == out and read[2].loss_texts == [long]
+    assert chat.canonical_table(df.limit(0), "conv_id").count() == 0
 
 
 # 6 Near dedup -------------------------------------------------------------
