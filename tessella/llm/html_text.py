@@ -30,7 +30,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -164,7 +164,7 @@ def leaf_blocks(page: str) -> list[Block]:
 # Features -----------------------------------------------------------------
 
 
-@cache
+@lru_cache(maxsize=1 << 16)
 def bucket(feature: str) -> int:
     h = 2166136261
     for b in feature.encode():

@@ -89,7 +89,15 @@ class Groups:
 
 
 def reduce_dominated(counts: np.ndarray, capacity: int, groups: Groups) -> None:
-    """Fix bins that dominate every other bin for their largest piece.
+    """Fix dominating bins until no length can be fixed any more."""
+    left = None
+    while left != counts.sum():
+        left = counts.sum()
+        _reduce_once(counts, capacity, groups)
+
+
+def _reduce_once(counts: np.ndarray, capacity: int, groups: Groups) -> None:
+    """Fix bins that dominate every other bin for their largest piece, longest pieces first.
 
     A bin dominates another if the other's pieces fit, in parts, into the
     places of its own pieces.  counts is lowered by what was fixed.

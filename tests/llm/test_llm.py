@@ -164,6 +164,9 @@ def test_dominance_keeps_the_optimum():
         packing.reduce_dominated(left, cap, groups)
         rest = [s for s in range(cap + 1) for _ in range(left[s])]
         assert sum(t for t, _ in groups.fixed) + fewest(rest, cap) == fewest(sizes, cap)
+        again = packing.Groups()
+        packing.reduce_dominated(left, cap, again)
+        assert not again.fixed
 
 
 # 3 Licenses ---------------------------------------------------------------
@@ -545,6 +548,14 @@ def test_html_pages(spark):
         assert r.text == " ".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def test_html_empty_and_very_long(spark):
+    body = "".join(f"<p>Sentence number {i} of a very long article, with some words in it.</p>" for i in range(20_000))
+    df = spark.createDataFrame([(1, "u", f"<html><body><article>{body}</article><footer>Copyright</footer></body></html>")], "page_id long, url string, html string")
+    got = html_text.extract(df).first()
+    assert got.text.startswith("Sentence number 0 of") and got.text.endswith("number 19999 of a very long article, with some words in it.") and got.n_chars == len(got.text)
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_html_odd(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, "u", "<p", 1), (4, None, "<article><p>A&amp;B <b>c</b><br>d<p>&nbsp;e", 1), (4, None, "<article><p>A&amp;B <b>c</b><br>d<p>&nbsp;e", 1), (None, "x", "<script>1<2</script><!-- x", 1)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
