@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Sentence ends, closers, markers.
-TERMINATORS, CLOSERS = "。！？!?…", "\"'”’」』）)】》"
+TERMINATORS, CLOSERS = "。！？!?…", "\"'”’」』）)】》〉"
 REFUSAL = "[INSUFFICIENT]"
 SENTENCE = f"[^{TERMINATORS}\\n]*(?:[{TERMINATORS}]+[{CLOSERS}]*(?:[ \\t]*\\n+)?|\\n+)|[^{TERMINATORS}\\n]+"
 CITATION, CANONICAL = r"\[[Cc][0-9][^\]]*\]", r"^\[C(?:0|[1-9][0-9]{0,2})\]$"
@@ -47,8 +47,8 @@ def normalize_query(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Default tokenizer: Han characters one by one, runs of other letters and digits, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+"), 0)
+    """Default tokenizer: Han characters one by one, runs of other letters and digits, other signs one by one, as they are written."""
+    return F.regexp_extract_all(text, F.lit(r"\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+|[^\s\p{L}\p{N}\p{Z}]"), 0)
 
 
 def sentences(text: Column) -> Column:
@@ -142,3 +142,9 @@ def versioned(*parts: Column, chars: int = 12) -> Column:
 def section(template: Column, name: str) -> Column:
     """Text between <name> and the first </name> after it, trimmed."""
     return collapse_ends(F.regexp_extract(template, f"(?s)<{name}>(.*?)</{name}>", 1))
+
+
+def split_keys(key: Column) -> Column:
+    """book, chapter, chunk of a key; null where it isn't one, chunk also null in a chapter's key."""
+    of = lambda g: F.when(F.rlike(key, F.lit(r"^book:[0-9]+:chapter:[0-9]+(?:#c[0-9]+)?$")), F.nullif(F.regexp_extract(key, r"^book:([0-9]+):chapter:([0-9]+)(?:#c([0-9]+))?$", g), F.lit("")).cast("int"))
+    return F.struct(of(1).alias("book"), of(2).alias("chapter"), of(3).alias("chunk"))

@@ -22,6 +22,11 @@ HAN = re.compile(r"[⺀-⿟々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿\U00020000-\
 SCHEMA = "doc_id long, chunk_index int, content string, token_count int, content_hash string"
 
 
+def normalised(text: str) -> str:
+    """normalize_minimal for one text."""
+    return re.sub(r"[^\S\n]+(?=\n|\Z)", "", re.sub(r"\r\n?", "\n", text))
+
+
 def estimate(text: str) -> int:
     han = len(HAN.findall(text))
     return math.floor(0.81 * han + 0.3 * (len(text) - han) + 0.5)
@@ -49,23 +54,53 @@ def tail(text: str, limit: int, count: Callable[[str], int]) -> str:
     return text[len(text) - low :] if low else ""
 
 
+def overlap_of(chunk: str, limit: int, count: Callable[[str], int]) -> str:
+    """What the next chunk repeats: the whole chunk if it is short, else as many last sentences as fit, else the longest end."""
+    if count(chunk) <= limit:
+        return chunk
+    held, total = "", 0
+    for unit in reversed(re.findall(SENTENCE, chunk)):
+        total += count(unit)
+        if total > limit:
+            break
+        held = unit + held
+    return held or tail(chunk, limit, count)
+
+
 def chunk_text(text: str, count: Callable[[str], int] = estimate, target: int = TARGET, overlap: int = OVERLAP, hard: int = HARD) -> list[str]:
+    """Sentences packed greedily up to target tokens, each sentence counted by itself.
+
+    A chunk begins with the overlap of the one before it if its first sentence
+    still fits beside it.  A sentence beyond target is cut into pieces of at
+    most hard tokens, each a chunk of its own after the overlap.
+    """
     out: list[str] = []
-    held, fresh = "", False  # fresh: held has more than the overlap
-    for unit in re.findall(SENTENCE, text):
-        parts = [unit] if count(unit) <= target else pieces_within(unit, hard, count)
-        if len(parts) > 1 and fresh:
+    held, size, room = "", 0, target  # size: tokens of the sentences, without the overlap
+
+    def close():
+        nonlocal held, size, room
+        if held:
             out.append(held)
-            held, fresh = tail(held, overlap, count), False
-        for part in parts:
-            if fresh and count(held + part) > target:
-                out.append(held)
-                held, fresh = tail(held, overlap, count), False
-            if not fresh and held and count(held + part) > target:
-                held = ""
-            held, fresh = held + part, True
-    if fresh:
-        out.append(held)
+        held, size, room = "", 0, target
+
+    for unit in re.findall(SENTENCE, text):
+        n = count(unit)
+        if n > target:
+            close()
+            for piece in pieces_within(unit, hard, count):
+                out.append((overlap_of(out[-1], overlap, count) if out else "") + piece)
+        elif held and size + n <= room:
+            held, size = held + unit, size + n
+        else:
+            close()
+            before = overlap_of(out[-1], overlap, count) if out else ""
+            spent = count(before)
+            if before and n <= target - spent:
+                held, room = before + unit, target - spent
+            else:
+                held = unit
+            size = n
+    close()
     return out
 
 
@@ -77,7 +112,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, c in enumerate(chunk_text(text or "")):
-                    for column, value in zip(rows, (doc_id, i, c, estimate(c), hashlib.sha256(c.encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
+                    for column, value in zip(rows, (doc_id, i, c, estimate(c), hashlib.sha256(normalised(c).encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "chunk_index", "content", "token_count", "content_hash"])
 

@@ -11,18 +11,34 @@ WIDTH = 60
 BROADCAST = 2_000_000
 
 
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
 def window_hashes(text: str, width: int = WIDTH) -> np.ndarray:
-    """64-bit hashes of all windows of width code points, from prefix sums."""
+    """64-bit hashes of all windows of width code points, from prefix sums: a polynomial over mixed code points."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = len(x) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(width):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + (x[i : i + n] ^ np.uint64(0x5851F42D4C957F2D))
-            out ^= out >> np.uint64(29)
-    return out
+        x = (x + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        down, up = (np.cumprod(np.concatenate([[1], np.full(len(x) - 1, f)]).astype(np.uint64), dtype=np.uint64) for f in (np.uint64(INVERSE), np.uint64(BASE)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * down, dtype=np.uint64)])
+        out = (sums[width:] - sums[:-width]) * up[:n]
+        return out ^ (out >> np.uint64(29))
+
+
+def all_hashes(df: DataFrame, width: int = WIDTH) -> DataFrame:
+    """h: the distinct window hashes of df's texts."""
+
+    def run(batches):
+        for batch in batches:
+            own = [window_hashes(t, width) for t in batch.column(0).to_pylist() if t]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(own or [np.zeros(0, np.uint64)])).view(np.int64))], names=["h"])
+
+    return df.select("text").mapInArrow(run, "h long").distinct()
 
 
 def windows(df: DataFrame, *keep: str, width: int = WIDTH, only: np.ndarray | None = None) -> DataFrame:
@@ -59,8 +75,8 @@ def overlaps(docs: DataFrame, passages: DataFrame, width: int = WIDTH) -> DataFr
     Hashes only spare windows that can't match; those that may are compared as
     strings by a join.
     """
+    few = all_hashes(passages, width).limit(BROADCAST + 1).toPandas()["h"].to_numpy(np.int64).view(np.uint64)  # 8 bytes each, BROADCAST at most
+    only = np.sort(few) if len(few) <= BROADCAST else None
     known = windows(passages.where(F.length("text") >= width).withColumn("one", F.lit(1)), "one", width=width).select("w").distinct()
-    few = known.limit(BROADCAST + 1).toPandas() if known.count() <= BROADCAST else None
-    only = None if few is None else np.unique(np.array([window_hashes(w, width)[0] for w in few["w"]], np.uint64))
     found = windows(docs, "doc_id", width=width, only=only).join(known, "w", "left_semi")
     return found.groupBy("doc_id").agg(F.min("i").cast("long").alias("first_offset"), F.count(F.lit(1)).alias("windows"))

@@ -7,10 +7,13 @@ before it shuffles (WindowGroupLimit).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numbers import cosine, reciprocal_rank
+from ..functions.numbers import hash_score, reciprocal_rank
 from ..functions.text import tokens
+from ..sources.staging import staged
 
 K1, B = 1.5, 0.75
 DECIMALS = 9
@@ -22,43 +25,87 @@ def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
     return own.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("token")).groupBy("key", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_statistics(chunks: DataFrame, text: str) -> DataFrame:
-    """One row: number of chunks and their average length in tokens."""
-    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
-
-
 def document_frequencies(chunks: DataFrame, text: str) -> DataFrame:
     """token, df over all chunks."""
     return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, rank of the k best chunks of each query.
 
     queries: query_id, question.  Statistics are of all chunks; a token that a
-    question repeats counts repeatedly; ties go to the smaller key.
+    question repeats counts repeatedly; ties go to the smaller key.  allowed
+    (key, or query_id and key) leaves only those chunks in the ranking, scored
+    as without it; without rows nothing is found.
+
+    Chunks are tokenised once: beside its asked tokens each chunk has one row
+    without token, from which the statistics come.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select("token").distinct()
+    vocabulary = asked.select(F.col("token").alias("wanted")).distinct().unionByName(chunks.sparkSession.createDataFrame([(None,)], "wanted string"))
     own = chunks.select(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    # only tokens that are asked for leave the scan; the vocabulary is as small as the questions
-    used = own.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("token")).join(F.broadcast(vocabulary), "token").groupBy("key", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    flat = own.select("key", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("token"))
+    # what isn't asked for doesn't leave the scan
+    used = flat.join(vocabulary, F.col("token").eqNullSafe(F.col("wanted")), "left_semi").groupBy("key", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    statistics = used.where("token is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl").cast("double") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
+    used = used.where("token is not null")
     df = used.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n, avgdl = F.col("n").cast("double"), F.col("avgdl")
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = used.join(F.broadcast(df), "token").join(F.broadcast(asked), "token").join(F.broadcast(corpus_statistics(chunks, text)))
+    scored = used.join(df, "token").join(asked, "token").join(F.broadcast(statistics))  # one row
     scored = scored.groupBy("query_id", "key").agg(F.round(F.sum(part), DECIMALS).alias("score")).where("score > 0")
+    if allowed is not None:
+        scored = scored.join(allowed, [c for c in ("query_id", "key") if c in allowed.columns], "left_semi").select("query_id", "key", "score")
     return top(scored, k)
 
 
+#: Queries that are compared with all vectors in one pass.
+QUERY_BLOCK = 2048
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_key", vector: str = "embedding", k: int = 60, where: Column | None = None) -> DataFrame:
-    """query_id, key, score, rank of the k nearest vectors; filters come before the ranking."""
+    """query_id, key, score, rank of the k nearest vectors; filters come before the ranking.
+
+    Queries are the stated small side; they go round in blocks of QUERY_BLOCK,
+    so what is broadcast is bounded.  A batch of vectors is multiplied with a
+    block at once and passes on its k best a query, ties included.  Vectors of
+    no length are near nothing; vectors of another size are an error.
+    """
     known = vectors.where(F.col(vector).isNotNull())
-    known = known.where(where) if where is not None else known
-    blocks = queries.agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("qs"))
-    scored = known.join(F.broadcast(blocks)).select(F.col(key).alias("key"), F.col(vector).alias("v"), F.explode("qs").alias("x"))
-    return top(scored.select(F.col("x.query_id").alias("query_id"), "key", F.round(cosine(F.col("v"), F.col("x.q")), DECIMALS).alias("score")), k)
+    known = (known.where(where) if where is not None else known).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    fields = {f.name: f.dataType.simpleString() for f in [*queries.select("query_id").schema, *known.select("key").schema]}
+    schema = f"query_id {fields['query_id']}, key {fields['key']}, score double"
+    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where("q is not null").collect()
+    out = None
+    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
+        block = rows[at : at + QUERY_BLOCK]
+        matrix = np.array([r["q"] for r in block], float).reshape(len(block), -1)
+        shared = known.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in block]), unit(matrix)))
+        found = known.mapInArrow(lambda batches, shared=shared: best_of_batches(batches, *shared.value, k), schema)
+        out = found if out is None else out.unionByName(found)
+    return top(out, k)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; of no length stay without direction (not a number)."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def best_of_batches(batches, ids: pa.Array, block: np.ndarray, k: int):
+    """query_id, key, score of the best of each batch (key, v)."""
+    for batch in batches:
+        if not batch.num_rows or not len(block):
+            continue
+        size = np.diff(batch.column(1).offsets.to_numpy())
+        if (size != block.shape[1]).any():
+            raise ValueError("vectors differ in length")
+        score = np.round(unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)) @ block.T, DECIMALS)
+        score[np.isnan(score)] = -np.inf
+        least = np.partition(score, -k, axis=0)[-k] if batch.num_rows > k else np.full(len(block), -2.0)
+        q, row = np.nonzero((score >= least).T & (score > -np.inf).T)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(row)), pa.array(score[row, q])], names=["query_id", "key", "score"])
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -84,11 +131,44 @@ def fuse(*channels: DataFrame, k: int = 60) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(order)).drop("seen")
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, key: str, text: str, vector_key: str, k: int = 60, out: int = 24) -> DataFrame:
-    """The first out fused hits of each query (query_id, question, vector)."""
-    words = bm25(chunks, queries.select("query_id", "question"), key, text, k)
-    dense = nearest(vectors, queries.select("query_id", "vector"), vector_key, "embedding", k)
-    return fuse(dense, words).where(F.col("rank") <= out)
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms: DataFrame, k: int = 60, pool: int = 32, out: int = 24, **caps: int) -> DataFrame:
+    """query_id, stage, key, rank, score, reason of a whole retrieval: every stage's rows.
+
+    chunks: key, chapter, chunk_index, content, tokens.  vectors: key,
+    embedding, chapter.  queries: query_id, question, vector.  realms:
+    query_id, low, high, both inclusive.  Stages: keyword and dense inside the
+    realm (keyword scores from statistics of all chunks), fused, reranked (the
+    first pool of them, scored by a hash where no model is given) and
+    assembled, with the reason of what assembly leaves out.
+    """
+    places = chunks.select("key", "chapter")
+    allowed = places.join(realms, F.col("chapter").between(F.col("low"), F.col("high"))).select("query_id", "key")
+    # stages are read several times: each is stored once
+    words = staged(bm25(chunks, queries.select("query_id", "question"), "key", "content", k, allowed), "keyword")
+    # the realm of a query is a range, so its vectors are ranked after the filter
+    every = staged(nearest_allowed(vectors, queries, realms, k), "dense")
+    fused = staged(fuse(every, words), "fused")
+    asked, texts = queries.select("query_id", "question"), chunks.select("key", "content", "chapter", "chunk_index", "tokens")
+    ranked = fused.where(F.col("rank") <= pool).join(asked, "query_id").join(texts, "key")
+    score = hash_score(F.col("question"), F.col("content"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "fused_rank")
+    second = ranked.select("query_id", "key", "chapter", "tokens", F.col("rank").alias("fused_rank"), score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= out)
+    second = staged(second, "reranked")
+    last = assemble(second.select("query_id", "key", "chapter", "rank", "tokens", F.lit(True).alias("in_realm")), **caps)
+    stage = lambda df, name, score: df.select("query_id", F.lit(name).alias("stage"), "key", F.col("rank").cast("long").alias("rank"), score.cast("double").alias("score"), F.lit(None).cast("string").alias("reason"))
+    own = F.col("score")
+    done = last.select("query_id", F.lit("assembled").alias("stage"), "key", F.col("rank").cast("long").alias("rank"), F.lit(None).cast("double").alias("score"), "reason")
+    return stage(words, "keyword", own).unionByName(stage(every, "dense", own)).unionByName(stage(fused, "fused", own)).unionByName(stage(second, "reranked", own)).unionByName(done)
+
+
+def nearest_allowed(vectors: DataFrame, queries: DataFrame, realms: DataFrame, k: int) -> DataFrame:
+    """nearest with each query's own realm: queries of one realm are asked together, in one pass each."""
+    out = None
+    for low, high in [(r["low"], r["high"]) for r in realms.select("low", "high").distinct().orderBy("low", "high").collect()]:  # one row per reading position asked for
+        own = queries.join(realms.where((F.col("low") == low) & (F.col("high") == high)), "query_id", "left_semi")
+        found = nearest(vectors, own, "key", "embedding", k, F.col("chapter").between(low, high))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else nearest(vectors, queries.limit(0), "key", "embedding", k)
 
 
 # Reasons for what assembly leaves out.

@@ -109,7 +109,7 @@ def url_parts(spark, sf_dir):
 
 # Retrieval ----------------------------------------------------------------
 
-_TOKENS = r"regexp_extract_all(lower({t}), '\p{{Han}}|[\p{{L}}\p{{N}}]+')"
+_TOKENS = r"regexp_extract_all({t}, '\p{{Han}}|[\p{{L}}\p{{N}}]+|[^\s\p{{L}}\p{{N}}\p{{Z}}]')"
 _BM25 = f"""
     asked0 AS (SELECT item_id AS query_id, unnest({_TOKENS.format(t='text')}) AS token FROM benchmark),
     asked AS (SELECT query_id, token, count(*) AS qtf FROM asked0 GROUP BY ALL),
@@ -298,7 +298,8 @@ def in_flight_gauge(spark, sf_dir):
 @register("""SELECT user_id, arg_max(event_type, event_id) AS last_type, arg_min(event_type, event_id) AS first_type, max(event_id) AS last_event FROM events GROUP BY user_id""")
 def last_row_wins(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
-    return e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"), F.min_by("event_type", "event_id").alias("first_type"), F.max("event_id").alias("last_event"))
+    last = evaluation.last_wins(e.withColumn("order", F.col("event_id")), ["user_id"], "order").select("user_id", F.col("event_type").alias("last_type"), F.col("event_id").alias("last_event"))
+    return last.join(e.groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("first_type")), "user_id")
 
 
 @register("""WITH i AS (SELECT event_id, user_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -368,21 +369,14 @@ def first_appearance(spark, sf_dir):
     return f.withColumn("n", F.row_number().over(Window.orderBy("first_id")))
 
 
-@register(r"""WITH t AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS token FROM documents),
-    c AS (SELECT token, source, count(*) AS n FROM t WHERE length(token) >= 2 AND NOT regexp_full_match(token, '\d+') GROUP BY ALL)
+@register(r"""WITH t AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(text, '[\p{L}\p{N}]+'))) AS token FROM documents),
+    c AS (SELECT token, source, count(*) AS n FROM t WHERE length(token) >= 2 AND NOT regexp_full_match(token, '[0-9]+') GROUP BY ALL)
     SELECT token, max(n) AS most FROM c GROUP BY token ORDER BY most DESC, token LIMIT 12""")
 def concentrated_terms(spark, sf_dir):
     t = read(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token")).where((F.length("token") >= 2) & ~F.col("token").rlike("^[0-9]+$"))
     return t.groupBy("token", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max("n").alias("most")).orderBy(F.desc("most"), "token").limit(12)
 
 
-@register("""SELECT lang, count(*) FILTER (quality = 0) AS low, count(*) FILTER (quality = 1) AS high, count(*) FILTER (quality IS NULL) AS unknown FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""")
-def loss_cross_tab(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
-    kind = F.when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high").otherwise("unknown")
-    return d.withColumn("k", kind).groupBy("lang").pivot("k", ["low", "high", "unknown"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
 # Joins and sets -----------------------------------------------------------
 
 
@@ -406,14 +400,6 @@ def nearest_keys(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lag("o_orderkey").over(w).alias("prev_key"), F.lead("o_orderkey").over(w).alias("next_key"))
 
 
-@register("""WITH c AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)
-    SELECT conv_id, count(*) AS length, count(nxt) + 1 AS walked, count(*) = count(nxt) + 1 AS complete FROM c GROUP BY conv_id""")
-def chain_walk(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("depth"))
-    return c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("length"), F.max("depth").cast("long").alias("walked"), (F.count(F.lit(1)) == F.max("depth")).alias("complete"))
-
-
 @register("""WITH a AS (SELECT n_nationkey, count(*) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey), b AS (SELECT n_nationkey, count(*) AS v FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_nationkey)
     SELECT coalesce(a.n_nationkey, b.n_nationkey) AS k, a.v AS old, b.v AS new FROM a FULL JOIN b USING (n_nationkey) WHERE a.v IS DISTINCT FROM b.v""")
 def summary_diff(spark, sf_dir):
@@ -442,4 +428,4 @@ def json_keys(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "map<string,string>")[first].isNotNull().alias("has_first"), F.size("ks").cast("long").alias("n_keys"), first.alias("first_key"))
 
 
-from . import records as _records  # noqa: E402, F401  (registers more queries)
+from . import books as _books, records as _records  # noqa: E402, F401  (register more queries)

@@ -5,7 +5,7 @@ Nothing is inferred: a line that doesn't fit its schema ends the job.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import content_hash, normalize_minimal
 
@@ -20,15 +20,19 @@ def read_corpus(spark: SparkSession, path: str, book: int = 1) -> DataFrame:
     """Chapters of a JSON-lines file; the line number, from 1, is the chapter's index.
 
     Lines keep their order by their byte place in the file: each task numbers
-    its lines, and a task's first number follows from the counts before it.
+    its lines, and a task's first number follows from the counts before it.  A
+    blank line is an error, as are one that isn't a record and one that lacks a
+    field or has no text.
     """
-    lines = spark.read.text(path).where(F.length("value") > 0)
+    lines = spark.read.text(path)
     placed = lines.withColumn("__at", F.monotonically_increasing_id())
     part = F.shiftright("__at", 33)
     counts = placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("low"))
     before = counts.select("p", "low", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a task
     order = Window.partitionBy("p").orderBy("__at")
     numbered = placed.withColumn("p", part).join(F.broadcast(before), "p").withColumn("chapter_index", (F.col("before") + F.row_number().over(order)).cast("int"))
+    value = F.when(F.trim("value") == "", F.raise_error(F.format_string("line %d is blank", "chapter_index")).cast("string")).otherwise(F.col("value"))
+    numbered = numbered.withColumn("value", value)
     parsed = numbered.select("chapter_index", F.from_json("value", CORPUS, {"mode": "FAILFAST"}).alias("r")).select("chapter_index", "r.*")
     missing = [c for c in ("id", "vol", "title", "url", "images", "text")]
     bad = F.greatest(*[F.col(c).isNull().cast("int") for c in missing]) == 1
@@ -39,8 +43,12 @@ def read_corpus(spark: SparkSession, path: str, book: int = 1) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON file per question, with its file name."""
-    return spark.read.schema(QUESTION).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    """One JSON file per question, with its file name; schema.json and example.json aren't questions, and a folder without any is an error."""
+    rows = spark.read.schema(QUESTION).option("multiLine", True).json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1)).where("file not in ('schema.json', 'example.json')")
+    if rows.select("file").isEmpty():
+        raise ValueError(f"{path} has no questions")
+    broken = F.when(F.col("id").isNull(), F.raise_error(F.concat(F.col("file"), F.lit(" isn't a question"))).cast("string")).otherwise(F.col("id"))
+    return rows.withColumn("id", broken)
 
 
 def evidence(questions: DataFrame) -> DataFrame:
@@ -54,13 +62,24 @@ def replace_book(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
 
 
+def guarded(rows: DataFrame, most: int = 500) -> DataFrame:
+    """rows; a string beyond most characters, at any depth, ends the job."""
+
+    def check(column: Column, kind: T.DataType, name: str) -> Column:
+        if isinstance(kind, T.StringType):
+            return F.when(F.length(column) > most, F.raise_error(F.lit(f"{name} is too long")).cast("string")).otherwise(column)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(column, lambda x: check(x, kind.elementType, name))
+        if isinstance(kind, T.StructType):
+            return F.when(column.isNotNull(), F.struct(*[check(column[f.name], f.dataType, f"{name}.{f.name}").alias(f.name) for f in kind.fields]))
+        return column
+
+    return rows.select(*[check(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in rows.schema.fields])
+
+
 def write_records(rows: DataFrame, path: str) -> None:
-    """JSON lines with sorted keys and explicit nulls, refusing strings beyond 500 characters."""
-    for f in rows.schema.fields:
-        if f.dataType.simpleString() == "string":
-            guard = F.when(F.length(f.name) > 500, F.raise_error(F.lit(f"{f.name} is too long")).cast("string")).otherwise(F.col(f.name))
-            rows = rows.withColumn(f.name, guard)
-    rows.select(*sorted(rows.columns)).write.option("ignoreNullFields", "false").json(path)
+    """JSON lines with sorted keys and explicit nulls, refusing strings beyond 500 characters at any depth."""
+    canonical_lines(guarded(rows)).write.text(path)
 
 
 def frames(events: DataFrame) -> DataFrame:
@@ -80,3 +99,78 @@ def fold_events(events: DataFrame) -> DataFrame:
     text = F.array_join(F.transform(F.filter("es", lambda e: e["name"] == "delta"), lambda e: e["text"]), "")
     failed = error | ~F.exists("es", lambda e: e["name"] == "done")
     return got.select("request_id", F.when(failed, "generation_failed").otherwise(done["status"]).alias("status"), F.when(failed, "").otherwise(text).alias("text"))
+
+
+def placed(rows: DataFrame, order: str) -> DataFrame:
+    """rows with place, from 0, in the order of a column: ranges are sorted by themselves and counted, so no task gets all rows."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    counts = ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a task
+    own = ranged.withColumn("p", part).join(F.broadcast(before), "p")
+    return own.withColumn("place", (F.col("before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__at", "p", "before")
+
+
+def canonical_lines(rows: DataFrame) -> DataFrame:
+    """value: each row as compact JSON with sorted keys and explicit nulls, nested ones too."""
+
+    def sorted_(column, kind):
+        if isinstance(kind, T.StructType):
+            made = F.struct(*[sorted_(column[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+            return F.when(column.isNotNull(), made)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(column, lambda x: sorted_(x, kind.elementType))
+        return column
+
+    parts = [sorted_(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(rows.schema.fields, key=lambda f: f.name)]
+    return rows.select(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def dataset_hash(rows: DataFrame, by: str = "id") -> str:
+    """Hash of the canonical lines in the order of a column, joined by LF; lines come to the driver one partition at a time."""
+    import hashlib
+
+    total, first = hashlib.sha256(), True
+    ordered = rows.select(by, F.struct(*rows.columns).alias("r")).orderBy(by)
+    for row in canonical_lines(ordered.select("r.*")).toLocalIterator():
+        total.update((("" if first else "\n") + row["value"]).encode())
+        first = False
+    return total.hexdigest()
+
+
+# The fields of a retrieval record that a run writes, and what a generation's status may be.
+RETRIEVAL_RECORD = "question_id string, type string, level string, hit int, mapped int, total int, leak int, keys array<string>, dense array<string>, keyword array<string>, fused array<string>, rerank array<string>, assembled array<string>, dropped array<string>"
+STATUSES = ("answered", "insufficient_evidence", "generation_failed")
+RETIRED = ("difficulty",)
+
+
+def read_records(spark: SparkSession, path: str, schema: str = RETRIEVAL_RECORD) -> DataFrame:
+    """Score records of a JSON-lines file.
+
+    Fields that the schema doesn't know end the job (a retired one is dropped),
+    as do values of another type, a status that isn't one, and an empty file.
+    """
+    lines = spark.read.text(path)
+    if lines.isEmpty():
+        raise ValueError(f"{path} has no records")
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    unknown = F.array_except(F.json_object_keys("value"), F.array(*[F.lit(n) for n in (*names, *RETIRED)]))
+    checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown field "), F.array_join(unknown, ", "))).cast("string")).otherwise(F.col("value"))
+    out = lines.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    if "status" in names:
+        out = out.withColumn("status", F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(F.raise_error(F.lit("unknown status")).cast("string")))
+    return out
+
+
+def read_mapping_lookup(spark: SparkSession, path: str) -> DataFrame:
+    """evidence_hash, chunk_key of a mapping run; rows that aren't matched stay, without key."""
+    rows = spark.read.schema("evidence_hash string, chunk_key string, status string").option("mode", "FAILFAST").json(path)
+    return rows.select("evidence_hash", F.when(F.col("status") == "matched", F.col("chunk_key")).alias("chunk_key"))
+
+
+def write_run(path: str, records: DataFrame, failures: DataFrame, summary: DataFrame) -> None:
+    """A run's folder: records, failures and summary, each a folder of JSON lines; nothing is written before all rows have passed."""
+    for rows in (records, failures, summary):
+        guarded(rows).write.format("noop").mode("overwrite").save()
+    for name, rows in (("records", records), ("failures", failures), ("summary", summary)):
+        write_records(rows, f"{path}/{name}")

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -75,8 +76,8 @@ def test_chunks_keep_order_and_limits():
     rng = random.Random(2)
     for _ in range(40):
         text = "".join(rng.choice(["词", "语", "。", "\n", "word ", "！"]) for _ in range(rng.randint(0, 3000)))
-        made = chunking.chunk_text(text)
-        assert all(chunking.estimate(c) <= chunking.TARGET for c in made)
+        made = chunking.chunk_text(text, len)
+        assert all(len(c) <= chunking.TARGET for c in made)
         assert all(c in text for c in made)
         at = 0
         for c in made:  # each chunk begins at or before the end of what is covered
@@ -87,6 +88,65 @@ def test_chunks_keep_order_and_limits():
     assert chunking.chunk_text("") == []
 
 
+def test_chunks_by_hand():
+    made = lambda t: chunking.chunk_text(t, len, target=10, overlap=4, hard=8)
+    assert made("abc。def。") == ["abc。def。"]
+    # the overlap is a whole sentence, if the next one fits beside it
+    assert made("abcde。xy。efg。") == ["abcde。xy。", "xy。efg。"]
+    # it doesn't fit: no overlap
+    assert made("abcde。xy。efghijk。") == ["abcde。xy。", "efghijk。"]
+    # no whole sentence fits into the overlap: the longest end of the last one
+    assert made("abcdefgh。ij。kl。") == ["abcdefgh。", "fgh。ij。kl。"]
+    # too long a sentence: pieces of at most 8, each after the overlap, and what follows begins anew
+    assert made("ab。" + "x" * 12 + "。cd。") == ["ab。", "ab。" + "x" * 8, "xxxx" + "xxxx。", "xxx。cd。"]
+    assert made("x" * 20) == ["x" * 8, "x" * 12, "x" * 8]
+    assert chunking.overlap_of("ab。cd。", 3, len) == "cd。" and chunking.overlap_of("abc", 3, len) == "abc" and chunking.overlap_of("abcdef。", 3, len) == "ef。"
+    assert chunking.normalised("a \r\nb\t") == "a\nb"
+
+
+def slow_chunks(text, count, target, overlap, hard):
+    """The same by lists of sentences and restarts, written for plainness."""
+    units, out, now = re.findall(chunking.SENTENCE, text), [], []
+
+    def before():
+        if not out:
+            return ""
+        c = out[-1]
+        if count(c) <= overlap:
+            return c
+        tails = re.findall(chunking.SENTENCE, c)
+        fitting = [tails[i:] for i in range(len(tails)) if sum(map(count, tails[i:])) <= overlap]
+        return "".join(fitting[0]) if fitting else next(c[i:] for i in range(len(c) + 1) if count(c[i:]) <= overlap)
+
+    i = 0
+    while i < len(units):
+        if count(units[i]) > target:
+            rest = units[i]
+            while rest:
+                n = max(k for k in range(1, len(rest) + 1) if count(rest[:k]) <= hard)
+                out.append(before() + rest[:n])
+                rest = rest[n:]
+            i += 1
+            continue
+        head = before()
+        head, room = (head, target - count(head)) if head and count(units[i]) <= target - count(head) else ("", target)
+        now = [units[i]]
+        i += 1
+        while i < len(units) and count(units[i]) <= target and sum(map(count, now)) + count(units[i]) <= room:
+            now.append(units[i])
+            i += 1
+        out.append(head + "".join(now))
+    return out
+
+
+def test_chunks_are_those_of_the_slow_way():
+    rng = random.Random(4)
+    for _ in range(150):
+        text = "".join(rng.choice(["词", "语", "。", "\n", "wd ", "！", "〉", "”", "abcdefgh"]) for _ in range(rng.randint(0, 120)))
+        for count, sizes in ((len, (20, 5, 12)), (chunking.estimate, (8, 3, 6))):
+            assert chunking.chunk_text(text, count, *sizes) == slow_chunks(text, count, *sizes)
+
+
 def test_turns_and_history(spark):
     rows = [(1, 1, "system", "a"), (1, 2, "user", "b" * 100), (1, 3, "assistant", "c" * 100), (1, 4, "user", "d"), (1, 5, "user", "e"), (1, 6, "assistant", "f")]
     m = spark.createDataFrame(rows, "session_id int, seq long, role string, content string")
