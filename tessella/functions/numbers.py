@@ -31,3 +31,12 @@ def reciprocal_rank(rank: Column, k: int = 60) -> Column:
 def hash_score(*parts: Column) -> Column:
     """A number in [0, 1] from the first 64 bits of a hash: the same everywhere."""
     return F.conv(F.left(F.sha2(F.concat_ws("\n", *parts), 256), F.lit(16)), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
+
+
+def progress(done: Column, all_: Column) -> Column:
+    """done of all_ between 0 and 1; 0 of nothing."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ratio(done, all_)))
+
+
+def ceil_div(n: Column, by: int) -> Column:
+    return -F.floor(-n / F.lit(by)).cast("long")

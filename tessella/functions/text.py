@@ -148,3 +148,23 @@ def split_keys(key: Column) -> Column:
     """book, chapter, chunk of a key; null where it isn't one, chunk also null in a chapter's key."""
     of = lambda g: F.when(F.rlike(key, F.lit(r"^book:[0-9]+:chapter:[0-9]+(?:#c[0-9]+)?$")), F.nullif(F.regexp_extract(key, r"^book:([0-9]+):chapter:([0-9]+)(?:#c([0-9]+))?$", g), F.lit("")).cast("int"))
     return F.struct(of(1).alias("book"), of(2).alias("chapter"), of(3).alias("chunk"))
+
+
+def coded_reason(reason: Column, key: Column) -> Column:
+    """reason:key; keys hold colons themselves, reasons don't."""
+    return F.concat(reason, F.lit(":"), key)
+
+
+def split_reason(coded: Column) -> Column:
+    parts = F.split(coded, ":", 2)
+    return F.struct(parts[0].alias("reason"), parts[1].alias("key"))
+
+
+def message_meta(**values: Column) -> Column:
+    """A message's meta data as JSON, in the order given, nulls included."""
+    return F.to_json(F.struct(*[v.alias(k) for k, v in values.items()]), {"ignoreNullFields": "false"})
+
+
+def meta_chapters(meta: Column) -> Column:
+    """The chapters of a message's meta data; none where it can't be read."""
+    return F.coalesce(F.from_json(F.get_json_object(meta, "$.chapters"), "array<long>"), F.array().cast("array<long>"))

@@ -278,12 +278,6 @@ def sequence_append(spark, sf_dir):
     return sessions.append(log, new)
 
 
-@register()
-def rate_limit(spark, sf_dir):
-    events = read(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return sessions.rate_limited(events.withColumn("at", F.col("us") / 1e6), limit=1, window_s=86_400.0).select("user_id", "event_id", "accepted")
-
-
 @register("SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS turns, count(DISTINCT event_type) AS kinds FROM events GROUP BY ALL")
 def daily_usage(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("turns"), F.countDistinct("event_type").alias("kinds"))
@@ -428,4 +422,4 @@ def json_keys(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "map<string,string>")[first].isNotNull().alias("has_first"), F.size("ks").cast("long").alias("n_keys"), first.alias("first_key"))
 
 
-from . import books as _books, records as _records  # noqa: E402, F401  (register more queries)
+from . import books as _books, logs as _logs, records as _records  # noqa: E402, F401  (register more queries)
