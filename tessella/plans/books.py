@@ -73,9 +73,9 @@ def ordered_lookup(spark, sf_dir):
     return catalog.lookup_in_order(asked, read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
 
 
-@register("SELECT l_orderkey AS query_id, l_suppkey % 4 AS chapter, arg_min(l_returnflag, l_linenumber * 10000000 + l_partkey) AS title FROM lineitem GROUP BY ALL")
+@register("SELECT l_orderkey AS query_id, l_suppkey % 4 AS chapter, arg_min('p' || l_partkey, l_linenumber * 10000000 + l_partkey) AS title FROM lineitem GROUP BY ALL")
 def context_titles(spark, sf_dir):
-    return catalog.context_chapters(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 4).alias("chapter"), F.col("l_returnflag").alias("title"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("place")))
+    return catalog.context_chapters(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 4).alias("chapter"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("title"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("place")))
 
 
 @register("""WITH RECURSIVE l AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),

@@ -212,7 +212,8 @@ def chunk_spans(spark, sf_dir):
 
 
 @register(f"""WITH {_SPANS},
-    ev AS (SELECT doc_id AS evidence_id, doc_id, substring(text, (doc_id % 97) * 10 + 1, 40) AS content FROM documents WHERE length(text) >= (doc_id % 97) * 10 + 40),
+    own AS (SELECT doc_id, substring(text, (length(text) * (doc_id % 97) // 97)::BIGINT + 1, 40) AS content FROM documents WHERE length(text) > 0),
+    ev AS (SELECT doc_id * 2 AS evidence_id, doc_id, content FROM own UNION ALL SELECT doc_id * 2 + 1, doc_id, content || chr(1) FROM own),
     places AS (SELECT evidence_id, doc_id, unnest(list_filter(range(0, length(text) - length(content) + 1), lambda i: substring(text, i::BIGINT + 1, length(content)) = content)) AS s0, length(content) AS n
         FROM ev JOIN documents USING (doc_id)),
     near AS (SELECT evidence_id, chunk_index, spans.start <= s0 AND s0 + n <= "end" AS covers, s0 + n - spans.start > overlap AS new, least(s0 + n, "end") - greatest(s0, spans.start) AS common
@@ -226,8 +227,10 @@ def chunk_spans(spark, sf_dir):
     FROM ev LEFT JOIN got USING (evidence_id)""")
 def evidence_mapping(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    at = (F.col("doc_id") % 97) * 10
-    evidence = docs.where(F.length("text") >= at + 40).select(F.col("doc_id").alias("evidence_id"), "doc_id", F.substr("text", at.cast("int") + 1, F.lit(40)).alias("content"))
+    at = F.floor(F.length("text") * (F.col("doc_id") % 97) / 97)
+    own = docs.where(F.length("text") > 0).select("doc_id", F.substr("text", at.cast("int") + 1, F.lit(40)).alias("content"))
+    # one piece of every document, and one that stands nowhere
+    evidence = own.select((F.col("doc_id") * 2).alias("evidence_id"), "doc_id", "content").unionByName(own.select((F.col("doc_id") * 2 + 1).alias("evidence_id"), "doc_id", F.concat("content", F.lit("\x01")).alias("content")))
     return mapping.locate(evidence, docs, mapping.spans(fixed_chunks(spark, sf_dir)))
 
 
