@@ -54,8 +54,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_STAGED: list[str] = []
+
+
 def stage_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(f"{shared_dir(spark)}/tessella/{label}-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
+def clear_stages(spark: SparkSession) -> None:
+    """Delete what this process has staged; call it when results that read from there are written."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

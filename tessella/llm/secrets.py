@@ -3,8 +3,8 @@
 Candidates
     Words that hold a run of 16 or more of ``[A-Za-z0-9_+/=.-]`` with a digit
     in it, or a run of 8 or more after ``password=`` or the like.  So is any
-    value of 8 or more, with or without a digit, that has a key word as label
-    in its word (``{"password":"hunter2secret"}``) or stands within two words
+    password in a link (``://name:password@``) and any value of 8 or more,
+    with or without a digit, that has a key word as label in its word (``{"password":"hunter2secret"}``) or stands within two words
     after a key word with ``=`` or ``:`` (``password = "..."``, YAML).  A text's
     words are looked at only if the text holds one of these at all.  Every such
     run of a word is a candidate of its own, with the label before it; one
@@ -45,7 +45,7 @@ TREES, DEPTH, LEAF, SEED, CUT = 25, 6, 5, 5, 0.5
 
 # Forms of keys, and words of contexts.
 PREFIXES = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xoxb-|xoxp-|AIza|eyJ|npm_|SG\\."
-SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|apikey|auth|credential|private[_-]?key|access[_-]?key|bearer"
+SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|apikey|auth|credential|private[ _-]?key|access[_-]?key|bearer"
 BENIGN_WORDS = "sha1|sha256|sha|commit|checksum|hash|md5|digest|uuid|guid|id|version|isbn|order|build|revision|etag|image|file|example|sample|dummy|test"
 DICTIONARY = (
     "the and for that with this from have not are was you all can had her one our out day get has him his how man new now old see two way who did its let put say she too use "
@@ -72,6 +72,9 @@ KEYED_WORD = rf"""(?i:{KEY_WORDS})[A-Za-z0-9_.-]{{0,24}}["'\\]*(?:=>|:=|[=:])["'
 WHOLE = rf"(?:{VALUE}+?(?=[!@#$%^*~]{HEAD})|{VALUE}+)"
 KEYED_RUNS = rf"""["'\\]*(?:^{HEAD}{WHOLE}|{WHOLE})["'\\]*"""
 
+# a password in a link: name, colon, password, at sign
+USERINFO = r"://[^\s/@:]*:([^\s/@]{6,})@"
+
 FEATURES = {
     "length": "double(length(c.core))",
     "transitions": "double(length(c.shape) - 1)",
@@ -97,7 +100,7 @@ def with_candidates(df: DataFrame, text: str, source: str, name: str) -> DataFra
     """df with the array of candidates (null: none)."""
     # the words are held once and searched in a lambda over a list of one
     pattern, keyed_word, long = F.lit(PATTERN), F.lit(KEYED_WORD), F.lit(f"{VALUE}{{8}}")
-    w_of = lambda h: F.flatten(F.filter(F.transform(h["ws"], lambda w, i: F.when(F.rlike(w, pattern) | (h["keyed"] & F.rlike(w, long) & (F.rlike(w, keyed_word) | keyed_before(h["ws"], w, i))), around(h, w, i))), lambda y: y.isNotNull()))
+    w_of = lambda h: F.flatten(F.filter(F.transform(h["ws"], lambda w, i: F.when(F.rlike(w, pattern) | F.rlike(w, F.lit(USERINFO)) | (h["keyed"] & F.rlike(w, long) & (F.rlike(w, keyed_word) | keyed_before(h["ws"], w, i))), around(h, w, i))), lambda y: y.isNotNull()))
 
     def words_before(ws, i, n):
         low = F.greatest(i - n + 1, F.lit(1))
@@ -117,7 +120,10 @@ def with_candidates(df: DataFrame, text: str, source: str, name: str) -> DataFra
 
         def of(n):
             found = F.flatten(F.transform(F.split(w, PARTS), lambda part: own(n, part, F.regexp_extract(part, f"^{HEAD}", 1))))
-            return F.transform(found, lambda r: candidate(i, n, r["x"], r["last"]))
+            inside = F.regexp_extract_all(w, F.lit(USERINFO), 1)
+            # what is found in a link already isn't taken twice
+            plain = F.filter(found, lambda r: ~F.exists(inside, lambda x: F.contains(r["x"], x) | F.contains(x, r["x"])))
+            return F.concat(F.transform(plain, lambda r: candidate(i, n, r["x"], r["last"])), F.transform(inside, lambda x: candidate(i, n, x, F.lit("password"))))
 
         return F.flatten(F.transform(F.array(near), of))
 
@@ -132,7 +138,7 @@ def with_candidates(df: DataFrame, text: str, source: str, name: str) -> DataFra
 
     keyed = F.rlike(F.col(text), F.lit(KEYED))
     held = F.array(F.struct(F.split(F.col(text), r"[\x20\x09-\x0D]+").alias("ws"), keyed.alias("keyed")))
-    return df.withColumn(name, F.when(F.rlike(F.col(text), pattern) | keyed, F.flatten(F.transform(held, w_of))))
+    return df.withColumn(name, F.when(F.rlike(F.col(text), pattern) | keyed | F.rlike(F.col(text), F.lit(USERINFO)), F.flatten(F.transform(held, w_of))))
 
 
 def features_sql(name: str) -> str:
@@ -210,6 +216,9 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
     prose = lambda: rng.choice([pick(low, rng.randint(8, 13)), pick(low, rng.randint(8, 13)).capitalize(), "".join(rng.choice(DICTIONARY) for _ in range(2)) + "ation"])
     setting = lambda v, key=secret: rng.choice(["{0}={1}", '{0}="{1}"', '{0} = "{1}"', "{0}: {1}", '{{"{0}":"{1}"}}', '"{0}": "{1}"', "{0} := '{1}'", '{0} ="{1}"']).format(key(), v)
     real = [
+        lambda: setting(pick(low, rng.randint(15, 26))),
+        lambda: setting(pick(low, rng.randint(15, 26))),
+        lambda: setting("".join(rng.choice(DICTIONARY) for _ in range(rng.randint(4, 6)))),
         lambda: setting(short()),
         lambda: setting(short()),
         lambda: setting(short()),
@@ -223,6 +232,8 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
         lambda: f"xoxb-{pick(digits, 11)}-{pick(alnum, 24)}",
         lambda: f"bearer eyJ{pick(alnum, 40)}.eyJ{pick(alnum, 60)}1",
         lambda: "AIza" + pick(alnum, 34) + rng.choice(digits),
+        lambda: f"{rng.choice(['postgres', 'mysql', 'mongodb', 'https', 'amqp', 'ftp'])}://{pick(low, rng.randint(3, 8))}:{rng.choice([short, value])()}@{pick(low, rng.randint(2, 9))}{rng.choice(['', '.example.com', ':5432', '.internal/db'])}",
+        lambda: f"-----BEGIN {rng.choice(['RSA ', 'EC ', '', 'OPENSSH '])}PRIVATE KEY----- {pick(alnum + '+/', 63)}{rng.choice(digits)}",
     ]
     fake = [
         lambda: setting(pick(hexes, rng.choice([32, 40, 64])) + rng.choice(digits), benign),
@@ -233,6 +244,8 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
         lambda: setting(rng.choice(["changeme", "undefined", "required", "********", "xxxxxxxx", "placeholder", "your-password", "your_token_here", "password", "example-secret"])),
         lambda: f"{secret()} = {rng.choice(['self', 'config', 'os.environ', 'request.form', 'settings'])}.{rng.choice(['get', 'client', 'user', 'default'])}_{secret()}",
         lambda: f"{benign()} {pick(hexes, rng.choice([32, 40, 64]))}1",
+        lambda: f"{rng.choice(['postgres', 'mysql', 'https', 'redis'])}://{rng.choice(['user', 'username', 'name'])}:{rng.choice(['password', 'changeme', '********', 'xxxxxxxx', 'your-password', 'example'])}@{pick(low, 6)}.example.com",
+        lambda: f"-----BEGIN {rng.choice(['CERTIFICATE', 'PUBLIC KEY', 'RSA PUBLIC KEY'])}----- {pick(alnum + '+/', 63)}{rng.choice(digits)}",
         lambda: f"{benign()}: {pick(hexes, 40)}2",
         lambda: f"{benign()}={pick(hexes, 32)}3",
         lambda: "-".join(pick(hexes, k) for k in (8, 4, 4, 4, 12)) + "1",
