@@ -21,6 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.staging import spread
+
 #: Java regular expression of one run of the separators that words_of uses.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: ... and of one word.
@@ -85,7 +87,8 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df  # long texts
 
 
 def unit_hash(*cols: str, seed: int) -> "F.Column":
