@@ -1,4 +1,4 @@
-"""Tables written to the folder that driver and executors share, to cut lineage."""
+"""Tables written to the folder that driver and executors share, to cut lineage; small files dealt to all cores."""
 
 from __future__ import annotations
 
@@ -25,3 +25,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{named.rstrip('/')}/tessella/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A scan of fewer bytes for each core is dealt anew: it may be one row group, which one task reads alone.
+SMALL_SCAN = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df of a file scan; with less than SMALL_SCAN bytes for each core its rows are dealt to as many tasks as there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_SCAN else df
