@@ -15,6 +15,12 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
 def window_hashes(text: str, width: int = WIDTH) -> np.ndarray:
     """64-bit hashes of all windows of width code points, from prefix sums: a polynomial over mixed code points."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -24,9 +30,9 @@ def window_hashes(text: str, width: int = WIDTH) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        down, up = (np.cumprod(np.concatenate([[1], np.full(len(x) - 1, f)]).astype(np.uint64), dtype=np.uint64) for f in (np.uint64(INVERSE), np.uint64(BASE)))
+        down, up = powers(INVERSE, len(x)), powers(BASE, n)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * down, dtype=np.uint64)])
-        out = (sums[width:] - sums[:-width]) * up[:n]
+        out = (sums[width:] - sums[:-width]) * up
         return out ^ (out >> np.uint64(29))
 
 

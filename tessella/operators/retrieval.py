@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import hash_score, reciprocal_rank
@@ -19,53 +20,110 @@ K1, B = 1.5, 0.75
 DECIMALS = 9
 
 
-def postings(chunks: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, tf, dl of every token of every chunk."""
-    own = chunks.select(F.col(key).alias("key"), tokens(F.col(text)).alias("ts"))
-    return own.select("key", F.size("ts").alias("dl"), F.explode("ts").alias("token")).groupBy("key", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def document_frequencies(chunks: DataFrame, text: str) -> DataFrame:
     """token, df over all chunks."""
     return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60, allowed: DataFrame | None = None) -> DataFrame:
+#: Queries that are scored against all chunks in one pass: their weights are one matrix.
+WORD_BLOCK, QUERY_BLOCK = 256, 2048
+
+
+def postings(chunks: DataFrame, vocabulary: list[str], key: str, text: str, place: str | None = None) -> DataFrame:
+    """key, place, dl, tokens, tfs of every chunk: its length, and which tokens of the vocabulary (by number) it holds how often."""
+    own = chunks.select(F.col(key).alias("key"), (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    names = pa.array(vocabulary, pa.string())
+
+    def run(batches):
+        for batch in batches:
+            ts = batch.column(2)
+            dl = np.diff(ts.offsets.to_numpy())
+            found = pc.fill_null(pc.index_in(ts.flatten(), value_set=names), -1).to_numpy().astype(np.int64)
+            row, inside = np.repeat(np.arange(len(dl)), dl), found >= 0
+            code, tf = np.unique(row[inside] * (len(names) + 1) + found[inside], return_counts=True)
+            ends = np.append(0, np.cumsum(np.bincount(code // (len(names) + 1), minlength=len(dl)))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code % (len(names) + 1), tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dl.astype(np.int32)), *lists], names=["key", "place", "dl", "tokens", "tfs"])
+
+    return own.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, place long, dl int, tokens array<int>, tfs array<int>")
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60, allowed: DataFrame | None = None, place: str | None = None, realms: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, rank of the k best chunks of each query.
 
-    queries: query_id, question.  Statistics are of all chunks; a token that a
+    queries: query_id, question; they are the stated small side and go round in
+    blocks of WORD_BLOCK.  Statistics are of all chunks; a token that a
     question repeats counts repeatedly; ties go to the smaller key.  allowed
-    (key, or query_id and key) leaves only those chunks in the ranking, scored
-    as without it; without rows nothing is found.
+    (key) leaves only those chunks in the ranking, scored as without it;
+    without rows nothing is found.  realms (query_id, low, high) does so for
+    each query by the chunks' place; a query without one finds nothing.
 
-    Chunks are tokenised once: beside its asked tokens each chunk has one row
-    without token, from which the statistics come.
+    Chunks are tokenised once and stored with the asked tokens only.  A batch
+    of them is multiplied with a block's weights and passes on its k best a
+    query, ties included, so pairs of queries and chunks are never shuffled.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    vocabulary = asked.select(F.col("token").alias("wanted")).distinct().unionByName(chunks.sparkSession.createDataFrame([(None,)], "wanted string"))
-    own = chunks.select(F.col(key).alias("key"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
-    flat = own.select("key", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(None).cast("string"))).alias("token"))
-    # what isn't asked for doesn't leave the scan
-    used = flat.join(vocabulary, F.col("token").eqNullSafe(F.col("wanted")), "left_semi").groupBy("key", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    statistics = used.where("token is null").agg(F.sum("tf").alias("n"), (F.sum(F.col("dl").cast("double") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    used = used.where("token is not null")
-    df = used.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n, avgdl = F.col("n").cast("double"), F.col("avgdl")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qtf") * idf * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / avgdl))
-    scored = used.join(df, "token").join(asked, "token").join(F.broadcast(statistics))  # one row
-    scored = scored.groupBy("query_id", "key").agg(F.round(F.sum(part), DECIMALS).alias("score")).where("score > 0")
-    if allowed is not None:
-        scored = scored.join(allowed, [c for c in ("query_id", "key") if c in allowed.columns], "left_semi").select("query_id", "key", "score")
-    return top(scored, k)
-
-
-#: Queries that are compared with all vectors in one pass.
-QUERY_BLOCK = 2048
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_key", vector: str = "embedding", k: int = 60, where: Column | None = None) -> DataFrame:
-    """query_id, key, score, rank of the k nearest vectors; filters come before the ranking.
+    asked: dict = {}
+    for r in queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n")).collect():
+        asked.setdefault(r["query_id"], {})[r["token"]] = r["n"]
+    vocabulary = sorted({t for own in asked.values() for t in own})
+    number = {t: i for i, t in enumerate(vocabulary)}
+    held = staged(postings(chunks, vocabulary, key, text, place), "postings")
+    size = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = np.zeros(len(vocabulary))
+    for r in held.select(F.explode("tokens").alias("t")).groupBy("t").count().collect():  # a row for each asked token at most
+        df[r["t"]] = r["count"]
+    idf = np.log(1 + (size["n"] - df + 0.5) / (df + 0.5))
+    bounds = None if realms is None else {r["query_id"]: (r["low"], r["high"]) for r in realms.select("query_id", "low", "high").collect()}
+    live = held if allowed is None else held.join(allowed.select("key"), "key", "left_semi").select(*held.columns)
+    ids, out = sorted(asked), None
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {held.schema['key'].dataType.simpleString()}, score double"
+    for at in range(0, max(len(ids), 1), WORD_BLOCK):
+        block = ids[at : at + WORD_BLOCK]
+        used = sorted({number[t] for q in block for t in asked[q]})
+        column = np.full(len(vocabulary) + 1, -1)
+        column[used] = np.arange(len(used))
+        weights = np.zeros((len(used), len(block)))
+        for j, q in enumerate(block):
+            for t, n in asked[q].items():
+                weights[column[number[t]], j] = n * idf[number[t]]
+        shared = held.sparkSession.sparkContext.broadcast((pa.array(block), column, weights, size["avgdl"] or 1.0, limits(block, bounds)))
+        found = live.mapInArrow(lambda batches, shared=shared: best_words(batches, *shared.value, k), schema)
+        out = found if out is None else out.unionByName(found)
+    return top(out, k)
+
+
+def limits(ids: list, bounds: dict | None) -> np.ndarray | None:
+    """Lowest and highest place of each query; a query without any has none."""
+    return None if bounds is None else np.array([bounds.get(q, (1, 0)) for q in ids], np.int64).reshape(-1, 2)
+
+
+def best_words(batches, ids: pa.Array, column: np.ndarray, weights: np.ndarray, avgdl: float, places: np.ndarray | None, k: int, rows: int = 512):
+    """query_id, key, score of the best of each batch of postings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows if len(ids) else 0, rows):
+            own = batch.slice(at, rows)
+            offsets = own.column(3).offsets.to_numpy()
+            row = np.repeat(np.arange(own.num_rows), np.diff(offsets))
+            token, tf = (column[own.column(3).flatten().to_numpy()], own.column(4).flatten().to_numpy().astype(float))
+            norm = (K1 * (1 - B + B * own.column(2).to_numpy() / avgdl))[row]
+            dense = np.zeros((own.num_rows, len(weights)))
+            inside = token >= 0
+            dense[row[inside], token[inside]] = (tf / (tf + norm))[inside]
+            yield best_rows(ids, own.column(0), np.round(dense @ weights, DECIMALS), 0.0, own.column(1).to_numpy(), places, k)
+
+
+def best_rows(ids: pa.Array, keys: pa.Array, score: np.ndarray, above: float, at: np.ndarray, places: np.ndarray | None, k: int) -> pa.RecordBatch:
+    """The k best keys of each query with a score above a bound, ties with the last one included."""
+    score = np.where(np.isnan(score), -np.inf, score)
+    if places is not None:
+        score[(at[:, None] < places[None, :, 0]) | (at[:, None] > places[None, :, 1])] = -np.inf
+    least = np.partition(score, -k, axis=0)[-k] if len(keys) > k else np.full(len(ids), -np.inf)
+    q, row = np.nonzero((score >= least).T & (score > above).T)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(row)), pa.array(score[row, q])], names=["query_id", "key", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_key", vector: str = "embedding", k: int = 60, where: Column | None = None, place: str | None = None, realms: DataFrame | None = None) -> DataFrame:
+    """query_id, key, score, rank of the k nearest vectors; filters come before the ranking, realms as for ``bm25``.
 
     Queries are the stated small side; they go round in blocks of QUERY_BLOCK,
     so what is broadcast is bounded.  A batch of vectors is multiplied with a
@@ -73,16 +131,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_key", vect
     no length are near nothing; vectors of another size are an error.
     """
     known = vectors.where(F.col(vector).isNotNull())
-    known = (known.where(where) if where is not None else known).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    fields = {f.name: f.dataType.simpleString() for f in [*queries.select("query_id").schema, *known.select("key").schema]}
-    schema = f"query_id {fields['query_id']}, key {fields['key']}, score double"
+    known = (known.where(where) if where is not None else known).select(F.col(key).alias("key"), (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"), F.col(vector).cast("array<double>").alias("v"))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {known.schema['key'].dataType.simpleString()}, score double"
     rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where("q is not null").collect()
+    bounds = None if realms is None else {r["query_id"]: (r["low"], r["high"]) for r in realms.select("query_id", "low", "high").collect()}
     out = None
     for at in range(0, max(len(rows), 1), QUERY_BLOCK):
         block = rows[at : at + QUERY_BLOCK]
-        matrix = np.array([r["q"] for r in block], float).reshape(len(block), -1)
-        shared = known.sparkSession.sparkContext.broadcast((pa.array([r["query_id"] for r in block]), unit(matrix)))
-        found = known.mapInArrow(lambda batches, shared=shared: best_of_batches(batches, *shared.value, k), schema)
+        ids = [r["query_id"] for r in block]
+        shared = known.sparkSession.sparkContext.broadcast((pa.array(ids), unit(np.array([r["q"] for r in block], float).reshape(len(block), -1)), limits(ids, bounds)))
+        found = known.mapInArrow(lambda batches, shared=shared: best_vectors(batches, *shared.value, k), schema)
         out = found if out is None else out.unionByName(found)
     return top(out, k)
 
@@ -93,19 +151,15 @@ def unit(x: np.ndarray) -> np.ndarray:
         return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def best_of_batches(batches, ids: pa.Array, block: np.ndarray, k: int):
-    """query_id, key, score of the best of each batch (key, v)."""
+def best_vectors(batches, ids: pa.Array, block: np.ndarray, places: np.ndarray | None, k: int):
+    """query_id, key, score of the best of each batch (key, place, v)."""
     for batch in batches:
         if not batch.num_rows or not len(block):
             continue
-        size = np.diff(batch.column(1).offsets.to_numpy())
-        if (size != block.shape[1]).any():
+        if (np.diff(batch.column(2).offsets.to_numpy()) != block.shape[1]).any():
             raise ValueError("vectors differ in length")
-        score = np.round(unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)) @ block.T, DECIMALS)
-        score[np.isnan(score)] = -np.inf
-        least = np.partition(score, -k, axis=0)[-k] if batch.num_rows > k else np.full(len(block), -2.0)
-        q, row = np.nonzero((score >= least).T & (score > -np.inf).T)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(row)), pa.array(score[row, q])], names=["query_id", "key", "score"])
+        score = np.round(unit(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)) @ block.T, DECIMALS)
+        yield best_rows(ids, batch.column(0), score, -np.inf, batch.column(1).to_numpy(), places, k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -141,12 +195,9 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms:
     first pool of them, scored by a hash where no model is given) and
     assembled, with the reason of what assembly leaves out.
     """
-    places = chunks.select("key", "chapter")
-    allowed = places.join(realms, F.col("chapter").between(F.col("low"), F.col("high"))).select("query_id", "key")
     # stages are read several times: each is stored once
-    words = staged(bm25(chunks, queries.select("query_id", "question"), "key", "content", k, allowed), "keyword")
-    # the realm of a query is a range, so its vectors are ranked after the filter
-    every = staged(nearest_allowed(vectors, queries, realms, k), "dense")
+    words = staged(bm25(chunks, queries.select("query_id", "question"), "key", "content", k, place="chapter", realms=realms), "keyword")
+    every = staged(nearest(vectors, queries, "key", "embedding", k, place="chapter", realms=realms), "dense")
     fused = staged(fuse(every, words), "fused")
     asked, texts = queries.select("query_id", "question"), chunks.select("key", "content", "chapter", "chunk_index", "tokens")
     ranked = fused.where(F.col("rank") <= pool).join(asked, "query_id").join(texts, "key")
@@ -161,16 +212,6 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms:
     return stage(words, "keyword", own).unionByName(stage(every, "dense", own)).unionByName(stage(fused, "fused", own)).unionByName(stage(second, "reranked", own)).unionByName(done)
 
 
-def nearest_allowed(vectors: DataFrame, queries: DataFrame, realms: DataFrame, k: int) -> DataFrame:
-    """nearest with each query's own realm: queries of one realm are asked together, in one pass each."""
-    out = None
-    for low, high in [(r["low"], r["high"]) for r in realms.select("low", "high").distinct().orderBy("low", "high").collect()]:  # one row per reading position asked for
-        own = queries.join(realms.where((F.col("low") == low) & (F.col("high") == high)), "query_id", "left_semi")
-        found = nearest(vectors, own, "key", "embedding", k, F.col("chapter").between(low, high))
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else nearest(vectors, queries.limit(0), "key", "embedding", k)
-
-
 # Reasons for what assembly leaves out.
 CHAPTER_CAP, CHUNK_CAP, TOP_CAP, REALM, BUDGET = "chapter_cap", "chapter_chunk_cap", "top_k_cap", "realm", "token_budget"
 
