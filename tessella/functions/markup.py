@@ -66,10 +66,22 @@ def blocks(text: Column) -> Column:
     return parse(text)
 
 
+_BOLD, _CODE = r"\*\*[^*]+\*\*", "`[^`]+`"
+
+
+def _runs(text: Column, marks: str) -> Column:
+    """Marked pieces and what stands between them, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)({marks}|(?:(?!{marks}).)+)"), F.lit(0))
+
+
 def inline(text: Column) -> Column:
-    """Bold, code and plain runs of a line, in order; unpaired marks are plain."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)(\*\*[^*]+\*\*|`[^`]+`|(?:(?!\*\*[^*]+\*\*|`[^`]+`).)+)"), F.lit(0)), lambda p: F.struct(
-        F.when(p.rlike(r"(?s)^\*\*[^*]+\*\*$"), "bold").when(p.rlike(r"(?s)^`[^`]+`$"), "code").otherwise("plain").alias("kind"), F.when(p.rlike(r"(?s)^\*\*[^*]+\*\*$"), F.regexp_replace(p, r"^\*\*|\*\*$", "")).when(p.rlike(r"(?s)^`[^`]+`$"), F.regexp_replace(p, "^`|`$", "")).otherwise(p).alias("text"))), lambda s: s["text"] != "")
+    """Bold, code and plain runs of a line, in order; unpaired marks are plain, and code inside bold is code."""
+    run = lambda kind, t: F.struct(F.lit(kind).alias("kind"), t.alias("text"))
+    bare = lambda p, n: F.substr(p, F.lit(n + 1), F.length(p) - 2 * n)
+    is_ = lambda p, mark: F.rlike(p, F.lit(f"(?s)^{mark}$"))
+    inner = lambda p: F.transform(_runs(bare(p, 2), _CODE), lambda x: F.when(is_(x, _CODE), run("code", bare(x, 1))).otherwise(run("bold", x)))
+    piece = lambda p: F.when(is_(p, _BOLD), inner(p)).when(is_(p, _CODE), F.array(run("code", bare(p, 1)))).otherwise(F.array(run("plain", p)))
+    return F.filter(F.flatten(F.transform(_runs(text, f"{_BOLD}|{_CODE}"), piece)), lambda s: s["text"] != "")
 
 
 def citation_segments(text: Column) -> Column:

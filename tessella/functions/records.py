@@ -20,7 +20,7 @@ STRING_LIMIT = 500
 _KINDS = {
     "object": lambda v: isinstance(v, dict), "array": lambda v: isinstance(v, list), "string": lambda v: isinstance(v, str), "null": lambda v: v is None,
     "boolean": lambda v: isinstance(v, bool), "number": lambda v: isinstance(v, int | float) and not isinstance(v, bool),
-    "integer": lambda v: not isinstance(v, bool) and (isinstance(v, int) or isinstance(v, float) and v.is_integer()),
+    "integer": lambda v: isinstance(v, int) and not isinstance(v, bool),
 }
 
 
@@ -46,7 +46,7 @@ def unsupported(schema, at: str = "") -> list[str]:
     if not isinstance(schema, dict):
         return []
     out = [f"{at}/{k}" for k in schema if k not in CHECKED and k not in ANNOTATIONS]
-    for k in ("items", "if", "then", "else", "not"):
+    for k in ("items", "additionalProperties", "if", "then", "else", "not"):
         out += unsupported(schema.get(k), f"{at}/{k}")
     for name, own in schema.get("properties", {}).items():
         out += unsupported(own, f"{at}/properties/{name}")
@@ -56,11 +56,14 @@ def unsupported(schema, at: str = "") -> list[str]:
 
 
 def problems(value, schema: dict, at: str = "$") -> Iterator[str]:
-    """Each violated keyword with its place."""
+    """Each violated keyword with its place; a value of a wrong type isn't looked at further.  1.0 is no integer."""
+    if not isinstance(schema, dict):  # true: anything
+        return
     kinds = schema.get("type", [])
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if kinds and not any(_KINDS[k](value) for k in kinds):
         yield f"{at}: type"
+        return
     if "const" in schema and not _equal(value, schema["const"]):
         yield f"{at}: const"
     if "enum" in schema and not any(_equal(value, x) for x in schema["enum"]):
@@ -83,6 +86,8 @@ def problems(value, schema: dict, at: str = "$") -> Iterator[str]:
                 yield from problems(v, own[k], f"{at}.{k}")
             elif schema.get("additionalProperties") is False:
                 yield f"{at}.{k}: additionalProperties"
+            else:
+                yield from problems(v, schema.get("additionalProperties", True), f"{at}.{k}")
     if isinstance(value, list):
         if len(value) < schema.get("minItems", 0):
             yield f"{at}: minItems"

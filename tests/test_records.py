@@ -49,6 +49,14 @@ def test_schema_column_and_unknown_keywords(spark):
 GOOD = {"verdict": "pass", "supported": True, "citations_valid": True, "complete": False, "refusal_correct": True, "issues": ["x"], "reason": "y", "extra": 1}
 
 
+def test_schema_of_additional_fields_and_strict_integers():
+    schema = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 2}}, "additionalProperties": {"type": "string", "minLength": 2}}
+    assert list(R.problems({"n": 1.0, "a": "x", "b": "xy", "c": 1}, schema)) == ["$.n: type", "$.a: minLength", "$.c: type"]
+    assert list(R.problems({"n": 1}, schema)) == ["$.n: minimum"] and list(R.problems({"n": True}, schema)) == ["$.n: type"]
+    assert R.unsupported({"additionalProperties": {"oneOf": []}}) == ["/additionalProperties/oneOf"]
+    assert list(R.problems({"x": 1}, {"additionalProperties": True})) == []
+
+
 def test_verdict_is_strict(spark):
     got = one(spark, json.dumps(GOOD), R.verdict)
     assert (got.verdict, got.complete, got.issues, got.reason) == ("pass", False, ["x"], "y")
@@ -93,6 +101,7 @@ def test_markdown_blocks(spark):
 
 def test_inline_and_segments(spark):
     assert [(s.kind, s.text) for s in one(spark, "a **b** `c` *d* **e", markup.inline)] == [("plain", "a "), ("bold", "b"), ("plain", " "), ("code", "c"), ("plain", " *d* **e")]
+    assert [(s.kind, s.text) for s in one(spark, "**a `b` c**`d`**`e`**", markup.inline)] == [("bold", "a "), ("code", "b"), ("bold", " c"), ("code", "d"), ("code", "e")]
     t = "x[C1][C02] y\n[C0]"
     got = one(spark, t, markup.citation_segments)
     assert "".join(s.piece for s in got) == t and [s.chapter for s in got] == [None, 1, None, 0]
