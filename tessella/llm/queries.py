@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the corpus pipeline, and their SQL.
+"""The registered queries of the operators and the corpus pipeline, and their SQL.
 
 Each query applies its operator to its whole table and derives the digest
 columns of its contract from the operator's own output.
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, html_text, licenses, mixing, near_dedup, packing, quality, secrets, token_store
+from . import byte_bpe, chat, exact_dedup, fill_middle, html_text, licenses, mixing, near_dedup, packing, periodic_runs, quality, secrets, token_store
 from .common import table
 from .tokens import default_tokenizer
 
@@ -78,10 +78,38 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = byte_bpe.default_ranks(), byte_bpe.default_pattern()
+    ids = byte_bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern)
+    return byte_bpe.decode_documents(ids, path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arranged = fill_middle.restore(fill_middle.arrange(table(spark, sf_dir, "documents")))
+    return arranged.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_periodic_tails(table(spark, sf_dir, "documents")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    length = -F.col("best.less")
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
-    for q in (op1_quality_rules, op2_best_fit_packing, op3_license_scans, op4_token_store, op5_chat_formatting, op6_near_dedup, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scans)
-}
+    for q in (
+        op1_quality_rules, op2_best_fit_packing, op3_license_scans, op4_token_store, op5_chat_formatting, op6_near_dedup, op7_html_extraction, op8_exact_dedup, op9_mixing, op10_secret_scans,
+        op11_byte_bpe, op12_fill_middle, op13_periodic_runs,
+    )
+}
 
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -132,4 +160,19 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, size, source_size, target,
             (whole + CASE WHEN more > 0 AND before + size / 2.0::DOUBLE <= more THEN 1 ELSE 0 END) * size AS taken
         FROM drawn JOIN plan ON drawn.source IS NOT DISTINCT FROM plan.source""",
+    "op12_fill_middle": r"""
+        WITH keyed AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+        drawn AS (
+            SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % (n + 1) AS a, ('0x' || substr(key, 9, 8))::BIGINT % (n + 1) AS b,
+                CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || substr(key, 17, 8))::BIGINT % 100 >= 90 THEN 'plain'
+                    WHEN ('0x' || substr(key, 25, 8))::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM keyed),
+        cut AS (
+            SELECT doc_id, text, n, form, substr(text, 1, least(a, b)) AS prefix, substr(text, least(a, b) + 1, greatest(a, b) - least(a, b)) AS middle, substr(text, greatest(a, b) + 1) AS suffix,
+                least(a, b) AS prefix_chars, greatest(a, b) - least(a, b) AS middle_chars
+            FROM drawn)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN prefix_chars END AS prefix_chars, CASE WHEN form <> 'plain' THEN middle_chars END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM cut""",
 }
