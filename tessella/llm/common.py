@@ -13,7 +13,6 @@ Staging
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -21,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..sources.staging import spread
+from ..sources.staging import shared_dir
 
 #: Java regular expression of one run of the separators that words_of uses.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -38,24 +37,6 @@ def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir.  Only a local[*] session,
-    where driver and executor are one process, may fall back to a temporary
-    folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    master = spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="tessella-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
 _STAGED: list[str] = []
 
 
@@ -87,8 +68,7 @@ def free_name(df: DataFrame, wish: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "pages") else df  # long texts
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def unit_hash(*cols: str, seed: int) -> "F.Column":

@@ -30,6 +30,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
+from collections.abc import Iterable
 from functools import cache, lru_cache
 
 import numpy as np
@@ -49,17 +51,52 @@ RAW = frozenset("script style textarea title noscript iframe noembed xmp templat
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl section article aside nav header footer main form body div td th select".split())
 
+#: Where a search for tags that another tag closes has to look.
+STOPS = SCOPES | {"p"} | frozenset().union(*CLOSES.values())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open block-level tag: what lies below it is read once and shared by the blocks inside.
+
+    inside and marks are buckets of features, DIM at most however deep a page
+    is nested; a node that adds none has its parent's.  Nodes with the same
+    tags above them have the same trail.  barrier: the depth of the nearest
+    tag, itself included, at which a search for tags to close has to look.
+    """
+
+    __slots__ = ("tag", "above", "inside", "marks", "trail", "barrier")
+
+    def __init__(self, tag: str, above: "Node | None", marks: frozenset[str], barrier: int):
+        self.tag, self.above, self.barrier = tag, above, barrier
+        self.trail: dict = above.trail.setdefault(tag, {}) if above else {}
+        self.inside = with_more(above.inside, (f"in={tag}",)) if above else NONE
+        self.marks = with_more(above.marks, [f"mark={w}" for w in marks]) if above else NONE
+
+
 class Block:
-    __slots__ = ("text", "path", "marks", "links", "tag")
+    __slots__ = ("text", "node", "marks", "links")
+
+    def __init__(self, text: str, node: Node, marks: frozenset[int], links: int):
+        self.text, self.node, self.marks, self.links = text, node, marks, links
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Tags of the ancestors, outermost first."""
+        out, node = [], self.node
+        while node.above:
+            out.append(node.tag)
+            node = node.above
+        return tuple(out[::-1])
 
-    def __init__(self, text: str, path: tuple[str, ...], marks: frozenset[str], links: int, tag: str):
-        self.text, self.path, self.marks, self.links, self.tag = text, path, marks, links, tag
+
+def with_more(buckets: frozenset[int], features: Iterable[str]) -> frozenset[int]:
+    new = {bucket(f) for f in features} - buckets
+    return buckets | new if new else buckets
 
 
 def attribute_words(attributes: str) -> frozenset[str]:
@@ -80,10 +117,69 @@ def attribute_words(attributes: str) -> frozenset[str]:
 NONE = frozenset()
 
 
+class Stack:
+    """The open tags of a page: nodes of block-level tags, and the inline tags open in the innermost.
+
+    Every step takes time by the tags that it opens or closes, not by the depth.
+    """
+
+    def __init__(self):
+        self.nodes = [Node("", None, NONE, 0)]
+        self.open: Counter[str] = Counter()
+        self.inline: dict[str, list[frozenset[str]]] = {}
+        self.inline_marks: Counter[str] = Counter()
+
+    def push(self, name: str, marks: frozenset[str]) -> None:
+        above = self.nodes[-1]
+        self.nodes.append(Node(name, above, marks, len(self.nodes) if name in STOPS else above.barrier))
+        self.open[name] += 1
+
+    def cut(self, depth: int) -> None:
+        for node in self.nodes[depth:]:
+            self.open[node.tag] -= 1
+        del self.nodes[depth:]
+        self.clear_inline()
+
+    def clear_inline(self) -> None:
+        if self.inline:
+            self.inline.clear()
+            self.inline_marks.clear()
+
+    def open_inline(self, name: str, marks: frozenset[str]) -> None:
+        self.inline.setdefault(name, []).append(marks)
+        self.inline_marks.update(marks)
+
+    def close(self, name: str) -> None:
+        if name in INLINE:
+            held = self.inline.get(name)
+            if held:
+                self.inline_marks.subtract(held.pop())
+        elif self.open[name] > 0:
+            depth = len(self.nodes) - 1
+            while self.nodes[depth].tag != name:
+                depth -= 1
+            self.cut(depth)
+
+    def close_for(self, name: str) -> None:
+        """What a block-level tag of this name closes by itself."""
+        depth = self.nodes[-1].barrier
+        while depth:
+            tag = self.nodes[depth].tag
+            if tag == "p" or tag in CLOSES.get(name, ()):
+                self.cut(depth)
+            elif tag in SCOPES:
+                break
+            depth = self.nodes[depth - 1].barrier
+
+    def marks(self) -> frozenset[int]:
+        here = self.nodes[-1].marks
+        return with_more(here, [f"mark={w}" for w, n in self.inline_marks.items() if n > 0]) if self.inline_marks else here
+
+
 def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in its order, those without text left out."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = Stack()
     held: list[str] = []
     links = 0
 
@@ -92,8 +188,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if held:
             text = SPACE.sub(" ", entities.unescape("".join(held))).strip()
             if text:
-                path = tuple(t for t, _ in stack if t not in INLINE)
-                out.append(Block(text, path, frozenset().union(*(m for _, m in stack)), min(links, len(text)), path[-1] if path else ""))
+                out.append(Block(text, stack.nodes[-1], stack.marks(), min(links, len(text))))
             held, links = [], 0
 
     at, n = 0, len(page)
@@ -105,14 +200,13 @@ def leaf_blocks(page: str) -> list[Block]:
         m = find(page, lt) if lt < n else None
         if m is not None and m.start() != lt:  # "<" as plain text
             part = page[at : m.start()]
-            end = m.start()
         else:
-            part, end = page[at:lt], lt
+            part = page[at:lt]
         if m is None:
-            part, end = page[at:], n
+            part = page[at:]
         if part:
             held.append(part)
-            if any(t == "a" for t, _ in stack):
+            if stack.inline.get("a"):
                 links += len(part)
         if m is None:
             break
@@ -122,19 +216,9 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if m.group(1):
-            if name in INLINE:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-                continue
-            end_block()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if name not in INLINE:
+                end_block()
+            stack.close(name)
             continue
         if name == "br" or name == "wbr":
             if name == "br":
@@ -142,21 +226,19 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if name not in INLINE:
             end_block()
-            while stack and stack[-1][0] in INLINE:
-                stack.pop()
-            for i in range(len(stack) - 1, -1, -1):  # what this tag closes by itself
-                t = stack[i][0]
-                if t == "p" or t in CLOSES.get(name, ()):
-                    del stack[i:]
-                elif t in SCOPES:
-                    break
+            stack.clear_inline()
+            stack.close_for(name)
         if name in VOID or m.group(3).endswith("/"):
             continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        stack.append((name, attribute_words(m.group(3)) if m.group(3) else NONE))
+        marks = attribute_words(m.group(3)) if m.group(3) else NONE
+        if name in INLINE:
+            stack.open_inline(name, marks)
+        else:
+            stack.push(name, marks)
     end_block()
     return out
 
@@ -177,20 +259,18 @@ def features(blocks: list[Block]) -> list[list[int]]:
     for i, b in enumerate(blocks):
         n = len(b.text)
         share = b.links / n
-        names = ["bias", f"tag={b.tag}", f"long={n.bit_length()}", f"links={int(share * 4)}"]
-        names += [f"in={t}" for t in set(b.path)]
-        names += [f"mark={w}" for w in b.marks]
+        names = ["bias", f"tag={b.node.tag}", f"long={n.bit_length()}", f"links={int(share * 4)}"]
         names.append("ends" if b.text[-1] in ".!?…。！？\"”»" else "open")
         names.append(f"commas={min(b.text.count(',') + b.text.count('، '), 3)}")
         names.append(f"shape={'copyright' if '©' in b.text or 'opyright' in b.text else 'plain'}")
         if i == 0:
             names.append("first")
         else:
-            same = blocks[i - 1].path == b.path
+            same = blocks[i - 1].node.trail is b.node.trail
             names.append("same" if same else "moved")
         if i == len(blocks) - 1:
             names.append("last")
-        out.append([bucket(x) for x in names])
+        out.append([*map(bucket, names), *b.node.inside, *b.marks])
     return out
 
 

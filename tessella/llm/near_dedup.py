@@ -330,7 +330,8 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, places: int = PLA
     made = stage(sketches(own, n, places, bands, rows), "sketches")
     # stored, as a join with an aggregate of the same rows isn't split where it is skewed
     classes = stage(made.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    member = stage(made.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left"), "members")
+    rep = F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")
+    member = stage(made.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").select("doc_id", "n_shingles", "set_id", rep), "members")
     reps = made.join(classes, (made["set_id"] == classes["set_id"]) & (made["doc_id"] == classes["rep"])).groupBy("doc_id", made["set_id"]).agg(F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     # ids with several texts connect their classes
     several = member.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).where("b <> high").drop("high")
