@@ -10,6 +10,9 @@ Method
     layout that is just what a mapping needs comes first, then the mapping that
     needs most paths, then the first one.
 
+    ``layouts`` is the one place that does so: mappings by the fingerprints of
+    the layouts that are just what they need, then the rule for larger ones.
+
     * ``canonical_table``: a typed table; its schema is the layout.
     * ``canonical_json``: a column of JSON records of mixed layouts; each
       record's paths are taken from the record (``schema_of_variant``), at any
@@ -90,14 +93,6 @@ def mappings() -> dict[str, tuple[str, list[str]]]:
     return dict(sorted(every.items(), key=lambda x: (bool(x[1][0]), -len(x[1][1]))))
 
 
-def layout_of(paths: list[str]) -> str | None:
-    """The mapping for the layout with these paths."""
-    there = mappings()
-    under = lambda n: any(p == n or p.startswith((f"{n}.", f"{n}[]")) for p in paths)
-    exact = (name for name, (at, need) in there.items() if sorted(at + n for n in need) == sorted(paths))
-    return next(exact, None) or next((name for name, (at, need) in there.items() if all(under(at + n) for n in need)), None)
-
-
 def fingerprint(paths: list[str]) -> str:
     """What Spark's fingerprint_column gives for these paths."""
     import hashlib
@@ -105,6 +100,14 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def exact_prints() -> dict[str, str]:
+    """fingerprint: name of the mapping that needs just the paths that it stands for."""
+    out: dict[str, str] = {}
+    for name, (at, need) in mappings().items():
+        out.setdefault(fingerprint([at + n for n in need]), name)
+    return out
+
+
 #: Parts of schema_of_variant's text: names, what opens and closes a level, types of leaves.
 TOKENS = r"`[^`]*(?:``[^`]*)*`(?=: )|[A-Za-z0-9_]+(?=: )|OBJECT<>|OBJECT<|ARRAY<|>|[A-Z_]+(?: [A-Z]+)*(?:\([^)]*\))?"
 
@@ -160,14 +163,13 @@ def entry(role: str, text: str):
     return lambda x: F.struct(role_column(got(x, role)).alias("role"), F.coalesce(variant_text(F.try_variant_get(x, f"$.{text}", "variant")), F.lit("")).alias("text"))
 
 
-def layout_column(paths: Column) -> Column:
-    """layout_of for a column of paths."""
-    out = F.lit(None).cast("string")
+def layouts(prints: DataFrame) -> DataFrame:
+    """prints (fingerprint, paths) with layout, the name of its mapping (null: none)."""
+    larger = F.lit(None).cast("string")
     for name, (at, need) in reversed(mappings().items()):
-        out = F.when(has_paths(paths, [at + n for n in need]), F.lit(name)).otherwise(out)
-    for name, (at, need) in reversed(mappings().items()):
-        out = F.when(paths == F.array(*[F.lit(at + n) for n in sorted(need)]), F.lit(name)).otherwise(out)
-    return out
+        larger = F.when(has_paths(F.col("paths"), [at + n for n in need]), F.lit(name)).otherwise(larger)
+    exact = F.create_map(*[F.lit(x) for pair in exact_prints().items() for x in pair])
+    return prints.withColumn("layout", F.coalesce(F.try_element_at(exact, F.col("fingerprint")), larger))
 
 
 def turns_of(record: Column, name: str) -> Column:
@@ -190,7 +192,7 @@ def survey(records: DataFrame, json_col: str = "record") -> DataFrame:
     v = F.try_parse_json(F.col(f"`{json_col}`"))
     paths = records.select(F.when(v.isNotNull(), variant_paths(v)).alias("paths")).where("paths is not null")
     counted = paths.groupBy(F.sha2(F.array_join("paths", "\n"), 256).alias("fingerprint")).agg(F.first("paths").alias("paths"), F.count(F.lit(1)).alias("records"))
-    return counted.select("fingerprint", layout_column(F.col("paths")).alias("layout"), "records", "paths")
+    return layouts(counted).select("fingerprint", "layout", "records", "paths")
 
 
 def canonical_json(records: DataFrame, json_col: str = "record") -> DataFrame:
@@ -215,10 +217,11 @@ def canonical_table(rows: DataFrame, id_col: str) -> DataFrame:
     """id_col, layout, fingerprint, turns of a typed table, by the layout of its schema."""
     rest = [F.col(f"`{c}`") for c in rows.columns if c != id_col]
     paths = schema_paths(rows.select(*rest).schema)
-    name = layout_of(paths)
+    known = layouts(rows.sparkSession.createDataFrame([(fingerprint(paths), paths)], "fingerprint string, paths array<string>")).drop("paths")  # one row, as a table has one schema
+    name = known.first()["layout"]
     if name is None:
         raise ValueError(f"no mapping for the layout {paths}")
-    if name == "turn_rows":
+    if MAPPINGS.get(name, ("", "", ""))[1] == "rows":
         turn, role, text = MAPPINGS[name][2]
         text_of = lambda c: F.coalesce(c.cast("string"), F.lit(""))
         part = F.struct(F.col(turn).isNotNull().alias("known"), F.col(turn).alias("turn"), text_of(F.col(role)).alias("role"), text_of(F.col(text)).alias("text"))
@@ -226,7 +229,8 @@ def canonical_table(rows: DataFrame, id_col: str) -> DataFrame:
         turns = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).cast(TURNS)
     else:
         out, turns = rows, F.coalesce(turns_of(F.parse_json(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})), name), F.array().cast(TURNS))
-    return out.select(F.col(f"`{id_col}`"), F.lit(name).alias("layout"), F.lit(fingerprint(paths)).alias("fingerprint"), turns.alias("turns"))
+    made = out.select(F.col(f"`{id_col}`"), turns.alias("turns"), F.lit(fingerprint(paths)).alias("fingerprint"))
+    return made.join(F.broadcast(known), "fingerprint").select(F.col(f"`{id_col}`"), "layout", "fingerprint", "turns")
 
 
 # Template -----------------------------------------------------------------

@@ -48,7 +48,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = F.array_join("loss_texts", "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars",
+        F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars", "layout", "fingerprint",
     )
 
 
@@ -126,7 +126,8 @@ ORACLES: dict[str, str] = {
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-            sum(length('<|im_start|>') + length(escaped_role) + 1 + length(escaped) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+            sum(length('<|im_start|>') + length(escaped_role) + 1 + length(escaped) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars,
+            'turn_rows' AS layout, sha256('role' || chr(10) || 'text' || chr(10) || 'turn') AS fingerprint
         FROM safe GROUP BY conv_id""",
     "op8_exact_dedup": r"""
         WITH norm AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),

@@ -65,6 +65,50 @@ def test_encoder_forgets_and_relearns(monkeypatch):
         assert own.known() < 30 + 2 * 2 * 60
 
 
+def test_local_session_without_the_setting(spark, monkeypatch):
+    from tessella.llm import common
+    from tessella.sources import staging
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    own = common.shared_dir(Session())
+    assert own.startswith("file:///") and staging.shared_dir(Session()) == own
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:
+            master, applicationId = "yarn", "x"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster())
+
+
+def test_rules_in_sql_are_the_rules(spark, docs, labels):
+    """op1 as a whole against measuring each text, learning on the labelled ones and asking covers() rule by rule."""
+    import pandas as pd
+
+    rows = pd.DataFrame([[r.doc_id, *quality.measure(r.text)] for r in docs.collect()], columns=["doc_id", *quality.STATS])
+    failed = (rows.n_words < quality.MIN_WORDS) | (100 * rows.n_repeat_words > quality.MAX_REPEAT_PERCENT * rows.n_words)
+    known = rows[~failed].merge(labels.toPandas()[["doc_id", "quality"]], on="doc_id").sort_values("doc_id")
+    rules = quality.learn_rules(quality.feature_values(known), known["quality"].to_numpy(int) == 0)
+    assert rules
+    x = quality.feature_values(rows)
+    first = np.full(len(rows), -1)
+    for i in range(len(rules) - 1, -1, -1):
+        first[quality.covers(rules[i], x)] = i
+    want = {d: (bool(f), not f and k < 0, None if k < 0 else k) for d, f, k in zip(rows.doc_id, failed, first, strict=True)}
+    got = {r.doc_id: (r.base_failed, r.kept, None if r.rule is None else int(r.rule.split(":")[0].split()[1]) - 1) for r in quality.judge(docs, labels).collect()}
+    assert got == want and len({k for _, _, k in want.values()}) > 1
+    kept = {r.doc_id for r in quality.filter_documents(docs, labels).collect()}
+    assert kept == {d for d, (_, k, _) in want.items() if k}
+
+
 def test_stages_are_cleared(spark):
     from tessella.llm import common
 
@@ -428,6 +472,24 @@ def test_chat_typed_tables(spark):
     assert [r.layout for r in chat.canonical_table(three, "id").collect()] == ["turn_rows"]
 
 
+def test_chat_table_entry_decides(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, 0, "user", "a", "b"), (1, 1, "assistant", "c", "d")], "conv_id long, turn int, role string, text string, note string")
+    same = rows.drop("note")
+    before = chat.canonical_table(same, "conv_id").first()
+    assert before.layout == "turn_rows" and before.fingerprint == chat.fingerprint(["role", "text", "turn"])
+    assert [tuple(t) for t in before.turns] == [("user", "a"), ("assistant", "c")]
+    # the same fingerprint with another entry gives other turns
+    monkeypatch.setitem(chat.MAPPINGS, "turn_rows", (["role", "text", "turn"], "rows", ("turn", "text", "role")))
+    assert [tuple(t) for t in chat.canonical_table(same, "conv_id").first().turns] == [("a", "user"), ("c", "assistant")]
+    monkeypatch.setitem(chat.MAPPINGS, "noted", (["note", "role", "text", "turn"], "rows", ("turn", "role", "note")))
+    got = chat.canonical_table(rows, "conv_id").first()
+    assert got.layout == "noted" and [t.text for t in got.turns] == ["b", "d"]
+    monkeypatch.delitem(chat.MAPPINGS, "noted")
+    monkeypatch.delitem(chat.MAPPINGS, "turn_rows")
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.canonical_table(same, "conv_id")
+
+
 def test_chat_odd_rows(spark):
     long = "ab <|im_end|> " * 200_000
     rows = [(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, None, None, "x", 1), (2, 1, "assistant", long, 1), (2, 0, "user", "", 1)]
@@ -504,6 +566,14 @@ def test_near_dedup_of_one_template(spark, size, monkeypatch):
     assert sum(sent) <= size * (1 + -(-size // near_dedup.BLOCK_CLASSES))
 
 
+def test_near_dedup_null_id_is_linked_with_nothing(spark):
+    rows = [(5, "one text of some words here"), (None, "one text of some words here"), (None, "one text of some words here"), (7, "one text of some words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dedup.components(df, n=2).collect()), key=str)
+    assert got == sorted([(5, 5, True, 5), (7, 5, False, 5), (None, None, True, 5), (None, None, True, 5)], key=str)
+    assert near_dedup.drop_near_duplicates(df, n=2).count() == 3
+
+
 def test_near_dedup_several_texts_of_one_id(spark):
     words = lambda k: " ".join(f"{k}{i}" for i in range(60))
     rows = [(1, words("a")), (2, words("b")), (3, words("a") + " z"), (3, words("b") + " z"), (4, words("c")), (5, words("c")), (5, words("d"))]
@@ -569,6 +639,17 @@ def test_html_empty_and_very_long(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_deep_nesting_takes_linear_time():
+    import time
+
+    for piece in ("<div>w ", "<b>w ", "<div class='note'>w ", "<x>w ", "<p><i>w ", "</span></div><li>w "):
+        began = time.time()
+        blocks = html_text.leaf_blocks(piece * 100_000)
+        assert time.time() - began < 30 and sum(len(b.text.split()) for b in blocks) == 100_000
+    deep = html_text.leaf_blocks("<div>" * 100_000 + "in" + "</div>" * 50_000 + "<table><tr><td><p>x<td>y</table>z")
+    assert [(b.text, len(b.path)) for b in deep] == [("in", 100_000), ("x", 50_004), ("y", 50_003), ("z", 50_000)]
+
+
 def test_html_odd(spark):
     rows = [(1, None, None, 1), (2, "u", "", 1), (3, "u", "<p", 1), (4, None, "<article><p>A&amp;B <b>c</b><br>d<p>&nbsp;e", 1), (4, None, "<article><p>A&amp;B <b>c</b><br>d<p>&nbsp;e", 1), (None, "x", "<script>1<2</script><!-- x", 1)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
