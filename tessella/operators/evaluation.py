@@ -188,7 +188,7 @@ def zipped(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """place and the columns of two tables side by side, in order; tables of different lengths end the job."""
     from ..sources.corpus import placed
 
-    x, y = placed(a, order_a).withColumnRenamed("place", "place"), placed(b, order_b).withColumnRenamed("place", "__place")
+    x, y = placed(a, order_a), placed(b, order_b, "__place")
     both = x.join(y, F.col("place") == F.col("__place"), "full")
     gap = F.col("place").isNull() | F.col("__place").isNull()
     return both.withColumn("place", F.when(gap, F.raise_error(F.lit("the tables differ in length")).cast("long")).otherwise(F.col("place"))).drop("__place")

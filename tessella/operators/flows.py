@@ -4,31 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Names of events in their order, those that may be missing, and how a stream may end.
-ORDER = ("query_accepted", "rewrite_completed", "keyword_hits", "dense_hits", "fused", "reranked", "assembled", "delta", "citations", "done", "error")
-OPTIONAL, ENDS = ("rewrite_completed", "citations"), ("done", "error")
+# Names of events in their order, those that may be missing, those that may come several times, and how a stream may end.
+ORDER = (
+    "query_started", "realm_resolved", "rewrite_completed", "retrieval_completed", "rerank_completed", "context_assembled",
+    "generation_started", "answer_delta", "citation_ready", "query_done", "query_error",
+)
+OPTIONAL, SEVERAL, DONE, ERROR = ("rewrite_completed",), ("answer_delta",), "query_done", "query_error"
 
 
-def order_errors(events: DataFrame, order: tuple[str, ...] = ORDER, ends: tuple[str, ...] = ENDS) -> DataFrame:
-    """request_id, error of streams (request_id, seq, name): unknown names, steps back, no end, more than one end, rows after the end."""
+def order_errors(events: DataFrame, order: tuple[str, ...] = ORDER, optional: tuple[str, ...] = OPTIONAL, several: tuple[str, ...] = SEVERAL, done: str = DONE, error: str = ERROR) -> DataFrame:
+    """request_id, error of streams (request_id, seq, name); null: in order.
+
+    In this order of precedence: unknown names, no end, more than one end, rows
+    after the end, steps back, an event twice that comes once, and (of streams
+    that are done) events that are missing.  A stream that ends with the error
+    may end anywhere.
+    """
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("name"))
     by = Window.partitionBy("request_id").orderBy("seq")
-    is_end = F.col("name").isin(*ends)
+    is_end = F.col("name").isin(done, error)
     seen = events.withColumn("place", place).withColumn("back", (F.col("place") < F.lag("place").over(by)) & ~is_end).withColumn("after", F.coalesce(F.sum(is_end.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) > 0)
-    got = seen.groupBy("request_id").agg(F.count_if(F.col("place") == 0).alias("unknown"), F.count_if("back").alias("back"), F.count_if(is_end).alias("ends"), F.count_if("after").alias("after"))
-    error = F.when(F.col("unknown") > 0, "unknown event").when(F.col("ends") == 0, "no end").when(F.col("ends") > 1, "several ends").when(F.col("after") > 0, "event after the end").when(F.col("back") > 0, "out of order")
-    return got.select("request_id", error.alias("error"))
-
-
-def parse_stream(streams: DataFrame, text: str = "stream") -> DataFrame:
-    """streams with place, event, data of each frame of an event-stream text.
+    twice = F.coalesce((F.col("place") == F.lag("place").over(by)) & ~F.col("name").isin(*several), F.lit(False))
+    needed = [x for x in order if x not in (*optional, error)]
+    got = seen.withColumn("twice", twice).groupBy("request_id").agg(
+        F.count_if(F.col("place") == 0).alias("unknown"), F.count_if("back").alias("back"), F.count_if(is_end).alias("ends"), F.count_if("after").alias("after"), F.count_if("twice").alias("twice"),
+        F.count_if(F.col("name") == error).alias("errors"), F.countDistinct(F.when(F.col("name").isin(*needed), F.col("name"))).alias("there"),
+    )
+    message = (
+        F.when(F.col("unknown") > 0, "unknown event").when(F.col("ends") == 0, "no end").when(F.col("ends") > 1, "several ends").when(F.col("after") > 0, "event after the end")
+        .when(F.col("back") > 0, "out of order").when(F.col("twice") > 0, "event twice").when((F.col("errors") == 0) & (F.col("there") < len(needed)), "event is missing")
+    )
+    return got.select("request_id", message.alias("error"))
+
+
+def frames_of(text: Column) -> Column:
+    """array<struct<event, data>>: the frames of an event-stream text.
 
     Frames end at a blank line or the end of the text; lines that begin with a
     colon are comments; one blank after a field's colon is dropped; several
-    data lines are joined by LF; a frame without data isn't one.  What follows
-    [DONE] is ignored.
+    data lines are joined by LF; a frame without data isn't one.
     """
-    lines = F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n")
     begin = F.struct(F.lit(None).cast("string").alias("event"), F.array().cast("array<string>").alias("data"), F.array().cast("array<struct<event: string, data: string>>").alias("frames"))
     value = lambda line: F.regexp_replace(F.regexp_extract(line, "(?s)^[^:]*:?(.*)$", 1), "^ ", "")
 
@@ -49,35 +65,76 @@ def parse_stream(streams: DataFrame, text: str = "stream") -> DataFrame:
             .otherwise(acc)
         )
 
-    frames = F.aggregate(lines, begin, step, sent)
+    return F.aggregate(lines, begin, step, sent)
+
+
+def until_done(frames: Column) -> tuple[Column, Column]:
+    """The frames before [DONE], all without one, and whether it is there."""
+    stop = F.array_position(F.transform(frames, lambda x: x["data"]), F.lit("[DONE]")).cast("int")
+    return F.when(stop > 0, F.slice(frames, F.lit(1), stop - 1)).otherwise(frames), F.coalesce(stop > 0, F.lit(False))
+
+
+def parse_stream(streams: DataFrame, text: str = "stream") -> DataFrame:
+    """streams with place, event, data of each frame of an event-stream text; what follows [DONE] is ignored."""
+    rest = [c for c in streams.columns if c != text]
+    made = streams.select(*rest, frames_of(F.col(text)).alias("frames"))
+    return made.select(*rest, F.posexplode(until_done(F.col("frames"))[0]).alias("place", "f")).select(*rest, F.col("place").cast("long").alias("place"), "f.event", "f.data")
+
+
+def shown_frames(streams: DataFrame, text: str = "stream", ends: tuple[str, ...] = ("query_done", "done", "error")) -> DataFrame:
+    """What a browser acts on: as ``parse_stream``, but nothing after the first frame that ends the stream, be it the end or an error."""
+    rest = [c for c in streams.columns if c != text]
+    made = streams.select(*rest, until_done(frames_of(F.col(text)))[0].alias("frames"))
+    first = F.array_position(F.transform("frames", lambda x: x["event"].isin(*ends)), F.lit(True)).cast("int")
+    kept = F.when(first > 0, F.slice("frames", F.lit(1), first)).otherwise(F.col("frames"))
+    return made.select(*rest, F.posexplode(kept).alias("place", "f")).select(*rest, F.col("place").cast("long").alias("place"), "f.event", "f.data")
+
+
+def provider_answers(streams: DataFrame, text: str = "stream") -> DataFrame:
+    """streams with answer and error of a model's streamed completion.
+
+    The answer is the content of all deltas; what the model thinks aloud
+    (reasoning_content) is left out.  A frame that isn't a JSON object with
+    choices, and a stream that ends without [DONE], as it may be cut, are
+    errors, and then there is no answer.
+    """
     rest = [c for c in streams.columns if c != text]
-    flat = streams.select(*rest, frames.alias("frames")).select(*rest, F.array_position(F.transform("frames", lambda x: x["data"]), F.lit("[DONE]")).cast("int").alias("stop"), "frames")
-    return flat.select(*rest, F.posexplode(F.when(F.col("stop") > 0, F.slice("frames", F.lit(1), F.col("stop") - 1)).otherwise(F.col("frames"))).alias("place", "f")).select(*rest, F.col("place").cast("long").alias("place"), "f.event", "f.data")
+    frames, done = until_done(F.col("frames"))
+    made = streams.select(*rest, frames_of(F.col(text)).alias("frames")).select(*rest, frames.alias("frames"), done.alias("done"))
+    values = made.select(*rest, "done", F.transform("frames", lambda x: F.try_parse_json(x["data"])).alias("vs"))
+    bad = F.exists("vs", lambda v: F.try_variant_get(v, "$.choices", "array<variant>").isNull())
+    deltas = F.array_join(F.transform("vs", lambda v: F.coalesce(F.try_variant_get(v, "$.choices[0].delta.content", "string"), F.lit(""))), "")
+    error = F.when(bad, "a frame has no choices").when(~F.col("done"), "the stream ends without [DONE]")
+    return values.select(*rest, F.when(error.isNull(), deltas).alias("answer"), error.alias("error"))
 
 
 def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], out: str, start, step) -> DataFrame:
-    """rows with a value per row from a fold over each key's rows in order.
+    """rows with the columns of the schema out from a fold over each key's rows in order.
 
-    start() makes a key's state; step(state, *columns) returns (state, value).
-    Sorted batches go by, so memory is one state, whatever a key holds.
+    start() makes a key's state; step(state, *columns) returns (state, value),
+    a tuple where out has several columns.  Sorted batches go by, so memory is
+    one state, whatever a key holds.
     """
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
 
-    name, kind = out.split(" ")
-    arrow = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}[kind]
+    made = StructType.fromDDL(out)
+    kinds = [to_arrow_type(f.dataType) for f in made]
     fields = {f.name: f.dataType.simpleString() for f in rows.schema}
     at, used = rows.columns.index(key), [rows.columns.index(c) for c in columns]
 
     def run(batches):
         held, state = object(), None
         for batch in batches:
-            made = []
-            for k, *values in zip(batch.column(at).to_pylist(), *(batch.column(i).to_pylist() for i in used), strict=True):
+            values: list[list] = [[] for _ in kinds]
+            for k, *own in zip(batch.column(at).to_pylist(), *(batch.column(i).to_pylist() for i in used), strict=True):
                 if k != held:
                     held, state = k, start()
-                state, value = step(state, *values)
-                made.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=[*fields, name])
+                state, value = step(state, *own)
+                for column, x in zip(values, value if len(kinds) > 1 else (value,), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, values, kinds)], names=[*fields, *made.names])
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in fields.items()], out]))
 

@@ -20,6 +20,8 @@ from ..functions.numbers import hash_score
 
 Embed = Callable[[list[str]], list[list[float]]]
 Generate = Callable[[list[str]], list[str]]
+#: A question and the texts of its pool: (index of a text, score), in any order.
+Score = Callable[[str, list[str]], list[tuple[int, float]]]
 
 
 def hash_vectors(texts: list[str], dim: int = 64, tag: str = "stand-in") -> list[list[float]]:
@@ -72,6 +74,54 @@ def rerank(pool: DataFrame, score: Column | None = None, pool_k: int = 32, out:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= out)
 
 
+def hash_scores(question: str, texts: list[str]) -> list[tuple[int, float]]:
+    """Scores in [0, 1) from a hash of question and text."""
+    hashed = (hashlib.sha256(f"{question}\n{t}".encode("utf-8", "surrogatepass")).digest()[:8] for t in texts)
+    return [(i, int.from_bytes(h, "big") / 2**64) for i, h in enumerate(hashed)]
+
+
+def rerank_groups(pool: DataFrame, model: Score = hash_scores, pool_k: int = 32, out: int = 24, errors: str = "raise") -> DataFrame:
+    """query_id, key, fused_rank, score, rank, error: the best out of each query's first pool_k rows (query_id, key, rank, question, content).
+
+    The model sees a query's whole pool, in the order of rank, and names texts
+    by their index.  Here the order is restored (score, then index), a repeated
+    index counts once, and an index outside the pool or a score that is no
+    number is the model's failure, as is anything that it raises.  A failure
+    ends the job, or with errors="rows" is the query's only row, without key.
+    A query without pool isn't asked about.
+    """
+    if out <= 0 or pool_k <= 0:
+        raise ValueError("pool and result need a place at least")
+    if errors not in ("raise", "rows"):
+        raise ValueError("errors is raise or rows")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("rank")
+        query, keys, places = rows["query_id"][:1], rows["key"].combine_chunks(), rows["rank"].combine_chunks()
+        try:
+            answer = [(int(i), float(s)) for i, s in model(rows["question"][0].as_py(), rows["content"].to_pylist())]
+            if any(not 0 <= i < len(keys) or not math.isfinite(s) for i, s in answer):
+                raise ValueError("the model named a text that isn't there, or gave no number")
+        except Exception as e:
+            if errors == "raise":
+                raise
+            none = pa.nulls(1)
+            return pa.Table.from_arrays([query.combine_chunks(), none.cast(keys.type), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.int64()), pa.array([f"{type(e).__name__}: {e}"])], names=names)
+        best: dict[int, float] = {}
+        for i, s in sorted(answer, key=lambda x: (-x[1], x[0])):
+            best.setdefault(i, s)
+        chosen = pa.array(list(best)[:out], pa.int64())
+        n = len(chosen)
+        return pa.Table.from_arrays(
+            [query.combine_chunks().take(pa.array([0] * n, pa.int64())), keys.take(chosen), places.take(chosen).cast(pa.int64()), pa.array(list(best.values())[:out], pa.float64()), pa.array(range(1, n + 1), pa.int64()), pa.nulls(n, pa.string())], names=names
+        )
+
+    names = ["query_id", "key", "fused_rank", "score", "rank", "error"]
+    kinds = {c: pool.schema[c].dataType.simpleString() for c in ("query_id", "key")}
+    rows = pool.where(F.col("rank") <= pool_k).select("query_id", "key", "rank", "question", "content")
+    return rows.groupBy("query_id").applyInArrow(run, f"query_id {kinds['query_id']}, key {kinds['key']}, fused_rank long, score double, rank long, error string")
+
+
 def generate(prompt: Column, model: Generate) -> Column:
     """struct<status, text> of each prompt: answered, insufficient_evidence or generation_failed.
 

@@ -12,8 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.numbers import hash_score, reciprocal_rank
-from ..functions.text import tokens
+from ..functions.numbers import reciprocal_rank
+from ..functions.text import normalize_query, tokens
 from ..sources.staging import staged
 
 K1, B = 1.5, 0.75
@@ -25,8 +25,10 @@ def document_frequencies(chunks: DataFrame, text: str) -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-#: Queries that are scored against all chunks in one pass: their weights are one matrix.
+#: Queries that a batch of chunks is multiplied with at a time.
 WORD_BLOCK, QUERY_BLOCK = 256, 2048
+#: What all queries of one call may hold: numbers of their vectors, and tokens of their questions.
+MAX_NUMBERS, MAX_TOKENS = 32_000_000, 4_000_000
 
 
 def postings(chunks: DataFrame, vocabulary: list[str], key: str, text: str, place: str | None = None) -> DataFrame:
@@ -51,19 +53,25 @@ def postings(chunks: DataFrame, vocabulary: list[str], key: str, text: str, plac
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60, allowed: DataFrame | None = None, place: str | None = None, realms: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, rank of the k best chunks of each query.
 
-    queries: query_id, question; they are the stated small side and go round in
-    blocks of WORD_BLOCK.  Statistics are of all chunks; a token that a
-    question repeats counts repeatedly; ties go to the smaller key.  allowed
+    queries: query_id, question; they are the stated small side, MAX_TOKENS
+    tokens in all, beyond which the call is refused.  Statistics are of all
+    chunks; a token that a question repeats counts repeatedly; ties go to the
+    smaller key.  allowed
     (key) leaves only those chunks in the ranking, scored as without it;
     without rows nothing is found.  realms (query_id, low, high) does so for
     each query by the chunks' place; a query without one finds nothing.
 
     Chunks are tokenised once and stored with the asked tokens only.  A batch
-    of them is multiplied with a block's weights and passes on its k best a
-    query, ties included, so pairs of queries and chunks are never shuffled.
+    of them is multiplied with the weights of WORD_BLOCK queries at a time and
+    passes on its k best a query, ties included, so pairs of queries and chunks
+    are never shuffled.
     """
     asked: dict = {}
-    for r in queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n")).collect():
+    counted = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.limit(MAX_TOKENS + 1).collect()
+    if len(rows) > MAX_TOKENS:
+        raise ValueError(f"questions of more than {MAX_TOKENS} tokens: ask in several calls")
+    for r in rows:
         asked.setdefault(r["query_id"], {})[r["token"]] = r["n"]
     vocabulary = sorted({t for own in asked.values() for t in own})
     number = {t: i for i, t in enumerate(vocabulary)}
@@ -75,21 +83,20 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: st
     idf = np.log(1 + (size["n"] - df + 0.5) / (df + 0.5))
     bounds = None if realms is None else {r["query_id"]: (r["low"], r["high"]) for r in realms.select("query_id", "low", "high").collect()}
     live = held if allowed is None else held.join(allowed.select("key"), "key", "left_semi").select(*held.columns)
-    ids, out = sorted(asked), None
+    ids = sorted(asked)
+    # each query's tokens and weights in a row
+    token = np.array([number[t] for q in ids for t in asked[q]], np.int64)
+    weight = np.array([n * idf[number[t]] for q in ids for t, n in asked[q].items()], float)
+    ends = np.cumsum([len(asked[q]) for q in ids], dtype=np.int64)
+    shared = held.sparkSession.sparkContext.broadcast((pa.array(ids, type_of(queries)), token, weight, ends, size["avgdl"] or 1.0, limits(ids, bounds)))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {held.schema['key'].dataType.simpleString()}, score double"
-    for at in range(0, max(len(ids), 1), WORD_BLOCK):
-        block = ids[at : at + WORD_BLOCK]
-        used = sorted({number[t] for q in block for t in asked[q]})
-        column = np.full(len(vocabulary) + 1, -1)
-        column[used] = np.arange(len(used))
-        weights = np.zeros((len(used), len(block)))
-        for j, q in enumerate(block):
-            for t, n in asked[q].items():
-                weights[column[number[t]], j] = n * idf[number[t]]
-        shared = held.sparkSession.sparkContext.broadcast((pa.array(block), column, weights, size["avgdl"] or 1.0, limits(block, bounds)))
-        found = live.mapInArrow(lambda batches, shared=shared: best_words(batches, *shared.value, k), schema)
-        out = found if out is None else out.unionByName(found)
-    return top(out, k)
+    return top(live.mapInArrow(lambda batches: best_words(batches, *shared.value, k), schema), k)
+
+
+def type_of(queries: DataFrame) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(queries.schema["query_id"].dataType)
 
 
 def limits(ids: list, bounds: dict | None) -> np.ndarray | None:
@@ -97,19 +104,30 @@ def limits(ids: list, bounds: dict | None) -> np.ndarray | None:
     return None if bounds is None else np.array([bounds.get(q, (1, 0)) for q in ids], np.int64).reshape(-1, 2)
 
 
-def best_words(batches, ids: pa.Array, column: np.ndarray, weights: np.ndarray, avgdl: float, places: np.ndarray | None, k: int, rows: int = 512):
+def best_words(batches, ids: pa.Array, token: np.ndarray, weight: np.ndarray, ends: np.ndarray, avgdl: float, places: np.ndarray | None, k: int, rows: int = 512):
     """query_id, key, score of the best of each batch of postings."""
+    blocks = []
+    for at in range(0, len(ids), WORD_BLOCK):
+        low, high = (int(ends[at - 1]) if at else 0), int(ends[min(at + WORD_BLOCK, len(ids)) - 1])
+        used, column = np.unique(token[low:high], return_inverse=True)
+        query = np.searchsorted(ends[at : at + WORD_BLOCK], np.arange(low, high), side="right")
+        weights = np.zeros((len(used), min(WORD_BLOCK, len(ids) - at)))
+        weights[column, query] = weight[low:high]
+        blocks.append((at, used, weights))
     for batch in batches:
-        for at in range(0, batch.num_rows if len(ids) else 0, rows):
-            own = batch.slice(at, rows)
+        for begin in range(0, batch.num_rows if blocks else 0, rows):
+            own = batch.slice(begin, rows)
             offsets = own.column(3).offsets.to_numpy()
             row = np.repeat(np.arange(own.num_rows), np.diff(offsets))
-            token, tf = (column[own.column(3).flatten().to_numpy()], own.column(4).flatten().to_numpy().astype(float))
+            held, tf = own.column(3).flatten().to_numpy(), own.column(4).flatten().to_numpy().astype(float)
             norm = (K1 * (1 - B + B * own.column(2).to_numpy() / avgdl))[row]
-            dense = np.zeros((own.num_rows, len(weights)))
-            inside = token >= 0
-            dense[row[inside], token[inside]] = (tf / (tf + norm))[inside]
-            yield best_rows(ids, own.column(0), np.round(dense @ weights, DECIMALS), 0.0, own.column(1).to_numpy(), places, k)
+            for at, used, weights in blocks:
+                column = np.minimum(np.searchsorted(used, held), len(used) - 1)
+                inside = used[column] == held
+                dense = np.zeros((own.num_rows, len(used)))
+                dense[row[inside], column[inside]] = (tf / (tf + norm))[inside]
+                to = at + weights.shape[1]
+                yield best_rows(ids.slice(at, to - at), own.column(0), np.round(dense @ weights, DECIMALS), 0.0, own.column(1).to_numpy(), None if places is None else places[at:to], k)
 
 
 def best_rows(ids: pa.Array, keys: pa.Array, score: np.ndarray, above: float, at: np.ndarray, places: np.ndarray | None, k: int) -> pa.RecordBatch:
@@ -125,24 +143,30 @@ def best_rows(ids: pa.Array, keys: pa.Array, score: np.ndarray, above: float, at
 def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_key", vector: str = "embedding", k: int = 60, where: Column | None = None, place: str | None = None, realms: DataFrame | None = None) -> DataFrame:
     """query_id, key, score, rank of the k nearest vectors; filters come before the ranking, realms as for ``bm25``.
 
-    Queries are the stated small side; they go round in blocks of QUERY_BLOCK,
-    so what is broadcast is bounded.  A batch of vectors is multiplied with a
-    block at once and passes on its k best a query, ties included.  Vectors of
-    no length are near nothing; vectors of another size are an error.
+    Queries are the stated small side, MAX_NUMBERS numbers in all, beyond which
+    the call is refused.  A batch of vectors is multiplied with QUERY_BLOCK of
+    them at once and passes on its k best a query, ties included.  Vectors of no
+    length are near nothing; vectors of another size are an error.
     """
     known = vectors.where(F.col(vector).isNotNull())
     known = (known.where(where) if where is not None else known).select(F.col(key).alias("key"), (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"), F.col(vector).cast("array<double>").alias("v"))
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {known.schema['key'].dataType.simpleString()}, score double"
-    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where("q is not null").collect()
+    ids, block = question_rows(queries)
     bounds = None if realms is None else {r["query_id"]: (r["low"], r["high"]) for r in realms.select("query_id", "low", "high").collect()}
-    out = None
-    for at in range(0, max(len(rows), 1), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
-        ids = [r["query_id"] for r in block]
-        shared = known.sparkSession.sparkContext.broadcast((pa.array(ids), unit(np.array([r["q"] for r in block], float).reshape(len(block), -1)), limits(ids, bounds)))
-        found = known.mapInArrow(lambda batches, shared=shared: best_vectors(batches, *shared.value, k), schema)
-        out = found if out is None else out.unionByName(found)
-    return top(out, k)
+    shared = known.sparkSession.sparkContext.broadcast((pa.array(ids, type_of(queries)), block, limits(ids, bounds)))
+    return top(known.mapInArrow(lambda batches: best_vectors(batches, *shared.value, k), schema), k)
+
+
+def question_rows(queries: DataFrame) -> tuple[list, np.ndarray]:
+    """Ids and unit vectors of the queries (query_id, vector) that have one; too many are refused."""
+    own = queries.select("query_id", F.col("vector").cast("array<double>").alias("q")).where("q is not null")
+    numbers = own.agg(F.sum(F.size("q"))).first()[0] or 0
+    if numbers > MAX_NUMBERS:
+        raise ValueError(f"queries of {numbers} numbers, more than {MAX_NUMBERS}: ask in several calls")
+    rows = own.collect()
+    if len({len(r["q"]) for r in rows}) > 1:
+        raise ValueError("vectors differ in length")
+    return [r["query_id"] for r in rows], unit(np.array([r["q"] for r in rows], float).reshape(len(rows), -1) if rows else np.zeros((0, 0)))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -158,8 +182,10 @@ def best_vectors(batches, ids: pa.Array, block: np.ndarray, places: np.ndarray |
             continue
         if (np.diff(batch.column(2).offsets.to_numpy()) != block.shape[1]).any():
             raise ValueError("vectors differ in length")
-        score = np.round(unit(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)) @ block.T, DECIMALS)
-        yield best_rows(ids, batch.column(0), score, -np.inf, batch.column(1).to_numpy(), places, k)
+        rows = unit(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1))
+        for at in range(0, len(block), QUERY_BLOCK):
+            score = np.round(rows @ block[at : at + QUERY_BLOCK].T, DECIMALS)
+            yield best_rows(ids.slice(at, QUERY_BLOCK), batch.column(0), score, -np.inf, batch.column(1).to_numpy(), None if places is None else places[at : at + QUERY_BLOCK], k)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -185,31 +211,37 @@ def fuse(*channels: DataFrame, k: int = 60) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(order)).drop("seen")
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms: DataFrame, k: int = 60, pool: int = 32, out: int = 24, **caps: int) -> DataFrame:
-    """query_id, stage, key, rank, score, reason of a whole retrieval: every stage's rows.
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms: DataFrame, k: int = 60, pool: int = 32, out: int = 24, scorer=None, expand: bool = True, **caps: int) -> DataFrame:
+    """query_id, stage, key, rank, score, reason, source, place of a whole retrieval: every stage's rows.
 
     chunks: key, chapter, chunk_index, content, tokens.  vectors: key,
-    embedding, chapter.  queries: query_id, question, vector.  realms:
-    query_id, low, high, both inclusive.  Stages: keyword and dense inside the
-    realm (keyword scores from statistics of all chunks), fused, reranked (the
-    first pool of them, scored by a hash where no model is given) and
-    assembled, with the reason of what assembly leaves out.
+    embedding, chapter.  queries: query_id, question, vector; the question is
+    normalised, and one that is empty then ends the job.  realms: query_id,
+    low, high, both inclusive; a query without one finds nothing.  Stages:
+    keyword and dense inside the realm (keyword scores from statistics of all
+    chunks), fused, reranked (the first pool of them by scorer, a
+    ``models.Score``; a hash where none is given) and assembled: hits and
+    neighbours with their source, place in the context, or the reason why they
+    are left out; the realm is checked again here, whatever a channel returned.
     """
+    from .models import hash_scores, rerank_groups
+
+    line = normalize_query(F.col("question"))
+    asked = queries.withColumn("question", F.when(F.coalesce(line, F.lit("")) == "", F.raise_error(F.concat(F.lit("empty question: "), F.col("query_id").cast("string"))).cast("string")).otherwise(line))
+    asked = staged(asked.select("query_id", "question", "vector"), "questions")
     # stages are read several times: each is stored once
-    words = staged(bm25(chunks, queries.select("query_id", "question"), "key", "content", k, place="chapter", realms=realms), "keyword")
-    every = staged(nearest(vectors, queries, "key", "embedding", k, place="chapter", realms=realms), "dense")
+    words = staged(bm25(chunks, asked.select("query_id", "question"), "key", "content", k, place="chapter", realms=realms), "keyword")
+    every = staged(nearest(vectors, asked, "key", "embedding", k, place="chapter", realms=realms), "dense")
     fused = staged(fuse(every, words), "fused")
-    asked, texts = queries.select("query_id", "question"), chunks.select("key", "content", "chapter", "chunk_index", "tokens")
-    ranked = fused.where(F.col("rank") <= pool).join(asked, "query_id").join(texts, "key")
-    score = hash_score(F.col("question"), F.col("content"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "fused_rank")
-    second = ranked.select("query_id", "key", "chapter", "tokens", F.col("rank").alias("fused_rank"), score.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= out)
-    second = staged(second, "reranked")
-    last = assemble(second.select("query_id", "key", "chapter", "rank", "tokens", F.lit(True).alias("in_realm")), **caps)
-    stage = lambda df, name, score: df.select("query_id", F.lit(name).alias("stage"), "key", F.col("rank").cast("long").alias("rank"), score.cast("double").alias("score"), F.lit(None).cast("string").alias("reason"))
-    own = F.col("score")
-    done = last.select("query_id", F.lit("assembled").alias("stage"), "key", F.col("rank").cast("long").alias("rank"), F.lit(None).cast("double").alias("score"), "reason")
-    return stage(words, "keyword", own).unionByName(stage(every, "dense", own)).unionByName(stage(fused, "fused", own)).unionByName(stage(second, "reranked", own)).unionByName(done)
+    texts = chunks.select("key", "content", "chapter", "chunk_index", "tokens")
+    ranked = fused.where(F.col("rank") <= pool).join(asked.select("query_id", "question"), "query_id").join(texts, "key")
+    scored = rerank_groups(ranked.select("query_id", "key", "rank", "question", "content"), scorer or hash_scores, pool, out)
+    second = staged(scored.join(texts.drop("content"), "key"), "reranked")
+    last = settled(second, texts, realms, expand, **caps)
+    none = lambda kind: F.lit(None).cast(kind)
+    stage = lambda df, name: df.select("query_id", F.lit(name).alias("stage"), "key", F.col("rank").cast("long").alias("rank"), F.col("score").cast("double").alias("score"), none("string").alias("reason"), none("string").alias("source"), none("long").alias("place"))
+    done = last.select("query_id", F.lit("assembled").alias("stage"), "key", F.col("rank").cast("long").alias("rank"), none("double").alias("score"), "reason", "source", F.col("place").cast("long").alias("place"))
+    return stage(words, "keyword").unionByName(stage(every, "dense")).unionByName(stage(fused, "fused")).unionByName(stage(second, "reranked")).unionByName(done)
 
 
 # Reasons for what assembly leaves out.
@@ -239,42 +271,61 @@ def assemble(hits: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: in
     return step.select("query_id", "key", "chapter", "rank", F.col("reason").isNull().alias("kept"), "reason")
 
 
-def neighbours(anchors: DataFrame, chunks: DataFrame, taken: DataFrame) -> DataFrame:
-    """anchors (query_id, key, chapter, chunk_index, rank) with the chunk before each, else the one after.
-
-    chunks (key, chapter, chunk_index, tokens) of the same chapter only; what
-    the query has already taken (query_id, key) isn't taken again.
-    """
-    wish = anchors.select("query_id", "chapter", "rank", F.col("key").alias("from_key"), F.explode(F.array(F.struct((F.col("chunk_index") - 1).alias("chunk_index"), F.lit(0).alias("after")), F.struct((F.col("chunk_index") + 1).alias("chunk_index"), F.lit(1).alias("after")))).alias("w"))
-    wish = wish.select("query_id", "chapter", "rank", "from_key", "w.*")
-    found = wish.join(chunks.select("key", "chapter", "chunk_index", "tokens"), ["chapter", "chunk_index"]).join(taken.select("query_id", "key"), ["query_id", "key"], "left_anti")
-    return found.groupBy("query_id", "from_key", "chapter", "rank").agg(F.min_by(F.struct("key", "chunk_index", "tokens"), "after").alias("n")).select("query_id", "n.key", "chapter", "n.chunk_index", "rank", "n.tokens", "from_key")
-
+def settled(hits: DataFrame, chunks: DataFrame, realms: DataFrame | None = None, expand: bool = True, chapters: int = 8, per_chapter: int = 4, top_k: int = 12, budget: int = 6000) -> DataFrame:
+    """Hits and the neighbours they bring, with the reason of what is left out (null: kept) and the place of what is kept.
 
-def assemble_context(hits: DataFrame, chunks: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: int = 12, budget: int = 6000) -> DataFrame:
-    """The context of each query, neighbours included: query_id, place, key, chapter, chunk_index, source, from_key, rank, tokens.
+    hits: query_id, key, chapter, chunk_index, rank, tokens.  chunks: key,
+    chapter, chunk_index, tokens.  Result: query_id, key, chapter, chunk_index,
+    rank, tokens, source, from_key, reason, place.
 
-    hits as for ``assemble`` with chunk_index.  A chapter with fewer hits than
-    its cap adds one neighbour of its best hit, which follows that hit in rank.
-    The budget first drops hits from the worst rank up, each with its
-    neighbour, then neighbours.  place counts by chapter and chunk_index.
+    In this order: out of realm (query_id, low, high), chapters beyond the
+    first by best rank, hits beyond a chapter's cap; a chapter with fewer hits
+    brings the chunk before its best hit, else the one after, in that hit's
+    rank; rows beyond top_k; the realm again; hits from the worst rank up that
+    don't fit the budget, each with its neighbour, then neighbours.  place
+    counts by chapter and chunk_index.
     """
-    no_cut = 2**31 - 1
-    own = assemble(hits.drop("source"), chapters, per_chapter, no_cut, no_cut).where("kept").select("query_id", "key", "chapter", "rank")
-    own = own.join(hits.select("query_id", "key", "chunk_index", "tokens"), ["query_id", "key"])
-    by = Window.partitionBy("query_id", "chapter")
-    counted = own.withColumn("n", F.count(F.lit(1)).over(by)).withColumn("first", F.row_number().over(by.orderBy("rank", "key")))
-    near = neighbours(counted.where((F.col("n") < per_chapter) & (F.col("first") == 1)), chunks, own)
-    both = own.select("query_id", "key", "chapter", "chunk_index", "rank", "tokens", F.lit("hit").alias("source"), F.lit(None).cast(own.schema["key"].dataType).alias("from_key"))
-    both = both.unionByName(near.withColumn("source", F.lit("neighbor")))
-    q, upto = Window.partitionBy("query_id"), (Window.unboundedPreceding, 0)
+    one_realm = F.lit(True) if realms is None else F.coalesce(F.col("chapter").between(F.col("low"), F.col("high")), F.lit(False))
+    rows = hits.select("query_id", "key", "chapter", "chunk_index", "rank", "tokens")
+    if realms is not None:
+        rows = rows.join(realms.select("query_id", "low", "high"), "query_id", "left")
+    # all windows below lie within a query: one shuffle, also for what the neighbours come from
+    rows = rows.repartition("query_id")
+    live = F.col("reason").isNull()
+    q, by = Window.partitionBy("query_id"), Window.partitionBy("query_id", "chapter")
+    upto = (Window.unboundedPreceding, 0)
+    step = rows.withColumn("reason", F.when(~one_realm, REALM)).withColumn("best", F.min(F.when(live, F.col("rank"))).over(by))
+    step = step.withColumn("nth", F.dense_rank().over(q.orderBy(F.col("best").asc_nulls_last())))
+    step = step.withColumn("reason", F.when(live & (F.col("nth") > chapters), CHAPTER_CAP).otherwise(F.col("reason")))
+    step = step.withColumn("i", F.sum(F.when(live, 1).otherwise(0)).over(by.orderBy("rank", "key").rowsBetween(*upto)))
+    step = step.withColumn("reason", F.when(live & (F.col("i") > per_chapter), CHUNK_CAP).otherwise(F.col("reason")))
+    keep = [c for c in rows.columns]
+    kind = hits.schema["key"].dataType
+    both = step.select(*keep, "reason", F.lit("hit").alias("source"), F.lit(None).cast(kind).alias("from_key"))
+    if expand:
+        taken = step.withColumn("taken", F.collect_set(F.when(live, F.col("chunk_index"))).over(by))  # per_chapter at most
+        wish = F.explode(F.array(*[F.struct((F.col("chunk_index") + d).alias("chunk_index"), F.lit(d).alias("d")) for d in (-1, 1)])).alias("w")
+        wished = taken.where(live & (F.col("i") == 1) & (F.size("taken") < per_chapter)).select(*[c for c in keep if c not in ("key", "chunk_index", "tokens")], F.col("key").alias("from_key"), "taken", wish)
+        wished = wished.select("*", F.col("w.chunk_index").alias("chunk_index"), F.col("w.d").alias("d")).where(~F.array_contains("taken", F.col("chunk_index"))).drop("w", "taken")
+        found = wished.join(chunks.select("key", "chapter", "chunk_index", "tokens"), ["chapter", "chunk_index"])
+        rest = [c for c in keep if c not in ("query_id", "key", "chunk_index", "tokens")]
+        near = found.groupBy("query_id", "from_key", *rest).agg(F.min_by(F.struct("key", "chunk_index", "tokens"), "d").alias("n"))
+        near = near.select("query_id", "n.key", "n.chunk_index", "n.tokens", *rest, F.lit(None).cast("string").alias("reason"), F.lit("neighbor").alias("source"), "from_key")
+        both = both.unionByName(near.select(*both.columns))
+    order = q.orderBy("rank", "source", "key")
     hit = F.col("source") == "hit"
-    kept = both.withColumn("n", F.row_number().over(q.orderBy("rank", "source", "key"))).where(F.col("n") <= top_k)
-    # hits: the longest run from the best rank that fits; a neighbour goes with its hit
-    held = F.sum(F.when(hit, F.col("tokens")).otherwise(0)).over(q.orderBy("n").rowsBetween(*upto))
-    kept = kept.withColumn("held", held).where(F.col("held") <= budget)
-    hits_hold = F.sum(F.when(hit, F.col("tokens")).otherwise(0)).over(q)
-    extra = F.sum(F.when(hit, 0).otherwise(F.col("tokens"))).over(q.orderBy("n").rowsBetween(*upto))
-    kept = kept.withColumn("all_hits", hits_hold).withColumn("extra", extra).where(hit | (F.col("all_hits") + F.col("extra") <= budget))
-    place = F.row_number().over(q.orderBy("chapter", "chunk_index"))
-    return kept.select("query_id", place.alias("place"), "key", "chapter", "chunk_index", "source", "from_key", "rank", "tokens")
+    cut = both.withColumn("n", F.sum(F.when(live, 1).otherwise(0)).over(order.rowsBetween(*upto)))
+    cut = cut.withColumn("reason", F.when(live & (F.col("n") > top_k), TOP_CAP).when(live & ~one_realm, REALM).otherwise(F.col("reason")))
+    held = F.sum(F.when(live & hit, F.col("tokens")).otherwise(0)).over(order.rowsBetween(*upto))
+    cut = cut.withColumn("held", held).withColumn("reason", F.when(live & (F.col("held") > budget), BUDGET).otherwise(F.col("reason")))
+    extra = F.sum(F.when(live & ~hit, F.col("tokens")).otherwise(0)).over(order.rowsBetween(*upto))
+    cut = cut.withColumn("all_hits", F.sum(F.when(live & hit, F.col("tokens")).otherwise(0)).over(q)).withColumn("extra", extra)
+    cut = cut.withColumn("reason", F.when(live & ~hit & (F.col("all_hits") + F.col("extra") > budget), BUDGET).otherwise(F.col("reason")))
+    place = F.when(live, F.row_number().over(Window.partitionBy("query_id", live).orderBy("chapter", "chunk_index", "key")))
+    return cut.withColumn("place", place).select("query_id", "key", "chapter", "chunk_index", "rank", "tokens", "source", "from_key", "reason", "place")
+
+
+def assemble_context(hits: DataFrame, chunks: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: int = 12, budget: int = 6000, realms: DataFrame | None = None) -> DataFrame:
+    """The context of each query, neighbours included, as ``settled`` keeps it: query_id, place, key, chapter, chunk_index, source, from_key, rank, tokens."""
+    kept = settled(hits, chunks, realms, True, chapters, per_chapter, top_k, budget).where("reason is null")
+    return kept.select("query_id", "place", "key", "chapter", "chunk_index", "source", "from_key", "rank", "tokens")

@@ -106,20 +106,30 @@ def realm_prefixes(spark, sf_dir):
     return evaluation.prefix_breaks(retrieval.bm25(d, questions(spark, sf_dir), "doc_id", "text"), retrieval.bm25(d, questions(spark, sf_dir), "doc_id", "text", allowed=inside), inside)
 
 
-@register(f"""WITH {_SCORED}, {_SIMS},
+@register(rf"""WITH {_SCORED}, {_SIMS},
     realm AS (SELECT item_id AS query_id, 0 AS lo, CASE WHEN item_id % 2 = 0 THEN 40 ELSE 1000000000 END AS hi FROM benchmark),
     words AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM scored JOIN realm USING (query_id) WHERE score > 0 AND key // 4 BETWEEN lo AND hi QUALIFY rank <= 60),
     dense AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM sims JOIN realm USING (query_id) WHERE key // 4 BETWEEN lo AND hi QUALIFY rank <= 60), {_FUSED},
     pool AS (SELECT f.query_id, f.key, f.key // 4 AS chapter, least(n_chars, 900) AS tokens, f.rank AS fused_rank,
-        ('0x' || left(sha256(b.text || chr(10) || d.text), 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS score FROM fused f JOIN benchmark b ON item_id = f.query_id JOIN documents d ON doc_id = f.key WHERE f.rank <= 32),
+        ('0x' || left(sha256(trim(regexp_replace(nfc_normalize(b.text), '[\s]+', ' ', 'g')) || chr(10) || d.text), 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS score FROM fused f JOIN benchmark b ON item_id = f.query_id JOIN documents d ON doc_id = f.key WHERE f.rank <= 32),
     second AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS rank FROM pool QUALIFY rank <= 24),
-    a AS (SELECT *, min(rank) OVER (PARTITION BY query_id, chapter) AS best FROM second),
-    b_ AS (SELECT *, CASE WHEN dense_rank() OVER (PARTITION BY query_id ORDER BY best) > 8 THEN 'chapter_cap' END AS r1 FROM a),
-    c AS (SELECT *, CASE WHEN r1 IS NULL AND sum(CASE WHEN r1 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, chapter ORDER BY rank, key ROWS UNBOUNDED PRECEDING) > 4 THEN 'chapter_chunk_cap' ELSE r1 END AS r2 FROM b_),
-    d_ AS (SELECT *, CASE WHEN r2 IS NULL AND sum(CASE WHEN r2 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank, key ROWS UNBOUNDED PRECEDING) > 12 THEN 'top_k_cap' ELSE r2 END AS r3 FROM c),
-    e AS (SELECT *, CASE WHEN r3 IS NULL AND sum(CASE WHEN r3 IS NULL THEN tokens ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank, key ROWS UNBOUNDED PRECEDING) > 6000 THEN 'token_budget' ELSE r3 END AS reason FROM d_)
-    SELECT query_id, 'keyword' AS stage, key, rank, score, NULL::VARCHAR AS reason FROM words UNION ALL SELECT query_id, 'dense', key, rank, score, NULL FROM dense UNION ALL SELECT query_id, 'fused', key, rank, score, NULL FROM fused
-    UNION ALL SELECT query_id, 'reranked', key, rank, score, NULL FROM second UNION ALL SELECT query_id, 'assembled', key, rank, NULL, reason FROM e""")
+    held AS (SELECT s.*, key % 4 AS chunk_index, chapter BETWEEN lo AND hi AS inside FROM second s JOIN realm USING (query_id)),
+    a AS (SELECT *, min(rank) OVER (PARTITION BY query_id, chapter) AS best FROM held),
+    b_ AS (SELECT *, CASE WHEN NOT inside THEN 'realm' WHEN dense_rank() OVER (PARTITION BY query_id ORDER BY best) > 8 THEN 'chapter_cap' END AS r1 FROM a),
+    c AS (SELECT *, CASE WHEN r1 IS NULL THEN sum(CASE WHEN r1 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, chapter ORDER BY rank, key ROWS UNBOUNDED PRECEDING) END AS i FROM b_),
+    d_ AS (SELECT *, CASE WHEN i > 4 THEN 'chapter_chunk_cap' ELSE r1 END AS r2, count(*) FILTER (i <= 4) OVER (PARTITION BY query_id, chapter) AS size FROM c),
+    wish AS (SELECT o.query_id, o.chapter, o.rank, o.key AS from_key, n.doc_id AS key, n.doc_id % 4 AS chunk_index, least(n.n_chars, 900) AS tokens, row_number() OVER (PARTITION BY o.query_id, o.key ORDER BY n.doc_id) AS pick
+        FROM d_ o JOIN documents n ON n.doc_id // 4 = o.chapter AND (n.doc_id = o.key - 1 OR n.doc_id = o.key + 1)
+        WHERE o.i = 1 AND o.size < 4 AND NOT EXISTS (SELECT 1 FROM d_ t WHERE t.query_id = o.query_id AND t.key = n.doc_id AND t.i <= 4)),
+    e AS (SELECT query_id, key, chapter, chunk_index, rank, tokens, r2 AS r, 'hit' AS source FROM d_ UNION ALL SELECT query_id, key, chapter, chunk_index, rank, tokens, NULL, 'neighbor' FROM wish WHERE pick = 1),
+    f AS (SELECT *, CASE WHEN r IS NULL AND sum(CASE WHEN r IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank, source, key ROWS UNBOUNDED PRECEDING) > 12 THEN 'top_k_cap' ELSE r END AS r3 FROM e),
+    g AS (SELECT *, CASE WHEN r3 IS NULL AND sum(CASE WHEN r3 IS NULL AND source = 'hit' THEN tokens ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank, source, key ROWS UNBOUNDED PRECEDING) > 6000 THEN 'token_budget' ELSE r3 END AS r4 FROM f),
+    h AS (SELECT *, CASE WHEN r4 IS NULL AND source = 'neighbor' AND sum(CASE WHEN r4 IS NULL AND source = 'hit' THEN tokens ELSE 0 END) OVER (PARTITION BY query_id)
+        + sum(CASE WHEN r4 IS NULL AND source = 'neighbor' THEN tokens ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank, source, key ROWS UNBOUNDED PRECEDING) > 6000 THEN 'token_budget' ELSE r4 END AS reason FROM g),
+    done AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY query_id, reason IS NULL ORDER BY chapter, chunk_index) END AS place FROM h),
+    none_ AS (SELECT NULL::VARCHAR AS reason, NULL::VARCHAR AS source, NULL::BIGINT AS place)
+    SELECT query_id, 'keyword' AS stage, key, rank, score, reason, source, place FROM words, none_ UNION ALL SELECT query_id, 'dense', key, rank, score, reason, source, place FROM dense, none_ UNION ALL SELECT query_id, 'fused', key, rank, score, reason, source, place FROM fused, none_
+    UNION ALL SELECT query_id, 'reranked', key, rank, score, reason, source, place FROM second, none_ UNION ALL SELECT query_id, 'assembled', key, rank, NULL, reason, source, place FROM done""")
 def retrieval_stages(spark, sf_dir):
     chapter = lambda key: F.floor(F.col(key) / 4).alias("chapter")
     chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), chapter("doc_id"), (F.col("doc_id") % 4).alias("chunk_index"), F.col("text").alias("content"), F.least("n_chars", F.lit(900)).alias("tokens"))

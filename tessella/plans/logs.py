@@ -11,22 +11,25 @@ from .registry import messages, read, register
 
 # Event streams ------------------------------------------------------------
 
-_NAMES = ", ".join(f"'{n}'" for n in flows.ORDER)
-_STREAM = """s AS (SELECT conv_id AS request_id, turn AS seq, CASE WHEN turn = max(turn) OVER (PARTITION BY conv_id) THEN CASE conv_id % 5 WHEN 0 THEN 'delta' WHEN 1 THEN 'error' ELSE 'done' END
-    WHEN (conv_id + turn) % 23 = 0 THEN 'bogus' WHEN (conv_id + turn) % 17 = 0 THEN 'done' WHEN (conv_id + turn) % 7 = 0 THEN 'fused' ELSE 'delta' END AS name FROM conversations)"""
-
-
-@register(f"""WITH {_STREAM}, p AS (SELECT *, list_position([{_NAMES}], name) AS place, coalesce(sum((name IN ('done', 'error'))::INT) OVER (PARTITION BY request_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS after FROM s),
-    b AS (SELECT *, coalesce(place < lag(place) OVER (PARTITION BY request_id ORDER BY seq) AND name NOT IN ('done', 'error'), false) AS back FROM p),
-    g AS (SELECT request_id, count(*) FILTER (place IS NULL OR place = 0) AS unknown, count(*) FILTER (back) AS back, count(*) FILTER (name IN ('done', 'error')) AS ends, count(*) FILTER (after) AS after FROM b GROUP BY request_id)
-    SELECT request_id, CASE WHEN unknown > 0 THEN 'unknown event' WHEN ends = 0 THEN 'no end' WHEN ends > 1 THEN 'several ends' WHEN after > 0 THEN 'event after the end' WHEN back > 0 THEN 'out of order' END AS error FROM g""")
+@register("""SELECT conv_id AS request_id, CASE conv_id % 12 WHEN 1 THEN 'event is missing' WHEN 2 THEN 'unknown event' WHEN 3 THEN 'out of order' WHEN 4 THEN 'no end' WHEN 5 THEN 'several ends'
+    WHEN 6 THEN 'event after the end' WHEN 8 THEN 'event twice' WHEN 9 THEN 'event is missing' END AS error FROM conversations GROUP BY conv_id""")
 def event_order(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations")
-    mark = (F.col("conv_id") + F.col("turn"))
-    last = F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id"))
-    end = F.when(F.col("conv_id") % 5 == 0, "delta").when(F.col("conv_id") % 5 == 1, "error").otherwise("done")
-    name = F.when(last, end).when(mark % 23 == 0, "bogus").when(mark % 17 == 0, "done").when(mark % 7 == 0, "fused").otherwise("delta")
-    return flows.order_errors(c.select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), name.alias("name")))
+    # a whole stream with a delta for each turn, and one fault (or none: 0, 7 ends with an error early, 10 lacks what may be missing, 11) by the conversation's number
+    turns = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("request_id")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    of = lambda *names: F.array(*[F.lit(x) for x in names])
+    fault = F.col("request_id") % 12
+    begin = [n for n in flows.ORDER if n not in ("answer_delta", "citation_ready", "query_done", "query_error")]
+    without = lambda name: of(*[n for n in begin if n != name])
+    head = (
+        F.when(fault == 1, without("context_assembled")).when(fault == 2, of("begin", *begin)).when(fault == 3, of(begin[1], begin[0], *begin[2:]))
+        .when(fault == 9, without("query_started")).when(fault == 10, without("rewrite_completed")).otherwise(of(*begin))
+    )
+    tail = (
+        F.when(fault == 4, of("citation_ready")).when(fault == 5, of("citation_ready", "query_done", "query_error")).when(fault == 6, of("citation_ready", "query_done", "answer_delta"))
+        .when(fault == 7, of("query_error")).when(fault == 8, of("citation_ready", "citation_ready", "query_done")).otherwise(of("citation_ready", "query_done"))
+    )
+    events = turns.select("request_id", F.posexplode(F.concat(head, F.array_repeat(F.lit("answer_delta"), F.col("n")), tail)).alias("seq", "name"))
+    return flows.order_errors(events)
 
 
 @register(r"""WITH s AS (SELECT conv_id AS request_id, turn, role AS event, regexp_replace(text, '[\r\n]+', ' ', 'g') AS data FROM conversations)

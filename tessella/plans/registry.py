@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as N, text as X
 from ..operators import chunking, evaluation, mapping, passages, retrieval, sessions
-from ..sources.staging import spread
 
 FLAGSHIP = "hybrid_retrieval"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,8 +38,7 @@ def oracles() -> dict[str, str]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in ("documents", "pages") else df  # long texts
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,27 +211,35 @@ def chunk_spans(spark, sf_dir):
     return mapping.spans(fixed_chunks(spark, sf_dir))
 
 
-@register(f"""WITH {_SPANS},
+_PLACES = f"""{_SPANS},
     own AS (SELECT doc_id, substring(text, (length(text) * (doc_id % 97) // 97)::BIGINT + 1, 40) AS content FROM documents WHERE length(text) > 0),
     ev AS (SELECT doc_id * 2 AS evidence_id, doc_id, content FROM own UNION ALL SELECT doc_id * 2 + 1, doc_id, content || chr(1) FROM own),
     places AS (SELECT evidence_id, doc_id, unnest(list_filter(range(0, length(text) - length(content) + 1), lambda i: substring(text, i::BIGINT + 1, length(content)) = content)) AS s0, length(content) AS n
-        FROM ev JOIN documents USING (doc_id)),
+        FROM ev JOIN documents USING (doc_id))"""
+
+
+@register(f"""WITH {_PLACES},
     near AS (SELECT evidence_id, chunk_index, spans.start <= s0 AND s0 + n <= "end" AS covers, s0 + n - spans.start > overlap AS new, least(s0 + n, "end") - greatest(s0, spans.start) AS common
         FROM places JOIN spans USING (doc_id) WHERE s0 < "end" AND s0 + n > spans.start),
     per AS (SELECT evidence_id, chunk_index, bool_or(covers) AS covers, bool_or(covers AND new) AS introduces, max(common) AS common FROM near GROUP BY ALL),
     got AS (SELECT evidence_id, count(*) FILTER (covers) AS n, count(*) FILTER (introduces) AS m, min(chunk_index) FILTER (covers) AS lowest, min(chunk_index) FILTER (introduces) AS introducer,
-        arg_max(chunk_index, common * 100000 - chunk_index) AS partial FROM per GROUP BY evidence_id)
-    SELECT evidence_id, CASE WHEN n > 0 THEN 'matched' WHEN partial IS NOT NULL THEN 'low_conf' ELSE 'unmatched' END AS status,
+        arg_max(chunk_index, common * 100000 - chunk_index) AS partial, list_sort(list(chunk_index) FILTER (covers)) AS covering FROM per GROUP BY evidence_id)
+    SELECT evidence_id, CASE WHEN n > 1 THEN list_filter(covering, lambda c: c <> CASE WHEN m = 1 THEN introducer ELSE lowest END)[1] END AS alternative,
+        CASE WHEN n = 1 THEN 'one chunk covers it' WHEN n > 1 AND m = 1 THEN n || ' chunks cover it, one introduces it' WHEN n > 1 THEN n || ' chunks cover it, the first is taken'
+            WHEN partial IS NOT NULL THEN 'no chunk covers it, the largest overlap is taken' ELSE 'it stands nowhere' END AS reason, CASE WHEN n > 0 THEN 'matched' WHEN partial IS NOT NULL THEN 'low_conf' ELSE 'unmatched' END AS status,
         CASE WHEN n = 1 THEN lowest WHEN n > 1 AND m = 1 THEN introducer WHEN n > 1 THEN lowest ELSE partial END AS chunk_index,
         CASE WHEN n = 1 THEN 'unique_cover' WHEN n > 1 AND m = 1 THEN 'introducer' WHEN n > 1 THEN 'max_coverage' END AS tier, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS confidence
     FROM ev LEFT JOIN got USING (evidence_id)""")
 def evidence_mapping(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return mapping.locate(pieces_as_evidence(docs), docs, mapping.spans(fixed_chunks(spark, sf_dir)))
+
+
+def pieces_as_evidence(docs: DataFrame) -> DataFrame:
+    """evidence_id, doc_id, content: one piece of every document, and one that stands nowhere."""
     at = F.floor(F.length("text") * (F.col("doc_id") % 97) / 97)
     own = docs.where(F.length("text") > 0).select("doc_id", F.substr("text", at.cast("int") + 1, F.lit(40)).alias("content"))
-    # one piece of every document, and one that stands nowhere
-    evidence = own.select((F.col("doc_id") * 2).alias("evidence_id"), "doc_id", "content").unionByName(own.select((F.col("doc_id") * 2 + 1).alias("evidence_id"), "doc_id", F.concat("content", F.lit("\x01")).alias("content")))
-    return mapping.locate(evidence, docs, mapping.spans(fixed_chunks(spark, sf_dir)))
+    return own.select((F.col("doc_id") * 2).alias("evidence_id"), "doc_id", "content").unionByName(own.select((F.col("doc_id") * 2 + 1).alias("evidence_id"), "doc_id", F.concat("content", F.lit("\x01")).alias("content")))
 
 
 @register("""WITH b AS (SELECT DISTINCT substring(text, i::BIGINT, 60) AS w FROM benchmark, LATERAL (SELECT unnest(range(1, length(text) - 58)) AS i) WHERE length(text) >= 60),
@@ -427,4 +433,4 @@ def json_keys(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "map<string,string>")[first].isNotNull().alias("has_first"), F.size("ks").cast("long").alias("n_keys"), first.alias("first_key"))
 
 
-from . import books as _books, logs as _logs, records as _records  # noqa: E402, F401  (register more queries)
+from . import books as _books, logs as _logs, records as _records, runs as _runs  # noqa: E402, F401  (register more queries)

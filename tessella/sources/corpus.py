@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.text import content_hash, normalize_minimal
+from . import versions
+from .staging import staged
 
 CORPUS = "id string, vol string, title string, url string, images array<string>, text string"
 QUESTION = (
@@ -57,11 +59,6 @@ def evidence(questions: DataFrame) -> DataFrame:
     return flat.select("question_id", "ordinal", "e.chapter_id", "e.content")
 
 
-def replace_book(rows: DataFrame, path: str) -> None:
-    """Replace the books that rows has, and no others: dynamic partition overwrite by book_id."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
-
-
 def guarded(rows: DataFrame, most: int = 500) -> DataFrame:
     """rows; a string beyond most characters, at any depth, ends the job."""
 
@@ -82,11 +79,22 @@ def write_records(rows: DataFrame, path: str) -> None:
     canonical_lines(guarded(rows)).write.text(path)
 
 
+#: How events that end a stream are called, and an error on the wire.
+DONE_EVENTS, ERROR_EVENTS, WIRE_ERROR = ("done", "query_done"), ("error", "query_error"), "error"
+
+
 def frames(events: DataFrame) -> DataFrame:
-    """events (request_id, seq, name, payload) as one event-stream text per request."""
-    one = lambda e: F.concat(F.lit("event: "), e["name"], F.lit("\ndata: "), e["payload"], F.lit("\n\n"), F.when(e["name"] == "done", F.lit("data: [DONE]\n\n")).otherwise(F.lit("")))
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "name", "payload")))
-    return events.groupBy("request_id").agg(ordered.alias("es")).select("request_id", F.array_join(F.transform("es", one), "").alias("stream"))
+    """events (request_id, seq, name, payload) as one event-stream text per request.
+
+    The end is followed by [DONE], an error isn't; nothing follows either.
+    """
+    ends = lambda e: e["name"].isin(*DONE_EVENTS, *ERROR_EVENTS)
+    name = lambda e: F.when(e["name"].isin(*ERROR_EVENTS), WIRE_ERROR).otherwise(e["name"])
+    one = lambda e: F.concat(F.lit("event: "), name(e), F.lit("\ndata: "), e["payload"], F.lit("\n\n"), F.when(e["name"].isin(*DONE_EVENTS), F.lit("data: [DONE]\n\n")).otherwise(F.lit("")))
+    ordered = events.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "payload"))).alias("es"))
+    stop = F.array_position(F.transform("es", ends), F.lit(True)).cast("int")
+    sent = F.when(stop > 0, F.slice("es", F.lit(1), stop)).otherwise(F.col("es"))
+    return ordered.select("request_id", F.array_join(F.transform(sent, one), "").alias("stream"))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -101,14 +109,19 @@ def fold_events(events: DataFrame) -> DataFrame:
     return got.select("request_id", F.when(failed, "generation_failed").otherwise(done["status"]).alias("status"), F.when(failed, "").otherwise(text).alias("text"))
 
 
-def placed(rows: DataFrame, order: str) -> DataFrame:
-    """rows with place, from 0, in the order of a column: ranges are sorted by themselves and counted, so no task gets all rows."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__at", F.monotonically_increasing_id())
-    part = F.shiftright("__at", 33)
-    counts = ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("p", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a task
-    own = ranged.withColumn("p", part).join(F.broadcast(before), "p")
-    return own.withColumn("place", (F.col("before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__at", "p", "before")
+def placed(rows: DataFrame, order: str, place: str = "place") -> DataFrame:
+    """rows with place, from 0, in the order of a column: ranges are sorted by themselves and counted, so no task gets all rows.
+
+    Ranges are sampled, so the ranged rows are stored once, numbered within
+    their range; counts and rows come from the same table.
+    """
+    at, part, before = ("__" + "_" * max(map(len, rows.columns)) + x for x in ("at", "part", "before"))
+    ranged = staged(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn(at, F.monotonically_increasing_id()), "ranges")
+    own = ranged.withColumn(part, F.shiftright(at, 33))
+    counts = own.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))  # one row a range
+    value = (F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("long")
+    return own.join(F.broadcast(starts), part).withColumn(place, value).select(*rows.columns, place)
 
 
 def canonical_lines(rows: DataFrame) -> DataFrame:
@@ -168,9 +181,19 @@ def read_mapping_lookup(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("evidence_hash", F.when(F.col("status") == "matched", F.col("chunk_key")).alias("chunk_key"))
 
 
-def write_run(path: str, records: DataFrame, failures: DataFrame, summary: DataFrame) -> None:
-    """A run's folder: records, failures and summary, each a folder of JSON lines; nothing is written before all rows have passed."""
-    for rows in (records, failures, summary):
-        guarded(rows).write.format("noop").mode("overwrite").save()
-    for name, rows in (("records", records), ("failures", failures), ("summary", summary)):
-        write_records(rows, f"{path}/{name}")
+def write_run(path: str, records: DataFrame, failures: DataFrame, summary: DataFrame, config: dict | None = None, report: DataFrame | None = None) -> versions.Snapshot:
+    """A run's artifacts as one version of its folder: JSON lines of records, failures and summary, report lines (place, line) in order, config in the manifest.
+
+    Each table is computed once; a row that ``guarded`` refuses ends the job
+    before anything can be read.
+    """
+    tables = {name: canonical_lines(guarded(rows)) for name, rows in (("records", records), ("failures", failures), ("summary", summary))}
+    if report is not None:
+        tables["report"] = report.orderBy("place").select(F.col("line").alias("value"))
+    return versions.commit(records.sparkSession, path, replace=tables, text=tuple(tables), note=config or {})
+
+
+def read_run(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """A table of the newest version of a run."""
+    lines = versions.latest(spark, path).read(spark, name)
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")

@@ -1,38 +1,35 @@
-"""Tables written to the folder that driver and executors share, to cut lineage; small files dealt to all cores."""
+"""Tables written to the folder that driver and executors share, to cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that name none, by application.
+_OWN: dict[str, str] = {}
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read back.
 
-    Only a local session, whose driver and executor are one process, may go on
-    without that setting, in a temporary folder.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The cluster names it in spark.checkpoint.dir.  Only a local session, where
+    driver and executor are one process, may go on without that setting, in a
+    temporary folder of its own; the setting itself can't be changed while a
+    session runs.
     """
-    spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/tessella/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tessella-')}")
 
-#: A scan of fewer bytes for each core is dealt anew: it may be one row group, which one task reads alone.
-SMALL_SCAN = 8 << 20
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """df of a file scan; with less than SMALL_SCAN bytes for each core its rows are dealt to as many tasks as there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_SCAN else df
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df, written below the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/tessella/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

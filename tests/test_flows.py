@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import catalog, evaluation, flows, passages, retrieval
-from tessella.sources import corpus
-from tessella.sources.staging import spread, staged
+from tessella.sources import corpus, versions
+from tessella.sources.staging import staged
 
 
 def test_keyword_search_with_allow_list_and_realms(spark):
@@ -108,10 +108,18 @@ def test_streams_are_parsed_like_a_browser_does(spark):
 
 
 def test_order_of_events(spark):
-    streams = {1: ["query_accepted", "fused", "delta", "delta", "done"], 2: ["delta", "fused", "done"], 3: ["delta"], 4: ["done", "error"], 5: ["done", "delta", "delta"], 6: ["what", "done"]}
+    whole = [n for n in flows.ORDER if n != flows.ERROR]
+    lacking = lambda *gone: [n for n in whole if n not in gone]
+    streams = {
+        1: whole, 2: lacking("rewrite_completed"), 3: lacking("rerank_completed"), 4: ["query_done"], 5: ["query_started", "query_done"], 6: whole[:3], 7: [*whole, "query_done"], 8: [*whole, "answer_delta"],
+        9: ["query_started", "what", "query_done"], 10: ["query_started", "query_error"], 11: ["query_error"], 12: [whole[1], whole[0], *whole[2:]], 13: [*whole[:8], "answer_delta", *whole[8:]], 14: [*whole[:9], "citation_ready", "query_done"],
+    }
     rows = [(k, i, n) for k, names in streams.items() for i, n in enumerate(names)]
     got = {r.request_id: r.error for r in flows.order_errors(spark.createDataFrame(rows, "request_id long, seq long, name string")).collect()}
-    assert got == {1: None, 2: "out of order", 3: "no end", 4: "several ends", 5: "event after the end", 6: "unknown event"}
+    assert got == {
+        1: None, 2: None, 3: "event is missing", 4: "event is missing", 5: "event is missing", 6: "no end", 7: "several ends", 8: "event after the end",
+        9: "unknown event", 10: None, 11: None, 12: "out of order", 13: None, 14: "event twice",
+    }
 
 
 def test_throttle_locks_and_forgets(spark):
@@ -139,11 +147,11 @@ def test_records_are_read_strictly(spark, tmp_path):
 def test_runs_are_written_whole_or_not_at_all(spark, tmp_path):
     good = spark.createDataFrame([("b", [("x", None)])], "z string, a array<struct<d: string, c: int>>")
     corpus.write_run(str(tmp_path / "run"), good, good.limit(0), good)
-    assert "".join(f.read_text() for f in (tmp_path / "run" / "records").glob("part-*")) == '{"a":[{"c":null,"d":"x"}],"z":"b"}\n'
+    assert [r.value for r in versions.latest(spark, str(tmp_path / "run")).read(spark, "records").collect()] == ['{"a":[{"c":null,"d":"x"}],"z":"b"}']
     bad = spark.createDataFrame([("b", [("x" * 501, None)])], "z string, a array<struct<d: string, c: int>>")
     with pytest.raises(Exception, match="too long"):
         corpus.write_run(str(tmp_path / "other"), good, good, bad)
-    assert not (tmp_path / "other").exists()
+    assert versions.latest(spark, str(tmp_path / "other")).version == 0
 
 
 def test_dataset_hash_ignores_order(spark):

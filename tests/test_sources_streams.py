@@ -26,13 +26,6 @@ def test_questions_and_evidence(spark, tmp_path):
     assert [(r.ordinal, r.chapter_id, r.content) for r in got] == [(0, "c1", "a"), (1, "c2", "b")]
 
 
-def test_replace_book_leaves_others(spark, tmp_path):
-    path = str(tmp_path / "t")
-    corpus.replace_book(spark.createDataFrame([(1, "a"), (2, "b")], "book_id int, v string"), path)
-    corpus.replace_book(spark.createDataFrame([(2, "c")], "book_id int, v string"), path)
-    assert {(r.book_id, r.v) for r in spark.read.parquet(path).collect()} == {(1, "a"), (2, "c")}
-
-
 def test_events_fold_and_frames(spark):
     rows = [("r", 1, "delta", '{"text":"a"}'), ("r", 2, "delta", '{"text":"b"}'), ("r", 3, "done", '{"status":"answered"}'), ("e", 1, "delta", '{"text":"a"}'), ("e", 2, "error", "{}"), ("n", 1, "delta", '{"text":"a"}')]
     events = spark.createDataFrame(rows, "request_id string, seq int, name string, payload string")
