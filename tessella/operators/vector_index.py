@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import versions
 from ..sources.staging import staged
-from .retrieval import DECIMALS, best_rows, limits, nearest, question_rows, top, unit
+from .retrieval import DECIMALS, best_rows, limits, nearest, question_rows, top, type_of, unit
 
 #: Vectors that k-means learns on, and centroids.
 SAMPLE, CELLS = 100_000, 4096
@@ -92,14 +92,14 @@ def search(spark: SparkSession, index: versions.Snapshot, queries: DataFrame, k:
     """query_id, key, score, rank of the k nearest vectors in the probes nearest cells; queries and realms as for ``retrieval.nearest``."""
     ids, q = question_rows(queries)
     middle = index.read(spark, "centroids").orderBy("cell").toPandas()  # CELLS rows at most
-    centroids = np.array(middle["centroid"].tolist(), float).reshape(len(middle), -1)
+    centroids = np.array(middle["centroid"].tolist(), float).reshape(len(middle), -1) if len(middle) else np.zeros((0, 0))
     near = np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes] if len(middle) and len(ids) else np.zeros((len(ids), 0), int)
     if len(ids) and len(middle) and q.shape[1] != centroids.shape[1]:
         raise ValueError("vectors differ in length")
     asked: dict[int, np.ndarray] = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
     bounds = None if realms is None else {r["query_id"]: (r["low"], r["high"]) for r in realms.select("query_id", "low", "high").collect()}
     lists = index.read(spark, "lists").where(F.col("cell").isin(list(asked)))
-    shared = spark.sparkContext.broadcast((pa.array(ids), q, asked, limits(ids, bounds)))
+    shared = spark.sparkContext.broadcast((pa.array(ids, type_of(queries)), q, asked, limits(ids, bounds)))
 
     def run(batches):
         names, block, probing, places = shared.value
