@@ -217,7 +217,8 @@ def canonical_table(rows: DataFrame, id_col: str) -> DataFrame:
     """id_col, layout, fingerprint, turns of a typed table, by the layout of its schema."""
     rest = [F.col(f"`{c}`") for c in rows.columns if c != id_col]
     paths = schema_paths(rows.select(*rest).schema)
-    known = layouts(rows.sparkSession.createDataFrame([(fingerprint(paths), paths)], "fingerprint string, paths array<string>")).drop("paths")  # one row, as a table has one schema
+    print_ = fingerprint(paths)
+    known = layouts(rows.sparkSession.createDataFrame([(print_, paths)], "fingerprint string, paths array<string>"))  # one row, as a table has one schema
     name = known.first()["layout"]
     if name is None:
         raise ValueError(f"no mapping for the layout {paths}")
@@ -229,8 +230,7 @@ def canonical_table(rows: DataFrame, id_col: str) -> DataFrame:
         turns = F.transform("all", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).cast(TURNS)
     else:
         out, turns = rows, F.coalesce(turns_of(F.parse_json(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"})), name), F.array().cast(TURNS))
-    made = out.select(F.col(f"`{id_col}`"), turns.alias("turns"), F.lit(fingerprint(paths)).alias("fingerprint"))
-    return made.join(F.broadcast(known), "fingerprint").select(F.col(f"`{id_col}`"), "layout", "fingerprint", "turns")
+    return out.select(F.col(f"`{id_col}`"), F.lit(name).alias("layout"), F.lit(print_).alias("fingerprint"), turns.alias("turns"))
 
 
 # Template -----------------------------------------------------------------
