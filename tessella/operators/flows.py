@@ -139,11 +139,26 @@ def folded(rows: DataFrame, key: str, order: list[str], columns: list[str], out:
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in fields.items()], out]))
 
 
+def split_fold(rows: DataFrame, key: str, order: list[str], columns: list[str], out: str, start, step, may_change: Column, simple: Column) -> DataFrame:
+    """``folded`` for the keys with a row of may_change; all other rows get simple, without leaving Spark.
+
+    may_change is a window expression over the key's rows.  The keys that have
+    one are found first, so a key far below every limit costs a comparison a row.
+    """
+    marked = rows.withColumn("__may", F.coalesce(may_change, F.lit(False)))
+    keys = marked.where("__may").select(key).distinct()
+    name = out.split(" ")[0]
+    hot = folded(rows.join(keys, key, "left_semi"), key, order, columns, out, start, step)
+    return hot.unionByName(rows.join(keys, key, "left_anti").withColumn(name, simple))
+
+
 def throttled(attempts: DataFrame, most: int = 5, window_s: float = 900.0, lock_s: float = 900.0) -> DataFrame:
     """attempts (address, at in seconds, failed) with state: locked, failed or ok.
 
     most failures within the window lock the address for lock_s; attempts while
-    it is locked count for nothing; a success forgets the failures.
+    it is locked count for nothing; a success forgets the failures.  An address
+    that never has most failures of any kind within the window is never locked,
+    and isn't folded.
     """
 
     def step(state, at, failed):
@@ -155,16 +170,26 @@ def throttled(attempts: DataFrame, most: int = 5, window_s: float = 900.0, lock_
         failures = [t for t in failures if at - t < window_s] + [at]
         return ([], at + lock_s) if len(failures) >= most else (failures, 0.0), "failed"
 
-    return folded(attempts, "address", ["at"], ["at", "failed"], "state string", lambda: ([], float("-inf")), step)
+    # failures of any kind in the window, a microsecond wider as times are rounded
+    by = Window.partitionBy("address").orderBy((F.col("at") * 1_000_000).cast("long"))
+    failed = F.coalesce(F.col("failed"), F.lit(False))
+    recent = F.count(F.when(failed, 1)).over(by.rangeBetween(-int(window_s * 1_000_000) - 1, 0))
+    simple = F.when(failed, "failed").otherwise("ok")
+    return split_fold(attempts, "address", ["at"], ["at", "failed"], "state string", lambda: ([], float("-inf")), step, recent >= most, simple)
 
 
 def touched(visits: DataFrame, every_s: float = 300.0) -> DataFrame:
-    """visits (session_id, at in seconds) with written: the first, and each at least every_s after the last one written."""
+    """visits (session_id, at in seconds) with written: the first, and each at least every_s after the last one written.
+
+    Where every visit comes every_s or more after the one before, all are
+    written, and the session isn't folded.
+    """
 
     def step(last, at):
         return (at, True) if last is None or at - last >= every_s else (last, False)
 
-    return folded(visits, "session_id", ["at"], ["at"], "written boolean", lambda: None, step)
+    by = Window.partitionBy("session_id").orderBy("at")
+    return split_fold(visits, "session_id", ["at"], ["at"], "written boolean", lambda: None, step, F.col("at") - F.lag("at").over(by) < every_s, F.lit(True))
 
 
 def unsummarised(messages: DataFrame, marks: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 WIDTH = 60
-#: Hashes of known windows that may be broadcast, 16 MB; beyond that windows are joined.
-BROADCAST = 2_000_000
+#: Bits of the map of known windows that travels to the tasks: 64 MB, however many windows there are.
+MAP_BITS = 29
 
 
 BASE = 0x9E3779B97F4A7C15
@@ -47,30 +47,42 @@ def all_hashes(df: DataFrame, width: int = WIDTH) -> DataFrame:
     return df.select("text").mapInArrow(run, "h long").distinct()
 
 
-def windows(df: DataFrame, *keep: str, width: int = WIDTH, only: np.ndarray | None = None) -> DataFrame:
-    """keep, i, w of each window of df's texts, or of those whose hash is in the sorted array only."""
-    shared = None if only is None else df.sparkSession.sparkContext.broadcast(only)
+def bit_map(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A map of 2^bits bits with the lowest bits of each hash (h) set; it is made in pieces of 4 kB, so its size alone comes to the driver."""
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    pieces = hashes.select(F.shiftright(place, 15).alias("piece"), F.pmod(place, F.lit(1 << 15)).alias("bit")).groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("map"))
+    out = np.zeros(1 << max(bits - 3, 12), np.uint8)
+    for r in pieces.toLocalIterator():
+        out[4096 * r["piece"] : 4096 * (r["piece"] + 1)] = np.frombuffer(r["map"], np.uint8)
+    return out
+
+
+def in_map(held: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    place = (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def windows(df: DataFrame, *keep: str, width: int = WIDTH, held=None, bits: int = MAP_BITS) -> DataFrame:
+    """keep, i, h, w of each window of df's texts, or of those that the broadcast map held knows."""
     fields = [f for f in df.select(*keep).schema.fields]
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "i int", "w string"])
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in fields], "i int, h long, w string"])
 
     def run(batches):
-        known = None if shared is None else shared.value
+        known = None if held is None else held.value
         for batch in batches:
-            rows, places, found = [], [], []
+            rows, places, hashes, found = [], [], [], []
             for r, text in enumerate(batch.column(len(keep)).to_pylist()):
                 if not text or len(text) < width:
                     continue
-                at = range(len(text) - width + 1)
-                if known is not None:
-                    h = window_hashes(text, width)
-                    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    at = np.flatnonzero(known[k] == h).tolist() if len(known) else []
-                for i in at:
-                    rows.append(r)
-                    places.append(i)
-                    found.append(text[i : i + width])
+                h = window_hashes(text, width)
+                at = np.arange(len(h)) if known is None else np.flatnonzero(in_map(known, h, bits))
+                rows += [r] * len(at)
+                places += at.tolist()
+                hashes += h[at].view(np.int64).tolist()
+                found += [text[i : i + width] for i in at.tolist()]
             index = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in range(len(keep))], pa.array(places, pa.int32()), pa.array(found, pa.string())], names=[*keep, "i", "w"])
+            made = [pa.array(places, pa.int32()), pa.array(hashes, pa.int64()), pa.array(found, pa.string())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(index) for c in range(len(keep))], *made], names=[*keep, "i", "h", "w"])
 
     return df.select(*keep, "text").mapInArrow(run, schema)
 
@@ -78,11 +90,13 @@ def windows(df: DataFrame, *keep: str, width: int = WIDTH, only: np.ndarray | No
 def overlaps(docs: DataFrame, passages: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, first_offset, windows of documents that hold a window of a passage.
 
-    Hashes only spare windows that can't match; those that may are compared as
-    strings by a join.
+    One plan at every size: a bit map of the passages' windows, whose size
+    depends on nothing, spares windows that can't match; the others are joined
+    by hash and compared as strings.  Where passages have very many windows
+    the map spares less, and the join does more.
     """
-    few = all_hashes(passages, width).limit(BROADCAST + 1).toPandas()["h"].to_numpy(np.int64).view(np.uint64)  # 8 bytes each, BROADCAST at most
-    only = np.sort(few) if len(few) <= BROADCAST else None
-    known = windows(passages.where(F.length("text") >= width).withColumn("one", F.lit(1)), "one", width=width).select("w").distinct()
-    found = windows(docs, "doc_id", width=width, only=only).join(known, "w", "left_semi")
+    hashes = all_hashes(passages, width)
+    held = docs.sparkSession.sparkContext.broadcast(bit_map(hashes, MAP_BITS))
+    known = windows(passages.where(F.length("text") >= width).withColumn("one", F.lit(1)), "one", width=width).select("h", "w").distinct()
+    found = windows(docs, "doc_id", width=width, held=held, bits=MAP_BITS).join(known, ["h", "w"], "left_semi")
     return found.groupBy("doc_id").agg(F.min("i").cast("long").alias("first_offset"), F.count(F.lit(1)).alias("windows"))

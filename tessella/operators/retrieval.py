@@ -211,7 +211,7 @@ def fuse(*channels: DataFrame, k: int = 60) -> DataFrame:
     return got.withColumn("rank", F.row_number().over(order)).drop("seen")
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms: DataFrame, k: int = 60, pool: int = 32, out: int = 24, scorer=None, expand: bool = True, **caps: int) -> DataFrame:
+def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms: DataFrame, k: int = 60, pool: int = 32, out: int = 24, scorer=None, expand: bool = True, errors: str = "raise", **caps: int) -> DataFrame:
     """query_id, stage, key, rank, score, reason, source, place of a whole retrieval: every stage's rows.
 
     chunks: key, chapter, chunk_index, content, tokens.  vectors: key,
@@ -223,6 +223,8 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms:
     ``models.Score``; a hash where none is given) and assembled: hits and
     neighbours with their source, place in the context, or the reason why they
     are left out; the realm is checked again here, whatever a channel returned.
+    With errors="rows" a query whose scorer fails has a row of the stage failed
+    with the error as reason, and nothing assembled.
     """
     from .models import hash_scores, rerank_groups
 
@@ -235,13 +237,15 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms:
     fused = staged(fuse(every, words), "fused")
     texts = chunks.select("key", "content", "chapter", "chunk_index", "tokens")
     ranked = fused.where(F.col("rank") <= pool).join(asked.select("query_id", "question"), "query_id").join(texts, "key")
-    scored = rerank_groups(ranked.select("query_id", "key", "rank", "question", "content"), scorer or hash_scores, pool, out)
-    second = staged(scored.join(texts.drop("content"), "key"), "reranked")
+    scored = rerank_groups(ranked.select("query_id", "key", "rank", "question", "content"), scorer or hash_scores, pool, out, errors)
+    scored = staged(scored.join(texts.drop("content"), "key", "left"), "reranked")
+    second = scored.where("error is null")
     last = settled(second, texts, realms, expand, **caps)
     none = lambda kind: F.lit(None).cast(kind)
     stage = lambda df, name: df.select("query_id", F.lit(name).alias("stage"), "key", F.col("rank").cast("long").alias("rank"), F.col("score").cast("double").alias("score"), none("string").alias("reason"), none("string").alias("source"), none("long").alias("place"))
+    failed = scored.where("error is not null").select("query_id", F.lit("failed").alias("stage"), "key", none("long").alias("rank"), none("double").alias("score"), F.col("error").alias("reason"), none("string").alias("source"), none("long").alias("place"))
     done = last.select("query_id", F.lit("assembled").alias("stage"), "key", F.col("rank").cast("long").alias("rank"), none("double").alias("score"), "reason", "source", F.col("place").cast("long").alias("place"))
-    return stage(words, "keyword").unionByName(stage(every, "dense")).unionByName(stage(fused, "fused")).unionByName(stage(second, "reranked")).unionByName(done)
+    return stage(words, "keyword").unionByName(stage(every, "dense")).unionByName(stage(fused, "fused")).unionByName(stage(second, "reranked")).unionByName(failed).unionByName(done)
 
 
 # Reasons for what assembly leaves out.

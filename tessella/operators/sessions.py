@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.text import collapse_ends, token_estimate
@@ -71,28 +72,41 @@ def rate_limited(events: DataFrame, limit: int = 5, window_s: float = 60.0) -> D
     """events (user_id, event_id, at in seconds) with accepted.
 
     An attempt is accepted if fewer than limit accepted ones are younger than
-    the window.  Rejected attempts don't count, so this isn't a window frame:
-    each user's attempts are folded in order, holding limit times at most, as
-    sorted batches go by.
+    the window.  Rejected attempts don't count, so this isn't a window frame.
+    But one that has fewer than limit attempts of any kind in its window is
+    accepted whatever came before; ``lag`` finds the others, and only they are
+    gone through one by one, as sorted batches go by, with the last limit
+    accepted times in hand.
     """
+    import pyarrow as pa
 
-    def run(batches):
-        import pyarrow as pa
+    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("double").alias("at"))
+    order = Window.partitionBy("user_id").orderBy("at", "event_id")
+    crowded = F.coalesce(F.col("at") - F.lag("at", limit).over(order) < window_s, F.lit(False))
 
+    def run(batches):
         user, held = object(), []
         for batch in batches:
-            out = []
-            for u, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if u != user:
-                    user, held = u, []
-                held = [t for t in held if at - t < window_s]
-                out.append(len(held) < limit)
-                if out[-1]:
-                    held.append(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.bool_())], names=["user_id", "event_id", "at", "accepted"])
-
-    rows = events.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.col("at").cast("double").alias("at"))
-    return rows.repartition("user_id").sortWithinPartitions("user_id", "at", "event_id").mapInArrow(run, "user_id long, event_id long, at double, accepted boolean")
+            out = np.ones(batch.num_rows, bool)
+            users, at = batch.column(0).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+            todo = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False))
+            before = 0
+            for i in [*todo.tolist(), batch.num_rows]:
+                # what lies between crowded rows was accepted; limit of them are enough to know
+                for j in range(max(before, i - limit), i):
+                    if users[j] != user:
+                        user, held = users[j], []
+                    held.append(at[j])
+                held, before = held[-limit:], i + 1
+                if i < batch.num_rows:
+                    if users[i] != user:
+                        user, held = users[i], []
+                    out[i] = sum(at[i] - t < window_s for t in held) < limit
+                    if out[i]:
+                        held = [*held[-limit + 1 :], at[i]] if limit > 1 else [at[i]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], names=["user_id", "event_id", "at", "accepted"])
+
+    return rows.repartition("user_id").withColumn("crowded", crowded).sortWithinPartitions("user_id", "at", "event_id").mapInArrow(run, "user_id long, event_id long, at double, accepted boolean")
 
 
 # The longest message that is passed on, in UTF-16 units, and what ends a shortened one.

@@ -131,14 +131,19 @@ def realm_prefixes(spark, sf_dir):
     SELECT query_id, 'keyword' AS stage, key, rank, score, reason, source, place FROM words, none_ UNION ALL SELECT query_id, 'dense', key, rank, score, reason, source, place FROM dense, none_ UNION ALL SELECT query_id, 'fused', key, rank, score, reason, source, place FROM fused, none_
     UNION ALL SELECT query_id, 'reranked', key, rank, score, reason, source, place FROM second, none_ UNION ALL SELECT query_id, 'assembled', key, rank, NULL, reason, source, place FROM done""")
 def retrieval_stages(spark, sf_dir):
-    chapter = lambda key: F.floor(F.col(key) / 4).alias("chapter")
-    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), chapter("doc_id"), (F.col("doc_id") % 4).alias("chunk_index"), F.col("text").alias("content"), F.least("n_chars", F.lit(900)).alias("tokens"))
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", chapter("vec_id"))
+    chunks, vectors = chain_tables(spark, sf_dir)
     asked = questions(spark, sf_dir)
     realms = asked.select("query_id", F.lit(0).alias("low"), F.when(F.col("query_id") % 2 == 0, 40).otherwise(1_000_000_000).alias("high"))
     return retrieval.retrieve(chunks, vectors, asked, realms)
 
 
+def chain_tables(spark, sf_dir):
+    """documents as chunks, four a chapter, and their vectors."""
+    chapter = lambda key: F.floor(F.col(key) / 4).alias("chapter")
+    chunks = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), chapter("doc_id"), (F.col("doc_id") % 4).alias("chunk_index"), F.col("text").alias("content"), F.least("n_chars", F.lit(900)).alias("tokens"))
+    return chunks, read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding", chapter("vec_id"))
+
+
 # Evaluation ---------------------------------------------------------------
 
 _STAGES = """p AS (SELECT l_orderkey AS q, l_partkey AS k, max(l_extendedprice) AS price, bool_or(l_discount < 0.05) AS d, bool_or(l_tax < 0.04) AS w FROM lineitem GROUP BY ALL),

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import flows, importing, mapping, quota, retrieval, vector_index
+from ..operators import evaluation, flows, importing, mapping, quota, runs as run_steps, vector_index
 from ..sources import corpus, versions
 from ..sources.staging import shared_dir
 from ..streaming import summaries
 from .books import _CH
-from .registry import _DENSE, _PLACES, _SPANS, _TURNS, fixed_chunks, messages, pieces_as_evidence, questions, read, register
+from .books import chain_tables
+from .registry import _DENSE, _ORACLES, _PLACES, _SPANS, _TURNS, fixed_chunks, messages, pieces_as_evidence, questions, read, register
 
 
 def store(spark, label: str) -> str:
@@ -169,3 +170,90 @@ def evidence_review(spark, sf_dir):
     evidence, spans = pieces_as_evidence(docs), mapping.spans(fixed_chunks(spark, sf_dir))
     rows = mapping.review(mapping.locate(evidence, docs, spans), evidence, docs, spans)
     return rows.select("evidence_id", "doc_id", F.size("offsets").cast("long").alias("n_offsets"), F.size("coverages").cast("long").alias("n_coverages"), "before", "inside", "after", "cut_head", "cut_tail")
+
+
+# Runs ---------------------------------------------------------------------
+
+
+def asked_units(spark, sf_dir):
+    """The benchmark items as questions of two types; even ones may only see the first chapters."""
+    even = F.col("query_id") % 2 == 0
+    return questions(spark, sf_dir).select(
+        F.col("query_id").alias("question_id"), F.concat(F.lit("t"), (F.col("query_id") % 3).cast("string")).alias("type"), F.when(even, "past").otherwise("full").alias("level"), "question", "vector",
+        F.lit(0).alias("low"), F.when(even, 40).otherwise(1_000_000_000).alias("high"), F.when(even, 25).alias("progress"),
+    )
+
+
+_EVIDENCE = """ev AS (SELECT item_id AS query_id, 'k' || k AS slot, CASE WHEN k = 3 AND item_id % 4 = 0 THEN NULL ELSE (item_id * 7 + k * 13) % 150 END AS key FROM benchmark, range(4) r(k))"""
+
+
+@register(f"""WITH s AS ({_ORACLES["retrieval_stages"]}), {_EVIDENCE},
+    kept AS (SELECT DISTINCT query_id, key FROM s WHERE stage = 'assembled' AND reason IS NULL),
+    r AS (SELECT 't' || (query_id % 3) AS type, query_id, count(*) FILTER (k.key IS NOT NULL) AS hit, count(ev.key) AS mapped, count(*) AS total FROM ev LEFT JOIN kept k USING (query_id, key) GROUP BY query_id),
+    l AS (SELECT query_id, count(*) AS leak FROM kept WHERE query_id % 2 = 0 AND key // 4 > 25 GROUP BY query_id),
+    j AS (SELECT r.*, coalesce(leak, 0) AS leak FROM r LEFT JOIN l USING (query_id))
+    SELECT type, count(*) AS questions, sum(hit)::BIGINT AS hits, sum(mapped)::BIGINT AS mapped, sum(total)::BIGINT AS total, sum(leak)::BIGINT AS leaks, sum(hit)::DOUBLE / sum(total) AS recall, sum(mapped)::DOUBLE / sum(total) AS coverage FROM j GROUP BY GROUPING SETS ((), (type))""")
+def retrieval_run(spark, sf_dir):
+    """A run over all questions that is stopped after one batch and goes on, and its summary."""
+    chunks, vectors = chain_tables(spark, sf_dir)
+    units = asked_units(spark, sf_dir)
+    key = F.when((F.col("k") == 3) & (F.col("question_id") % 4 == 0), None).otherwise((F.col("question_id") * 7 + F.col("k") * 13) % 150)
+    evidence = units.select("question_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("question_id", key.alias("key"))
+    root, work = store(spark, "retrieval"), run_steps.retrieval_work(chunks, vectors, evidence)
+    run_steps.run_units(spark, root, {"run_id": "r"}, units, work, batches=2, stop_after=1)
+    run_steps.run_units(spark, root, {"run_id": "r"}, units, work, batches=2)
+    done = run_steps.finish(spark, root, run_steps.retrieval_summary(versions.latest(spark, root).read(spark, "records")))
+    return done.read(spark, "summary")
+
+
+def say(prompts: list[str]) -> list[str]:
+    """A stand-in for a model whose answer follows from its prompt's length."""
+    if any(len(p) % 7 == 1 for p in prompts):
+        raise RuntimeError("no answer")
+    return [("[INSUFFICIENT]", "", "[C1] and [C900]", "[C1]", "nothing cited", "[c1] [C1]", "[C2]")[len(p) % 7] for p in prompts]
+
+
+@register("""WITH u AS (SELECT doc_id, lang || ':' || source || repeat('x', (doc_id % 11)::INT) AS question, doc_id % 3 AS n, doc_id % 5 = 0 AS expects FROM documents),
+    p AS (SELECT *, length(question) + 2 + coalesce(list_sum(list_transform(range(1, n + 1), lambda i: length('【第 ' || i || ' 章】') + 1 + 1)) + 2 * greatest(n - 1, 0), 0) AS len FROM u),
+    r AS (SELECT *, CASE len % 7 WHEN 0 THEN 'insufficient_evidence' WHEN 1 THEN 'generation_failed' ELSE 'answered' END AS status, CASE len % 7 WHEN 2 THEN [1, 900] WHEN 3 THEN [1] WHEN 5 THEN [1] WHEN 6 THEN [2] ELSE []::INT[] END AS cited FROM p),
+    o AS (SELECT *, list_filter(cited, lambda c: c > n) AS outside FROM r)
+    SELECT expects AS expect_refusal, status, count(*) AS n, sum(len(cited))::BIGINT AS citations, count(*) FILTER (status = 'answered' AND len(cited) > 0 AND len(outside) = 0) AS in_set, sum(len(outside))::BIGINT AS outside, count(*) FILTER (len % 7 = 5) AS malformed FROM o GROUP BY ALL""")
+def answer_run(spark, sf_dir):
+    """Answers to a question on every document, with as many passages as its number tells, by a model that fails at times."""
+    d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
+    question = F.concat("lang", F.lit(":"), "source", F.repeat(F.lit("x"), (i % 11).cast("int")))
+    n = (i % 3).cast("int")
+    passages = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda c: F.struct(c.alias("chapter"), F.lit("p").alias("content")))).otherwise(F.array().cast("array<struct<chapter: int, content: string>>"))
+    units = d.select(i.alias("question_id"), question.alias("question"), passages.alias("passages"), (i % 5 == 0).alias("expect_refusal"))
+    got = run_steps.run_units(spark, store(spark, "answers"), {"run_id": "a"}, units, run_steps.answer_work(say), batches=2)
+    return got.read(spark, "records").groupBy("expect_refusal", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("citation_count").alias("citations"), F.count_if("citation_in_set").alias("in_set"), F.sum(F.size("citation_out_of_range")).alias("outside"), F.sum("citation_malformed_count").alias("malformed")
+    )
+
+
+def judge(prompts: list[str]) -> list[str]:
+    """A stand-in for a judge that breaks the rules of its verdict at times."""
+    word = ("pass", "fail", "uncertain", "maybe")
+    return ['{"verdict": "%s", "supported": true, "citations_valid": %s, "complete": true, "refusal_correct": true, "issues": [], "reason": "r"}' % (word[len(p) % 4], "true" if len(p) % 3 else "false") for p in prompts]
+
+
+@register("""WITH p AS (SELECT conv_id, length(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS len FROM (SELECT * FROM conversations WHERE turn < 3) GROUP BY conv_id)
+    SELECT CASE len % 4 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' WHEN 2 THEN 'uncertain' END AS verdict, CASE WHEN len % 4 = 3 THEN NULL ELSE (len % 3 > 0)::INT END AS citations_valid, CASE WHEN len % 4 = 3 THEN 'the verdict isn''t one' END AS error, count(*) AS n FROM p GROUP BY ALL""")
+def judge_run(spark, sf_dir):
+    """The first turns of every conversation as question, answer and reference, judged by a stand-in."""
+    c = read(spark, sf_dir, "conversations")
+    of = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    units = c.groupBy(F.col("conv_id").alias("question_id")).agg(of(0).alias("question"), of(1).alias("answer"), of(2).alias("reference"))
+    got = run_steps.run_units(spark, store(spark, "verdicts"), {"run_id": "j"}, units, run_steps.judge_work(judge), batches=2)
+    return got.read(spark, "records").groupBy("verdict", F.col("citations_valid").cast("int").alias("citations_valid"), "error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"""WITH m AS ({_ORACLES["evidence_mapping"]}), t AS (SELECT m.*, 't' || (evidence_id % 3) AS type FROM m),
+    s AS (SELECT 'status' AS dimension, status AS value FROM t UNION ALL SELECT 'tier', tier FROM t WHERE tier IS NOT NULL UNION ALL SELECT 'type:status', type || ':' || status FROM t)
+    SELECT dimension, value, count(*)::DOUBLE AS n FROM s GROUP BY ALL UNION ALL SELECT 'coverage', 'matched', count(*) FILTER (status = 'matched')::DOUBLE / count(*) FROM t""")
+def mapping_run(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    units = pieces_as_evidence(docs).withColumn("type", F.concat(F.lit("t"), (F.col("evidence_id") % 3).cast("string")))
+    work = run_steps.mapping_work(docs, mapping.spans(fixed_chunks(spark, sf_dir)))
+    got = run_steps.run_units(spark, store(spark, "mapping"), {"run_id": "m"}, units, work, unit="evidence_id", batches=2)
+    return evaluation.mapping_summary(got.read(spark, "records"))

@@ -188,8 +188,3 @@ def test_evaluation_gates(spark):
         evaluation.zipped(a, b, "x", "y").collect()
     with pytest.raises(Exception, match="no recorded outcome"):
         evaluation.replay(a, spark.createDataFrame([(0, "o")], "x long, outcome string"), ["x"]).collect()
-
-
-def test_small_scans_are_dealt_to_all_cores(spark):
-    df = spread(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
-    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
