@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # Schema keywords that are understood; annotations are let through.
 CHECKED = "type const enum minLength pattern minimum maximum required properties additionalProperties minItems items allOf if then else not".split()
@@ -207,3 +209,39 @@ def overrides(defaults: dict, given: dict) -> dict:
     if out.get("budget", 4800) < 4800:
         raise ValueError("budget must be 4800 or more")
     return out
+
+
+def parameters(stored: Column, defaults: dict[str, tuple[str, object]], version: int) -> Column:
+    """Run parameters as a struct from a stored VARIANT record.
+
+    defaults: name: (long, double, boolean or string; value).  A name that the
+    record lacks has its default, as an older run may not have known it.  What
+    this code can't honour ends the job: a record of a newer schema_version, a
+    name that isn't known, a value of another kind (null too), and a record
+    that is none.
+    """
+    keys = F.json_object_keys(F.to_json(stored))
+    strange = F.array_except(keys, F.array(*[F.lit(n) for n in ("schema_version", *defaults)]))
+    written = F.coalesce(F.try_variant_get(stored, "$.schema_version", "long"), F.lit(1))
+    bad = [F.when(F.array_contains(keys, n) & ~F.coalesce(reduce(or_, [kind_of(stored, n).startswith(k) for k in _fits(kind)]), F.lit(False)), F.lit(n)) for n, (kind, _) in defaults.items()]
+    wrong = F.array_compact(F.array(*bad))
+    message = (
+        F.when(keys.isNull(), "the record has no parameters").when(written > version, F.concat(F.lit("schema_version "), written.cast("string"), F.lit(" is newer than this code")))
+        .when(F.size(strange) > 0, F.concat(F.lit("unknown parameters: "), F.array_join(F.array_sort(strange), ", "))).when(F.size(wrong) > 0, F.concat(F.lit("values of another kind: "), F.array_join(wrong, ", ")))
+    )
+    fields = [F.coalesce(F.try_variant_get(stored, f"$.{n}", kind), F.lit(value).cast(kind)).alias(n) for n, (kind, value) in defaults.items()]
+    return F.when(message.isNotNull(), F.raise_error(message).cast(T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, (k, _) in defaults.items()]))).otherwise(F.struct(*fields))
+
+
+def kind_of(stored: Column, name: str) -> Column:
+    return F.coalesce(_kind(stored, f"$.{name}"), F.lit("VOID"))
+
+
+def _fits(kind: str) -> list[str]:
+    """How schema_of_variant's names begin for values that fit a type."""
+    return {"long": ["BIGINT"], "double": ["DOUBLE", "BIGINT", "DECIMAL"], "boolean": ["BOOLEAN"], "string": ["STRING"]}[kind]
+
+
+def as_record(params: dict[str, Column], version: int) -> Column:
+    """Parameters as a VARIANT record with its schema_version."""
+    return F.parse_json(F.to_json(F.struct(F.lit(version).cast("long").alias("schema_version"), *[c.alias(n) for n, c in params.items()])))

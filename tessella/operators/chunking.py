@@ -104,15 +104,15 @@ def chunk_text(text: str, count: Callable[[str], int] = estimate, target: int =
     return out
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA of every document; null or empty texts have no chunks."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: Callable[[str], int] = estimate) -> DataFrame:
+    """SCHEMA of every document; null or empty texts have no chunks.  count tells how many tokens a text has, such as a ``segment.VocabularyCounter``."""
 
     def run(batches):
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, c in enumerate(chunk_text(text or "")):
-                    for column, value in zip(rows, (doc_id, i, c, estimate(c), hashlib.sha256(normalised(c).encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
+                for i, c in enumerate(chunk_text(text or "", count)):
+                    for column, value in zip(rows, (doc_id, i, c, count(c), hashlib.sha256(normalised(c).encode("utf-8", "surrogatepass")).hexdigest()), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.string()), strict=True)], names=["doc_id", "chunk_index", "content", "token_count", "content_hash"])
 

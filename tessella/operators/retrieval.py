@@ -7,6 +7,8 @@ before it shuffles (WindowGroupLimit).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,13 +18,15 @@ from ..functions.numbers import reciprocal_rank
 from ..functions.text import normalize_query, tokens
 from ..sources.staging import staged
 
+#: From a text to its tokens, such as ``text.tokens`` or a ``segment.segmenter``.
+Tokenizer = Callable[[Column], Column]
 K1, B = 1.5, 0.75
 DECIMALS = 9
 
 
-def document_frequencies(chunks: DataFrame, text: str) -> DataFrame:
+def document_frequencies(chunks: DataFrame, text: str, tokenizer: Tokenizer = tokens) -> DataFrame:
     """token, df over all chunks."""
-    return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    return chunks.select(F.explode(F.array_distinct(tokenizer(F.col(text)))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
 #: Queries that a batch of chunks is multiplied with at a time.
@@ -31,9 +35,9 @@ WORD_BLOCK, QUERY_BLOCK = 256, 2048
 MAX_NUMBERS, MAX_TOKENS = 32_000_000, 4_000_000
 
 
-def postings(chunks: DataFrame, vocabulary: list[str], key: str, text: str, place: str | None = None) -> DataFrame:
+def postings(chunks: DataFrame, vocabulary: list[str], key: str, text: str, place: str | None = None, tokenizer: Tokenizer = tokens) -> DataFrame:
     """key, place, dl, tokens, tfs of every chunk: its length, and which tokens of the vocabulary (by number) it holds how often."""
-    own = chunks.select(F.col(key).alias("key"), (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    own = chunks.select(F.col(key).alias("key"), (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"), tokenizer(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
     names = pa.array(vocabulary, pa.string())
 
     def run(batches):
@@ -50,7 +54,7 @@ def postings(chunks: DataFrame, vocabulary: list[str], key: str, text: str, plac
     return own.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, place long, dl int, tokens array<int>, tfs array<int>")
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60, allowed: DataFrame | None = None, place: str | None = None, realms: DataFrame | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60, allowed: DataFrame | None = None, place: str | None = None, realms: DataFrame | None = None, tokenizer: Tokenizer = tokens) -> DataFrame:
     """query_id, key, score, rank of the k best chunks of each query.
 
     queries: query_id, question; they are the stated small side, MAX_TOKENS
@@ -67,7 +71,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: st
     are never shuffled.
     """
     asked: dict = {}
-    counted = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    counted = queries.select("query_id", F.explode(tokenizer(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n"))
     rows = counted.limit(MAX_TOKENS + 1).collect()
     if len(rows) > MAX_TOKENS:
         raise ValueError(f"questions of more than {MAX_TOKENS} tokens: ask in several calls")
@@ -75,7 +79,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: st
         asked.setdefault(r["query_id"], {})[r["token"]] = r["n"]
     vocabulary = sorted({t for own in asked.values() for t in own})
     number = {t: i for i, t in enumerate(vocabulary)}
-    held = staged(postings(chunks, vocabulary, key, text, place), "postings")
+    held = staged(postings(chunks, vocabulary, key, text, place, tokenizer), "postings")
     size = held.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     df = np.zeros(len(vocabulary))
     for r in held.select(F.explode("tokens").alias("t")).groupBy("t").count().collect():  # a row for each asked token at most

@@ -172,10 +172,9 @@ def purged_mappings(spark, sf_dir):
     return store.purge(first, o_orderstatus="F", p="1", o_orderkey=None).drop("p")
 
 
-@register("""SELECT conv_id AS session_id, turn + 1 AS seq, text AS content FROM conversations WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND length(text) <= 8000""")
+@register(f"""SELECT doc_id, CASE WHEN length(text) > 8000 THEN left(text, 8000 - {len(sessions.CUT_MARK)}) || '{sessions.CUT_MARK}' ELSE text END AS content FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
 def upstream_history(spark, sf_dir):
-    own = messages(spark, sf_dir)
-    return sessions.upstream(own).where(F.length("content") <= 8000).select("session_id", "seq", "content")
+    return sessions.upstream(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")))
 
 
 # Records ------------------------------------------------------------------
@@ -213,10 +212,11 @@ def message_meta(spark, sf_dir):
 _T, _C = X.TERMINATORS, X.CLOSERS.replace("'", "''").replace("]", r"\]")
 
 
-@register(rf"""SELECT doc_id, len(regexp_extract_all(text, '[^{_T}\n]*(?:[{_T}]+[{_C}]*(?:[ \t]*\n+)?|\n+)|[^{_T}\n]+')) AS sentences, true AS whole FROM documents""")
+@register(rf"""WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '[^{_T}\n]*(?:[{_T}]+[{_C}]*(?:[ \t]*\n+)?|\n+)|[^{_T}\n]+') AS s FROM documents)
+    SELECT doc_id, len(s) AS sentences, sha256(array_to_string(s, chr(30))) AS bounds, array_to_string(s, '') = text AS whole FROM s""")
 def sentence_counts(spark, sf_dir):
-    s = X.sentences(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(s).cast("long").alias("sentences"), (F.array_join(s, "") == F.col("text")).alias("whole"))
+    s = read(spark, sf_dir, "documents").select("doc_id", "text", X.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("sentences"), F.sha2(F.array_join("s", "\x1e"), 256).alias("bounds"), (F.array_join("s", "") == F.col("text")).alias("whole"))
 
 
 @register("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'answer' WHEN event_id % 16 >= 14 THEN 'refusal' ELSE 'pending' END AS state FROM events""")

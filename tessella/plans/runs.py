@@ -6,8 +6,9 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import evaluation, flows, importing, mapping, quota, runs as run_steps, vector_index
-from ..sources import corpus, versions
+from ..functions import records, segment
+from ..operators import evaluation, flows, importing, mapping, models, quota, retrieval, runs as run_steps, vector_index
+from ..sources import corpus, objects, versions
 from ..sources.staging import shared_dir
 from ..streaming import summaries
 from .books import _CH
@@ -257,3 +258,118 @@ def mapping_run(spark, sf_dir):
     work = run_steps.mapping_work(docs, mapping.spans(fixed_chunks(spark, sf_dir)))
     got = run_steps.run_units(spark, store(spark, "mapping"), {"run_id": "m"}, units, work, unit="evidence_id", batches=2)
     return evaluation.mapping_summary(got.read(spark, "records"))
+
+
+# Objects ------------------------------------------------------------------
+
+
+@register("""SELECT 'pages/' || page_id || '.html' AS key, sha256(coalesce(html, '')) AS sha256, strlen(coalesce(html, '')) AS bytes, 'text/html' AS media_type, NULL::VARCHAR AS error FROM pages""")
+def archived_pages(spark, sf_dir):
+    """All pages archived as files, then again with none changed, read back and verified."""
+    files = read(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("key"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    root = store(spark, "archive")
+    objects.archive(spark, root, files)
+    held = objects.archive(spark, root, files)
+    opened = objects.opened(spark, held).select("key", F.sha2("content", 256).alias("sha256"), "bytes", "media_type")
+    return opened.join(objects.verified(spark, held), "key", "left")
+
+
+# Words and counts ---------------------------------------------------------
+
+
+@register()
+def segmented_words(spark, sf_dir):
+    """Document frequencies of the words that a dictionary finds in runs of letters: the 500 most frequent groups of two to four letters of the same texts."""
+    d = read(spark, sf_dir, "documents")
+    letters = F.regexp_extract_all("text", F.lit(r"[a-z]+"), F.lit(0))
+    runs = d.select(F.explode(letters).alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length("run") - k + 1, F.lit(1))), lambda i: F.substr("run", i, F.lit(k)))
+    pieces = runs.select("n", F.explode(F.concat(of(2), of(3), of(4))).alias("word"))
+    most = pieces.where(F.length("word") > 1).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(500)
+    return retrieval.document_frequencies(d, "text", segment.segmenter(segment.dictionary(most), r"[a-z]+"))
+
+
+# Parameters ---------------------------------------------------------------
+
+
+@register("""SELECT o_orderkey, 60::BIGINT AS rrf_k, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 24 END::BIGINT AS rerank_k, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE 0.5 END::DOUBLE AS least, o_orderstatus AS note FROM orders""")
+def stored_parameters(spark, sf_dir):
+    """Parameters written as VARIANT records of several ages and read back with defaults where an older one lacks them."""
+    o = read(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    written = records.as_record({"rerank_k": F.when(key % 2 == 0, F.col("o_custkey")), "least": F.when(key % 3 == 0, key), "note": F.col("o_orderstatus")}, version=2)
+    defaults = {"rrf_k": ("long", 60), "rerank_k": ("long", 24), "least": ("double", 0.5), "note": ("string", "")}
+    return o.select("o_orderkey", written.alias("p")).select("o_orderkey", records.parameters(F.col("p"), defaults, 2).alias("p")).select("o_orderkey", "p.*")
+
+
+# Records, verdicts and answers --------------------------------------------
+
+
+def text_store(spark, rows, label: str) -> str:
+    """Lines (value) written as text files below the shared folder, as a run's record files."""
+    path = store(spark, label)
+    rows.write.text(path)
+    return path
+
+
+@register("""SELECT 'q' || o_orderkey AS question_id, o_orderstatus AS type, 'full' AS level, (o_orderkey % 3)::INT AS hit, (o_orderkey % 4)::INT AS mapped, 4 AS total, 0 AS leak, o_orderkey % 2 AS n_keys FROM orders""")
+def record_files(spark, sf_dir):
+    """Score records written as guarded JSON lines and read back strictly."""
+    i = F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    made = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("q"), i.cast("string")).alias("question_id"), F.col("o_orderstatus").alias("type"), F.lit("full").alias("level"), (i % 3).cast("int").alias("hit"), (i % 4).cast("int").alias("mapped"), F.lit(4).alias("total"), F.lit(0).alias("leak"),
+        F.when(i % 2 == 1, F.array(F.lit("k"))).otherwise(none).alias("keys"), *[none.alias(c) for c in ("dense", "keyword", "fused", "rerank", "assembled", "dropped")],
+    )
+    path = text_store(spark, corpus.canonical_lines(corpus.guarded(made)), "records")
+    return corpus.read_records(spark, path).select("question_id", "type", "level", "hit", "mapped", "total", "leak", F.size("keys").cast("long").alias("n_keys"))
+
+
+@register("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' END AS verdict, CASE WHEN o_orderkey % 6 < 2 THEN o_orderkey % 2 END::INT AS supported, CASE WHEN o_orderkey % 6 < 2 THEN 'because ' || o_orderstatus END AS reason FROM orders""")
+def verdict_parse(spark, sf_dir):
+    """Judges' texts: two kinds that are verdicts, four that break a rule."""
+    i = F.col("o_orderkey") % 6
+    word = F.when(i == 1, "fail").when(i == 2, "perhaps").otherwise("pass")
+    flag = F.when(i == 3, F.lit('"yes"')).when(F.col("o_orderkey") % 2 == 1, F.lit("true")).otherwise(F.lit("false"))
+    issues = F.when(i == 4, F.lit("[1]")).otherwise(F.lit('["x"]'))
+    end = F.when(i == 5, F.lit("")).otherwise(F.lit("}"))
+    text = F.concat(F.lit('{"verdict": "'), word, F.lit('", "supported": '), flag, F.lit(', "citations_valid": true, "complete": true, "refusal_correct": false, "issues": '), issues, F.lit(', "reason": "because '), F.col("o_orderstatus"), F.lit('", "more": 1'), end)
+    v = records.verdict(text)
+    return read(spark, sf_dir, "orders").select("o_orderkey", v.alias("v")).select("o_orderkey", "v.verdict", F.col("v.supported").cast("int").alias("supported"), "v.reason")
+
+
+@register("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'matched' WHEN 1 THEN 'low_conf' ELSE 'unmatched' END AS status, CASE WHEN o_orderkey % 5 < 2 THEN 'c' || (o_orderkey % 3) END AS chunk_key, CASE o_orderkey % 5 WHEN 0 THEN 0.75 WHEN 1 THEN 0.25 ELSE 0 END::DOUBLE AS confidence FROM orders""")
+def fallback_mappings(spark, sf_dir):
+    """A mapper's texts, parsed and judged: sure, unsure, outside the candidates, without key, without reason."""
+    i = F.col("o_orderkey") % 5
+    own = F.concat(F.lit('"c'), (F.col("o_orderkey") % 3).cast("string"), F.lit('"'))
+    key = F.when(i == 2, F.lit('"c9"')).when(i == 3, F.lit("null")).otherwise(own)
+    text = F.concat(F.lit('So: {"chunk_key": '), key, F.lit(', "alternative_chunk_key": " ", "confidence": '), F.when(i == 1, "0.25").otherwise("0.75"), F.lit(', "reason": "'), F.when(i == 4, " ").otherwise("r"), F.lit('"} .'))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("evidence_id"), F.array(*[F.lit(f"c{k}") for k in range(3)]).alias("candidates"), records.mapper_answer(text).alias("answer"))
+    return models.fallback_mapping(rows).withColumnRenamed("evidence_id", "o_orderkey")
+
+
+@register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'skipped' WHEN 1 THEN 'rewritten' WHEN 2 THEN 'unchanged' ELSE 'failed' END AS outcome, CASE WHEN event_id % 4 = 1 THEN 'new ' || event_type ELSE event_type END AS question FROM events""")
+def rewritten_questions(spark, sf_dir):
+    i = F.col("event_id") % 4
+    said = F.when(i == 1, F.concat(F.lit(" \n new "), F.col("event_type"), F.lit("\nmore"))).when(i == 2, F.col("event_type")).when(i == 3, F.when(F.col("event_id") % 8 == 3, F.lit(" \n ")).otherwise(F.repeat(F.lit("x"), F.lit(2001))))
+    got = models.rewrite(F.col("event_type"), F.when(i == 0, 0).otherwise(2), said)
+    return read(spark, sf_dir, "events").select("event_id", got.alias("g")).select("event_id", "g.outcome", "g.question")
+
+
+@register(r"""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'no frame' WHEN event_id % 3 = 1 THEN '{"n":' || event_id || '}' ELSE '{"status": "answered","n":' || event_id || '}' END AS frame, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 0 ELSE 8 END::INT AS longest FROM events""")
+def spliced_frames(spark, sf_dir):
+    i = F.col("event_id") % 3
+    frame = F.when(i == 0, "no frame").when(i == 1, "{}").otherwise('{"status": "answered"}')
+    e = read(spark, sf_dir, "events").select("event_id", records.splice(frame, n=F.col("event_id")).alias("frame"))
+    return e.select("event_id", "frame", records.longest_string(F.col("frame")).alias("longest"))
+
+
+@register("""WITH l AS (SELECT '{"c_acctbal":' || printf('%.2f', c_acctbal) || ',"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' AS line, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer),
+    b AS (SELECT place // 64 AS place, sha256(string_agg(line, chr(10) ORDER BY place)) AS line FROM l GROUP BY ALL),
+    c AS (SELECT place // 64 AS place, sha256(string_agg(line, chr(10) ORDER BY place)) AS line FROM b GROUP BY ALL),
+    d AS (SELECT sha256(string_agg(line, chr(10) ORDER BY place)) AS line FROM c)
+    SELECT CASE WHEN (SELECT count(*) FROM c) > 1 THEN (SELECT line FROM d) ELSE (SELECT line FROM c) END AS hash, (SELECT count(*) FROM l) AS rows""")
+def dataset_tree(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"))
+    return corpus.tree_hash(c, "c_custkey", block=64)

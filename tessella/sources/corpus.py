@@ -140,15 +140,50 @@ def canonical_lines(rows: DataFrame) -> DataFrame:
 
 
 def dataset_hash(rows: DataFrame, by: str = "id") -> str:
-    """Hash of the canonical lines in the order of a column, joined by LF; lines come to the driver one partition at a time."""
-    import hashlib
-
-    total, first = hashlib.sha256(), True
-    ordered = rows.select(by, F.struct(*rows.columns).alias("r")).orderBy(by)
-    for row in canonical_lines(ordered.select("r.*")).toLocalIterator():
-        total.update((("" if first else "\n") + row["value"]).encode())
-        first = False
-    return total.hexdigest()
+    """Hash of the canonical lines in the order of a column, joined by LF.
+
+    One hash over a sequence has to see it in order: one task sorts the lines,
+    spilling where they are many, and hashes them as batches go by; the driver
+    gets the hash.  ``tree_hash`` is the form for large tables.
+    """
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        total, first = hashlib.sha256(), True
+        for batch in batches:
+            for line in batch.column(1).to_pylist():
+                total.update((("" if first else "\n") + line).encode())
+                first = False
+        yield pa.RecordBatch.from_arrays([pa.array([total.hexdigest()])], names=["hash"])
+
+    return keyed_lines(rows, by).repartition(1).sortWithinPartitions("by", "value").mapInArrow(run, "hash string").first()["hash"]
+
+
+def keyed_lines(rows: DataFrame, by: str) -> DataFrame:
+    """by, value: each row's canonical line beside a column of it."""
+    return canonical_lines(rows).select(F.get_json_object("value", f"$['{by}']").cast(rows.schema[by].dataType).alias("by"), "value")
+
+
+def tree_hash(rows: DataFrame, by: str = "id", block: int = 4096) -> DataFrame:
+    """hash, rows: one row for a table, hashed in blocks of the canonical lines in order, then in blocks of those hashes, until one is left.
+
+    A task holds a block, never the table.  Equal tables have equal hashes
+    whatever their partitions; rows that are equal in by are put in order by
+    their lines.  Of a table without rows the hash is that of nothing.
+    """
+    lines = placed(keyed_lines(rows, by).select(F.struct("by", "value").alias("key")), "key").select("place", F.col("key.value").alias("line"))
+    level, n = lines, None
+    while True:
+        part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+        level = staged(level.groupBy(F.floor(F.col("place") / block).alias("place")).agg(F.sha2(part, 256).alias("line"), F.count(F.lit(1)).alias("n")), "hashes")
+        n = level.agg(F.sum("n")).first()[0] if n is None else n
+        if level.count() <= 1:
+            out = level.agg(F.coalesce(F.max("line"), F.sha2(F.lit(""), 256)).alias("hash"))
+            return out.withColumn("rows", F.lit(n or 0).cast("long"))
+        level = level.drop("n")
 
 
 # The fields of a retrieval record that a run writes, and what a generation's status may be.
