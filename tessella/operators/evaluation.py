@@ -179,6 +179,15 @@ def prefix_breaks(full: DataFrame, past: DataFrame, inside: DataFrame) -> DataFr
     return both.groupBy("query_id").agg(F.count_if(~F.coalesce((F.col("a") == F.col("b")) & (F.col("x") == F.col("y")), F.lit(False))).alias("breaks"))
 
 
+def subset(questions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The questions (id) that asked (id) names, once each; a name that no question has ends the job."""
+    known = questions.select("id", F.lit(True).alias("__there"))
+    named = asked.select("id").distinct().join(known, "id", "left")
+    kind = questions.schema["id"].dataType
+    checked = F.when(F.col("__there").isNull(), F.raise_error(F.concat(F.lit("no question "), F.col("id").cast("string"))).cast(kind)).otherwise(F.col("id"))
+    return questions.join(named.select(checked.alias("id")).distinct(), "id")
+
+
 def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """side and the rows that only one of two tables has, as often as it has them more."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))

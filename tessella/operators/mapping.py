@@ -19,6 +19,27 @@ def spans(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.col("length")).cast("int"))
 
 
+def frozen_slices(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """chunks (doc_id, chunk_index, content, overlap) with length, start and end, held against the texts that they were cut from.
+
+    A chunk of a document that isn't there, one whose content isn't what stands
+    in its span, one whose overlap isn't the end of the chunk before, and a
+    document whose chunks end before its text does end the job.
+    """
+    sized = spans(chunks.withColumn("length", F.length("content")))
+    order = Window.partitionBy("doc_id").orderBy("chunk_index")
+    texts = docs.select("doc_id", "text", F.lit(True).alias("there"))
+    rows = sized.withColumn("before", F.lag("content").over(order)).withColumn("last", F.lead("chunk_index").over(order).isNull()).join(texts, "doc_id", "left")
+    at = F.format_string("chunk %d of document %s", F.col("chunk_index"), F.col("doc_id").cast("string"))
+    repeated = F.coalesce(F.endswith("before", F.left("content", F.col("overlap"))), F.col("overlap") == 0)
+    problem = (
+        F.when(F.col("there").isNull(), "its document isn't there").when(F.substr("text", F.col("start") + 1, F.col("length")) != F.col("content"), "it isn't what stands in its span")
+        .when(~repeated, "its overlap isn't the end of the chunk before").when(F.col("last") & (F.col("end") < F.length("text")), "the text goes on after the last chunk")
+    )
+    checked = F.when(problem.isNotNull(), F.raise_error(F.concat(at, F.lit(": "), problem)).cast("int")).otherwise(F.col("end"))
+    return rows.withColumn("end", checked).select(*[c for c in chunks.columns], "length", "start", "end")
+
+
 def occurrences(evidence: DataFrame, docs: DataFrame) -> DataFrame:
     """evidence_id, doc_id, start, end of every place of an evidence (evidence_id, doc_id, content) in its document."""
     found = evidence.join(docs.select("doc_id", "text"), "doc_id")

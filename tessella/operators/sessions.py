@@ -12,12 +12,15 @@ def turns(messages: DataFrame) -> DataFrame:
     """messages (session_id, seq, role, content) with tokens and turn (from 1).
 
     A user's message and the assistant's right after it are one turn; any
-    other message is a turn of its own.
+    other message is a turn of its own.  Where messages have a token_count, it
+    counts; an estimate stands in where they don't, or where it is null.
     """
     order = Window.partitionBy("session_id").orderBy("seq")
     closes = (F.col("role") == "assistant") & (F.lag("role").over(order) == "user")
+    estimate = token_estimate(F.col("content"))
+    known = F.coalesce("token_count", estimate) if "token_count" in messages.columns else estimate
     opened = messages.withColumn("opens", F.when(F.coalesce(closes, F.lit(False)), 0).otherwise(1))
-    return opened.withColumn("turn", F.sum("opens").over(order).cast("long")).withColumn("tokens", token_estimate(F.col("content")).cast("long")).drop("opens")
+    return opened.withColumn("turn", F.sum("opens").over(order).cast("long")).withColumn("tokens", known.cast("long")).drop("opens")
 
 
 def history(messages: DataFrame, budget: int = 4000, least: int = 2) -> DataFrame:

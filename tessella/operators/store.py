@@ -66,9 +66,32 @@ def cascade(users: DataFrame, sessions: DataFrame, messages: DataFrame, gone: Da
     return left_users, forks.select(*sessions.columns), messages.join(kept.select("session_id"), "session_id", "left_semi").select(*messages.columns)
 
 
+def change(rows: DataFrame, changes: DataFrame, key: str, order: str, kind: str = "kind") -> DataFrame:
+    """What a keyed table holds after inserts, updates and deletes (kind, key, order, and columns of rows), in order.
+
+    insert makes the row, in place of one that is there; update changes the
+    columns that aren't null, of a row that is there; delete takes it away.  An
+    update after a delete, or of an unknown key, does nothing.  Changes of a key
+    are folded once: for each column the last value since the last insert or
+    delete, so a key's changes are aggregated before they are shuffled.
+    """
+    rest = [c for c in rows.columns if c != key]
+    whole = F.col(kind).isin("insert", "delete")
+    last = changes.groupBy(key).agg(F.max(F.when(whole, F.struct(F.col(order).alias("o"), F.col(kind).alias("k")))).alias("reset"))
+    after = changes.join(last, key).where(F.coalesce(F.col(order) >= F.col("reset.o"), F.lit(True)))
+    # the insert itself sets every column, null or not; updates only what they name
+    value = lambda c: F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull() | (F.col(kind) == "insert"), F.col(order)))
+    folded = after.groupBy(key).agg(F.first("reset").alias("reset"), *[value(c).alias(f"__{c}") for c in rest])
+    both = rows.join(folded.withColumnRenamed(key, "__key"), F.col(key) == F.col("__key"), "full")
+    made, gone, same = F.col("reset.k") == "insert", F.col("reset.k") == "delete", F.col("reset").isNull()
+    alive = F.coalesce(made, F.lit(False)) | (same & F.col(key).isNotNull())
+    own = [F.when(F.coalesce(made, F.lit(False)), F.col(f"__{c}.v")).otherwise(F.coalesce(F.col(f"__{c}.v"), F.col(c))).alias(c) for c in rest]
+    return both.where(alive & ~F.coalesce(gone, F.lit(False))).select(F.coalesce(F.col(key), F.col("__key")).alias(key), *own).select(*rows.columns)
+
+
 def page_after(rows: DataFrame, key: str, after, size: int = 100) -> DataFrame:
     """The next size rows by key: a top-k, no matter how far the paging has come."""
     return rows.where(F.col(key) > F.lit(after) if after is not None else F.lit(True)).orderBy(key).limit(size)
 
 
-__all__ = ["cascade", "count_up", "live_accounts", "live_logins", "page_after", "purge", "refund", "retain", "upsert", "upsert_last"]
+__all__ = ["cascade", "change", "count_up", "live_accounts", "live_logins", "page_after", "purge", "refund", "retain", "upsert", "upsert_last"]

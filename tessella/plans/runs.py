@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import records, segment
-from ..operators import evaluation, flows, importing, mapping, models, quota, retrieval, runs as run_steps, vector_index
+from ..functions import records, segment, text
+from ..operators import answering, evaluation, flows, importing, mapping, models, quota, retrieval, runs as run_steps, store as tables, vector_index
 from ..sources import corpus, objects, versions
-from ..sources.staging import shared_dir
+from ..sources.staging import shared_dir, staged
 from ..streaming import summaries
 from .books import _CH
 from .books import chain_tables
@@ -373,3 +373,75 @@ def spliced_frames(spark, sf_dir):
 def dataset_tree(spark, sf_dir):
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("decimal(12,2)").alias("c_acctbal"))
     return corpus.tree_hash(c, "c_custkey", block=64)
+
+
+# Answers ------------------------------------------------------------------
+
+
+def reply(prompts: list[str]) -> list[str]:
+    """A stand-in for a model: what it says follows from the last letter of the question, which ends the prompt."""
+    if len(prompts) == 1 and prompts[0][-1] in "aeiou":
+        raise RuntimeError("no answer")
+    if any(p[-1] in "aeiou" for p in prompts):
+        raise RuntimeError("ask one by one")
+    return ["[INSUFFICIENT] no" if p[-1] in ".,!?" else f"It ends with {p[-1]} [C1]. " * 20 for p in prompts]
+
+
+@register(rf"""WITH s AS ({_ORACLES["retrieval_stages"]}),
+    q AS (SELECT item_id, item_id % 4 = 1 AS again, right(trim(regexp_replace(nfc_normalize(text), '[\s]+', ' ', 'g')), 1) AS e FROM benchmark),
+    f AS (SELECT item_id, again, e, count(*) FILTER (stage = 'dense') AS dense, count(*) FILTER (stage = 'fused') AS fused, count(*) FILTER (stage = 'assembled' AND reason IS NULL) AS kept, count(*) FILTER (stage = 'assembled' AND reason IS NOT NULL) AS gone
+        FROM q LEFT JOIN s ON s.query_id = item_id GROUP BY ALL),
+    o AS (SELECT *, CASE WHEN kept > 0 AND e IN ('a', 'e', 'i', 'o', 'u') THEN 'error' WHEN kept = 0 OR e IN ('.', ',', '!', '?') THEN 'insufficient_evidence' ELSE 'answered' END AS status FROM f)
+    SELECT item_id AS request_id, status, CASE WHEN status = 'error' THEN NULL WHEN status = 'answered' THEN 3 ELSE 1 END::BIGINT AS deltas, dense AS dense_count, kept, gone,
+        'query_started,realm_resolved,' || CASE WHEN again THEN 'rewrite_completed,' ELSE '' END || 'retrieval_completed,rerank_completed,context_assembled,generation_started,' ||
+        CASE status WHEN 'error' THEN 'query_error' ELSE 'answer_delta,citation_ready,query_done' END AS names, NULL::VARCHAR AS error FROM o""")
+def answered_events(spark, sf_dir):
+    """Questions from retrieval to the end of their event streams, checked for their order and read back from the wire."""
+    chunks, vectors = chain_tables(spark, sf_dir)
+    units = asked_units(spark, sf_dir)
+    rewritten = models.rewrite(F.col("question"), F.when(F.col("question_id") % 4 == 1, 1).otherwise(0), F.col("question"))
+    requests = units.select(F.col("question_id").alias("request_id"), "level", "progress", "low", "high", text.normalize_query(F.col("question")).alias("question"), rewritten.alias("rewrite"), "vector")
+    stages = staged(retrieval.retrieve(chunks, vectors, requests.select(F.col("request_id").alias("query_id"), "question", "vector"), requests.select(F.col("request_id").alias("query_id"), "low", "high"), errors="rows"), "stages")
+    requests = requests.withColumn("rewrite", F.when(F.col("rewrite.outcome") != "skipped", F.struct("question", F.col("rewrite.outcome").alias("outcome"))))
+    events = staged(answering.answer_events(requests.drop("vector"), stages, chunks, reply), "events")
+    read_back = flows.parse_stream(corpus.frames(events)).groupBy("request_id").agg(
+        F.count_if(F.col("event") == "answer_delta").alias("n"), F.max(F.when(F.col("event") == "query_done", F.get_json_object("data", "$.status"))).alias("s"),
+        F.max(F.get_json_object("data", "$.dense_count").cast("long")).alias("dense_count"), F.max(F.json_array_length(F.get_json_object("data", "$.chunks"))).cast("long").alias("kept"), F.max(F.json_array_length(F.get_json_object("data", "$.dropped"))).cast("long").alias("gone"),
+    )
+    names = events.groupBy("request_id").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "name"))), lambda x: x["name"])), ",").alias("names"))
+    both = read_back.join(names, "request_id").join(flows.order_errors(events), "request_id")
+    return both.select("request_id", F.coalesce("s", F.lit("error")).alias("status"), F.when(F.col("s").isNotNull(), F.col("n")).alias("deltas"), "dense_count", F.coalesce("kept", F.lit(0)).cast("long").alias("kept"), "gone", "names", "error")
+
+
+# Slices, subsets and changes ----------------------------------------------
+
+
+@register(f"WITH {_SPANS} SELECT doc_id, chunk_index, length, overlap, start, \"end\" FROM spans JOIN documents USING (doc_id) WHERE documents.text <> ''")
+def frozen_slices(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").where("text <> ''")
+    first = F.col("chunk_index") == 0
+    content = F.substr("text", F.greatest(F.col("chunk_index") * 300 - 50, F.lit(0)) + 1, F.when(first, 300).otherwise(350))
+    cut = fixed_chunks(spark, sf_dir).join(docs, "doc_id").select("doc_id", "chunk_index", content.alias("content"), "overlap")
+    return mapping.frozen_slices(cut, docs).drop("content")
+
+
+@register("SELECT c_custkey AS id, c_name, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def question_subset(spark, sf_dir):
+    asked = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("id"))
+    return evaluation.subset(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_nationkey"), asked)
+
+
+@register("""WITH RECURSIVE ch AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE event_id % 7 WHEN 0 THEN 'delete' WHEN 1 THEN 'insert' ELSE 'update' END AS kind,
+        CASE WHEN event_id % 3 > 0 THEN event_type END AS title, CASE WHEN event_id % 2 > 0 THEN event_id END AS seen FROM events),
+    st AS (SELECT u AS user_id, 0::BIGINT AS n, u % 2 = 0 AS there, CASE WHEN u % 2 = 0 THEN 'old' END AS title, CASE WHEN u % 4 = 0 THEN 0::BIGINT END AS seen FROM (SELECT DISTINCT user_id AS u FROM events)
+        UNION ALL
+        SELECT user_id, ch.n, CASE kind WHEN 'insert' THEN true WHEN 'delete' THEN false ELSE there END,
+            CASE WHEN kind = 'insert' THEN ch.title WHEN kind = 'delete' THEN NULL WHEN there THEN coalesce(ch.title, st.title) END, CASE WHEN kind = 'insert' THEN ch.seen WHEN kind = 'delete' THEN NULL WHEN there THEN coalesce(ch.seen, st.seen) END
+        FROM st JOIN ch USING (user_id) WHERE ch.n = st.n + 1)
+    SELECT user_id, title, seen FROM (SELECT *, max(n) OVER (PARTITION BY user_id) AS last FROM st) WHERE n = last AND there""")
+def session_changes(spark, sf_dir):
+    e, i = read(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(i % 7 == 0, "delete").when(i % 7 == 1, "insert").otherwise("update")
+    changes = e.select("user_id", i.alias("order"), kind.alias("kind"), F.when(i % 3 > 0, F.col("event_type")).alias("title"), F.when(i % 2 > 0, i).alias("seen"))
+    old = e.select("user_id").distinct().where("user_id % 2 = 0").select("user_id", F.lit("old").alias("title"), F.when(F.col("user_id") % 4 == 0, F.lit(0).cast("long")).alias("seen"))
+    return tables.change(old, changes, "user_id", "order")
