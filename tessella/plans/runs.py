@@ -445,3 +445,35 @@ def session_changes(spark, sf_dir):
     changes = e.select("user_id", i.alias("order"), kind.alias("kind"), F.when(i % 3 > 0, F.col("event_type")).alias("title"), F.when(i % 2 > 0, i).alias("seen"))
     old = e.select("user_id").distinct().where("user_id % 2 = 0").select("user_id", F.lit("old").alias("title"), F.when(F.col("user_id") % 4 == 0, F.lit(0).cast("long")).alias("seen"))
     return tables.change(old, changes, "user_id", "order")
+
+
+@register("""WITH l AS (SELECT source AS g, doc_id || chr(9) || sha256(text) AS line, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents),
+    b AS (SELECT g, place // 16 AS place, sha256(string_agg(line, chr(10) ORDER BY place)) AS line, count(*) AS n FROM l GROUP BY g, place // 16),
+    c AS (SELECT g, place // 16 AS place, sha256(string_agg(line, chr(10) ORDER BY place)) AS line, sum(n) AS n FROM b GROUP BY g, place // 16),
+    d AS (SELECT g, place // 16 AS place, sha256(string_agg(line, chr(10) ORDER BY place)) AS line, sum(n) AS n FROM c GROUP BY g, place // 16),
+    deep AS (SELECT max(place) AS b, (SELECT max(place) FROM c) AS c FROM b)
+    SELECT g AS source, line AS hash, n::BIGINT AS rows FROM b, deep WHERE deep.b = 0 UNION ALL SELECT g, line, n::BIGINT FROM c, deep WHERE deep.b > 0 AND deep.c = 0 UNION ALL SELECT g, line, n::BIGINT FROM d, deep WHERE deep.c > 0""")
+def source_trees(spark, sf_dir):
+    """A hash over each source's documents in order, with no source in one task."""
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("g"), F.col("doc_id").alias("by"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.sha2("text", 256)).alias("line"))
+    return corpus.grouped_tree(d, block=16).withColumnRenamed("g", "source")
+
+
+@register("""SELECT 'q' || item_id AS question_id, i AS ordinal, 'c' || (item_id + i) AS chapter_id, left(text, 10 + i) AS content FROM benchmark, range(3) r(i) WHERE item_id % 5 > 0""")
+def question_files(spark, sf_dir):
+    """Questions, a file each, and the pieces of evidence in their groups; some cite nothing."""
+    i = F.col("item_id")
+    one = lambda k: F.struct(F.concat(F.lit("c"), (i + k).cast("string")).alias("chapter_id"), F.left("text", F.lit(10 + k)).alias("content"))
+    groups = F.when(i % 5 > 0, F.array(F.array(one(0), one(1)), F.array(one(2)))).otherwise(F.array().cast("array<array<struct<chapter_id: string, content: string>>>"))
+    question = F.to_json(F.struct(F.concat(F.lit("q"), i.cast("string")).alias("id"), F.lit("fact").alias("type"), F.col("text").alias("question"), groups.alias("must_cite_groups")))
+    path = store(spark, "questions")
+    read(spark, sf_dir, "benchmark").select(question.alias("value"), i.alias("file_of")).write.partitionBy("file_of").text(path)
+    return corpus.evidence(corpus.read_questions(spark, path)).withColumn("ordinal", F.col("ordinal").cast("long"))
+
+
+@register("SELECT sha256(o_orderkey::VARCHAR) AS evidence_hash, CASE WHEN o_orderstatus = 'F' THEN 'c' || o_custkey END AS chunk_key FROM orders")
+def mapping_lookup(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", "matched").otherwise("low_conf")
+    rows = o.select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("evidence_hash"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("chunk_key"), status.alias("status"))
+    return corpus.read_mapping_lookup(spark, text_store(spark, corpus.canonical_lines(rows), "mappings"))

@@ -174,16 +174,28 @@ def tree_hash(rows: DataFrame, by: str = "id", block: int = 4096) -> DataFrame:
     whatever their partitions; rows that are equal in by are put in order by
     their lines.  Of a table without rows the hash is that of nothing.
     """
-    lines = placed(keyed_lines(rows, by).select(F.struct("by", "value").alias("key")), "key").select("place", F.col("key.value").alias("line"))
-    level, n = lines, None
+    lines = keyed_lines(rows, by).select(F.lit(0).alias("g"), "by", F.col("value").alias("line"))
+    got = grouped_tree(lines, block)
+    none = F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256))
+    return got.agg(none.alias("hash"), F.coalesce(F.max("rows"), F.lit(0)).cast("long").alias("rows"))
+
+
+def grouped_tree(lines: DataFrame, block: int = 4096) -> DataFrame:
+    """g, hash, rows: the tree hash of each group's lines (g, by, line), in the order of by and line.
+
+    Lines are numbered over all groups at once, so a group of any size is split
+    into ranges, and a task holds a block of one group.  Null groups are one.
+    """
+    numbered = placed(lines.select(F.struct("g", "by", "line").alias("key")), "key").select("key.g", "place", "key.line")
+    first = numbered.groupBy("g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
+    sizes = staged(first, "groups")
+    same = lambda a, b: a["g"].eqNullSafe(b["g"])
+    level = numbered.join(sizes, same(numbered, sizes)).select(numbered["g"], (F.col("place") - F.col("first")).alias("place"), "line")
     while True:
         part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
-        level = staged(level.groupBy(F.floor(F.col("place") / block).alias("place")).agg(F.sha2(part, 256).alias("line"), F.count(F.lit(1)).alias("n")), "hashes")
-        n = level.agg(F.sum("n")).first()[0] if n is None else n
-        if level.count() <= 1:
-            out = level.agg(F.coalesce(F.max("line"), F.sha2(F.lit(""), 256)).alias("hash"))
-            return out.withColumn("rows", F.lit(n or 0).cast("long"))
-        level = level.drop("n")
+        level = staged(level.groupBy("g", F.floor(F.col("place") / block).alias("place")).agg(F.sha2(part, 256).alias("line")), "hashes")
+        if level.where("place > 0").isEmpty():
+            return level.join(sizes, same(level, sizes)).select(level["g"], F.col("line").alias("hash"), "rows")
 
 
 # The fields of a retrieval record that a run writes, and what a generation's status may be.
