@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: What is cut by the dictionary, and what else is a token: runs of other letters and digits, other signs one by one.
 HAN_RUN = r"[⺀-⿟々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿\U00020000-\U0003FFFF]+"
-#: Words that a dictionary may have, as it travels to every task.
-MAX_WORDS = 1_000_000
+#: Words that a dictionary may have, as it travels to every task, and cut pieces that a task remembers.
+MAX_WORDS, MEMO = 1_000_000, 100_000
 
 
 class Lattice:
@@ -27,6 +27,7 @@ class Lattice:
         if len(counts) > MAX_WORDS:
             raise ValueError(f"a dictionary of more than {MAX_WORDS} words")
         self.tree: dict = {}
+        self.known: dict[str, list[str]] = {}
         total = math.log(max(1, sum(counts.values())))
         self.unseen = -total
         for word, n in counts.items():
@@ -63,7 +64,7 @@ def segmenter(counts: dict[str, int], run: str = HAN_RUN) -> Callable[[Column],
     """A tokenizer for ``retrieval.bm25`` and ``document_frequencies``: array<string> of a text (null: null).
 
     What run matches is cut by the dictionary; the rest as the default does.
-    A batch's runs are cut once each.
+    A task cuts equal pieces once, as long as it remembers them.
     """
     lattice = Lattice(counts)
     parts = re.compile(rf"({run})|[^\W_]+|[^\w\s]|_")
@@ -71,7 +72,9 @@ def segmenter(counts: dict[str, int], run: str = HAN_RUN) -> Callable[[Column],
 
     @F.arrow_udf("array<string>")
     def tokens(texts: pa.Array) -> pa.Array:
-        known: dict[str, list[str]] = {}
+        known = lattice.known
+        if len(known) > MEMO:
+            known.clear()
         out: list[list[str] | None] = []
         for text in texts.to_pylist():
             if text is None:
@@ -80,11 +83,8 @@ def segmenter(counts: dict[str, int], run: str = HAN_RUN) -> Callable[[Column],
             own: list[str] = []
             for m in parts.finditer(text):
                 piece = m[0]
-                if m[1] is None and not inside.search(piece):
-                    own.append(piece)
-                    continue
                 if piece not in known:
-                    known[piece] = [w for i, part in enumerate(re.split(rf"({run})", piece)) if part for w in (lattice.cut(part) if i % 2 else [part])]
+                    known[piece] = [piece] if m[1] is None and not inside.search(piece) else [w for i, part in enumerate(re.split(rf"({run})", piece)) if part for w in (lattice.cut(part) if i % 2 else [part])]
                 own += known[piece]
             out.append(own)
         return pa.array(out, pa.list_(pa.string()))
