@@ -180,22 +180,27 @@ def tree_hash(rows: DataFrame, by: str = "id", block: int = 4096) -> DataFrame:
     return got.agg(none.alias("hash"), F.coalesce(F.max("rows"), F.lit(0)).cast("long").alias("rows"))
 
 
-def grouped_tree(lines: DataFrame, block: int = 4096) -> DataFrame:
+def grouped_tree(lines: DataFrame, block: int = 4096, levels: int | None = None) -> DataFrame:
     """g, hash, rows: the tree hash of each group's lines (g, by, line), in the order of by and line.
 
     Lines are numbered over all groups at once, so a group of any size is split
     into ranges, and a task holds a block of one group.  Null groups are one.
+    Null lines take a place and add nothing; of null lines only, the hash is
+    null.  With levels the tree ends after so many: a group that still has
+    several blocks there has a row for each.
     """
     numbered = placed(lines.select(F.struct("g", "by", "line").alias("key")), "key").select("key.g", "place", "key.line")
-    first = numbered.groupBy("g").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
-    sizes = staged(first, "groups")
-    same = lambda a, b: a["g"].eqNullSafe(b["g"])
-    level = numbered.join(sizes, same(numbered, sizes)).select(numbered["g"], (F.col("place") - F.col("first")).alias("place"), "line")
+    first = staged(numbered.groupBy("g").agg(F.min("place").alias("first")), "groups")
+    same = numbered["g"].eqNullSafe(first["g"])
+    level = numbered.join(first, same).select(numbered["g"], (F.col("place") - F.col("first")).alias("place"), "line", F.lit(1).cast("long").alias("rows"))
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
+    hashed = F.when(F.count("line") > 0, F.sha2(part, 256))
+    done = 0
     while True:
-        part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n")
-        level = staged(level.groupBy("g", F.floor(F.col("place") / block).alias("place")).agg(F.sha2(part, 256).alias("line")), "hashes")
-        if level.where("place > 0").isEmpty():
-            return level.join(sizes, same(level, sizes)).select(level["g"], F.col("line").alias("hash"), "rows")
+        level = staged(level.groupBy("g", F.floor(F.col("place") / block).alias("place")).agg(hashed.alias("line"), F.sum("rows").alias("rows")), "hashes")
+        done += 1
+        if done == levels or level.where("place > 0").isEmpty():
+            return level.select("g", F.col("line").alias("hash"), "rows")
 
 
 # The fields of a retrieval record that a run writes, and what a generation's status may be.

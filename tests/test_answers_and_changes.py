@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import answering, evaluation, flows, mapping, sessions, store
+from tessella.plans import registry
 from tessella.sources import corpus
 
 
@@ -93,3 +94,17 @@ def test_stored_token_counts_count(spark):
     df = spark.createDataFrame(rows, "session_id long, seq long, role string, content string, token_count int")
     assert [r.tokens for r in sessions.turns(df).orderBy("seq").collect()] == [7, 30]
     assert [r.tokens for r in sessions.turns(df.drop("token_count")).orderBy("seq").collect()] == [30, 30]
+
+
+def test_source_trees_of_large_sources_and_null_texts(spark, tmp_path):
+    """A source of more than 16 ** 3 documents has a hash for each 4,096, as in the SQL; null texts take a place."""
+    import duckdb
+
+    rows = [(i, None if i % 5 == 0 else f"t{i % 900}", "large" if i > 40 else "small" if i > 3 else "none") for i in range(4500)]
+    rows = [(i, None if s == "none" else t, s) for i, t, s in rows]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in registry.queries()["source_trees"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == set(con.sql(registry.oracles()["source_trees"]).fetchall())
+    assert len(got) == 4
