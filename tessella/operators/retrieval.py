@@ -31,6 +31,8 @@ def document_frequencies(chunks: DataFrame, text: str, tokenizer: Tokenizer = to
 
 #: Queries that a batch of chunks is multiplied with at a time.
 WORD_BLOCK, QUERY_BLOCK = 256, 2048
+#: What is worked on at a time of a batch, whatever its rows hold: tokens, and scores.
+TOKEN_SLICE, SCORE_SLICE = 200_000, 1_000_000
 #: What all queries of one call may hold: numbers of their vectors, and tokens of their questions.
 MAX_NUMBERS, MAX_TOKENS = 32_000_000, 4_000_000
 
@@ -42,18 +44,28 @@ def postings(chunks: DataFrame, vocabulary: list[str], key: str, text: str, plac
 
     def run(batches):
         for batch in batches:
-            ts = batch.column(2)
-            dl = np.diff(ts.offsets.to_numpy())
-            found = pc.fill_null(pc.index_in(ts.flatten(), value_set=names), -1).to_numpy().astype(np.int64)
-            row, inside = np.repeat(np.arange(len(dl)), dl), found >= 0
-            code, tf = np.unique(row[inside] * (len(names) + 1) + found[inside], return_counts=True)
-            ends = np.append(0, np.cumsum(np.bincount(code // (len(names) + 1), minlength=len(dl)))).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code % (len(names) + 1), tf)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(dl.astype(np.int32)), *lists], names=["key", "place", "dl", "tokens", "tfs"])
+            for own in token_slices(batch, 2, TOKEN_SLICE):
+                ts = own.column(2)
+                dl = np.diff(ts.offsets.to_numpy())
+                found = pc.fill_null(pc.index_in(ts.flatten(), value_set=names), -1).to_numpy().astype(np.int64)
+                row, inside = np.repeat(np.arange(len(dl)), dl), found >= 0
+                code, tf = np.unique(row[inside] * (len(names) + 1) + found[inside], return_counts=True)
+                ends = np.append(0, np.cumsum(np.bincount(code // (len(names) + 1), minlength=len(dl)))).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (code % (len(names) + 1), tf)]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(dl.astype(np.int32)), *lists], names=["key", "place", "dl", "tokens", "tfs"])
 
     return own.mapInArrow(run, f"key {own.schema['key'].dataType.simpleString()}, place long, dl int, tokens array<int>, tfs array<int>")
 
 
+def token_slices(batch: pa.RecordBatch, column: int, tokens: int):
+    """The rows of a batch in order, in slices whose lists in a column hold so many tokens or are one row."""
+    ends, at = batch.column(column).offsets.to_numpy(), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + tokens, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: str = "content", k: int = 60, allowed: DataFrame | None = None, place: str | None = None, realms: DataFrame | None = None, tokenizer: Tokenizer = tokens) -> DataFrame:
     """query_id, key, score, rank of the k best chunks of each query.
 

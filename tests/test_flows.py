@@ -188,3 +188,16 @@ def test_evaluation_gates(spark):
         evaluation.zipped(a, b, "x", "y").collect()
     with pytest.raises(Exception, match="no recorded outcome"):
         evaluation.replay(a, spark.createDataFrame([(0, "o")], "x long, outcome string"), ["x"]).collect()
+
+
+def test_token_slices_hold_a_batch_in_order():
+    """Slices follow the number of tokens, not of rows, so a task's arrays don't grow with its batches."""
+    import pyarrow as pa
+
+    sizes = [3, 0, 4, 9, 1, 0, 0, 2]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([["t"] * n for n in sizes])], names=["key", "ts"])
+    for own in (batch, batch.slice(2, 5)):
+        for most in (1, 5, 100):
+            got = list(retrieval.token_slices(own, 1, most))
+            assert pa.Table.from_batches(got).to_pylist() == own.to_pylist()
+            assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= most for p in got)
