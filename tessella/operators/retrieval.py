@@ -275,19 +275,20 @@ def assemble(hits: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: in
     rows beyond a chapter's cap, rows beyond top_k, and from the worst rank up
     what doesn't fit the budget.
     """
-    q = Window.partitionBy("query_id")
-    inside = hits.withColumn("reason", F.when(~F.col("in_realm"), REALM))
-    live = lambda: F.col("reason").isNull()
-    best = F.min(F.when(live(), F.col("rank"))).over(Window.partitionBy("query_id", "chapter"))
-    step = inside.withColumn("best", best)
-    admitted = F.dense_rank().over(q.orderBy(F.col("best").asc_nulls_last()))
-    step = step.withColumn("reason", F.when(live() & (admitted > chapters), CHAPTER_CAP).otherwise(F.col("reason")))
-    own = F.sum(F.when(live(), 1).otherwise(0)).over(Window.partitionBy("query_id", "chapter").orderBy("rank", "key").rowsBetween(Window.unboundedPreceding, 0))
-    step = step.withColumn("n", own).withColumn("reason", F.when(live() & (F.col("n") > per_chapter), CHUNK_CAP).otherwise(F.col("reason")))
-    upto = q.orderBy("rank", "key").rowsBetween(Window.unboundedPreceding, 0)
-    step = step.withColumn("n", F.sum(F.when(live(), 1).otherwise(0)).over(upto)).withColumn("reason", F.when(live() & (F.col("n") > top_k), TOP_CAP).otherwise(F.col("reason")))
-    held = F.sum(F.when(live(), F.col("tokens")).otherwise(0)).over(upto)
-    step = step.withColumn("n", held).withColumn("reason", F.when(live() & (F.col("n") > budget), BUDGET).otherwise(F.col("reason")))
+    # what is out of realm or in a chapter too many doesn't count inside its chapter, so two orders do: by chapter and rank, then by rank
+    q, by, upto = Window.partitionBy("query_id"), Window.partitionBy("query_id", "chapter"), (Window.unboundedPreceding, 0)
+    live = F.col("reason").isNull()
+    step = hits.withColumn("reason", F.when(~F.col("in_realm"), REALM))
+    step = step.withColumn("i", F.sum(F.when(live, 1).otherwise(0)).over(by.orderBy("rank", "key").rowsBetween(*upto)))
+    step = step.withColumn("best", F.min(F.when(live, F.col("rank"))).over(by))
+    # the best rank of the last chapter that is admitted; null: there are fewer
+    step = step.withColumn("last", F.get(F.array_sort(F.collect_set("best").over(q)), F.lit(chapters - 1)))
+    beyond = F.col("last").isNotNull() & (F.col("best").isNull() | (F.col("best") > F.col("last"))) if chapters > 0 else F.lit(True)
+    step = step.withColumn("reason", F.when(live & beyond, CHAPTER_CAP).when(live & (F.col("i") > per_chapter), CHUNK_CAP).otherwise(F.col("reason"))).drop("i", "best", "last")
+    order = q.orderBy("rank", "key").rowsBetween(*upto)
+    step = step.withColumn("n", F.sum(F.when(live, 1).otherwise(0)).over(order)).withColumn("reason", F.when(live & (F.col("n") > top_k), TOP_CAP).otherwise(F.col("reason")))
+    held = F.sum(F.when(live, F.col("tokens")).otherwise(0)).over(order)
+    step = step.withColumn("n", held).withColumn("reason", F.when(live & (F.col("n") > budget), BUDGET).otherwise(F.col("reason")))
     return step.select("query_id", "key", "chapter", "rank", F.col("reason").isNull().alias("kept"), "reason")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import numbers as N, text as X
 from ..operators import chunking, evaluation, mapping, passages, retrieval, sessions
+from ..sources.staging import dealt
 
 FLAGSHIP = "hybrid_retrieval"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,7 +175,8 @@ _ORDERS_HITS = "SELECT l_orderkey AS query_id, l_linenumber AS key, l_suppkey %
     SELECT query_id, key, chapter, rank, reason IS NULL AS kept, reason FROM e""")
 def context_assembly(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    hits = read(spark, sf_dir, "lineitem").select(
+    lines = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"), "l_orderkey")
+    hits = lines.select(
         F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("key"), (F.col("l_suppkey") % 4).alias("chapter"),
         F.row_number().over(order).alias("rank"), F.col("l_quantity").cast("long").alias("tokens"), (F.col("l_discount") < 0.09).alias("in_realm"),
     )

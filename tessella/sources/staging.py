@@ -33,3 +33,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tessella/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *by: str, rows: int = 500_000) -> DataFrame:
+    """df dealt by columns over so many partitions that each has about so many rows, so that what a task sorts doesn't grow with the table."""
+    parts = max(-(-df.count() // rows), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, *by)

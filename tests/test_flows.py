@@ -201,3 +201,47 @@ def test_token_slices_hold_a_batch_in_order():
             got = list(retrieval.token_slices(own, 1, most))
             assert pa.Table.from_batches(got).to_pylist() == own.to_pylist()
             assert all(p.num_rows == 1 or len(p.column(1).flatten()) <= most for p in got)
+
+
+def test_assembly_sorts_few_times_and_small_tasks(spark):
+    """One order for a chapter and one for a query beside the hits' own; partitions follow the number of rows."""
+    from tessella.plans import registry
+    from tessella.sources.staging import dealt
+
+    plan = registry.queries()["context_assembly"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    full = registry.queries()["context_assembly"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and full.count("Sort [") == 3 and full.count("Exchange ") == 1
+    assert dealt(spark.range(1000), "id", rows=50).rdd.getNumPartitions() == 20
+
+
+def test_assembly_caps_against_brute_force(spark):
+    """Caps in their order, also with tied ranks, hits whose realm is unknown and more places than chapters."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(q, k, rng.randrange(6), rng.randrange(1, 15), rng.randrange(1, 40), rng.choice([True, True, True, False, None])) for q in range(60) for k in range(rng.randrange(1, 25))]
+    hits = spark.createDataFrame(rows, "query_id long, key long, chapter int, rank int, tokens long, in_realm boolean")
+    for chapters, per_chapter, top_k, budget in ((2, 2, 3, 80), (8, 4, 12, 6000), (1, 9, 9, 60)):
+        want = {}
+        for q in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == q), key=lambda r: (r[3], r[1]))
+            inside = [r for r in own if r[5] is not False]
+            best = {c: min(r[3] for r in inside if r[2] == c) for c in {r[2] for r in inside}}
+            admitted = sorted(set(best.values()))[:chapters]
+            n, taken, held = {}, 0, 0
+            for r in own:
+                if r[5] is False:
+                    reason = "realm"
+                elif best[r[2]] not in admitted:
+                    reason = "chapter_cap"
+                else:
+                    n[r[2]] = n.get(r[2], 0) + 1
+                    reason = "chapter_chunk_cap" if n[r[2]] > per_chapter else None
+                if reason is None:
+                    taken += 1
+                    reason = "top_k_cap" if taken > top_k else None
+                if reason is None:
+                    held += r[4]
+                    reason = "token_budget" if held > budget else None
+                want[q, r[1]] = reason
+        assert {(r.query_id, r.key): r.reason for r in retrieval.assemble(hits, chapters, per_chapter, top_k, budget).collect()} == want
