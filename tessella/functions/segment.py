@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 HAN_RUN = r"[⺀-⿟々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿\U00020000-\U0003FFFF]+"
 #: Words that a dictionary may have, as it travels to every task, and cut pieces that a task remembers.
 MAX_WORDS, MEMO = 1_000_000, 100_000
+#: Words that a task holds as Python strings at a time, besides those it remembers.
+WORD_SLICE = 200_000
 
 
 class Lattice:
@@ -73,21 +75,25 @@ def segmenter(counts: dict[str, int], run: str = HAN_RUN) -> Callable[[Column],
     @F.arrow_udf("array<string>")
     def tokens(texts: pa.Array) -> pa.Array:
         known = lattice.known
-        if len(known) > MEMO:
-            known.clear()
-        out: list[list[str] | None] = []
-        for text in texts.to_pylist():
-            if text is None:
-                out.append(None)
-                continue
-            own: list[str] = []
-            for m in parts.finditer(text):
+        # a batch's words pass into Arrow some at a time, its texts one by one
+        flat, done, ends, nulls = [], [pa.array([], pa.string())], [0], []
+        for scalar in texts:
+            text = scalar.as_py()
+            for m in parts.finditer(text or ""):
                 piece = m[0]
-                if piece not in known:
-                    known[piece] = [piece] if m[1] is None and not inside.search(piece) else [w for i, part in enumerate(re.split(rf"({run})", piece)) if part for w in (lattice.cut(part) if i % 2 else [part])]
-                own += known[piece]
-            out.append(own)
-        return pa.array(out, pa.list_(pa.string()))
+                words = known.get(piece)
+                if words is None:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    words = known[piece] = [piece] if m[1] is None and not inside.search(piece) else [w for i, part in enumerate(re.split(rf"({run})", piece)) if part for w in (lattice.cut(part) if i % 2 else [part])]
+                flat += words
+            if len(flat) >= WORD_SLICE:
+                done.append(pa.array(flat, pa.string()))
+                flat = []
+            ends.append(sum(map(len, done)) + len(flat))
+            nulls.append(text is None)
+        words = pa.concat_arrays([*done, pa.array(flat, pa.string())])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words, mask=pa.array(nulls, pa.bool_()))
 
     return tokens
 

@@ -176,3 +176,22 @@ def test_tree_hash_ignores_partitions(spark):
     assert one.hash == lines[0]
     assert corpus.tree_hash(rows.where("id <> 5"), "id", 7).first().hash != one.hash
     assert tuple(corpus.tree_hash(rows.limit(0), "id", 7).first()) == (hashlib.sha256(b"").hexdigest(), 0)
+
+
+def test_segmenter_remembers_within_its_bound(spark, monkeypatch):
+    """What a task remembers is bounded inside a batch, too, and words pass into Arrow in slices: results stay."""
+    import pyarrow as pa
+
+    texts = pa.array([f"{chr(97 + i % 26)}{i} 红楼梦{i} 宝玉" if i % 7 else (None if i % 2 else "") for i in range(400)])
+    counts = {"红楼": 9, "红楼梦": 9, "宝玉": 5}
+    want = segment.segmenter(counts).func(texts)
+    monkeypatch.setattr(segment, "MEMO", 10)
+    monkeypatch.setattr(segment, "WORD_SLICE", 7)
+    kept = []
+    lattice = segment.Lattice
+    monkeypatch.setattr(segment, "Lattice", lambda c: kept.append(lattice(c)) or kept[-1])
+    assert segment.segmenter(counts).func(texts).equals(want)
+    assert len(kept[0].known) <= 10
+    assert want[0].as_py() == [] and want[7].as_py() is None and want[1].as_py() == ["b1", "红楼梦", "1", "宝玉"]
+    got = segment.segmenter(counts).func(texts.slice(100, 50))
+    assert got.equals(want.slice(100, 50))
