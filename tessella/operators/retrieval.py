@@ -78,9 +78,9 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "chunk_key", text: st
     each query by the chunks' place; a query without one finds nothing.
 
     Chunks are tokenised once and stored with the asked tokens only.  A batch
-    of them is multiplied with the weights of WORD_BLOCK queries at a time and
-    passes on its k best a query, ties included, so pairs of queries and chunks
-    are never shuffled.
+    of them is multiplied, a few rows at a time, with the weights of WORD_BLOCK
+    queries at most and passes on what may be among its k best a query, ties
+    included, so pairs of queries and chunks are never shuffled.
     """
     asked: dict = {}
     counted = queries.select("query_id", F.explode(tokenizer(F.col("question"))).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -120,39 +120,53 @@ def limits(ids: list, bounds: dict | None) -> np.ndarray | None:
     return None if bounds is None else np.array([bounds.get(q, (1, 0)) for q in ids], np.int64).reshape(-1, 2)
 
 
+def word_blocks(ends: np.ndarray) -> list[tuple[int, int]]:
+    """Queries from and to, for so many at a time that their tokens times their number stay within MAX_TOKENS."""
+    blocks, at = [], 0
+    while at < len(ends):
+        own = (ends[at : at + WORD_BLOCK] - (ends[at - 1] if at else 0)) * np.arange(1, len(ends[at : at + WORD_BLOCK]) + 1)
+        to = at + max(1, int(np.searchsorted(own, MAX_TOKENS, side="right")))
+        blocks.append((at, to))
+        at = to
+    return blocks
+
+
+def row_slices(batch: pa.RecordBatch, numbers: int, most: int):
+    """The rows of a batch in order, most at a time or so many that SCORE_SLICE numbers come of them, at so many a row."""
+    rows = max(1, min(most, SCORE_SLICE // max(numbers, 1)))
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def best_words(batches, ids: pa.Array, token: np.ndarray, weight: np.ndarray, ends: np.ndarray, avgdl: float, places: np.ndarray | None, k: int, rows: int = 512):
-    """query_id, key, score of the best of each batch of postings."""
-    blocks = []
-    for at in range(0, len(ids), WORD_BLOCK):
-        low, high = (int(ends[at - 1]) if at else 0), int(ends[min(at + WORD_BLOCK, len(ids)) - 1])
-        used, column = np.unique(token[low:high], return_inverse=True)
-        query = np.searchsorted(ends[at : at + WORD_BLOCK], np.arange(low, high), side="right")
-        weights = np.zeros((len(used), min(WORD_BLOCK, len(ids) - at)))
-        weights[column, query] = weight[low:high]
-        blocks.append((at, used, weights))
+    """query_id, key, score of the best of each batch of postings; one block of weights is held at a time."""
     for batch in batches:
-        for begin in range(0, batch.num_rows if blocks else 0, rows):
-            own = batch.slice(begin, rows)
-            offsets = own.column(3).offsets.to_numpy()
-            row = np.repeat(np.arange(own.num_rows), np.diff(offsets))
-            held, tf = own.column(3).flatten().to_numpy(), own.column(4).flatten().to_numpy().astype(float)
-            norm = (K1 * (1 - B + B * own.column(2).to_numpy() / avgdl))[row]
-            for at, used, weights in blocks:
+        for at, to in word_blocks(ends):
+            low, high = (int(ends[at - 1]) if at else 0), int(ends[to - 1])
+            used, column = np.unique(token[low:high], return_inverse=True)
+            weights = np.zeros((len(used), to - at))
+            weights[column, np.searchsorted(ends[at:to], np.arange(low, high), side="right")] = weight[low:high]
+            best = np.full((max(k, 1), to - at), -np.inf)
+            for own in row_slices(batch, max(len(used), to - at), rows):
+                row = np.repeat(np.arange(own.num_rows), np.diff(own.column(3).offsets.to_numpy()))
+                held, tf = own.column(3).flatten().to_numpy(), own.column(4).flatten().to_numpy().astype(float)
+                norm = (K1 * (1 - B + B * own.column(2).to_numpy() / avgdl))[row]
                 column = np.minimum(np.searchsorted(used, held), len(used) - 1)
                 inside = used[column] == held
                 dense = np.zeros((own.num_rows, len(used)))
                 dense[row[inside], column[inside]] = (tf / (tf + norm))[inside]
-                to = at + weights.shape[1]
-                yield best_rows(ids.slice(at, to - at), own.column(0), np.round(dense @ weights, DECIMALS), 0.0, own.column(1).to_numpy(), None if places is None else places[at:to], k)
+                yield best_rows(ids.slice(at, to - at), own.column(0), np.round(dense @ weights, DECIMALS), 0.0, own.column(1).to_numpy(), None if places is None else places[at:to], best)
+
 
+def best_rows(ids: pa.Array, keys: pa.Array, score: np.ndarray, above: float, at: np.ndarray, places: np.ndarray | None, best: np.ndarray) -> pa.RecordBatch:
+    """The keys of each query with a score above a bound that may be among the best, ties with the last one included.
 
-def best_rows(ids: pa.Array, keys: pa.Array, score: np.ndarray, above: float, at: np.ndarray, places: np.ndarray | None, k: int) -> pa.RecordBatch:
-    """The k best keys of each query with a score above a bound, ties with the last one included."""
-    score = np.where(np.isnan(score), -np.inf, score)
+    best: the best scores of each query before these rows, which are brought up to date.
+    """
+    score[np.isnan(score)] = -np.inf
     if places is not None:
         score[(at[:, None] < places[None, :, 0]) | (at[:, None] > places[None, :, 1])] = -np.inf
-    least = np.partition(score, -k, axis=0)[-k] if len(keys) > k else np.full(len(ids), -np.inf)
-    q, row = np.nonzero((score >= least).T & (score > above).T)
+    best[:] = np.partition(np.concatenate([best, score]), -len(best), axis=0)[-len(best) :]
+    q, row = np.nonzero(((score >= best[0]) & (score > above)).T)
     return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), keys.take(pa.array(row)), pa.array(score[row, q])], names=["query_id", "key", "score"])
 
 
@@ -160,9 +174,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, key: str = "chunk_key", vect
     """query_id, key, score, rank of the k nearest vectors; filters come before the ranking, realms as for ``bm25``.
 
     Queries are the stated small side, MAX_NUMBERS numbers in all, beyond which
-    the call is refused.  A batch of vectors is multiplied with QUERY_BLOCK of
-    them at once and passes on its k best a query, ties included.  Vectors of no
-    length are near nothing; vectors of another size are an error.
+    the call is refused.  A batch of vectors is multiplied, a few rows at a
+    time, with QUERY_BLOCK of them at once and passes on what may be among its k
+    best a query, ties included.  Vectors of no length are near nothing; vectors
+    of another size are an error.
     """
     known = vectors.where(F.col(vector).isNotNull())
     known = (known.where(where) if where is not None else known).select(F.col(key).alias("key"), (F.col(place).cast("long") if place else F.lit(0).cast("long")).alias("place"), F.col(vector).cast("array<double>").alias("v"))
@@ -192,16 +207,18 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def best_vectors(batches, ids: pa.Array, block: np.ndarray, places: np.ndarray | None, k: int):
-    """query_id, key, score of the best of each batch (key, place, v)."""
+    """query_id, key, score of the best of each batch (key, place, v), from SCORE_SLICE scores at a time."""
     for batch in batches:
         if not batch.num_rows or not len(block):
             continue
         if (np.diff(batch.column(2).offsets.to_numpy()) != block.shape[1]).any():
             raise ValueError("vectors differ in length")
-        rows = unit(batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1))
         for at in range(0, len(block), QUERY_BLOCK):
-            score = np.round(rows @ block[at : at + QUERY_BLOCK].T, DECIMALS)
-            yield best_rows(ids.slice(at, QUERY_BLOCK), batch.column(0), score, -np.inf, batch.column(1).to_numpy(), None if places is None else places[at : at + QUERY_BLOCK], k)
+            asked = block[at : at + QUERY_BLOCK]
+            best = np.full((max(k, 1), len(asked)), -np.inf)
+            for own in row_slices(batch, max(asked.shape), batch.num_rows):
+                rows = unit(own.column(2).flatten().to_numpy().reshape(own.num_rows, -1))
+                yield best_rows(ids.slice(at, QUERY_BLOCK), own.column(0), np.round(rows @ asked.T, DECIMALS), -np.inf, own.column(1).to_numpy(), None if places is None else places[at : at + QUERY_BLOCK], best)
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:

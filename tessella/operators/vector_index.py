@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources import versions
 from ..sources.staging import staged
-from .retrieval import DECIMALS, best_rows, limits, nearest, question_rows, top, type_of, unit
+from .retrieval import best_vectors, limits, nearest, question_rows, top, type_of, unit
 
 #: Vectors that k-means learns on, and centroids.
 SAMPLE, CELLS = 100_000, 4096
@@ -108,9 +108,7 @@ def search(spark: SparkSession, index: versions.Snapshot, queries: DataFrame, k:
             for c in np.unique(cell):
                 own = batch.filter(pa.array(cell == c))
                 who = probing[int(c)]
-                v = own.column("v")
-                score = np.round(unit(v.flatten().to_numpy().reshape(own.num_rows, -1)) @ block[who].T, DECIMALS)
-                yield best_rows(names.take(pa.array(who)), own.column("key"), score, -np.inf, own.column("place").to_numpy(), None if places is None else places[who], k)
+                yield from best_vectors([own], names.take(pa.array(who)), block[who], None if places is None else places[who], k)
 
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, key {lists.schema['key'].dataType.simpleString()}, score double"
     return top(lists.mapInArrow(run, schema), k)

@@ -245,3 +245,41 @@ def test_assembly_caps_against_brute_force(spark):
                     reason = "token_budget" if held > budget else None
                 want[q, r[1]] = reason
         assert {(r.query_id, r.key): r.reason for r in retrieval.assemble(hits, chapters, per_chapter, top_k, budget).collect()} == want
+
+
+def peak_mb(work) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def best_of(batches, k):
+    """The k best keys a query of what a task passes on."""
+    import pyarrow as pa
+
+    out: dict = {}
+    for r in pa.Table.from_batches(batches).to_pylist():
+        out.setdefault(r["query_id"], []).append((-r["score"], r["key"]))
+    return {q: sorted(v)[:k] for q, v in out.items()}
+
+
+def test_vectors_are_scored_in_slices(monkeypatch):
+    """What a batch of vectors takes doesn't follow rows times queries; slices find what one product of all finds."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v, q = rng.normal(size=(10_000, 8)), retrieval.unit(rng.normal(size=(500, 8)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(np.arange(10_000) % 50), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 8).cast(pa.list_(pa.float64()))], names=["key", "place", "v"])
+    run = lambda places=None, ids=500: retrieval.best_vectors([batch, batch.slice(9_000)], pa.array(range(ids)), q[:ids], places, 7)
+    assert peak_mb(lambda: [None for _ in run()]) < 80
+    for places in (None, np.array([[0, 9], [3, 3], [5, 1]])):
+        whole = best_of(run(places, 3), 7)
+        assert len(whole) == (3 if places is None else 2)
+        monkeypatch.setattr(retrieval, "SCORE_SLICE", 40)
+        assert best_of(run(places, 3), 7) == whole
+        monkeypatch.undo()
