@@ -283,3 +283,34 @@ def test_vectors_are_scored_in_slices(monkeypatch):
         monkeypatch.setattr(retrieval, "SCORE_SLICE", 40)
         assert best_of(run(places, 3), 7) == whole
         monkeypatch.undo()
+
+
+def test_words_are_scored_in_slices(monkeypatch):
+    """Weights are held for one block of queries, bounded by their tokens; blocks and slices of any size find the same."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    own = [np.sort(rng.choice(30_000, 100, replace=False)) for _ in range(2_000)]
+    tokens = [np.sort(rng.choice(30_000, rng.integers(0, 60), replace=False)).astype(np.int32) for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array(np.arange(600) % 50), pa.array([len(t) + 5 for t in tokens], pa.int32()), pa.array(tokens, pa.list_(pa.int32())), pa.array([np.ones(len(t), np.int32) for t in tokens], pa.list_(pa.int32()))], names=["key", "place", "dl", "tokens", "tfs"])
+
+    def run(n, places=None):
+        ends = np.cumsum([len(t) for t in own[:n]])
+        return retrieval.best_words([batch, batch.slice(500)], pa.array(range(n)), np.concatenate(own[:n]), np.ones(ends[-1]), ends, 35.0, places, 4)
+
+    assert peak_mb(lambda: [None for _ in run(2_000)]) < 150
+    for places in (None, np.array([[0, 9]] * 30)):
+        whole = best_of(run(30, places), 4)
+        brute: dict = {}
+        for q in range(30):
+            for i, t in enumerate(tokens):
+                score = round(len(np.intersect1d(t, own[q])) / (1 + 1.5 * (0.25 + 0.75 * (len(t) + 5) / 35.0)), 9)
+                if score > 0 and (places is None or i % 50 <= 9):
+                    brute.setdefault(q, []).extend([(-score, i)] * (1 + (i >= 500)))
+        assert {q: [k for _, k in v] for q, v in whole.items()} == {q: [k for _, k in sorted(v)[:4]] for q, v in brute.items()}
+        monkeypatch.setattr(retrieval, "SCORE_SLICE", 9_000)
+        monkeypatch.setattr(retrieval, "MAX_TOKENS", 1_000)
+        assert best_of(run(30, places), 4) == whole
+        monkeypatch.undo()
+    blocks = retrieval.word_blocks(np.cumsum([3, 1, 1, 5_000_000, 1, 1]))
+    assert blocks == [(0, 3), (3, 4), (4, 6)]
