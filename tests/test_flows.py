@@ -314,3 +314,11 @@ def test_words_are_scored_in_slices(monkeypatch):
         monkeypatch.undo()
     blocks = retrieval.word_blocks(np.cumsum([3, 1, 1, 5_000_000, 1, 1]))
     assert blocks == [(0, 3), (3, 4), (4, 6)]
+
+
+def test_drop_samples_sort_dealt_lines(spark):
+    """Samples are counted over lines dealt by their number: no task's sort grows with the table."""
+    from tessella.plans import registry
+
+    plan = registry.queries()["drop_samples"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 1 and plan.count("Sort [") == 3 and plan.count("Exchange ") == 2
