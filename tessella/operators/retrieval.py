@@ -285,19 +285,20 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, realms:
 CHAPTER_CAP, CHUNK_CAP, TOP_CAP, REALM, BUDGET = "chapter_cap", "chapter_chunk_cap", "top_k_cap", "realm", "token_budget"
 
 
-def assemble(hits: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: int = 12, budget: int = 6000) -> DataFrame:
+def assemble(hits: DataFrame, chapters: int = 8, per_chapter: int = 4, top_k: int = 12, budget: int = 6000, known_best: bool = False) -> DataFrame:
     """hits (query_id, key, chapter, rank, tokens, in_realm) with kept and reason.
 
     In this order: out of realm, chapters beyond the first by their best rank,
     rows beyond a chapter's cap, rows beyond top_k, and from the worst rank up
-    what doesn't fit the budget.
+    what doesn't fit the budget.  Rows whose realm is unknown (null) aren't out
+    of it; with known_best they don't make their chapter's best rank.
     """
     # what is out of realm or in a chapter too many doesn't count inside its chapter, so two orders do: by chapter and rank, then by rank
     q, by, upto = Window.partitionBy("query_id"), Window.partitionBy("query_id", "chapter"), (Window.unboundedPreceding, 0)
     live = F.col("reason").isNull()
     step = hits.withColumn("reason", F.when(~F.col("in_realm"), REALM))
     step = step.withColumn("i", F.sum(F.when(live, 1).otherwise(0)).over(by.orderBy("rank", "key").rowsBetween(*upto)))
-    step = step.withColumn("best", F.min(F.when(live, F.col("rank"))).over(by))
+    step = step.withColumn("best", F.min(F.when(F.col("in_realm") if known_best else live, F.col("rank"))).over(by))
     # the best rank of the last chapter that is admitted; null: there are fewer
     step = step.withColumn("last", F.get(F.array_sort(F.collect_set("best").over(q)), F.lit(chapters - 1)))
     beyond = F.col("last").isNotNull() & (F.col("best").isNull() | (F.col("best") > F.col("last"))) if chapters > 0 else F.lit(True)

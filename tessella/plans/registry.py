@@ -174,13 +174,14 @@ _ORDERS_HITS = "SELECT l_orderkey AS query_id, l_linenumber AS key, l_suppkey %
     e AS (SELECT *, CASE WHEN r3 IS NULL AND sum(CASE WHEN r3 IS NULL THEN tokens ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank, key ROWS UNBOUNDED PRECEDING) > 80 THEN 'token_budget' ELSE r3 END AS reason FROM d)
     SELECT query_id, key, chapter, rank, reason IS NULL AS kept, reason FROM e""")
 def context_assembly(spark, sf_dir):
-    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
+    # the SQL leaves lines of one price and number open; here those tied to the end are alike in all columns of the result
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), F.asc_nulls_last("l_linenumber"), "l_suppkey", "l_quantity", "l_discount")
     lines = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"), "l_orderkey")
     hits = lines.select(
         F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("key"), (F.col("l_suppkey") % 4).alias("chapter"),
-        F.row_number().over(order).alias("rank"), F.col("l_quantity").cast("long").alias("tokens"), (F.col("l_discount") < 0.09).alias("in_realm"),
+        F.row_number().over(order).alias("rank"), F.rint("l_quantity").cast("long").alias("tokens"), (F.col("l_discount") < 0.09).alias("in_realm"),
     )
-    return retrieval.assemble(hits, 2, 2, 3, 80)
+    return retrieval.assemble(hits, 2, 2, 3, 80, known_best=True)
 
 
 # Chunks and evidence ------------------------------------------------------
